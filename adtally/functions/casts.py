@@ -4,31 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from .money import to_units
 
+# Amounts beyond it do not fit fixed-point.
+_LARGEST = "9e14"
 
-def money_cell(text: Column) -> tuple[Column, Column]:
-    """Fixed-point amount and whether the cell is bad; an empty cell is no amount, not a bad one."""
-    number = text.try_cast("double")
-    finite = F.when(~F.isnan(number) & (F.abs(number) < 9e14), number)
-    empty = text.isNull() | (F.lower(F.trim(text)).isin("", "nan"))
-    return to_units(finite), ~empty & finite.isNull()
 
+def money_cell(text: str) -> tuple[str, str]:
+    """Fixed-point amount and whether the cell is bad; an empty cell is no amount, nothing bad."""
+    number = f"nullif(try_cast({text} as double), double('NaN'))"
+    finite = f"if(abs({number}) < {_LARGEST}, {number}, null)"
+    empty = f"(({text}) is null or lower(trim({text})) in ('', 'nan'))"
+    return f"if({empty}, 0L, {to_units(finite)})", f"(not {empty} and {finite} is null)"
 
-def count_cell(text: Column) -> tuple[Column, Column]:
+
+def count_cell(text: str) -> tuple[str, str]:
     """Whole number and whether the cell is bad; an empty cell is bad."""
-    number = text.try_cast("bigint")
-    return number, number.isNull()
+    number = f"try_cast({text} as bigint)"
+    return number, f"({number} is null)"
 
 
 def cast_cells(
     df: DataFrame, money: Mapping[str, str], counts: Mapping[str, str], keep: tuple[str, ...] = ()
 ) -> DataFrame:
     """Typed columns from text columns, and the number of bad cells of the row as ``bad_cells``."""
-    cells = {new: money_cell(F.col(old)) for old, new in money.items()}
-    cells |= {new: count_cell(F.col(old)) for old, new in counts.items()}
-    bad = sum((mark.cast("int") for _, mark in cells.values()), F.lit(0))
-    return df.select(*keep, *[value.alias(name) for name, (value, _) in cells.items()], bad.alias("bad_cells"))
+    cells = {new: money_cell(f"`{old}`") for old, new in money.items()}
+    cells |= {new: count_cell(f"`{old}`") for old, new in counts.items()}
+    bad = " + ".join(f"int({mark})" for _, mark in cells.values())
+    return df.selectExpr(*keep, *[f"{value} as {name}" for name, (value, _) in cells.items()], f"{bad} as bad_cells")

@@ -4,9 +4,6 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 
 def month_start(ym: str) -> date:
     """First day of a ``YYYYMM`` month."""
@@ -18,28 +15,29 @@ def month_after(ym: str) -> date:
     return date(start.year + start.month // 12, start.month % 12 + 1, 1)
 
 
-def in_month(column: str | Column, ym: str) -> Column:
+def in_month(column: str, ym: str) -> str:
     """Half-open range test, so that parquet statistics and partitions can be used."""
-    value = F.col(column) if isinstance(column, str) else column
-    return (value >= F.lit(month_start(ym))) & (value < F.lit(month_after(ym)))
+    return f"({column} >= date'{month_start(ym)}' and {column} < date'{month_after(ym)}')"
 
 
-def month_key(column: str | Column) -> Column:
+def month_key(column: str) -> str:
     """``YYYYMM``."""
-    return F.date_format(column, "yyyyMM")
+    return f"date_format({column}, 'yyyyMM')"
 
 
-def month_text(column: str | Column) -> Column:
+def month_text(column: str) -> str:
     """``YYYY-MM``."""
-    return F.date_format(column, "yyyy-MM")
+    return f"date_format({column}, 'yyyy-MM')"
+
+
+MONTH_TEXT = f"{month_text('perf_month')} as perf_month"
 
 
-def previous_month_key(column: str | Column) -> Column:
+def previous_month_key(column: str) -> str:
     """``YYYYMM`` of the month before."""
-    return F.date_format(F.add_months(column, -1), "yyyyMM")
+    return f"date_format(add_months({column}, -1), 'yyyyMM')"
 
 
-def load_stamp(column: str | Column | None = None) -> Column:
+def load_stamp(day: str = "current_date()") -> str:
     """``YYMMDD``: the last six characters of the load date."""
-    day = F.current_date() if column is None else column
-    return F.right(F.date_format(day, "yyyyMMdd"), F.lit(6))
+    return f"right(date_format({day}, 'yyyyMMdd'), 6)"

@@ -2,40 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from .money import percent, ratio, round2
 
-
-def acos() -> Column:
-    """Ad spend per ad revenue."""
-    return percent(F.col("spend"), F.col("ad_revenue")).alias("acos")
-
-
-def spend_share() -> Column:
-    """Ad spend per store revenue."""
-    return percent(F.col("spend"), F.col("store_revenue")).alias("spend_share")
-
-
-def ad_revenue_share() -> Column:
-    """Ad revenue per store revenue."""
-    return percent(F.col("ad_revenue"), F.col("store_revenue")).alias("ad_revenue_share")
-
-
-def ad_profit_share() -> Column:
-    """Ad profit per store profit."""
-    return percent(F.col("ad_profit"), F.col("store_profit")).alias("ad_profit_share")
-
-
-def cost_per_click() -> Column:
-    return round2(ratio(F.col("spend"), F.col("clicks"))).alias("cpc")
-
-
-def return_on_spend() -> Column:
-    return round2(ratio(F.col("ad_revenue"), F.col("spend"))).alias("roi")
-
-
-def conversion_rate() -> Column:
-    """Ad orders per click."""
-    return round2(ratio(F.col("ad_orders"), F.col("clicks"))).alias("cr")
+# Ad spend per ad revenue.
+ACOS = f"{percent('spend', 'ad_revenue')} as acos"
+# Ad spend and ad revenue per store revenue.
+SPEND_SHARE = f"{percent('spend', 'store_revenue')} as spend_share"
+AD_REVENUE_SHARE = f"{percent('ad_revenue', 'store_revenue')} as ad_revenue_share"
+# Ad profit per store profit.
+AD_PROFIT_SHARE = f"{percent('ad_profit', 'store_profit')} as ad_profit_share"
+# Spend per click, revenue per spend, ad orders per click.
+COST_PER_CLICK = f"{round2(ratio('spend', 'clicks'))} as cpc"
+RETURN_ON_SPEND = f"{round2(ratio('ad_revenue', 'spend'))} as roi"
+CONVERSION_RATE = f"{round2(ratio('ad_orders', 'clicks'))} as cr"
+
+CLICK_RATIOS = (COST_PER_CLICK, RETURN_ON_SPEND, CONVERSION_RATE)

@@ -3,81 +3,76 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from decimal import Decimal
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 from ..schema import MONEY, MONEY_UNITS
 
-# A sum is carried as two bigints, whole blocks and remainder, so that neither
-# can overflow below nine trillion rows whatever the amounts are.
-_BLOCK = 1_000_000
+# A sum of money is carried as two bigints, high and low bits of the amounts,
+# so that neither can overflow below eight trillion rows.
+_LOW_BITS = 20
+_LOW_MASK = (1 << _LOW_BITS) - 1
 
 
-def to_units(amount: Column, units: int = MONEY_UNITS) -> Column:
+def to_units(amount: str, units: int = MONEY_UNITS) -> str:
     """Currency amount (double or decimal) to fixed-point, halves away from zero."""
-    scaled = amount.cast("double") * units
-    return F.when(scaled < 0, -F.floor(F.lit(0.5) - scaled)).otherwise(F.floor(scaled + 0.5))
+    scaled = f"(cast({amount} as double) * {units})"
+    return f"if({scaled} < 0, -floor(0.5D - {scaled}), floor({scaled} + 0.5D))"
 
 
-def as_double(units: Column) -> Column:
-    return units.cast("double") / float(MONEY_UNITS)
+def in_currency(units: str) -> str:
+    """Fixed-point as double currency."""
+    return f"(cast({units} as double) / {MONEY_UNITS}D)"
 
 
-def partial_sums(measures: Iterable[str], when: Column | None = None, prefix: str = "") -> list[Column]:
-    """Aggregates that hold exact partial sums of fact measures, optionally of matching rows only."""
+def partial_sums(measures: Iterable[str], when: str | None = None, prefix: str = "") -> list[str]:
+    """Aggregates that hold exact partial sums of measures, optionally of matching rows only."""
     parts = []
     for name in measures:
-        value = F.col(name) if when is None else F.when(when, F.col(name))
+        value = name if when is None else f"if({when}, {name}, null)"
         if name in MONEY:
-            parts.append(F.sum(F.call_function("div", value, F.lit(_BLOCK))).alias(f"{prefix}{name}__blocks"))
-            parts.append(F.sum(value % _BLOCK).alias(f"{prefix}{name}__rest"))
+            parts.append(f"sum(shiftright({value}, {_LOW_BITS})) as {prefix}{name}__high")
+            parts.append(f"sum({value} & {_LOW_MASK}L) as {prefix}{name}__low")
         else:
-            parts.append(F.sum(value).alias(f"{prefix}{name}"))
+            parts.append(f"sum({value}) as {prefix}{name}")
     return parts
 
 
-def merged_sums(measures: Iterable[str], prefix: str = "") -> list[Column]:
+def merged_sums(measures: Iterable[str], prefix: str = "") -> list[str]:
     """Aggregates that add up partial sums of finer groups."""
-    return [F.sum(name).alias(name) for name in partial_names(measures, prefix)]
-
-
-def partial_names(measures: Iterable[str], prefix: str = "") -> list[str]:
     names = []
     for name in measures:
-        names += (
-            [f"{prefix}{name}__blocks", f"{prefix}{name}__rest"] if name in MONEY else [f"{prefix}{name}"]
-        )
-    return names
+        names += [f"{prefix}{name}__high", f"{prefix}{name}__low"] if name in MONEY else [f"{prefix}{name}"]
+    return [f"sum({name}) as {name}" for name in names]
 
 
-def settled(name: str, prefix: str = "") -> Column:
+def settled(name: str, prefix: str = "") -> str:
     """Final value of a partial sum: money as double currency, counts as they are."""
     if name not in MONEY:
-        return F.col(f"{prefix}{name}").alias(f"{prefix}{name}")
-    blocks = F.col(f"{prefix}{name}__blocks").cast("decimal(20,0)")
-    rest = F.col(f"{prefix}{name}__rest").cast("decimal(20,0)")
-    exact = (blocks * F.lit(Decimal(_BLOCK)) + rest) * F.lit(Decimal(1) / MONEY_UNITS)
-    return exact.cast("double").alias(f"{prefix}{name}")
+        return f"{prefix}{name}"
+    high = f"cast({prefix}{name}__high as decimal(20,0))"
+    low = f"cast({prefix}{name}__low as decimal(20,0))"
+    return f"cast(({high} * {1 << _LOW_BITS}BD + {low}) * {1 / MONEY_UNITS:.4f}BD as double)"
+
+
+def settled_as(measures: Iterable[str]) -> list[str]:
+    return [f"{settled(name)} as {name}" for name in measures]
 
 
-def round2(value: Column) -> Column:
+def round2(value: str) -> str:
     """Two places, halves away from zero, on the double itself."""
-    return F.sign(value) * F.floor(F.abs(value) * 100 + 0.5) / 100
+    return f"(sign({value}) * floor(abs({value}) * 100D + 0.5D) / 100D)"
 
 
-def whole(value: Column) -> Column:
+def whole(value: str) -> str:
     """Whole units, fraction cut off towards zero."""
-    return (F.sign(value) * F.floor(F.abs(value))).cast("bigint")
+    return f"cast(sign({value}) * floor(abs({value})) as bigint)"
 
 
-def ratio(numerator: Column, denominator: Column) -> Column:
+def ratio(numerator: str, denominator: str) -> str:
     """Quotient as double; NULL where the denominator is zero."""
-    return F.try_divide(numerator.cast("double"), denominator.cast("double"))
+    return f"try_divide(cast({numerator} as double), cast({denominator} as double))"
 
 
-def percent(numerator: Column, denominator: Column) -> Column:
+def percent(numerator: str, denominator: str) -> str:
     """Quotient as text with two places and a percent sign; NULL where it is undefined."""
-    share = round2(ratio(100 * numerator.cast("double"), denominator))
-    return F.concat(share.cast("decimal(38,2)").cast("string"), F.lit("%"))
+    share = round2(f"try_divide(100D * cast({numerator} as double), cast({denominator} as double))")
+    return f"concat(cast(cast({share} as decimal(38,2)) as string), '%')"

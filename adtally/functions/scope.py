@@ -1,4 +1,4 @@
-"""Which fact rows a report covers."""
+"""Which fact rows a report covers.  Values asked for by a user are literals, never SQL text."""
 
 from __future__ import annotations
 
@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..schema import AFFILIATE, CPC, CPC_CUTOVER
 from .dates import in_month, month_start
 
+# Affiliate or CPC; rows without a type count as CPC.
+CHANNEL = f"if(ad_type = '{AFFILIATE}', '{AFFILIATE}', '{CPC}')"
+
 
 def scope_type(ad_type: str, ym: str | None = None, cutover: str = CPC_CUTOVER) -> Column:
     """Ad-type test of a report.
@@ -16,14 +19,13 @@ def scope_type(ad_type: str, ym: str | None = None, cutover: str = CPC_CUTOVER)
     plain type before it.  Without a month the test is made row by row.  Rows
     without a type pass neither form.
     """
-    exact = F.col("ad_type") == ad_type
     if ad_type != CPC:
-        return exact
-    paid = F.col("ad_type") != AFFILIATE
+        return F.col("ad_type") == ad_type
+    paid, exact = f"ad_type <> '{AFFILIATE}'", f"ad_type = '{CPC}'"
     if ym is not None:
-        return paid if int(ym) >= int(cutover) else exact
-    late = F.col("perf_month") >= F.lit(month_start(cutover))
-    return (late & paid) | (~late & exact)
+        return F.expr(paid if int(ym) >= int(cutover) else exact)
+    late = f"perf_month >= date'{month_start(cutover)}'"
+    return F.expr(f"({late} and {paid}) or (not {late} and {exact})")
 
 
 def in_scope(
@@ -36,7 +38,7 @@ def in_scope(
     """Type, month, owner and account-text tests of a report in one predicate."""
     test = scope_type(ad_type, ym, cutover)
     if ym is not None:
-        test = test & in_month("perf_month", ym)
+        test = test & F.expr(in_month("perf_month", ym))
     if owner:
         test = test & (F.col("owner") == owner)
     if account:
@@ -46,8 +48,3 @@ def in_scope(
 
 def owner_like(pattern: str) -> Column:
     return F.col("owner").like(pattern)
-
-
-def channel() -> Column:
-    """Affiliate or CPC; rows without a type count as CPC."""
-    return F.when(F.col("ad_type") == AFFILIATE, AFFILIATE).otherwise(CPC).alias("channel")

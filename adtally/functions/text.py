@@ -2,39 +2,29 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from ..schema import SITE_MARKS
 
 
-def shop_of_site(site: Column) -> Column:
+def shop_of_site(site: str) -> str:
     """A site's shop: its name without the last three characters."""
-    return F.substring(site, F.lit(1), F.length(site) - 3)
+    return f"substring({site}, 1, length({site}) - 3)"
 
 
-def is_uploaded_site(site: Column) -> Column:
+def is_uploaded_site(site: str) -> str:
     """Sites of the marketplaces that take part in an upload, in any case."""
-    return reduce(or_, [F.lower(site).contains(mark) for mark in SITE_MARKS])
+    return "(" + " or ".join(f"contains(lower({site}), '{mark}')" for mark in SITE_MARKS) + ")"
 
 
-def prefix_before(text: Column, mark: str) -> Column:
+def prefix_before(text: str, mark: str) -> str:
     """Text up to the first mark, all of it where there is none."""
-    return F.substring_index(text, mark, 1)
+    return f"substring_index({text}, '{mark}', 1)"
 
 
-def whole_part(text: Column) -> Column:
+def whole_part(text: str) -> str:
     """Digits before the decimal point."""
     return prefix_before(text, ".")
 
 
-def without_suffix(name: str, suffix: str) -> str:
-    return name.removesuffix(suffix) if suffix else name
-
-
-def short_period(month: Column) -> Column:
+def short_period(month: str) -> str:
     """``YYMMDD`` of a date, taken from its text as ``YYYY-MM-DD``."""
-    return F.replace(F.substring(month.cast("string"), 3, 8), F.lit("-"), F.lit(""))
+    return f"replace(substring(cast({month} as string), 3, 8), '-', '')"

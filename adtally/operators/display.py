@@ -13,23 +13,23 @@ from .ordered import page
 WHOLE_ABOVE = 100
 
 
-def display_text(value: Column) -> Column:
+def display_text(value: str) -> str:
     """Cell text of a number: whole part beyond the limit, plain otherwise, empty for NULL."""
-    size = F.abs(value)
-    cut = (F.sign(value).cast("decimal(1,0)") * F.floor(size).cast("decimal(37,0)")).cast("string")
+    size = f"abs({value})"
+    cut = f"concat(if({value} < 0, '-', ''), cast(cast(floor({size}) as decimal(38,0)) as string))"
     # Below a thousandth the default text turns to powers of ten.
-    tiny = F.rtrim(value.cast("decimal(38,18)").cast("string"), F.lit("0"))
-    plain = F.when((size > 0) & (size < 0.001), tiny).otherwise(value.cast("string"))
-    return F.coalesce(F.when(size > WHOLE_ABOVE, cut).otherwise(plain), F.lit(""))
+    tiny = f"rtrim('0', cast(cast({value} as decimal(38,18)) as string))"
+    plain = f"if({size} > 0 and {size} < 0.001D, {tiny}, cast({value} as string))"
+    return f"coalesce(if({size} > {WHOLE_ABOVE}, {cut}, {plain}), '')"
 
 
 def display_format(df: DataFrame, numeric_cols: Sequence[str]) -> DataFrame:
     """The frame as texts; only the named columns follow the number rule."""
-    return df.select(
+    return df.selectExpr(
         *[
-            display_text(F.col(name)).alias(name)
+            f"{display_text(f'`{name}`')} as `{name}`"
             if name in numeric_cols
-            else F.coalesce(F.col(name).cast("string"), F.lit("")).alias(name)
+            else f"coalesce(cast(`{name}` as string), '') as `{name}`"
             for name in df.columns
         ]
     )
@@ -49,12 +49,11 @@ def page_json_records(
     """
     total = df.agg(F.count(F.lit(1))).scalar()
     rows = shown(page(df, order_by, offset, limit))
-    return rows.select(
-        total.alias("total"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("record")
-    )
+    record = F.expr("to_json(struct(*), map('ignoreNullFields', 'false'))")
+    return rows.select(total.alias("total"), record.alias("record"))
 
 
 def json_values(df: DataFrame) -> DataFrame:
     """Each row as a JSON array of its values."""
-    cells = F.array(*[F.col(name).cast("variant") for name in df.columns])
-    return df.select(F.to_json(cells).alias("record"))
+    cells = ", ".join(f"cast(`{name}` as variant)" for name in df.columns)
+    return df.selectExpr(f"to_json(array({cells})) as record")

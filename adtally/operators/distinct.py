@@ -13,20 +13,19 @@ from pyspark.sql import functions as F
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> DataFrame:
-    return _edge_row(df, keys, order_by, F.min_by)
+    return _edge_row(df, keys, order_by, "min_by")
 
 
 def last_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> DataFrame:
-    return _edge_row(df, keys, order_by, F.max_by)
+    return _edge_row(df, keys, order_by, "max_by")
 
 
-def _edge_row(df: DataFrame, keys, order_by, pick) -> DataFrame:
+def _edge_row(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], pick: str) -> DataFrame:
     rest = [name for name in df.columns if name not in keys]
-    row = pick(F.struct(*rest), F.struct(*order_by)).alias("row")
+    row = F.expr(f"{pick}(struct({', '.join(rest)}), struct({', '.join(order_by)})) as row")
     return df.groupBy(*keys).agg(row).select(*keys, "row.*").select(*df.columns)
 
 
 def dedupe_counts(df: DataFrame, key: str, order_by: Sequence[str]) -> DataFrame:
     """Non-null values per column once only the first row of each key is kept."""
-    kept = first_per_key(df, [key], order_by)
-    return kept.agg(*[F.count(name).alias(name) for name in df.columns])
+    return first_per_key(df, [key], order_by).selectExpr(*[f"count({name}) as {name}" for name in df.columns])

@@ -46,9 +46,9 @@ def ranged_runs(df: DataFrame, order_by: Sequence[Column], unique: bool = False)
     return runs.withColumn(_RANGE, F.spark_partition_id()).checkpoint()
 
 
-def total_order(df: DataFrame, order_by: Sequence[Column]) -> list[Column]:
+def total_order(df: DataFrame, order_by: Sequence[Column]) -> list[Column | str]:
     """The asked order with every column behind it, so that only equal rows tie."""
-    return [*order_by, *[F.col(name) for name in df.columns]]
+    return [*order_by, *df.columns]
 
 
 def started(runs: DataFrame, order_by: Sequence[Column]) -> DataFrame:

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.money import whole
-from ..functions.text import without_suffix
 from ..schema import OTHER_CATEGORY
+from .totals import aggregated
 
 
 def unpivot_totals(
@@ -27,26 +27,21 @@ def unpivot_totals(
     category while the table is still wide; only those sums are made long.
     Periods without a non-zero cell give no row.
     """
-    periods = {name: without_suffix(name, suffix) for name in cols}
+    periods = {name: name.removesuffix(suffix) for name in cols}
     if len(set(periods.values())) < len(periods):
         raise ValueError("two columns stand for the same period")
-    category = F.coalesce(F.col(id_col), F.lit(default)).alias("category")
-    sums = []
-    for name, period in periods.items():
-        cell = F.when(F.col(name) != 0, whole(F.col(name)))
-        sums.append(F.sum(cell).alias(period))
-    wide = df.groupBy(category).agg(*sums)
-    long = wide.unpivot("category", list(periods.values()), "period", "total")
-    return long.where(F.col("total") > min_total).orderBy(F.col("category").desc(), "period")
+    wide = df.select(F.coalesce(id_col, F.lit(default)).alias("category"), *cols)
+    sums = [f"sum(if(`{name}` <> 0, {whole(f'`{name}`')}, null)) as `{period}`" for name, period in periods.items()]
+    long = aggregated(wide, ["category"], sums).unpivot("category", list(periods.values()), "period", "total")
+    return long.where(F.col("total") > min_total).orderBy("category", "period", ascending=[False, True])
 
 
-def envelope_rows(raw: DataFrame, field: str = "data_list", keep: Sequence[str] = ()) -> DataFrame:
-    """One row per record of the array held by each envelope."""
-    records = raw.select(*keep, F.explode(field).alias("record"))
-    return records.select(*keep, "record.*")
-
-
-def parsed_envelopes(df: DataFrame, text: str | Column, record: T.StructType, field: str = "data_list") -> DataFrame:
-    """Envelope texts parsed in place of the text column's row."""
+def parsed_envelopes(df: DataFrame, text: str, record: T.StructType, field: str = "data_list") -> DataFrame:
+    """Adds the record array of envelope texts under the envelope's field name."""
     envelope = T.StructType([T.StructField(field, T.ArrayType(record))])
     return df.withColumn(field, F.from_json(text, envelope)[field])
+
+
+def envelope_rows(raw: DataFrame, field: str = "data_list", keep: Sequence[str] = ()) -> DataFrame:
+    """One row per record of the array held by each envelope."""
+    return raw.selectExpr(*keep, f"inline({field})")

@@ -12,45 +12,47 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import month_key, month_text
-from ..functions.money import merged_sums, partial_sums, settled
-from ..functions.scope import channel
-from ..schema import COUNTS, MEASURES
+from ..functions.dates import MONTH_TEXT, month_key
+from ..functions.money import merged_sums, partial_sums, settled, settled_as
+from ..functions.scope import CHANNEL
+from ..schema import MEASURES
+
+
+def aggregated(df: DataFrame, by: Sequence[str], aggregates: Sequence[str]) -> DataFrame:
+    """``groupBy`` and ``agg`` with aggregates written as SQL text."""
+    return df.groupBy(*by).agg(*[F.expr(text) for text in aggregates])
 
 
 def group_totals(df: DataFrame, by: Sequence[str], measures: Sequence[str] = MEASURES) -> DataFrame:
     """Sums of the measures per group; money comes out as double currency."""
-    sums = df.groupBy(*by).agg(*partial_sums(measures))
-    return sums.select(*by, *[settled(name) for name in measures])
+    return aggregated(df, by, partial_sums(measures)).selectExpr(*by, *settled_as(measures))
+
+
+def month_totals(df: DataFrame, by: Sequence[str], measures: Sequence[str] = MEASURES) -> DataFrame:
+    """Sums of the measures per month and further columns, the month as text."""
+    sums = aggregated(df, ["perf_month", *by], partial_sums(measures))
+    return sums.selectExpr(MONTH_TEXT, *by, *settled_as(measures))
 
 
 def channel_month_totals(df: DataFrame) -> DataFrame:
     """Spend and ad revenue per month and channel, in that order."""
-    rows = df.withColumn("channel", channel())
-    totals = group_totals(rows, ["perf_month", "channel"], ("spend", "ad_revenue"))
-    return totals.orderBy("perf_month", "channel").select(
-        "channel", month_text("perf_month").alias("perf_month"), "spend", "ad_revenue"
-    )
+    rows = df.selectExpr("perf_month", f"{CHANNEL} as channel", "spend", "ad_revenue")
+    return month_totals(rows, ["channel"], ("spend", "ad_revenue")).orderBy("perf_month", "channel")
 
 
 def type_month_totals(df: DataFrame) -> DataFrame:
     """Spend and ad revenue per month and raw ad type, in that order."""
-    totals = group_totals(df, ["perf_month", "ad_type"], ("spend", "ad_revenue"))
-    return totals.orderBy("perf_month", "ad_type").select(
-        "ad_type", month_text("perf_month").alias("perf_month"), "spend", "ad_revenue"
-    )
+    return month_totals(df, ["ad_type"], ("spend", "ad_revenue")).orderBy("perf_month", "ad_type")
 
 
 def scope_total(df: DataFrame) -> DataFrame:
     """One line of measure sums per month; no line for a month without rows."""
-    totals = group_totals(df, ["perf_month"])
-    return totals.withColumn("perf_month", month_text("perf_month"))
+    return month_totals(df, [])
 
 
 def owner_breakdown(df: DataFrame) -> DataFrame:
     """One line of measure sums per month and owner."""
-    totals = group_totals(df, ["perf_month", "owner"])
-    return totals.withColumn("perf_month", month_text("perf_month"))
+    return month_totals(df, ["owner"])
 
 
 def lines_with_totals(df: DataFrame) -> DataFrame:
@@ -59,17 +61,18 @@ def lines_with_totals(df: DataFrame) -> DataFrame:
     Owners are summed first and the grouping sets run over those few sums, so
     the facts are not doubled by the second grouping.
     """
-    owners = df.groupBy("perf_month", "owner").agg(*partial_sums(MEASURES))
+    owners = aggregated(df, ["perf_month", "owner"], partial_sums(MEASURES))
     month, owner = F.col("perf_month"), F.col("owner")
+    merged = [F.expr(text) for text in merged_sums(MEASURES)]
     lines = owners.groupingSets([[month], [month, owner]], month, owner).agg(
-        F.grouping("owner").cast("int").alias("is_total"), *merged_sums(MEASURES)
+        F.expr("cast(grouping(owner) as int) as is_total"), *merged
     )
-    return lines.select("perf_month", "owner", "is_total", *[settled(name) for name in MEASURES])
+    return lines.selectExpr("perf_month", "owner", "is_total", *settled_as(MEASURES))
 
 
 def latest_month(df: DataFrame) -> DataFrame:
     """Newest month as ``YYYYMM``."""
-    return df.agg(F.max("perf_month").alias("perf_month")).select(month_key("perf_month").alias("latest_month"))
+    return df.selectExpr("max(perf_month) as perf_month").selectExpr(f"{month_key('perf_month')} as latest_month")
 
 
 def newest_month_rows(df: DataFrame) -> DataFrame:
@@ -79,18 +82,18 @@ def newest_month_rows(df: DataFrame) -> DataFrame:
 
 def month_list(df: DataFrame, newest_first: bool = True) -> DataFrame:
     """Months that have rows."""
-    order = F.col("perf_month").desc() if newest_first else F.col("perf_month")
-    months = df.select("perf_month").distinct().orderBy(order)
-    return months.select(month_text("perf_month").alias("perf_month"))
+    months = df.select("perf_month").distinct().selectExpr(MONTH_TEXT)
+    return months.orderBy("perf_month", ascending=not newest_first)
 
 
 def distinct_accounts(df: DataFrame, column: str = "account") -> DataFrame:
     """Exact number of different values, NULL not counted."""
-    return df.agg(F.count_distinct(F.col(column)).alias("accounts"))
+    return df.agg(F.count_distinct(column).alias("accounts"))
 
 
 def global_sums(df: DataFrame, measures: Sequence[str] = MEASURES) -> DataFrame:
     """Sum of each measure over the whole frame, one row per measure."""
-    sums = df.agg(*partial_sums(measures)).select(*[settled(name) for name in measures])
-    sums = sums.withColumns({name: F.col(name).cast("double") for name in measures if name in COUNTS})
-    return sums.unpivot([], list(measures), "measure", "total")
+    sums = df.selectExpr(*partial_sums(measures))
+    return sums.selectExpr(*[f"cast({settled(n)} as double) as {n}" for n in measures]).unpivot(
+        [], list(measures), "measure", "total"
+    )

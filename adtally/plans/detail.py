@@ -6,36 +6,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import metrics
-from ..functions.dates import month_text
-from ..functions.money import partial_sums, settled
+from ..functions.dates import MONTH_TEXT
+from ..functions.money import in_currency, partial_sums, settled_as
 from ..functions.scope import in_scope
 from ..operators.ordered import indexed
-from ..schema import CPC_CUTOVER, MEASURES, TOTAL_LABEL
-from ..sources.fact import in_currency
+from ..schema import CPC_CUTOVER, MEASURES, MONEY, OPTIONAL_MONEY, TOTAL_LABEL
 
-COLUMNS = (
+_COLUMNS = (
     "ad_type",
     "account",
-    "perf_month",
+    MONTH_TEXT,
     "spend",
-    "acos",
+    metrics.ACOS,
     "ad_revenue",
     "store_revenue",
-    "spend_share",
+    metrics.SPEND_SHARE,
     "store_profit",
     "non_ad_profit",
     "ad_profit",
-    "ad_profit_share",
-    "ad_revenue_share",
+    metrics.AD_PROFIT_SHARE,
+    metrics.AD_REVENUE_SHARE,
     "ad_orders",
     "clicks",
     "owner",
 )
-# Carried by fact tables that know it, behind the other columns.
-OPTIONAL = ("gross_margin_delta",)
 
 
 def line_order() -> list[Column]:
+    """Total line first, then rows by account."""
     return [F.col("is_total").desc(), F.col("account"), F.col("perf_month"), F.col("ad_type")]
 
 
@@ -46,28 +44,31 @@ def detail_lines(
     owner: str | None = None,
     cutover: str = CPC_CUTOVER,
     account: str | None = None,
+    ratios: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Unordered detail with the ``is_total`` mark.
+    """Unordered detail with the ``is_total`` mark and further ratios if asked for.
 
     The total line has no account and stands even when no row matches.
     """
     scoped = df.where(in_scope(ad_type, ym, owner, account, cutover))
-    extra = [name for name in OPTIONAL if name in df.columns]
-    rows = in_currency(scoped).withColumn("is_total", F.lit(0))
-    total = (
-        scoped.agg(F.min("perf_month").alias("perf_month"), F.min("owner").alias("owner"), *partial_sums(MEASURES))
-        .select("perf_month", "owner", *[settled(name) for name in MEASURES])
-        .withColumns({"ad_type": F.lit(TOTAL_LABEL), "is_total": F.lit(1)})
+    optional = [name for name in OPTIONAL_MONEY if name in df.columns]
+    carried = ["ad_type", "account", "perf_month", "owner"]
+    amounts = [f"{in_currency(n)} as {n}" if n in MONEY else n for n in MEASURES]
+    rows = scoped.selectExpr(
+        *carried, *amounts, *[f"{in_currency(n)} as {n}" for n in optional], "0 as is_total"
     )
-    lines = rows.unionByName(total, allowMissingColumns=True)
-    return lines.withColumn("perf_month", month_text("perf_month")).withColumns(
-        {
-            "acos": metrics.acos(),
-            "spend_share": metrics.spend_share(),
-            "ad_profit_share": metrics.ad_profit_share(),
-            "ad_revenue_share": metrics.ad_revenue_share(),
-        }
-    ).select(*COLUMNS, *extra, "is_total")
+    total = scoped.selectExpr(
+        "min(perf_month) as perf_month", "min(owner) as owner", *partial_sums(MEASURES)
+    ).selectExpr(
+        f"'{TOTAL_LABEL}' as ad_type",
+        "cast(null as string) as account",
+        "perf_month",
+        "owner",
+        *settled_as(MEASURES),
+        *[f"cast(null as double) as {n}" for n in optional],
+        "1 as is_total",
+    )
+    return rows.unionByName(total).selectExpr(*_COLUMNS, *optional, *ratios, "is_total")
 
 
 def detail(df: DataFrame, ad_type: str, ym: str, owner: str, cutover: str = CPC_CUTOVER) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.dates import in_month, month_text
 from ..sources.fact import in_currency
@@ -15,7 +16,7 @@ LONG_NAMES = {"实际总毛利对比(正值为毛利增加)": "gross_margin_delt
 def month_extract(df: DataFrame, ym: str) -> DataFrame:
     """All columns of a month's rows; the month as text, money in currency, the long name shortened."""
     rows = in_currency(df.where(in_month("perf_month", ym)).withColumnsRenamed(LONG_NAMES))
-    return rows.withColumn("perf_month", month_text("perf_month"))
+    return rows.withColumn("perf_month", F.expr(month_text("perf_month")))
 
 
 def write_extract(df: DataFrame, ym: str, folder: str, fmt: str = "csv") -> str:

@@ -9,116 +9,87 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import load_stamp
-from ..functions.money import partial_sums, ratio, round2, settled
+from ..functions.money import partial_sums, ratio, round2, settled_as
+from ..operators.totals import aggregated
 from ..schema import DASHBOARD_CELLS, KPI_NAMES, REPORT_COUNTS, REPORT_MONEY
 
 DEFAULT_KEYS = ("account",)
 _SUMMED = (*REPORT_MONEY.values(), *REPORT_COUNTS.values())
 
-KPI_COLUMNS = (
-    "Revenue",
-    "Spend",
-    "Clicks",
-    "Units_Sold",
-    "Impressions",
-    "ad_orders",
-    "account_Revenue",
-    "Product_Visitors",
-    "Buyers",
-    "Orders",
-    "br_Units_Sold",
-    "Pageviews",
-    "unit_cr",
-    "cpc",
-    "roi",
-    "update_time",
-)
-
-
-def report_sums(reports: DataFrame, keys: Sequence[str] = DEFAULT_KEYS) -> DataFrame:
-    """Sums of the ad columns per site, with its number of bad cells."""
-    bad = F.sum("bad_cells") if "bad_cells" in reports.columns else F.sum(F.lit(0))
-    sums = reports.groupBy(*keys).agg(*partial_sums(_SUMMED), bad.alias("bad_report"))
-    return sums.select(*keys, *[settled(name) for name in _SUMMED], "bad_report", F.lit(True).alias("has_report"))
-
-
-def _dashboards(dashboards: DataFrame, keys: Sequence[str]) -> DataFrame:
-    bad = F.col("bad_cells") if "bad_cells" in dashboards.columns else F.lit(0)
-    return dashboards.select(
-        *keys, *DASHBOARD_CELLS, F.lit(True).alias("has_dashboard"), bad.alias("bad_dashboard")
-    )
 
+def report_sums(
+    reports: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, placement: str | None = None
+) -> DataFrame:
+    """Sums of the ad columns per site, of all placements or one, and the site's number of bad cells.
 
-def _usable(name: str) -> Column:
-    return F.coalesce(F.col(name), F.lit(0)) == 0
+    A bad cell in any placement counts.  Sites without the placement give no row.
+    """
+    bad = "sum(bad_cells)" if "bad_cells" in reports.columns else "0L"
+    if placement is None:
+        sums = aggregated(reports, keys, [*partial_sums(_SUMMED), f"{bad} as bad_report"])
+    else:
+        rows = reports.withColumn("placed", F.col("placement") == placement)
+        aggregates = [*partial_sums(_SUMMED, "placed"), f"{bad} as bad_report", "bool_or(placed) as placed"]
+        sums = aggregated(rows, keys, aggregates).where("placed")
+    return sums.selectExpr(*keys, *settled_as(_SUMMED), "bad_report", "true as has_report")
 
 
-def _kpis(sums: DataFrame, dashboards: DataFrame, keys: Sequence[str], load_date: Column | None) -> DataFrame:
-    sites = sums.where(_usable("bad_report")).join(
-        _dashboards(dashboards, keys).where(_usable("bad_dashboard")), list(keys)
-    )
-    sites = renamed_kpis(sites)
-    # Revenue is rounded before the ratios are taken, spend is not.
-    sites = sites.withColumns(
-        {
-            "Revenue": round2(F.col("Revenue")),
-            "account_Revenue": round2(F.col("account_Revenue")),
-        }
-    )
-    sites = sites.withColumns(
-        {
-            "unit_cr": round2(ratio(F.col("Units_Sold"), F.col("Clicks"))),
-            "cpc": round2(ratio(F.col("Spend"), F.col("Clicks"))),
-            "roi": round2(ratio(F.col("Revenue"), F.col("Spend"))),
-            "update_time": load_stamp(load_date),
-        }
-    )
-    return sites.select(*keys, *KPI_COLUMNS)
+def _dashboards(dashboards: DataFrame, keys: Sequence[str]) -> DataFrame:
+    bad = "bad_cells" if "bad_cells" in dashboards.columns else "0"
+    return dashboards.selectExpr(*keys, *DASHBOARD_CELLS, f"{bad} as bad_dashboard", "true as has_dashboard")
 
 
 def renamed_kpis(df: DataFrame) -> DataFrame:
     """KPI table names in place of the report and dashboard names."""
-    return df.select(*[F.col(name).alias(KPI_NAMES.get(name, name)) for name in df.columns])
+    return df.withColumnsRenamed(KPI_NAMES)
 
 
 def site_kpis(
     reports: DataFrame,
     dashboards: DataFrame,
-    load_date: Column | None = None,
+    load_date: str = "current_date()",
     keys: Sequence[str] = DEFAULT_KEYS,
+    placement: str | None = None,
 ) -> DataFrame:
-    """KPI row of every site that has a readable report and a readable dashboard."""
-    return _kpis(report_sums(reports, keys), dashboards, keys, load_date)
+    """KPI row of every site that has a readable report and a readable dashboard.
+
+    Revenue is rounded before the ratios are taken, spend is not.  ``load_date``
+    is SQL text.
+    """
+    sums = report_sums(reports, keys, placement).where("bad_report = 0")
+    boards = _dashboards(dashboards, keys).where("bad_dashboard = 0")
+    sites = renamed_kpis(sums.join(boards, list(keys)))
+    rounded = {name: F.expr(round2(name)) for name in ("Revenue", "account_Revenue")}
+    return sites.withColumns(rounded).selectExpr(
+        *keys,
+        *KPI_NAMES.values(),
+        f"{round2(ratio('Units_Sold', 'Clicks'))} as unit_cr",
+        f"{round2(ratio('Spend', 'Clicks'))} as cpc",
+        f"{round2(ratio('Revenue', 'Spend'))} as roi",
+        f"{load_stamp(load_date)} as update_time",
+    )
 
 
 def placement_kpis(
     reports: DataFrame,
     dashboards: DataFrame,
     placement: str,
-    load_date: Column | None = None,
+    load_date: str = "current_date()",
     keys: Sequence[str] = DEFAULT_KEYS,
 ) -> DataFrame:
-    """KPI rows of the ads of one placement; a bad cell in any placement still rejects the site."""
-    ours = F.col("placement") == placement
-    bad = F.col("bad_cells") if "bad_cells" in reports.columns else F.lit(0)
-    sums = reports.groupBy(*keys).agg(
-        *partial_sums(_SUMMED, ours), F.bool_or(ours).alias("placed"), F.sum(bad).alias("bad_report")
-    )
-    sums = sums.where("placed").select(*keys, *[settled(name) for name in _SUMMED], "bad_report")
-    return _kpis(sums, dashboards, keys, load_date)
+    """KPI rows of the ads of one placement."""
+    return site_kpis(reports, dashboards, load_date, keys, placement)
 
 
 def rejects(reports: DataFrame, dashboards: DataFrame, keys: Sequence[str] = DEFAULT_KEYS) -> DataFrame:
     """Sites left out of the KPI table and why."""
     sites = report_sums(reports, keys).join(_dashboards(dashboards, keys), list(keys), "full_outer")
-    reason = (
-        F.when(F.col("has_report").isNull(), "no ad report")
-        .when(F.col("has_dashboard").isNull(), "no dashboard")
-        .when(~_usable("bad_report"), "bad value in ad report")
-        .when(~_usable("bad_dashboard"), "bad value in dashboard")
-    )
-    return sites.select(*keys, reason.alias("reason")).where(F.col("reason").isNotNull())
+    reason = """case when has_report is null then 'no ad report'
+        when has_dashboard is null then 'no dashboard'
+        when bad_report > 0 then 'bad value in ad report'
+        when bad_dashboard > 0 then 'bad value in dashboard' end"""
+    return sites.selectExpr(*keys, f"{reason} as reason").where("reason is not null")

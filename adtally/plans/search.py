@@ -30,10 +30,7 @@ def search_detail_lines(
     df: DataFrame, ad_type: str, ym: str | None, owner: str, account: str | None = None
 ) -> DataFrame:
     """Detail with the click ratios of each row and of the total."""
-    lines = detail.detail_lines(df, ad_type, ym, owner, NEVER, account)
-    return lines.withColumns(
-        {"cpc": metrics.cost_per_click(), "roi": metrics.return_on_spend(), "cr": metrics.conversion_rate()}
-    )
+    return detail.detail_lines(df, ad_type, ym, owner, NEVER, account, metrics.CLICK_RATIOS)
 
 
 def search_detail(df: DataFrame, ad_type: str, ym: str, owner: str, account: str | None = None) -> DataFrame:

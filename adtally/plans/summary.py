@@ -6,29 +6,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import metrics
-from ..functions.dates import month_text
+from ..functions.dates import MONTH_TEXT
 from ..functions.scope import in_scope
 from ..operators.ordered import indexed_within
 from ..operators.totals import lines_with_totals
 from ..schema import CPC_CUTOVER, TOTAL_LABEL, TOTAL_OWNER
 
-COLUMNS = (
-    "ad_type",
-    "perf_month",
+_COLUMNS = (
+    MONTH_TEXT,
     "spend",
-    "acos",
+    metrics.ACOS,
     "ad_revenue",
     "store_revenue",
-    "spend_share",
-    "ad_revenue_share",
+    metrics.SPEND_SHARE,
+    metrics.AD_REVENUE_SHARE,
     "store_profit",
     "non_ad_profit",
     "ad_profit",
     "clicks",
-    "cpc",
-    "roi",
-    "cr",
-    "owner",
+    *metrics.CLICK_RATIOS,
+    f"if(is_total = 1, '{TOTAL_OWNER}', owner) as owner",
+    "is_total",
 )
 
 
@@ -46,34 +44,16 @@ def summary_lines(
 ) -> DataFrame:
     """Unordered summary with the ``is_total`` mark; every month when none is given."""
     lines = lines_with_totals(df.where(in_scope(ad_type, ym, None, account, cutover)))
-    is_total = F.col("is_total") == 1
-    return lines.select(
-        F.when(is_total, TOTAL_LABEL).otherwise(ad_type).alias("ad_type"),
-        month_text("perf_month").alias("perf_month"),
-        "spend",
-        metrics.acos(),
-        "ad_revenue",
-        "store_revenue",
-        metrics.spend_share(),
-        metrics.ad_revenue_share(),
-        "store_profit",
-        "non_ad_profit",
-        "ad_profit",
-        "clicks",
-        metrics.cost_per_click(),
-        metrics.return_on_spend(),
-        metrics.conversion_rate(),
-        F.when(is_total, TOTAL_OWNER).otherwise(F.col("owner")).alias("owner"),
-        "is_total",
-    )
+    label = F.when(F.col("is_total") == 1, TOTAL_LABEL).otherwise(ad_type).alias("ad_type")
+    return lines.select(label, *[F.expr(text) for text in _COLUMNS])
 
 
 def summary(df: DataFrame, ad_type: str, ym: str | None = None, cutover: str = CPC_CUTOVER) -> DataFrame:
     """Total line and owner lines in report order."""
-    return summary_lines(df, ad_type, ym, cutover).orderBy(*line_order()).select(*COLUMNS)
+    return summary_lines(df, ad_type, ym, cutover).orderBy(*line_order()).drop("is_total")
 
 
 def indexed_summary(df: DataFrame, ad_type: str, ym: str | None = None, cutover: str = CPC_CUTOVER) -> DataFrame:
     """Summary with the line number of its month's report; the total line is 0."""
     lines = summary_lines(df, ad_type, ym, cutover)
-    return indexed_within(lines, ["perf_month"], line_order()).orderBy("perf_month", "idx").select("idx", *COLUMNS)
+    return indexed_within(lines, ["perf_month"], line_order()).orderBy("perf_month", "idx").drop("is_total")

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..functions.dates import month_text
+from ..functions.dates import MONTH_TEXT
 from ..functions.money import partial_sums, ratio, round2, settled, whole
-from ..functions.scope import channel
+from ..functions.scope import CHANNEL
+from ..operators.totals import aggregated
 from ..schema import AFFILIATE, CPC
 
 _SERIES = {"cpc": CPC, "affiliate": AFFILIATE}
@@ -21,26 +21,14 @@ def monthly_trend(df: DataFrame, shown: bool = False) -> DataFrame:
     values of its own there and counts as nothing in the total.  ``shown``
     rounds the ROIs to two places.
     """
-    rows = df.withColumn("channel", channel())
-    sums = []
+    sums, cut = [], []
     for series, code in _SERIES.items():
-        sums += partial_sums(_PAIR, F.col("channel") == code, f"{series}_")
-    months = rows.groupBy("perf_month").agg(*sums)
-    settled_sums = [
-        whole(_settled(series, name)).alias(f"{series}_{name}") for series in _SERIES for name in _PAIR
-    ]
-    months = months.select("perf_month", *settled_sums)
-    totals = {
-        f"total_{name}": sum(F.coalesce(F.col(f"{series}_{name}"), F.lit(0)) for series in _SERIES) for name in _PAIR
-    }
-    months = months.withColumns(totals)
+        sums += partial_sums(_PAIR, f"{CHANNEL} = '{code}'", f"{series}_")
+        cut += [f"{whole(settled(name, f'{series}_'))} as {series}_{name}" for name in _PAIR]
+    totals = [f"{' + '.join(f'coalesce({s}_{name}, 0)' for s in _SERIES)} as total_{name}" for name in _PAIR]
+    months = aggregated(df, ["perf_month"], sums).selectExpr(MONTH_TEXT, *cut).selectExpr("*", *totals)
     rois = []
     for series in ("total", *_SERIES):
-        roi = ratio(F.col(f"{series}_ad_revenue"), F.col(f"{series}_spend"))
-        rois.append((round2(roi) if shown else roi).alias(f"{series}_roi"))
-    names = [f"{series}_{name}" for series in ("total", *_SERIES) for name in _PAIR]
-    return months.orderBy("perf_month").select(month_text("perf_month").alias("perf_month"), *names, *rois)
-
-
-def _settled(series: str, name: str):
-    return settled(name, f"{series}_")
+        roi = ratio(f"{series}_ad_revenue", f"{series}_spend")
+        rois.append(f"{round2(roi) if shown else roi} as {series}_roi")
+    return months.selectExpr("*", *rois).orderBy("perf_month")

@@ -18,6 +18,8 @@ def build_session(app: str = "adtally", master: str | None = None, **conf: str)
     settings = {
         "spark.ui.enabled": "false",
         "spark.sql.session.timeZone": "UTC",
+        # Call-site capture costs more than building the plan itself.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",

@@ -3,39 +3,38 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.money import as_double, to_units
+from ..functions import money
 from ..schema import COUNTS, FACT, MONEY, OPTIONAL_MONEY, SOURCE_AD_TYPES, SOURCE_COLUMNS
 
 
 def from_source(df: DataFrame, account_column: str) -> DataFrame:
     """A table with the source system's names, types and codes as a fact frame."""
-    present = {old: new for old, new in SOURCE_COLUMNS.items() if old in df.columns}
-    return normalised(df.withColumnsRenamed({**present, account_column: "account"}))
+    return normalised(df.withColumnsRenamed({**SOURCE_COLUMNS, account_column: "account"}))
 
 
 def normalised(df: DataFrame) -> DataFrame:
     """Currency amounts to fixed-point, months to their first day, ad types to codes."""
-    ad_type = F.col("ad_type")
-    for name, code in SOURCE_AD_TYPES.items():
-        ad_type = F.when(F.col("ad_type") == name, code).otherwise(ad_type)
-    money = [name for name in MONEY + OPTIONAL_MONEY if name in df.columns]
-    return df.select(
-        ad_type.alias("ad_type"),
+    codes = " ".join(f"when '{name}' then '{code}'" for name, code in SOURCE_AD_TYPES.items())
+    return df.selectExpr(
+        f"case ad_type {codes} else ad_type end as ad_type",
         "account",
-        F.trunc("perf_month", "month").alias("perf_month"),
+        "trunc(perf_month, 'month') as perf_month",
         "owner",
-        *[to_units(F.col(name)).alias(name) for name in money],
-        *[F.col(name).cast("bigint").alias(name) for name in COUNTS],
+        *[f"{money.to_units(name)} as {name}" for name in _money(df)],
+        *[f"cast({name} as bigint) as {name}" for name in COUNTS],
     )
 
 
 def in_currency(df: DataFrame) -> DataFrame:
     """Fact rows with money as double currency."""
-    money = [name for name in MONEY + OPTIONAL_MONEY if name in df.columns]
-    return df.withColumns({name: as_double(F.col(name)) for name in money})
+    amounts = _money(df)
+    return df.selectExpr(*[f"{money.in_currency(n)} as {n}" if n in amounts else f"`{n}`" for n in df.columns])
+
+
+def _money(df: DataFrame) -> list[str]:
+    return [name for name in MONEY + OPTIONAL_MONEY if name in df.columns]
 
 
 def checked(df: DataFrame) -> DataFrame:

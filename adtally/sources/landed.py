@@ -6,12 +6,12 @@ dashboard is a CSV without header whose name holds ``Dashboard``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.casts import cast_cells
-from ..functions.money import as_double
+from ..functions.money import in_currency
 from ..functions.text import is_uploaded_site
 from ..operators.distinct import last_per_key
 from ..schema import DASHBOARD_CELLS, DASHBOARD_ROW, REPORT_COUNTS, REPORT_MONEY
@@ -28,34 +28,29 @@ DASHBOARD = "dashboard"
 _SITE = r"/([^/]+)/(\1[^/]{3})/"
 
 
-def file_kind(name: Column) -> Column:
+def file_kind(name: str) -> str:
     """Kind of a file by its name; NULL for files that are not read."""
-    return (
-        F.when(name.contains(TEMP_MARK), F.lit(None).cast("string"))
-        .when(name.contains(DASHBOARD_MARK), DASHBOARD)
-        .when(name.contains(REPORT_MARK), AD_REPORT)
-    )
+    return f"""case when contains({name}, '{TEMP_MARK}') then null
+        when contains({name}, '{DASHBOARD_MARK}') then '{DASHBOARD}'
+        when contains({name}, '{REPORT_MARK}') then '{AD_REPORT}' end"""
 
 
-def site_of(path: Column) -> Column:
-    return F.nullif(F.regexp_extract(path, _SITE, 2), F.lit(""))
+def site_of(path: str) -> str:
+    """Site in a path, NULL where no folder lies in its shop's folder."""
+    return f"nullif(regexp_extract({path}, r'{_SITE}', 2), '')"
 
 
-def _path() -> Column:
-    # File paths come as URIs; a plus sign in them is not an encoded space.
-    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+# File paths come as URIs; a plus sign in them is not an encoded space.
+_PATH = "url_decode(replace(_metadata.file_path, '+', '%2B'))"
 
 
-def _described(df: DataFrame) -> DataFrame:
-    """Adds site, kind, path and time of the file; drops files of no kind or of other sites."""
-    rows = df.withColumns({"file": _path(), "modified": F.col("_metadata.file_modification_time")})
-    rows = rows.withColumns(
-        {
-            "account": site_of(F.col("file")),
-            "kind": file_kind(F.substring_index("file", "/", -1)),
-        }
+def _described(df: DataFrame, kind: str | None = None) -> DataFrame:
+    """Adds site, kind, path and time of the file; keeps files of upload sites, of one kind or of any."""
+    rows = df.selectExpr("*", f"{_PATH} as file", "_metadata.file_modification_time as modified")
+    rows = rows.selectExpr(
+        "*", f"{site_of('file')} as account", f"{file_kind("substring_index(file, '/', -1)")} as kind"
     )
-    return rows.where(F.col("kind").isNotNull() & is_uploaded_site(F.col("account")))
+    return rows.where(is_uploaded_site("account")).where(f"kind = '{kind}'" if kind else "kind is not null")
 
 
 def route_files(spark: SparkSession, root: str) -> DataFrame:
@@ -78,15 +73,16 @@ def read_ad_reports(spark: SparkSession, root: str) -> DataFrame:
         .option("pathGlobFilter", f"*{REPORT_MARK}*")
         .csv(root)
     )
-    rows = _described(cells).where(F.col("kind") == AD_REPORT)
-    texts = {
-        name: F.try_variant_get("cells", f"$['{name}']", "string")
-        for name in ("Placement", *REPORT_MONEY, *REPORT_COUNTS)
-    }
-    rows = _newest(spark, root, rows).withColumns(texts).withColumn("placement", F.col("Placement"))
+    texts = [f"{_cell(name)} as `{name}`" for name in (*REPORT_MONEY, *REPORT_COUNTS)]
+    rows = _newest(spark, root, _described(cells, AD_REPORT))
+    rows = rows.selectExpr("account", f"{_cell('Placement')} as placement", *texts)
     return cast_cells(rows, REPORT_MONEY, REPORT_COUNTS, keep=("account", "placement"))
 
 
+def _cell(header: str) -> str:
+    return f"""try_variant_get(cells, "$['{header}']", 'string')"""
+
+
 def read_dashboards(spark: SparkSession, root: str) -> DataFrame:
     """The data row of the newest dashboard of each site, cells taken by position, bad cells counted.
 
@@ -98,15 +94,15 @@ def read_dashboards(spark: SparkSession, root: str) -> DataFrame:
         .option("pathGlobFilter", f"*{DASHBOARD_MARK}*")
         .text(root)
     )
-    rows = _newest(spark, root, _described(sheets).where(F.col("kind") == DASHBOARD))
-    line = F.get(F.split("value", r"\r?\n"), F.lit(DASHBOARD_ROW))
     cells = ", ".join(f"text_{name} string" for name in DASHBOARD_CELLS)
-    rows = rows.withColumn("cells", F.from_csv(line, cells)).select("account", "cells.*")
+    line = f"get(split(value, r'\r?\n'), {DASHBOARD_ROW})"
+    rows = _newest(spark, root, _described(sheets, DASHBOARD))
+    rows = rows.selectExpr("account", f"from_csv({line}, '{cells}') as cells").select("account", "cells.*")
     revenue, *counts = DASHBOARD_CELLS
     typed = cast_cells(
         rows, {f"text_{revenue}": revenue}, {f"text_{name}": name for name in counts}, keep=("account",)
     )
-    return typed.withColumn(revenue, as_double(F.col(revenue)))
+    return typed.withColumn(revenue, F.expr(in_currency(revenue)))
 
 
 def _newest(spark: SparkSession, root: str, rows: DataFrame) -> DataFrame:

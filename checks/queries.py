@@ -13,9 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from adtally.functions import dates, metrics, scope, text
+from adtally.functions import dates, metrics, money, scope, text
 from adtally.functions.casts import cast_cells
-from adtally.functions.money import as_double
 from adtally.operators import distinct, display, ordered, reshape, totals
 from adtally.operators.upsert import upsert
 from adtally.plans import detail, extract, ingest, search, summary, trend
@@ -38,7 +37,7 @@ YM = "199803"
 YM_BEFORE = "199802"
 CUTOVER = "199801"
 OWNER = "NATION_0"
-LOAD_DATE = "1998-04-05"
+LOAD_DATE = "date'1998-04-05'"
 SITE_KEYS = ["perf_month", "account"]
 DEEP_OFFSET = 20_000
 
@@ -52,7 +51,7 @@ def query(run: Query) -> Query:
 
 
 def shown_month(df: DataFrame) -> DataFrame:
-    return df.withColumn("perf_month", dates.month_text("perf_month"))
+    return df.withColumn("perf_month", F.expr(dates.month_text("perf_month")))
 
 
 # Sources, projections and filters.
@@ -107,40 +106,36 @@ def scope_router(spark, root):
 
 @query
 def channel_bucket(spark, root):
-    rows = ad_base(spark, root, ["ad_type", "clicks"])
-    return rows.groupBy(scope.channel()).agg(F.count("*").alias("n"), F.sum("clicks").alias("clicks"))
+    rows = ad_base(spark, root, ["ad_type", "clicks"]).selectExpr(f"{scope.CHANNEL} as channel", "clicks")
+    return rows.groupBy("channel").agg(F.count("*").alias("n"), F.sum("clicks").alias("clicks"))
 
 
 @query
 def site_filter(spark, root):
-    mark = F.element_at(F.array(*map(F.lit, ("-TH", "-ph", "-My", "-sg"))), (F.col("c_custkey") % 4 + 1).cast("int"))
-    sites = table(spark, root, "customer").select("c_custkey", F.concat("c_name", mark).alias("site"))
-    return sites.where(text.is_uploaded_site(F.col("site")))
+    mark = "case c_custkey % 4 when 0 then '-TH' when 1 then '-ph' when 2 then '-My' else '-sg' end"
+    sites = table(spark, root, "customer").selectExpr("c_custkey", f"concat(c_name, {mark}) as site")
+    return sites.where(text.is_uploaded_site("site"))
 
 
 @query
 def site_shop_key(spark, root):
     rows = ad_base(spark, root, ["account", "clicks"])
     sites = rows.groupBy("account").agg(F.sum("clicks").alias("clicks"))
-    return sites.select("account", text.shop_of_site(F.col("account")).alias("shop"), "clicks")
+    return sites.selectExpr("account", f"{text.shop_of_site('account')} as shop", "clicks")
 
 
 @query
 def cast_with_rejects(spark, root):
-    cell = F.replace("source", F.lit("src1"), F.lit(""))
-    cells = table(spark, root, "documents").select("source", cell.alias("cell"))
+    cells = table(spark, root, "documents").selectExpr("source", "replace(source, 'src1', '') as cell")
     typed = cast_cells(cells, {"cell": "amount"}, {"cell": "number"}, keep=("source",))
-    return typed.groupBy("source").agg(
-        as_double(F.sum("amount")).alias("amount"),
-        F.sum("number").alias("number"),
-        F.sum("bad_cells").cast("bigint").alias("bad_cells"),
-    )
+    sums = ["sum(amount) as amount", "sum(number) as number", "sum(bad_cells) as bad_cells"]
+    return totals.aggregated(typed, ["source"], sums).withColumn("amount", F.expr(money.in_currency("amount")))
 
 
 @query
 def json_envelope_rows(spark, root):
-    envelope = F.concat(F.lit('{"data_list":['), F.col("props"), F.lit("]}"))
-    events = table(spark, root, "events").select("event_id", envelope.alias("reply"))
+    envelope = """concat('{"data_list":[', props, ']}') as reply"""
+    events = table(spark, root, "events").selectExpr("event_id", envelope)
     parsed = reshape.parsed_envelopes(events, "reply", T.StructType([T.StructField("k", T.LongType())]))
     return reshape.envelope_rows(parsed, keep=["event_id"])
 
@@ -148,24 +143,17 @@ def json_envelope_rows(spark, root):
 @query
 def json_envelope_campaign(spark, root):
     facts = in_currency(ad_base(spark, root, ["account", "store_revenue", "spend", "clicks", "ad_orders"]))
-    record = F.struct(
-        F.col("account").alias("account_name"),
-        "store_revenue",
-        "spend",
-        "clicks",
-        (F.col("ad_orders") * 2).alias("store_units_sold"),
-        (F.col("clicks") * 20).alias("impression"),
-        F.col("ad_orders").alias("store_orders"),
-    )
-    replies = facts.select(F.to_json(F.struct(F.array(record).alias("data_list"))).alias("reply"))
+    record = """struct(account as account_name, store_revenue, spend, clicks, ad_orders * 2 as store_units_sold,
+        clicks * 20 as impression, ad_orders as store_orders)"""
+    replies = facts.selectExpr(f"to_json(struct(array({record}) as data_list)) as reply")
     return reshape.envelope_rows(reshape.parsed_envelopes(replies, "reply", CAMPAIGN_RECORD))
 
 
 @query
 def json_envelope_store(spark, root):
     board = dashboards(spark, root)
-    record = F.struct(F.col("account").alias("account_name"), *STORE_RECORD.fieldNames()[1:])
-    replies = board.select(F.to_json(F.struct(F.array(record).alias("data_list"))).alias("reply"))
+    record = f"struct(account as account_name, {', '.join(STORE_RECORD.fieldNames()[1:])})"
+    replies = board.selectExpr(f"to_json(struct(array({record}) as data_list)) as reply")
     return reshape.envelope_rows(reshape.parsed_envelopes(replies, "reply", STORE_RECORD))
 
 
@@ -233,41 +221,31 @@ def latest_row_per_key(spark, root):
 
 # Metrics, over every month, site and ad type.
 
+SITE_TYPE = ["account", "ad_type"]
+
 
 def site_type_totals(spark, root, measures):
-    by = ["perf_month", "account", "ad_type"]
-    return shown_month(totals.group_totals(ad_base(spark, root, [*by, *measures]), by, measures))
+    facts = ad_base(spark, root, ["perf_month", *SITE_TYPE, *measures])
+    return totals.month_totals(facts, SITE_TYPE, measures)
 
 
 @query
 def metric_acos(spark, root):
-    return site_type_totals(spark, root, ("spend", "ad_revenue")).select(
-        "perf_month", "account", "ad_type", metrics.acos()
-    )
+    rows = site_type_totals(spark, root, ("spend", "ad_revenue"))
+    return rows.selectExpr("perf_month", *SITE_TYPE, metrics.ACOS)
 
 
 @query
 def metric_shares(spark, root):
-    return site_type_totals(spark, root, MONEY).select(
-        "perf_month",
-        "account",
-        "ad_type",
-        metrics.spend_share(),
-        metrics.ad_revenue_share(),
-        metrics.ad_profit_share(),
-    )
+    rows = site_type_totals(spark, root, MONEY)
+    shares = (metrics.SPEND_SHARE, metrics.AD_REVENUE_SHARE, metrics.AD_PROFIT_SHARE)
+    return rows.selectExpr("perf_month", *SITE_TYPE, *shares)
 
 
 @query
 def metric_cpc_roi_cr(spark, root):
-    return site_type_totals(spark, root, ("spend", "ad_revenue", "ad_orders", "clicks")).select(
-        "perf_month",
-        "account",
-        "ad_type",
-        metrics.cost_per_click(),
-        metrics.return_on_spend(),
-        metrics.conversion_rate(),
-    )
+    rows = site_type_totals(spark, root, ("spend", "ad_revenue", "ad_orders", "clicks"))
+    return rows.selectExpr("perf_month", *SITE_TYPE, *metrics.CLICK_RATIOS)
 
 
 # Reports.
@@ -355,11 +333,9 @@ def json_values(spark, root):
 
 @query
 def display_format(spark, root):
-    by = ["perf_month", "account", "ad_type"]
-    rows = site_type_totals(spark, root, ("spend", "ad_revenue", "ad_profit", "ad_orders", "clicks")).withColumns(
-        {"cpc": metrics.cost_per_click(), "roi": metrics.return_on_spend(), "cr": metrics.conversion_rate()}
-    )
-    return display.display_format(rows, [name for name in rows.columns if name not in by])
+    rows = site_type_totals(spark, root, ("spend", "ad_revenue", "ad_profit", "ad_orders", "clicks"))
+    rows = rows.selectExpr("*", *metrics.CLICK_RATIOS)
+    return display.display_format(rows, rows.columns[3:])
 
 
 # Whole-frame order.
@@ -384,7 +360,7 @@ def indexed_rows(spark, root):
 @query
 def adjacent_duplicates(spark, root):
     events = table(spark, root, "events").select("ts", "event_id", "event_type")
-    key = text.prefix_before(F.col("event_type"), "]")
+    key = F.expr(text.prefix_before("event_type", "]"))
     hits = ordered.adjacent_duplicates(events, key, [F.col("ts"), F.col("event_id")], unique=True)
     return hits.select("event_id", "key")
 
@@ -406,34 +382,32 @@ def sample_fraction(spark, root):
 @query
 def unpivot_category_totals(spark, root):
     facts = in_currency(ad_base(spark, root, ["owner", "perf_month", "ad_revenue"]))
-    years = {f"y{year}_sales": F.year("perf_month") == year for year in range(1995, 2002)}
+    years = {f"y{year}_sales": f"if(year(perf_month) = {year}, ad_revenue, null)" for year in range(1995, 2002)}
     # Owners numbered 2x have no category of their own.
-    category = F.when(~F.col("owner").like("NATION\\_2%"), F.col("owner")).alias("category_name")
-    wide = facts.select(category, *[F.when(test, F.col("ad_revenue")).alias(name) for name, test in years.items()])
+    category = r"if(owner like 'NATION\\_2%', null, owner) as category_name"
+    wide = facts.selectExpr(category, *[f"{cell} as {name}" for name, cell in years.items()])
     return reshape.unpivot_totals(wide, "category_name", list(years), 1000, suffix="_sales")
 
 
 @query
 def scalar_strings(spark, root):
-    events = table(spark, root, "events")
-    day = F.col("ts").cast("date")
-    return events.select(
+    events = table(spark, root, "events").selectExpr("*", "cast(ts as date) as day")
+    return events.selectExpr(
         "event_id",
-        text.short_period(day).alias("short_period"),
-        dates.load_stamp(day).alias("load_stamp"),
-        text.prefix_before(F.col("props"), ":").alias("prefix"),
-        text.whole_part(F.col("value").cast("decimal(18,2)").cast("string")).alias("whole_part"),
+        f"{text.short_period('day')} as short_period",
+        f"{dates.load_stamp('day')} as load_stamp",
+        f"{text.prefix_before('props', ':')} as prefix",
+        f"{text.whole_part('cast(cast(value as decimal(18,2)) as string)')} as whole_part",
     )
 
 
 @query
 def scalar_dates(spark, root):
-    orders = table(spark, root, "orders")
-    return orders.select(
+    return table(spark, root, "orders").selectExpr(
         "o_orderkey",
-        dates.month_key("o_orderdate").alias("month_key"),
-        dates.month_text("o_orderdate").alias("month_text"),
-        dates.previous_month_key("o_orderdate").alias("previous_month"),
+        f"{dates.month_key('o_orderdate')} as month_key",
+        f"{dates.month_text('o_orderdate')} as month_text",
+        f"{dates.previous_month_key('o_orderdate')} as previous_month",
     )
 
 
@@ -444,48 +418,43 @@ def reports(spark, root, ad_type=DIRECT, ym=None):
     facts = ad_base(
         spark, root, ["ad_type", "account", "perf_month", "spend", "ad_revenue", "clicks", "ad_orders"], ym
     )
-    placement = F.when(F.col("ad_orders") % 2 == 1, PLACEMENTS[0]).otherwise(PLACEMENTS[1])
-    return facts.where(F.col("ad_type") == ad_type).select(
+    return facts.where(F.col("ad_type") == ad_type).selectExpr(
         "perf_month",
         "account",
-        placement.alias("placement"),
+        f"if(ad_orders % 2 = 1, '{PLACEMENTS[0]}', '{PLACEMENTS[1]}') as placement",
         "spend",
-        F.col("ad_revenue").alias("store_revenue"),
-        (F.col("clicks") * 20).alias("impression"),
+        "ad_revenue as store_revenue",
+        "clicks * 20 as impression",
         "clicks",
-        F.col("ad_orders").alias("store_orders"),
-        (F.col("ad_orders") + F.col("clicks") % 3).alias("store_units_sold"),
+        "ad_orders as store_orders",
+        "ad_orders + clicks % 3 as store_units_sold",
     )
 
 
 def dashboards(spark, root, ym=None):
     facts = ad_base(spark, root, ["account", "perf_month", "store_revenue", "clicks", "ad_orders"], ym)
-    sums = totals.group_totals(facts.withColumn("rows", F.lit(1)), SITE_KEYS, ("store_revenue", "clicks", "ad_orders", "rows"))
-    return sums.select(
+    measures = ("store_revenue", "clicks", "ad_orders", "rows")
+    return totals.group_totals(facts.selectExpr("*", "1 as rows"), SITE_KEYS, measures).selectExpr(
         *SITE_KEYS,
-        F.col("store_revenue").alias("account_revenue"),
-        F.col("clicks").alias("product_visitors"),
-        F.col("rows").alias("buyers"),
-        F.col("ad_orders").alias("orders"),
-        (F.col("clicks") * 3).alias("pageviews"),
-        (F.col("ad_orders") * 2).alias("br_units_sold"),
+        "store_revenue as account_revenue",
+        "clicks as product_visitors",
+        "rows as buyers",
+        "ad_orders as orders",
+        "clicks * 3 as pageviews",
+        "ad_orders * 2 as br_units_sold",
     )
 
 
-def load_date():
-    return F.lit(LOAD_DATE).cast("date")
-
-
 @query
 def ingest_site_kpis(spark, root):
-    kpis = ingest.site_kpis(reports(spark, root), dashboards(spark, root), load_date(), SITE_KEYS)
+    kpis = ingest.site_kpis(reports(spark, root), dashboards(spark, root), LOAD_DATE, SITE_KEYS)
     return shown_month(kpis)
 
 
 @query
 def placement_kpis(spark, root):
     kpis = ingest.placement_kpis(
-        reports(spark, root), dashboards(spark, root), PLACEMENTS[0], load_date(), SITE_KEYS
+        reports(spark, root), dashboards(spark, root), PLACEMENTS[0], LOAD_DATE, SITE_KEYS
     )
     return shown_month(kpis)
 
@@ -504,17 +473,17 @@ def kpi_column_rename(spark, root):
 @query
 def site_month_upsert(spark, root):
     current = ingest.site_kpis(
-        reports(spark, root, ym=YM_BEFORE), dashboards(spark, root, YM_BEFORE).drop("perf_month"), load_date()
+        reports(spark, root, ym=YM_BEFORE), dashboards(spark, root, YM_BEFORE).drop("perf_month"), LOAD_DATE
     )
     arriving = reports(spark, root, ym=YM).where(F.col("account").endswith("-th"))
-    incoming = ingest.site_kpis(arriving, dashboards(spark, root, YM).drop("perf_month"), load_date())
+    incoming = ingest.site_kpis(arriving, dashboards(spark, root, YM).drop("perf_month"), LOAD_DATE)
     return upsert(current, incoming)
 
 
 @query
 def site_upsert_all_months(spark, root):
     board = dashboards(spark, root)
-    current = ingest.site_kpis(reports(spark, root), board, load_date(), SITE_KEYS)
+    current = ingest.site_kpis(reports(spark, root), board, LOAD_DATE, SITE_KEYS)
     arriving = reports(spark, root, RECOMMEND).where(F.col("account").endswith("-th"))
-    incoming = ingest.site_kpis(arriving, board, load_date(), SITE_KEYS)
+    incoming = ingest.site_kpis(arriving, board, LOAD_DATE, SITE_KEYS)
     return shown_month(upsert(current, incoming, SITE_KEYS))

@@ -235,7 +235,7 @@ where lower(site) like '%-th%' or lower(site) like '%-ph%' or lower(site) like '
 from ad_base group by account"""
     ),
     "cast_with_rejects": """with cells as (select source, replace(source, 'src1', '') cell from documents)
-select source, cast(sum(try_cast(nullif(cell, '') as decimal(18,4))) as double) as amount,
+select source, cast(sum(case when cell = '' then 0 else try_cast(cell as decimal(18,4)) end) as double) as amount,
        cast(sum(try_cast(cell as bigint)) as bigint) as number,
        cast(sum(case when cell <> '' and try_cast(cell as double) is null then 1 else 0 end)
             + sum(case when try_cast(cell as bigint) is null then 1 else 0 end) as bigint) as bad_cells
