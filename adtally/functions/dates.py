@@ -27,7 +27,7 @@ def month_key(column: str) -> str:
 
 def month_text(column: str) -> str:
     """``YYYY-MM``."""
-    return f"date_format({column}, 'yyyy-MM')"
+    return f"substring(cast(cast({column} as date) as string), 1, 7)"
 
 
 MONTH_TEXT = f"{month_text('perf_month')} as perf_month"

@@ -8,8 +8,8 @@ Equal rows cannot be told apart, so they travel as one row with a number of
 copies.  A row repeated a billion times therefore never fills a range.
 
 The range number comes from where Spark put the row.  Two runs of the same
-range shuffle may cut differently, so the ranged frame is checkpointed in the
-shared folder before anything refers to a range number.
+range shuffle may cut differently, so the ranged frame is written to the shared
+folder before anything refers to a range number.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import materialised
 
 # Pages that end before this row are read with a bounded top-k.
 TOP_K_ROWS = 10_000
@@ -35,15 +35,13 @@ def ranged_runs(df: DataFrame, order_by: Sequence[Column], unique: bool = False)
 
     ``unique`` says that no row occurs twice, which saves the counting.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if unique:
         runs = df.withColumn(_COPIES, F.lit(1).cast("bigint"))
     else:
         runs = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias(_COPIES))
     runs = runs.repartitionByRange(ranges, *total_order(df, order_by))
-    return runs.withColumn(_RANGE, F.spark_partition_id()).checkpoint()
+    return materialised(runs.withColumn(_RANGE, F.spark_partition_id()))
 
 
 def total_order(df: DataFrame, order_by: Sequence[Column]) -> list[Column | str]:

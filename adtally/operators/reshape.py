@@ -43,5 +43,10 @@ def parsed_envelopes(df: DataFrame, text: str, record: T.StructType, field: str
 
 
 def envelope_rows(raw: DataFrame, field: str = "data_list", keep: Sequence[str] = ()) -> DataFrame:
-    """One row per record of the array held by each envelope."""
-    return raw.selectExpr(*keep, f"inline({field})")
+    """One row per record of the array held by each envelope.
+
+    The plain generator would test the array in a filter of its own first, and
+    parse an envelope text twice for it.
+    """
+    records = raw.selectExpr(*keep, f"posexplode_outer({field}) as (place, record)")
+    return records.where("place is not null").select(*keep, "record.*")

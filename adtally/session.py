@@ -1,10 +1,11 @@
-"""Session defaults and the shared folder for materialised intermediates."""
+"""Session defaults, and intermediate tables in the cluster's shared folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "adtally", master: str | None = None, **conf: str) -> SparkSession:
@@ -31,14 +32,24 @@ def build_session(app: str = "adtally", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; make a folder only on a local master."""
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; a local master may do without one."""
+    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
-        if not context.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        shared = tempfile.mkdtemp(prefix="adtally-checkpoint-")
-    context.setCheckpointDir(shared)
+        shared = tempfile.mkdtemp(prefix="adtally-")
+        spark.sparkContext.setCheckpointDir(shared)
+    return shared
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """The frame as a table written once in the shared folder.
+
+    Later jobs read the columns they need from it and never run the plan
+    behind it again, also when executors are lost.  The table lies with the
+    session's checkpoints and goes when that folder is cleared.
+    """
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/adtally-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

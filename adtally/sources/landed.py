@@ -88,14 +88,11 @@ def read_dashboards(spark: SparkSession, root: str) -> DataFrame:
 
     Rows are counted inside each file, so every file is read as one text.
     """
-    sheets = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", f"*{DASHBOARD_MARK}*")
-        .text(root)
+    sheets = spark.read.text(
+        root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=f"*{DASHBOARD_MARK}*"
     )
     cells = ", ".join(f"text_{name} string" for name in DASHBOARD_CELLS)
-    line = f"get(split(value, r'\r?\n'), {DASHBOARD_ROW})"
+    line = f"get(split(value, r'\\r?\\n'), {DASHBOARD_ROW})"
     rows = _newest(spark, root, _described(sheets, DASHBOARD))
     rows = rows.selectExpr("account", f"from_csv({line}, '{cells}') as cells").select("account", "cells.*")
     revenue, *counts = DASHBOARD_CELLS

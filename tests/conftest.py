@@ -17,6 +17,7 @@ def spark(tmp_path_factory):
         "local[8]",
         spark__sql__shuffle__partitions="8",
         spark__driver__memory="8g",
+        spark__sql__maxMetadataStringLength="2000",
         spark__checkpoint__dir=str(folder / "checkpoint"),
         spark__sql__warehouse__dir=str(folder / "warehouse"),
     )

@@ -1,0 +1,105 @@
+"""Stored facts, extracts and replies that land one after the other."""
+
+import json
+from datetime import date
+
+import pytest
+from pyspark.sql import functions as F
+
+from adtally.operators import reshape
+from adtally.operators.upsert import replace_partitions
+from adtally.plans import extract, summary
+from adtally.schema import CAMPAIGN_RECORD, MEASURES, SOURCE_COLUMNS
+from adtally.sources import fact, landed, warehouse
+from adtally.streaming.landing import append_landed, landed_records
+
+from .facts import fact_frame, rows_of
+
+SF_DIR = "/root/testdata/sf0.001"
+
+
+def sorted_rows(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+def test_facts_come_back_from_their_table(spark, tmp_path):
+    facts = warehouse.ad_base(spark, SF_DIR)
+    fact.write_fact(facts, f"{tmp_path}/facts")
+    stored = fact.read_fact(spark, f"{tmp_path}/facts")
+    assert sorted_rows(stored.select(facts.columns)) == sorted_rows(facts)
+    ours, theirs = (summary.summary(frame, "CPC", "199803", "199801") for frame in (stored, facts))
+    assert ours.collect() == theirs.collect()
+
+
+def test_writing_a_month_leaves_the_others_alone(spark, tmp_path):
+    path = f"{tmp_path}/facts"
+    fact.write_fact(fact_frame(spark, {}, {"perf_month": date(2021, 2, 1)}), path)
+    fact.write_fact(fact_frame(spark, {"owner": "new"}), path)
+    owners = {(r["perf_month"], r["owner"]) for r in fact.read_fact(spark, path).collect()}
+    assert owners == {(date(2021, 2, 1), "ann"), (date(2021, 3, 1), "new")}
+    replace_partitions(fact_frame(spark, {"owner": "newer"}), path, "perf_month")
+    owners = {(r["perf_month"], r["owner"]) for r in fact.read_fact(spark, path).collect()}
+    assert owners == {(date(2021, 2, 1), "ann"), (date(2021, 3, 1), "newer")}
+    fact.append_rows(spark.range(3), f"{tmp_path}/rows")
+    fact.append_rows(spark.range(2), f"{tmp_path}/rows")
+    assert spark.read.parquet(f"{tmp_path}/rows").count() == 5
+
+
+def test_a_month_is_read_from_its_partition(spark, tmp_path):
+    fact.write_fact(fact_frame(spark, {}, {"perf_month": date(2021, 2, 1)}), f"{tmp_path}/facts")
+    plan = extract.month_extract(fact.read_fact(spark, f"{tmp_path}/facts"), "202103")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(perf_month" in plan
+
+
+def test_source_tables_become_facts(spark):
+    names = {new: old for old, new in SOURCE_COLUMNS.items()}
+    source = spark.createDataFrame(
+        [("直通车", "shop-th", "2021-03-01 00:00:00", "ann", *[1.2345] * 6, 3, 8.0, 0.5)],
+        ["ad_type", "site", "perf_month", "owner", *MEASURES, "gross_margin_delta"],
+    )
+    source = source.withColumn("perf_month", F.to_timestamp("perf_month")).withColumnsRenamed(names)
+    facts = fact.checked(fact.from_source(source, "site"))
+    row = rows_of(fact.in_currency(facts))[0]
+    assert (row["ad_type"], row["account"], row["perf_month"]) == ("DIRECT", "shop-th", date(2021, 3, 1))
+    assert row["spend"] == 1.2345 and row["clicks"] == 8 and row["gross_margin_delta"] == 0.5
+    with pytest.raises(ValueError):
+        fact.checked(facts.drop("owner"))
+    with pytest.raises(ValueError):
+        fact.checked(facts.withColumn("spend", F.lit(1.5)))
+
+
+@pytest.mark.parametrize("fmt", ["csv", "parquet"])
+def test_extract_is_named_by_its_month(spark, tmp_path, fmt):
+    facts = fact_frame(spark, {}, {"owner": "bob"}, {"perf_month": date(2021, 4, 1)})
+    path = extract.write_extract(facts, "202103", str(tmp_path), fmt)
+    assert path.endswith("base_data_202103")
+    back = spark.read.option("header", True).format(fmt).load(path)
+    assert back.columns == facts.columns
+    assert {(r["owner"], r["perf_month"]) for r in back.collect()} == {("ann", "2021-03"), ("bob", "2021-03")}
+
+
+def reply(*names):
+    return json.dumps({"data_list": [{"account_name": name, "spend": 1.5, "clicks": 2, "extra": "x"} for name in names]})
+
+
+def test_replies_are_read_as_rows(spark, tmp_path):
+    (tmp_path / "one.json").write_text(reply("a", "b"))
+    (tmp_path / "none.json").write_text(reply())
+    rows = reshape.envelope_rows(landed.read_envelopes(spark, str(tmp_path), CAMPAIGN_RECORD))
+    assert rows.columns == CAMPAIGN_RECORD.fieldNames()
+    assert sorted((r["account_name"], r["spend"], r["clicks"]) for r in rows.collect()) == [("a", 1.5, 2), ("b", 1.5, 2)]
+
+
+def test_each_reply_is_appended_once(spark, tmp_path):
+    landing, table, progress = (str(tmp_path / name) for name in ("landing", "table", "progress"))
+    (tmp_path / "landing").mkdir()
+
+    def run():
+        append_landed(landed_records(spark, landing, CAMPAIGN_RECORD), table, progress).awaitTermination(120)
+        return sorted(r["account_name"] for r in spark.read.parquet(table).collect())
+
+    (tmp_path / "landing" / "one.json").write_text(reply("a", "b"))
+    assert run() == ["a", "b"]
+    (tmp_path / "landing" / "two.json").write_text(reply("b"))
+    assert run() == ["a", "b", "b"]
+    assert run() == ["a", "b", "b"]
