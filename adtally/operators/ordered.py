@@ -126,11 +126,18 @@ def _between(df: DataFrame, order_by: Sequence[Column], begin: int, end: int, un
 def sample_exact(df: DataFrame, fraction: float, key: Sequence[str], seed: int) -> DataFrame:
     """The whole number of rows nearest to the fraction, drawn by a seeded hash of a unique key.
 
-    The same seed draws the same rows on any cluster.
+    Only hashes and keys are put in order, to find the last one drawn.  The
+    same seed draws the same rows on any cluster.
     """
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(name).cast("string") for name in key]))
-    drawn = df.withColumn("digest", digest)
-    return _between(drawn, [F.col("digest")], 0, round(fraction * df.count()), unique=True).drop("digest")
+    texts = [F.col(name).cast("string") for name in key]
+    drawn = df.withColumn("__digest", F.md5(F.concat_ws(":", F.lit(str(seed)), *texts)))
+    places = drawn.select(F.col("__digest").alias("digest"), *key)
+    size = round(fraction * df.count())
+    if size == 0:
+        return df.limit(0)
+    last = page(places, [F.col("digest")], size - 1, 1, unique=True).first()
+    bound = F.struct(*[F.lit(last[f.name]).cast(f.dataType).alias(f.name) for f in places.schema.fields])
+    return drawn.where(F.struct(F.col("__digest").alias("digest"), *key) <= bound).drop("__digest")
 
 
 def sample(df: DataFrame, fraction: float, seed: int) -> DataFrame:

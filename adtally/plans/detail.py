@@ -33,7 +33,7 @@ _COLUMNS = (
 
 
 def line_order() -> list[Column]:
-    """Total line first, then rows by account."""
+    """Order of pages and line numbers: total line first, then rows by account."""
     return [F.col("is_total").desc(), F.col("account"), F.col("perf_month"), F.col("ad_type")]
 
 
@@ -46,9 +46,11 @@ def detail_lines(
     account: str | None = None,
     ratios: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Unordered detail with the ``is_total`` mark and further ratios if asked for.
+    """Total line, then the rows as they are stored, with the ``is_total`` mark and further ratios.
 
-    The total line has no account and stands even when no row matches.
+    The total line has no account and stands even when no row matches.  It is
+    first because it is the first leg of the union; sorting the rows behind it
+    would move all of them for nothing.
     """
     scoped = df.where(in_scope(ad_type, ym, owner, account, cutover))
     optional = [name for name in OPTIONAL_MONEY if name in df.columns]
@@ -68,12 +70,12 @@ def detail_lines(
         *[f"cast(null as double) as {n}" for n in optional],
         "1 as is_total",
     )
-    return rows.unionByName(total).selectExpr(*_COLUMNS, *optional, *ratios, "is_total")
+    return total.unionByName(rows).selectExpr(*_COLUMNS, *optional, *ratios, "is_total")
 
 
 def detail(df: DataFrame, ad_type: str, ym: str, owner: str, cutover: str = CPC_CUTOVER) -> DataFrame:
-    """Total line first, then the owner's rows by account."""
-    return detail_lines(df, ad_type, ym, owner, cutover).orderBy(*line_order()).drop("is_total")
+    """Total line first, then the owner's rows."""
+    return detail_lines(df, ad_type, ym, owner, cutover).drop("is_total")
 
 
 def indexed_detail(df: DataFrame, ad_type: str, ym: str, owner: str, cutover: str = CPC_CUTOVER) -> DataFrame:

@@ -34,8 +34,7 @@ def search_detail_lines(
 
 
 def search_detail(df: DataFrame, ad_type: str, ym: str, owner: str, account: str | None = None) -> DataFrame:
-    lines = search_detail_lines(df, ad_type, ym, owner, account)
-    return lines.orderBy(*detail.line_order()).drop("is_total")
+    return search_detail_lines(df, ad_type, ym, owner, account).drop("is_total")
 
 
 def search(

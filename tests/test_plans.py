@@ -85,3 +85,40 @@ def test_reports_are_in_order(spark):
     assert totals == sorted(totals)
     numbers = [row["idx"] for row in QUERIES["indexed_detail"](spark, SF_DIR).orderBy("idx").collect()]
     assert numbers == list(range(len(numbers)))
+
+
+def test_a_hot_supplier_is_split_over_tasks(spark, tmp_path):
+    """A third of the lines under one supplier, with no side small enough to broadcast."""
+    hot = F.when(F.col("l_orderkey") % 3 == 0, 5).otherwise(F.col("l_suppkey")).cast("bigint")
+    lines = table(spark, SF_DIR, "lineitem").withColumn("l_suppkey", hot)
+    lines.repartition(8).write.parquet(f"{tmp_path}/lineitem.parquet")
+    for name in ("supplier", "nation"):
+        table(spark, SF_DIR, name).write.parquet(f"{tmp_path}/{name}.parquet")
+    settings = {
+        "spark.sql.shuffle.partitions": "32",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50k",
+    }
+    expected = QUERIES["summary_cpc_all_months"](spark, str(tmp_path)).collect()
+    before = {name: spark.conf.get(name, None) for name in settings}
+    try:
+        for name, setting in settings.items():
+            spark.conf.set(name, setting)
+        lines = QUERIES["summary_cpc_all_months"](spark, str(tmp_path))
+        assert lines.collect() == expected
+        assert "SortMergeJoin(skew=true)" in plan_of(lines)
+    finally:
+        for name, setting in before.items():
+            spark.conf.unset(name) if setting is None else spark.conf.set(name, setting)
+
+
+def test_pages_json_does_not_gather_rows_for_the_count(spark):
+    plan = plan_of(QUERIES["page_json_records"](spark, SF_DIR))
+    assert "Window" not in plan and "TakeOrderedAndProject(limit=15" in plan
+
+
+def test_first_rows_are_picked_before_the_shuffle(spark):
+    plan = plan_of(QUERIES["dedupe_nonnull_counts"](spark, SF_DIR))
+    assert "partial_min_by" in plan and "Window" not in plan
