@@ -18,20 +18,32 @@ from ..functions.scope import CHANNEL
 from ..schema import MEASURES
 
 
-def aggregated(df: DataFrame, by: Sequence[str], aggregates: Sequence[str]) -> DataFrame:
-    """``groupBy`` and ``agg`` with aggregates written as SQL text."""
-    return df.groupBy(*by).agg(*[F.expr(text) for text in aggregates])
+def over(df: DataFrame, text: str) -> DataFrame:
+    """A SQL statement over a frame, which it names ``{rows}``."""
+    return df.sparkSession.sql(text, rows=df)
+
+
+def aggregated(
+    df: DataFrame, by: Sequence[str], aggregates: Sequence[str], results: Sequence[str] = ("*",)
+) -> DataFrame:
+    """Grouped aggregates, and result expressions over them, written as SQL text."""
+    keys = ", ".join(by)
+    return over(
+        df,
+        f"""select {", ".join(results)}
+            from (select {", ".join([*by, *aggregates])} from {{rows}} group by {keys})""",
+    )
 
 
 def group_totals(df: DataFrame, by: Sequence[str], measures: Sequence[str] = MEASURES) -> DataFrame:
     """Sums of the measures per group; money comes out as double currency."""
-    return aggregated(df, by, partial_sums(measures)).selectExpr(*by, *settled_as(measures))
+    return aggregated(df, by, partial_sums(measures), [*by, *settled_as(measures)])
 
 
 def month_totals(df: DataFrame, by: Sequence[str], measures: Sequence[str] = MEASURES) -> DataFrame:
     """Sums of the measures per month and further columns, the month as text."""
-    sums = aggregated(df, ["perf_month", *by], partial_sums(measures))
-    return sums.selectExpr(MONTH_TEXT, *by, *settled_as(measures))
+    results = [MONTH_TEXT, *by, *settled_as(measures)]
+    return aggregated(df, ["perf_month", *by], partial_sums(measures), results)
 
 
 def channel_month_totals(df: DataFrame) -> DataFrame:
@@ -61,13 +73,18 @@ def lines_with_totals(df: DataFrame) -> DataFrame:
     Owners are summed first and the grouping sets run over those few sums, so
     the facts are not doubled by the second grouping.
     """
-    owners = aggregated(df, ["perf_month", "owner"], partial_sums(MEASURES))
-    month, owner = F.col("perf_month"), F.col("owner")
-    merged = [F.expr(text) for text in merged_sums(MEASURES)]
-    lines = owners.groupingSets([[month], [month, owner]], month, owner).agg(
-        F.expr("cast(grouping(owner) as int) as is_total"), *merged
+    return over(
+        df,
+        f"""select perf_month, owner, is_total, {", ".join(settled_as(MEASURES))}
+            from (
+                select perf_month, owner, cast(grouping(owner) as int) as is_total, {", ".join(merged_sums(MEASURES))}
+                from (
+                    select perf_month, owner, {", ".join(partial_sums(MEASURES))}
+                    from {{rows}} group by perf_month, owner
+                )
+                group by grouping sets ((perf_month), (perf_month, owner))
+            )""",
     )
-    return lines.selectExpr("perf_month", "owner", "is_total", *settled_as(MEASURES))
 
 
 def latest_month(df: DataFrame) -> DataFrame:

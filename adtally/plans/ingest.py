@@ -29,13 +29,12 @@ def report_sums(
     A bad cell in any placement counts.  Sites without the placement give no row.
     """
     bad = "sum(bad_cells)" if "bad_cells" in reports.columns else "0L"
+    results = [*keys, *settled_as(_SUMMED), "bad_report", "true as has_report"]
     if placement is None:
-        sums = aggregated(reports, keys, [*partial_sums(_SUMMED), f"{bad} as bad_report"])
-    else:
-        rows = reports.withColumn("placed", F.col("placement") == placement)
-        aggregates = [*partial_sums(_SUMMED, "placed"), f"{bad} as bad_report", "bool_or(placed) as placed"]
-        sums = aggregated(rows, keys, aggregates).where("placed")
-    return sums.selectExpr(*keys, *settled_as(_SUMMED), "bad_report", "true as has_report")
+        return aggregated(reports, keys, [*partial_sums(_SUMMED), f"{bad} as bad_report"], results)
+    rows = reports.withColumn("placed", F.col("placement") == placement)
+    aggregates = [*partial_sums(_SUMMED, "placed"), f"{bad} as bad_report", "bool_or(placed) as has_placement"]
+    return aggregated(rows, keys, aggregates, [*results, "has_placement"]).where("has_placement").drop("has_placement")
 
 
 def _dashboards(dashboards: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -13,6 +13,7 @@ from ..operators.totals import lines_with_totals
 from ..schema import CPC_CUTOVER, TOTAL_LABEL, TOTAL_OWNER
 
 _COLUMNS = (
+    f"if(is_total = 1, '{TOTAL_LABEL}', asked) as ad_type",
     MONTH_TEXT,
     "spend",
     metrics.ACOS,
@@ -44,8 +45,7 @@ def summary_lines(
 ) -> DataFrame:
     """Unordered summary with the ``is_total`` mark; every month when none is given."""
     lines = lines_with_totals(df.where(in_scope(ad_type, ym, None, account, cutover)))
-    label = F.when(F.col("is_total") == 1, TOTAL_LABEL).otherwise(ad_type).alias("ad_type")
-    return lines.select(label, *[F.expr(text) for text in _COLUMNS])
+    return lines.withColumn("asked", F.lit(ad_type)).selectExpr(*_COLUMNS)
 
 
 def summary(df: DataFrame, ad_type: str, ym: str | None = None, cutover: str = CPC_CUTOVER) -> DataFrame:

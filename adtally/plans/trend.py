@@ -26,7 +26,7 @@ def monthly_trend(df: DataFrame, shown: bool = False) -> DataFrame:
         sums += partial_sums(_PAIR, f"{CHANNEL} = '{code}'", f"{series}_")
         cut += [f"{whole(settled(name, f'{series}_'))} as {series}_{name}" for name in _PAIR]
     totals = [f"{' + '.join(f'coalesce({s}_{name}, 0)' for s in _SERIES)} as total_{name}" for name in _PAIR]
-    months = aggregated(df, ["perf_month"], sums).selectExpr(MONTH_TEXT, *cut).selectExpr("*", *totals)
+    months = aggregated(df, ["perf_month"], sums, [MONTH_TEXT, *cut]).selectExpr("*", *totals)
     rois = []
     for series in ("total", *_SERIES):
         roi = ratio(f"{series}_ad_revenue", f"{series}_spend")

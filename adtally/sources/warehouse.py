@@ -67,13 +67,11 @@ def ad_base(
         *[f"{_FACTS[name]} as {name}" for name in asked if name in _FACTS], *(["l_suppkey"] if described else [])
     )
     if described:
-        facts = facts.join(_sites(spark, root, described), "l_suppkey", "left").select(*asked)
-    return facts
-
-
-def _sites(spark: SparkSession, root: str, described: list[str]) -> DataFrame:
-    suppliers = table(spark, root, "supplier")
+        sites = table(spark, root, "supplier").selectExpr("s_suppkey as l_suppkey", "s_nationkey", _ACCOUNT)
+        facts = facts.join(sites, "l_suppkey", "left")
     if "owner" in described:
-        nations = table(spark, root, "nation").selectExpr("n_nationkey as s_nationkey", "n_name as owner")
-        suppliers = suppliers.join(nations, "s_nationkey", "left")
-    return suppliers.selectExpr("s_suppkey as l_suppkey", *[_ACCOUNT if n == "account" else n for n in described])
+        # Joined last: Spark takes a join for as large as the product of its
+        # sides, so suppliers joined to nations would look too large to send.
+        owners = table(spark, root, "nation").selectExpr("n_nationkey as s_nationkey", "n_name as owner")
+        facts = facts.join(owners, "s_nationkey", "left")
+    return facts.select(*asked)
