@@ -75,7 +75,7 @@ def main() -> None:
                 "value": round(sum(times.values()), 3),
                 "unit": "sec",
                 "queries": times,
-                "sf": os.path.basename(root.rstrip("/")).removeprefix("sf"),
+                "sf": float(os.path.basename(root.rstrip("/")).removeprefix("sf") or 0),
             }
         )
     )
