@@ -49,6 +49,14 @@ def seconds(spark, name: str, root: str) -> float:
     return time.perf_counter() - start
 
 
+def scale_of(root: str) -> float | str:
+    name = os.path.basename(root.rstrip("/")).removeprefix("sf")
+    try:
+        return float(name)
+    except ValueError:
+        return name
+
+
 def main() -> None:
     root = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -75,7 +83,7 @@ def main() -> None:
                 "value": round(sum(times.values()), 3),
                 "unit": "sec",
                 "queries": times,
-                "sf": float(os.path.basename(root.rstrip("/")).removeprefix("sf") or 0),
+                "sf": scale_of(root),
             }
         )
     )
