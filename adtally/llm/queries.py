@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adtally.llm import language, minhash, mixing, packing
+from adtally.llm import html_main, kdtree, language, licenses, minhash, mixing, packing, permutation_index, topk, url_trees
 from adtally.llm.staging import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,7 @@ MIX_WEIGHTS = [
     ("lang", "fr", 2),
 ]
 MIX_EPOCHS = 4
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
 def query(run: Query) -> Query:
@@ -55,6 +56,11 @@ def op1_best_fit_packing(spark, root):
     return packing.pack(table(spark, root, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+@query
+def op2_permutation_search(spark, root):
+    return permutation_index.nearest(table(spark, root, "embeddings"), "vec_id % 20 = 0", k=20)
+
+
 @query
 def op3_language_id(spark, root):
     docs = table(spark, root, "documents")
@@ -69,6 +75,33 @@ def op4_source_mixing(spark, root):
     return mixing.mixed(rows, MIX_PATH, mix_weights(spark), epochs=MIX_EPOCHS, id_column="doc_id")
 
 
+@query
+def op5_kd_shards(spark, root):
+    placed = kdtree.shard(table(spark, root, "documents"), shards=40)
+    return placed.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+@query
+def op6_norm_topk(spark, root):
+    return topk.largest_products(table(spark, root, "embeddings"), "vec_id % 100 = 0", k=10)
+
+
+@query
+def op7_html_consensus(spark, root):
+    return html_main.extract(table(spark, root, "pages").select("page_id", "url", "html")).drop("html")
+
+
+@query
+def op8_url_trees(spark, root):
+    judged = url_trees.filtered(table(spark, root, "pages").select("page_id", "url"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", F.col("blocked").alias("score"))
+
+
 @query
 def op9_minhash_dedup(spark, root):
     return minhash.components(table(spark, root, "documents"), shingle_words=4, percent=80)
+
+
+@query
+def op10_license_scan(spark, root):
+    return licenses.digest(licenses.scan(table(spark, root, "documents")))

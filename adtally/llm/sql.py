@@ -68,3 +68,42 @@ summed as (
 select "domain", lang, source, doc_id, tokens, (whole + case when part > 0 and upto <= part then 1 else 0 end)::integer copies
 from summed
 """
+
+SQL["op6_norm_topk"] = """
+with good as (
+  select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) v
+  from embeddings
+  where vec_id is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding)),
+scored as (
+  select q.vec_id query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint score
+  from good q join good c on q.vec_id <> c.vec_id
+  where q.vec_id % 100 = 0)
+select query_id, row_number() over (partition by query_id order by score desc, vec_id)::integer rank, vec_id, score
+from scored qualify rank <= 10
+"""
+
+SQL["op9_minhash_dedup"] = r"""
+with recursive words as (
+  select doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') w
+  from documents),
+sets as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) end s
+  from words),
+shingles as (select doc_id, hash(unnest(s)) h from sets),
+pairs as (
+  select a.doc_id a, b.doc_id b, count(*) common
+  from shingles a join shingles b on a.h = b.h and a.doc_id < b.doc_id group by all),
+links as (
+  select p.a, p.b from pairs p join sets x on p.a = x.doc_id join sets y on p.b = y.doc_id
+  where 100 * common >= 80 * (len(x.s) + len(y.s) - common)),
+both_ways as (select a, b from links union all select b, a from links),
+reached as (
+  select doc_id, doc_id other from documents
+  union
+  select r.doc_id, l.b from reached r join both_ways l on r.other = l.a)
+select s.doc_id, len(s.s)::bigint n_shingles, min(r.other) component_id, s.doc_id = min(r.other) kept
+from sets s join reached r using (doc_id) group by s.doc_id, s.s
+"""
