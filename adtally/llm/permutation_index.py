@@ -4,6 +4,7 @@
 2. Every row is represented by its nearest pivots in order.
 3. The index is cut into groups of rows.  A group has an inverted file: for
    each pivot, the rows that list it and its place in their lists.
+   Equal vectors are posted once.
 4. A query is sent to each group.  Posting lists of the query's own pivots add
    up to the footrule distance of the lists: a pivot that both list at places
    i and j brings 2 * (length - max(i, j)) off the distance of lists without a
@@ -21,9 +22,9 @@ from pyspark.sql import functions as F
 from adtally.llm import blocks, topk
 from adtally.llm.staging import ship, staged
 
-PIVOTS, LISTED = 256, 24
-#: Rows of a group that are reranked for a query: a share of the group, and so many at least.
-RERANKED, LEAST_RERANKED = 0.10, 400
+PIVOTS, LISTED = 512, 64
+#: Distinct vectors of a group that are reranked for a query: a share of the group's, and so many at least.
+RERANKED, LEAST_RERANKED = 0.15, 2_500
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -37,27 +38,34 @@ def nearest_pivots(vectors: np.ndarray, pivots: np.ndarray, listed: int) -> np.n
 
 
 class InvertedFile:
-    """Rows of one group, posted under their pivots."""
+    """The distinct vectors of one group, posted under their pivots."""
 
     def __init__(self, held: list[tuple], pivots: np.ndarray, k: int, reranked: float, least: int):
         size = pivots.shape[1]
         self.pivots, self.k = pivots, k
-        self.ids = np.concatenate([x[0] for x in held])
-        self.vectors = np.concatenate([np.frombuffer(x[1], np.float64).reshape(-1, size) for x in held])
-        lists = np.concatenate([np.frombuffer(x[2], np.int16).reshape(len(x[0]), -1) for x in held])
+        ids = np.concatenate([x[0] for x in held])
+        order = np.argsort(ids, kind="stable")
+        self.ids = ids[order]
+        vectors = np.concatenate([np.frombuffer(x[1], np.float64).reshape(-1, size) for x in held])[order]
+        _, first, same = np.unique(vectors.view(f"V{8 * size}").ravel(), return_index=True, return_inverse=True)
+        # Of equal vectors, only the k + 1 smallest ids can be among the k nearest of any query.
+        self.rows = np.argsort(same, kind="stable")
+        self.bounds = np.searchsorted(same[self.rows], np.arange(len(first) + 1))
+        self.vectors = vectors[first]
+        lists = np.concatenate([np.frombuffer(x[2], np.int16).reshape(len(x[0]), -1) for x in held])[order][first]
         self.listed = lists.shape[1]
-        self.wanted = min(len(self.ids), max(least, k + 1, int(np.ceil(reranked * len(self.ids)))))
-        order = np.argsort(lists.ravel(), kind="stable")
-        self.rows = (order // self.listed).astype(np.int32)
-        self.places = (order % self.listed).astype(np.int32)
-        self.starts = np.searchsorted(lists.ravel()[order], np.arange(len(pivots) + 1))
+        self.wanted = min(len(first), max(least, k + 1, int(np.ceil(reranked * len(first)))))
+        posted = np.argsort(lists.ravel(), kind="stable")
+        self.posted = (posted // self.listed).astype(np.int32)
+        self.places = (posted % self.listed).astype(np.int32)
+        self.starts = np.searchsorted(lists.ravel()[posted], np.arange(len(pivots) + 1))
 
     def footrule_saved(self, own: np.ndarray) -> np.ndarray:
-        """What the common pivots take off the footrule distance, for each row."""
-        saved = np.zeros(len(self.ids), np.int32)
+        """Half of what the common pivots take off the footrule distance, for each vector."""
+        saved = np.zeros(len(self.vectors), np.int32)
         for place, pivot in enumerate(own):
-            posted = slice(self.starts[pivot], self.starts[pivot + 1])
-            saved[self.rows[posted]] += 2 * (self.listed - np.maximum(self.places[posted], place))
+            part = slice(self.starts[pivot], self.starts[pivot + 1])
+            saved[self.posted[part]] += self.listed - np.maximum(self.places[part], place)
         return saved
 
     def __call__(self, block: tuple) -> tuple:
@@ -71,17 +79,31 @@ class InvertedFile:
                 near = np.argpartition(-saved, self.wanted - 1)[: self.wanted]
             else:
                 near = np.arange(len(saved))
-            near = near[self.ids[near] != query_id]
             scores = self.vectors[near] @ query
-            best = np.lexsort((self.ids[near], -scores))[: self.k]
-            found.append((np.full(len(best), query_id), self.ids[near][best], scores[best]))
+            # Each vector stands for one id at least, but for the query's own.
+            if len(near) > self.k + 1:
+                last = np.partition(scores, len(scores) - self.k - 1)[len(scores) - self.k - 1]
+                near, scores = near[scores >= last], scores[scores >= last]
+            rows = [self.rows[self.bounds[x] : min(self.bounds[x + 1], self.bounds[x] + self.k + 1)] for x in near]
+            ids, scores = self.ids[np.concatenate(rows)], np.repeat(scores, [len(x) for x in rows])
+            own_too = ids != query_id
+            ids, scores = ids[own_too], scores[own_too]
+            best = np.lexsort((ids, -scores))[: self.k]
+            found.append((np.full(len(best), query_id), ids[best], scores[best]))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def drawn_pivots(rows: DataFrame, pivots: int) -> np.ndarray:
-    """Directions of at most ``pivots`` distinct rows, the least by a hash of their ids."""
-    drawn = rows.select("vector", F.xxhash64("id", F.lit(5)).alias("draw"), "id").orderBy("draw", "id").limit(pivots).collect()
-    return unit(np.unique(np.array([x["vector"] for x in drawn]), axis=0)) if drawn else np.empty((0, 0))
+    """Directions of at most ``pivots`` distinct rows, the first by a hash of their ids.
+
+    Four times as many rows are drawn, as some may be copies of one vector.
+    """
+    drawn = rows.select("vector", F.xxhash64("id", F.lit(5)).alias("draw"), "id").orderBy("draw", "id").limit(4 * pivots).collect()
+    if not drawn:
+        return np.empty((0, 0))
+    vectors = unit(np.array([x["vector"] for x in drawn]))
+    _, first = np.unique(vectors, axis=0, return_index=True)
+    return vectors[np.sort(first)[:pivots]]
 
 
 def nearest(
