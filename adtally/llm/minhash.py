@@ -236,11 +236,12 @@ def components(
     nodes = staged(
         read.where("node is not null")
         .groupBy("node")
-        .agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.any_value("keys").alias("keys"))
+        .agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.any_value("keys").alias("keys"), F.max("n_shingles").alias("n"))
         .withColumn("nid", F.monotonically_increasing_id())
     )
-    posted = nodes.select(F.explode("keys").alias("bucket"), "nid")
-    shared = posted.groupBy("bucket").agg(F.min("nid").alias("centre"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    posted = nodes.select(F.explode("keys").alias("bucket"), "nid", "n")
+    shared = posted.groupBy("bucket").agg(F.min(F.struct("nid", "n")).alias("c"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    shared = shared.select("bucket", F.col("c.nid").alias("centre"), F.col("c.n").alias("centre_n"))
     members = staged(posted.join(shared, "bucket"))
 
     wanted = members.select("nid").distinct().join(nodes.select("nid", "node", "first_id"), "nid")
@@ -250,14 +251,12 @@ def components(
         lambda batches: _full_sets(batches, shingle_words, bands * rows), "node binary, shingles array<long>, sketch binary"
     )
     sets = sets.groupBy("node").agg(F.any_value("shingles").alias("shingles"), F.any_value("sketch").alias("sketch"))
-    sets = staged(sets.join(wanted.select("nid", "node"), "node").select("nid", "shingles", "sketch", F.size("shingles").alias("n")))
-
-    light = sets.select("nid", "n")
-    stars = members.where("nid <> centre").select(F.col("nid").alias("a"), F.col("centre").alias("b")).distinct()
-    close = f"100 * least(n, m) >= {percent} * greatest(n, m)"
-    stars = stars.join(light.withColumnRenamed("nid", "a"), "a").join(light.toDF("b", "m"), "b").where(close).select("a", "b")
-    stars = stars.join(sets.select(F.col("nid").alias("a"), F.col("shingles").alias("x"), "n"), "a")
-    stars = stars.join(sets.select(F.col("nid").alias("b"), F.col("shingles").alias("y"), F.col("n").alias("m")), "b")
+    sets = staged(sets.join(wanted.select("nid", "node"), "node").select("nid", "shingles", "sketch"))
+
+    close = f"nid <> centre and 100 * least(n, centre_n) >= {percent} * greatest(n, centre_n)"
+    stars = members.where(close).select(F.col("nid").alias("a"), F.col("centre").alias("b"), "n", F.col("centre_n").alias("m")).distinct()
+    stars = stars.join(sets.select(F.col("nid").alias("a"), F.col("shingles").alias("x")), "a")
+    stars = stars.join(sets.select(F.col("nid").alias("b"), F.col("shingles").alias("y")), "b")
     both = F.size(F.array_intersect("x", "y"))
     true = 100 * both >= percent * (F.col("n") + F.col("m") - both)
     links = staged(stars.where(true).select("a", "b"))
@@ -272,9 +271,8 @@ def components(
         .groupBy("size", "who")
         .agg(F.min("bucket").alias("bucket"))  # buckets of the same members are compared once
     )
-    rest = staged(placed.where("nid <> centre").join(open_.select("bucket"), "bucket").select("bucket", "nid", "comp"))
-    sized = rest.join(light, "nid")
-    blocks = sized.groupBy("bucket").agg(
+    rest = staged(placed.where("nid <> centre").join(open_.select("bucket"), "bucket").select("bucket", "nid", "n", "comp"))
+    blocks = rest.groupBy("bucket").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
     )
     split = rest.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int"))
