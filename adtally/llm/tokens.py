@@ -92,6 +92,7 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the bounds of each text's ids."""
+        texts = texts.take(pa.array(np.arange(len(texts))))  # a copy without offset: some functions misread slices
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         special = np.zeros(len(texts), bool)
         for content in self.specials:
