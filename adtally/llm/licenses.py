@@ -26,42 +26,43 @@ BASE = [
 
 #: Licenses: label, keyword (a word that all its signatures hold), and its name as a pattern over words.
 LICENSES = [
-    ("apache-2.0", "apache", r"apache(?: software)?(?: license)?(?: version| v)? ?2(?: 0)?"),
-    ("apache-1.1", "apache", r"apache(?: software)?(?: license)?(?: version| v)? ?1 1"),
+    ("apache-2.0", "apache", r"apache(?: software)?(?: license)?(?: version| v)? v?2(?: 0)?"),
+    ("apache-1.1", "apache", r"apache(?: software)?(?: license)?(?: version| v)? v?1 1"),
     ("apache", "apache", r"apache(?: software)?"),
     ("mit", "mit", r"mit(?: x11| expat)?"),
     ("mit-0", "mit", r"mit(?: no attribution| 0)"),
-    ("gpl-2.0", "gpl", r"(?:gnu )?gpl(?: version| v)? ?v?2(?: 0)?"),
-    ("gpl-3.0", "gpl", r"(?:gnu )?gpl(?: version| v)? ?v?3(?: 0)?"),
+    ("gpl-2.0", "gpl", r"(?:gnu )?gpl(?: version| v)? v?2(?: 0)?"),
+    ("gpl-3.0", "gpl", r"(?:gnu )?gpl(?: version| v)? v?3(?: 0)?"),
     ("gpl", "gpl", r"(?:gnu )?gpl"),
-    ("gpl-2.0", "gnu", r"gnu general public license(?: version| v) ?2(?: 0)?"),
-    ("gpl-3.0", "gnu", r"gnu general public license(?: version| v) ?3(?: 0)?"),
+    ("gpl-2.0", "gnu", r"gnu general public license(?: version| v) 2(?: 0)?"),
+    ("gpl-3.0", "gnu", r"gnu general public license(?: version| v) 3(?: 0)?"),
     ("gpl", "gnu", r"gnu general public"),
-    ("lgpl-2.1", "lgpl", r"(?:gnu )?lgpl(?: version| v)? ?v?2 1"),
-    ("lgpl-3.0", "lgpl", r"(?:gnu )?lgpl(?: version| v)? ?v?3(?: 0)?"),
+    ("lgpl-2.1", "lgpl", r"(?:gnu )?lgpl(?: version| v)? v?2 1"),
+    ("lgpl-3.0", "lgpl", r"(?:gnu )?lgpl(?: version| v)? v?3(?: 0)?"),
     ("lgpl", "lesser", r"gnu lesser general public"),
-    ("agpl-3.0", "agpl", r"(?:gnu )?agpl(?: version| v)? ?v?3(?: 0)?"),
+    ("agpl-3.0", "agpl", r"(?:gnu )?agpl(?: version| v)? v?3(?: 0)?"),
     ("agpl", "affero", r"gnu affero general public"),
-    ("bsd-2-clause", "bsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)"),
+    ("bsd-2-clause", "bsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd)"),
     ("bsd-3-clause", "bsd", r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)"),
     ("bsd", "bsd", r"bsd(?: style)?"),
-    ("mpl-1.1", "mpl", r"mpl(?: version| v)? ?1 1"),
-    ("mpl-2.0", "mpl", r"mpl(?: version| v)? ?2(?: 0)?"),
+    ("mpl-1.1", "mpl", r"mpl(?: version| v)? 1 1"),
+    ("mpl-2.0", "mpl", r"mpl(?: version| v)? 2(?: 0)?"),
     ("mpl", "mozilla", r"mozilla public"),
-    ("epl-1.0", "eclipse", r"eclipse public license(?: version| v) ?1(?: 0)?"),
-    ("epl-2.0", "eclipse", r"eclipse public license(?: version| v) ?2(?: 0)?"),
+    ("epl-1.0", "eclipse", r"eclipse public license(?: version| v) 1(?: 0)?"),
+    ("epl-2.0", "eclipse", r"eclipse public license(?: version| v) 2(?: 0)?"),
     ("epl", "eclipse", r"eclipse public"),
-    ("cddl", "cddl", r"(?:cddl|common development and distribution)(?: 1 0| 1 1)?"),
+    ("cddl", "cddl", r"cddl(?: 1 0| 1 1)?"),
+    ("cddl", "distribution", r"common development and distribution"),
     ("isc", "isc", r"isc"),
     ("unlicense", "unlicense", r"(?:the )?unlicense"),
     ("wtfpl", "wtfpl", r"wtfpl"),
     ("zlib", "zlib", r"zlib(?: libpng)?"),
     ("boost-1.0", "boost", r"boost(?: software)?(?: license)?(?: version| v)?(?: 1 0)?"),
-    ("artistic-2.0", "artistic", r"artistic(?: license)?(?: version| v)? ?2 0"),
+    ("artistic-2.0", "artistic", r"artistic(?: license)?(?: version| v)? v?2 0"),
     ("artistic", "artistic", r"artistic"),
     ("postgresql", "postgresql", r"postgresql"),
     ("python-2.0", "python", r"python(?: software foundation)?"),
-    ("php-3.01", "php", r"php(?: license)?(?: version| v)? ?3 01"),
+    ("php-3.01", "php", r"php(?: license)?(?: version| v)? 3 01"),
     ("ofl-1.1", "ofl", r"(?:sil )?ofl(?: 1 1)?"),
     ("ofl-1.1", "sil", r"sil open font"),
     ("eupl-1.2", "eupl", r"eupl(?: version| v)?(?: 1 1| 1 2)?"),
@@ -77,7 +78,8 @@ LICENSES = [
     ("cc-by", "creative", r"creative commons attribution(?: 4 0| 3 0)?(?: international| unported)?"),
     ("cc-by-sa", "creative", r"creative commons attribution share ?alike(?: 4 0| 3 0)?(?: international| unported)?"),
     ("cc-by-nc", "creative", r"creative commons attribution non ?commercial(?: 4 0| 3 0)?(?: international| unported)?"),
-    ("odbl-1.0", "odbl", r"(?:odbl|open database)(?: 1 0)?"),
+    ("odbl-1.0", "odbl", r"odbl(?: 1 0)?"),
+    ("odbl-1.0", "database", r"open database"),
     ("gfdl", "gnu", r"gnu free documentation"),
     ("public-domain", "domain", r"public domain"),
     ("proprietary", "proprietary", r"proprietary"),
@@ -86,7 +88,7 @@ LICENSES = [
 #: Kinds of signatures, the strongest first: keyword (part of a word), confidence, pattern around the name.
 KINDS = [
     ("identifier", 1.0, r"spdx license identifier {}(?: only| or later)?"),
-    ("licens", 0.95, r"(?:is |are )?(?:licensed|released|distributed|available|published) under (?:the )?(?:terms of (?:the )?)?{}(?: public)?(?: license| licence)?(?: (?:version|v) [0-9]+(?: [0-9]+)?)?"),
+    (" under ", 0.95, r"(?:is |are )?(?:licensed|released|distributed|available|published) under (?:the )?(?:terms of (?:the )?)?{}(?: public)?(?: license| licence)?(?: (?:version|v) [0-9]+(?: [0-9]+)?)?"),
     ("licens", 0.9, r"{} license(?: (?:version|v) [0-9]+(?: [0-9]+)?)?"),
     ("licenc", 0.9, r"{} licence(?: (?:version|v) [0-9]+(?: [0-9]+)?)?"),
     ("licens", 0.8, r"license[sd]? {}"),
