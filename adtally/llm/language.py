@@ -23,8 +23,8 @@ from adtally.llm.staging import ship
 
 DIMENSIONS = 1024
 LETTERS = 3
-#: Bound of the training sample: about so many texts of each language, drawn by a hash of the id.
-TRAIN_TEXTS = 3000
+#: Bound of the training sample: about so many texts of each language, drawn by a hash of the id, and so many languages.
+TRAIN_TEXTS, MOST_LANGUAGES = 3000, 500
 UNKNOWN = "und"
 #: Code points are handled in runs of this length, so that a long text needs bounded memory.
 RUN = 1 << 20
@@ -130,22 +130,24 @@ def learn(
     language_column: str = "lang",
     id_column: str = "doc_id",
     train_texts: int = TRAIN_TEXTS,
+    most_languages: int = MOST_LANGUAGES,
     dimensions: int = DIMENSIONS,
     letters: int = LETTERS,
 ) -> Profiles:
-    """Profiles from at most about ``train_texts`` texts of each language; rows without language are passed over.
+    """Profiles from at most about ``train_texts`` texts of each language, for the ``most_languages`` with most rows.
 
-    The sample is drawn by a hash of the id at a rate taken from the language's
-    row count.  What reaches the driver is one vector for each language.
+    Rows without language are passed over. The sample is drawn by a hash of the id at
+    a rate taken from the language's row count.  What reaches the driver is one vector for each language.
     """
     ship(labelled.sparkSession)
     rows = labelled.select(
         F.col(id_column).cast("string").alias("id"), F.col(text_column).cast("string").alias("text"), F.col(language_column).cast("string").alias("lang")
     ).where("lang is not null")
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    rate = F.least(F.lit(1.0), F.lit(float(train_texts)) / F.col("n"))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
+    rates = [F.lit(x) for row in counts for x in (row["lang"], min(1.0, train_texts / row["n"]))]
     draw = F.pmod(F.xxhash64(F.coalesce("id", F.lit("")), F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.join(counts.withColumn("rate", rate).drop("n"), "lang").where(draw < F.col("rate")).select("lang", "text")
+    rate = F.create_map(*rates)[F.col("lang")] if rates else F.lit(0.0)
+    sample = rows.where(draw < rate).select("lang", "text")
 
     def bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, sums = space(dimensions, letters), {}
