@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from adtally.llm.staging import staged
 
 #: About so many rows of a leaf are ordered by one task.
-ROWS_PER_SLICE = 100_000
+ROWS_PER_SLICE = 10_000
 _TOP = 1 << 32
 
 

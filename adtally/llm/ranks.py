@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: About so many rows of a key are numbered by one task.
-ROWS_PER_SLICE = 200_000
+ROWS_PER_SLICE = 20_000
 
 
 def ranked(df: DataFrame, key: str, name: str, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
