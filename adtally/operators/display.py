@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import page
+from .ordered import page, sort_columns, total_order
 
 # Fixed value: numbers beyond it are shown without their fraction.
 WHOLE_ABOVE = 100
 
+_PLACE = "place_of_the_line"
+
 
 def display_text(value: str) -> str:
     """Cell text of a number: whole part beyond the limit, plain otherwise, empty for NULL."""
@@ -37,20 +39,26 @@ def display_format(df: DataFrame, numeric_cols: Sequence[str]) -> DataFrame:
 
 def page_json_records(
     df: DataFrame,
-    order_by: Sequence[Column],
+    order_by: Sequence[str],
     offset: int,
     limit: int,
     shown: Callable[[DataFrame], DataFrame] = lambda rows: rows,
 ) -> DataFrame:
-    """A page as one JSON object per row, with the number of rows of the whole frame.
+    """One row: the number of rows of the whole frame, and the page as a JSON array of objects.
 
-    The number is a separate count, so the rows themselves are not gathered for
-    it.  ``shown`` turns the rows of the page into their display form.
+    The number is a separate count, so the frame's rows are not gathered for
+    it.  The array has at most ``limit`` objects, and none past the end.
+    ``shown`` turns the rows of the page into their display form.
     """
     total = df.agg(F.count(F.lit(1))).scalar()
-    rows = shown(page(df, order_by, offset, limit))
-    record = F.expr("to_json(struct(*), map('ignoreNullFields', 'false'))")
-    return rows.select(total.alias("total"), record.alias("record"))
+    # No more rows than the page has; the place is text, so that it isn't shown as a number.
+    along = Window.orderBy(*sort_columns(total_order(df, order_by)))
+    place = F.lpad(F.row_number().over(along).cast("string"), 10, "0").alias(_PLACE)
+    lines = shown(page(df, order_by, offset, limit).select("*", place))
+    record = F.expr(f"to_json(struct(* except ({_PLACE})), map('ignoreNullFields', 'false'))")
+    lines = lines.select(F.struct(_PLACE, record.alias("record")).alias("line"))
+    texts = lines.agg(F.array_join(F.sort_array(F.collect_list("line"))["record"], ",").alias("texts"))
+    return texts.select(total.alias("total"), F.concat(F.lit("["), F.col("texts"), F.lit("]")).alias("rows"))
 
 
 def json_values(df: DataFrame) -> DataFrame:

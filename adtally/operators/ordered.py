@@ -1,100 +1,79 @@
 """Whole-frame order at scale: positions, neighbours, pages and exact samples.
 
-A window without partitions moves every row to one task.  Here the frame is
-range-partitioned, each range is handled by its own task, and the ranges are
-linked by one small row per range.
-
-Equal rows cannot be told apart, so they travel as one row with a number of
-copies.  A row repeated a billion times therefore never fills a range.
-
-The range number comes from where Spark put the row.  Two runs of the same
-range shuffle may cut differently, so the ranged frame is written to the shared
-folder before anything refers to a range number.
+A window without partitions moves every row to one task.  Here rows are dealt
+to ordered ranges by one range shuffle and sorted inside them, a range is one
+task, and ranges are linked by one small row each.  A number behind the order
+tells equal rows apart, so that ranges also split a row repeated a billion
+times.  Spark chooses the number of ranges by their size.
+
+The range of a row comes from where Spark put it, and two runs of a range
+shuffle may cut differently.  So the ranged frame is written once to the
+shared folder before anything refers to a range.
+
+An order is a list of column names, ``name desc`` for descending.  All other
+columns follow in it, so that only equal rows tie.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..session import materialised
 
-# Pages that end before this row are read with a bounded top-k.
-TOP_K_ROWS = 10_000
-
-_COPIES = "__copies"
-_RANGE = "__range"
-_START = "__start"
-_CHUNK = 1_000_000
-
-
-def ranged_runs(df: DataFrame, order_by: Sequence[Column], unique: bool = False) -> DataFrame:
-    """Different rows with their number of copies, cut into ordered ranges.
+# A part of the frame with no more rows is ordered by a bounded top-k.
+PART_ROWS = 50_000
+# Rows sampled to cut a part, and cuts made of them.
+SAMPLED, CUTS = 512, 15
+# Bits of monotonically_increasing_id that count rows inside a partition.
+_INSIDE_BITS = 33
 
-    ``unique`` says that no row occurs twice, which saves the counting.
-    """
-    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if unique:
-        runs = df.withColumn(_COPIES, F.lit(1).cast("bigint"))
-    else:
-        runs = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias(_COPIES))
-    runs = runs.repartitionByRange(ranges, *total_order(df, order_by))
-    return materialised(runs.withColumn(_RANGE, F.spark_partition_id()))
-
-
-def total_order(df: DataFrame, order_by: Sequence[Column]) -> list[Column | str]:
-    """The asked order with every column behind it, so that only equal rows tie."""
-    return [*order_by, *df.columns]
 
+def _free(df: DataFrame, name: str) -> str:
+    """A column name that the frame doesn't have."""
+    while name in df.columns:
+        name += "_"
+    return name
 
-def started(runs: DataFrame, order_by: Sequence[Column]) -> DataFrame:
-    """Ranged runs with the position, from 0, of their first copy in the whole order."""
-    # One row per range: at most the number of shuffle partitions.
-    sizes = runs.groupBy(_RANGE).agg(F.sum(_COPIES).alias("__rows"))
-    before = Window.orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(_RANGE, F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__offset"))
-    inside = _inside(runs, order_by).rowsBetween(Window.unboundedPreceding, -1)
-    placed = runs.withColumn("__inside", F.coalesce(F.sum(_COPIES).over(inside), F.lit(0)))
-    placed = placed.join(F.broadcast(offsets), _RANGE)
-    return placed.withColumn(_START, F.col("__offset") + F.col("__inside")).drop("__offset", "__inside", _RANGE)
 
+def total_order(df: DataFrame, order_by: Sequence[str]) -> list[tuple[str, bool]]:
+    """Names and whether descending: the asked order, and every other column behind it."""
+    asked = [(text.removesuffix(" desc"), text.endswith(" desc")) for text in order_by]
+    names = {name for name, _ in asked}
+    return asked + [(name, False) for name in df.columns if name not in names]
 
-def _inside(runs: DataFrame, order_by: Sequence[Column]) -> WindowSpec:
-    return Window.partitionBy(_RANGE).orderBy(*total_order(runs.drop(_RANGE, _COPIES), order_by))
 
+def sort_columns(order: Sequence[tuple[str, bool]]) -> list[Column]:
+    return [F.col(f"`{name}`").desc() if desc else F.col(f"`{name}`").asc() for name, desc in order]
 
-def _has_long_run(runs: DataFrame) -> bool:
-    return not runs.where(F.col(_COPIES) > _CHUNK).isEmpty()
 
+def _ranged(df: DataFrame, order_by: Sequence[str]) -> tuple[DataFrame, str]:
+    """Rows in ordered ranges, sorted inside, and the column that counts ranges (high bits) and rows inside (low bits)."""
+    tie, place = _free(df, "tie"), _free(df, "place")
+    order = [*sort_columns(total_order(df, order_by)), F.col(tie)]
+    ranged = df.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(*order)
+    return ranged.sortWithinPartitions(*order).drop(tie).withColumn(place, F.monotonically_increasing_id()), place
 
-def expanded(runs: DataFrame, copies: Column, index: str | None = None, spread: bool = False) -> DataFrame:
-    """One row per copy again, with its position under ``index`` if a name is given.
 
-    Runs unfold chunk by chunk.  ``spread`` deals the chunks over all tasks
-    first, so that a run of very many copies does not unfold in one place.
-    """
-    keep = [name for name in runs.columns if not name.startswith("__")]
-    start = F.col(_START) if _START in runs.columns else F.lit(0).cast("bigint")
-    counted = runs.select(*keep, start.alias(_START), copies.cast("bigint").alias(_COPIES)).where(f"{_COPIES} > 0")
-    cuts = F.sequence(F.lit(0).cast("bigint"), F.call_function("div", F.col(_COPIES) - 1, F.lit(_CHUNK)))
-    chunks = counted.withColumn("__cut", F.explode(cuts))
-    if spread:
-        tasks = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        chunks = chunks.repartition(tasks, "__cut", *keep)
-    first = F.col("__cut") * _CHUNK
-    last = F.least(first + _CHUNK, F.col(_COPIES)) - 1
-    rows = chunks.withColumn("__copy", F.explode(F.sequence(first, last)))
-    if index is None:
-        return rows.select(*keep)
-    return rows.select((F.col(_START) + F.col("__copy")).alias(index), *keep)
-
-
-def indexed(df: DataFrame, order_by: Sequence[Column], name: str = "idx", unique: bool = False) -> DataFrame:
+def indexed(df: DataFrame, order_by: Sequence[str], name: str = "idx") -> DataFrame:
     """Rows with their position in the whole order, from 0."""
-    runs = ranged_runs(df, order_by, unique)
-    return expanded(started(runs, order_by), F.col(_COPIES), name, spread=_has_long_run(runs))
+    ranged, place = _ranged(df, order_by)
+    rows = materialised(ranged)
+    part = F.shiftright(F.col(place), _INSIDE_BITS)
+    # One row per range.
+    sizes = rows.groupBy(part.alias("range")).agg(F.count(F.lit(1)).alias("rows"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(F.col("range").alias("of_range"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset"))
+    named = _free(df, "range")
+    offsets = offsets.toDF(named, f"{named}_offset")
+    placed = rows.join(F.broadcast(offsets), part == F.col(named))
+    position = F.col(f"{named}_offset") + F.col(place).bitwiseAND(F.lit((1 << _INSIDE_BITS) - 1))
+    return placed.select(position.alias(name), *[F.col(f"`{c}`") for c in df.columns])
 
 
 def indexed_within(df: DataFrame, by: Sequence[str], order_by: Sequence[Column], name: str = "idx") -> DataFrame:
@@ -103,63 +82,155 @@ def indexed_within(df: DataFrame, by: Sequence[str], order_by: Sequence[Column],
     return df.select((rank - 1).alias(name), *df.columns)
 
 
-def page(df: DataFrame, order_by: Sequence[Column], offset: int, limit: int, unique: bool = False) -> DataFrame:
-    """Rows ``offset`` to ``offset + limit`` of the ordered frame.
+def page(df: DataFrame, order_by: Sequence[str], offset: int, limit: int) -> DataFrame:
+    """Rows ``offset`` to ``offset + limit`` of the ordered frame, by a top-k.
 
-    Near pages are a bounded top-k.  Far ones pick the rows by position, so no
-    task has to hold the rows before the page.
+    Each task keeps ``offset + limit`` rows, so it is meant for the first
+    pages; ``far_page`` holds no rows before the page.
     """
-    order = total_order(df, order_by)
-    if offset + limit <= TOP_K_ROWS:
-        return df.orderBy(*order).offset(offset).limit(limit)
-    return _between(df, order_by, offset, offset + limit, unique).orderBy(*order)
+    return df.orderBy(*sort_columns(total_order(df, order_by))).offset(offset).limit(limit)
 
 
-def _between(df: DataFrame, order_by: Sequence[Column], begin: int, end: int, unique: bool) -> DataFrame:
-    runs = ranged_runs(df, order_by, unique)
-    stop = F.col(_START) + F.col(_COPIES)
-    inside = F.least(stop, F.lit(end)) - F.greatest(F.col(_START), F.lit(begin))
-    hit = started(runs, order_by).where((F.col(_START) < end) & (stop > begin))
-    return expanded(hit, inside, spread=end - begin > _CHUNK and _has_long_run(runs))
+def _before(order: Sequence[tuple[str, bool]], cut: Row) -> Column:
+    """Whether a row comes before ``cut``: NULL first in ascending columns and last in descending ones."""
+    out = F.lit(False)
+    for name, desc in reversed(order):
+        column, value = F.col(f"`{name}`"), cut[name]
+        if value is None:
+            first = column.isNotNull() if desc else F.lit(False)
+            same = column.isNull()
+        else:
+            first = F.coalesce(column > F.lit(value), F.lit(False)) if desc else F.coalesce(column < F.lit(value), F.lit(True))
+            same = F.coalesce(column == F.lit(value), F.lit(False))
+        out = first | (same & out)
+    return out
+
+
+def _same(order: Sequence[tuple[str, bool]], cut: Row) -> Column:
+    return reduce(Column.__and__, [F.col(f"`{name}`").eqNullSafe(F.lit(cut[name])) for name, _ in order])
+
+
+def _parts(df: DataFrame, order: Sequence[tuple[str, bool]], begin: int, end: int, rows: int) -> Iterator[tuple[DataFrame, int, int, bool]]:
+    """Parts of the frame that hold the ordered rows ``begin`` to ``end``, and which of a part's rows are meant.
+
+    A part has few rows, or only equal ones (the last value).  A larger part
+    is cut at sampled rows: one scan samples, one counts rows between the cuts.
+    """
+    begin, end = max(0, begin), min(end, rows)
+    if begin >= end:
+        return
+    if rows <= PART_ROWS or begin == 0 and end == rows:
+        yield df, begin, end, False
+        return
+    draw = _free(df, "draw")
+    sampled = df.withColumn(draw, F.rand()).orderBy(draw).limit(SAMPLED).drop(draw)
+    sample = sampled.orderBy(*sort_columns(order)).collect()  # a bounded number of rows
+    cuts = [sample[len(sample) * (i + 1) // (CUTS + 1)] for i in range(CUTS)]
+    cuts = [cut for i, cut in enumerate(cuts) if i == 0 or cut != cuts[i - 1]]
+    # Even numbers lie between cuts, odd ones are equal to a cut.
+    number = sum((F.when(_before(order, cut), 0).when(_same(order, cut), 1).otherwise(2) for cut in cuts), F.lit(0))
+    at = _free(df, "at")
+    numbered = df.withColumn(at, number)
+    counts = {r[at]: r["count"] for r in numbered.groupBy(at).count().collect()}  # two for each cut
+    done = 0
+    for i in sorted(counts):
+        inside = numbered.where(F.col(at) == i).drop(at)
+        low, high = max(begin - done, 0), min(end - done, counts[i])
+        if low < high:
+            if i % 2:
+                yield inside, low, high, True
+            else:
+                yield from _parts(inside, order, low, high, counts[i])
+        done += counts[i]
+
+
+def _between(df: DataFrame, order: Sequence[tuple[str, bool]], begin: int, end: int) -> DataFrame:
+    out = df.limit(0)
+    for part, low, high, equal in _parts(df, order, begin, end, df.count()):
+        if equal:  # equal rows: any of them will do
+            part = part.limit(high - low)
+        elif low or high < PART_ROWS:
+            part = part.orderBy(*sort_columns(order)).offset(low).limit(high - low)
+        out = out.unionByName(part)
+    return out
+
+
+def far_page(df: DataFrame, order_by: Sequence[str], offset: int, limit: int) -> DataFrame:
+    """Rows ``offset`` to ``offset + limit`` of the ordered frame, wherever the page lies.
+
+    The frame is cut at sampled rows and the rows between cuts are counted,
+    again and again in the part that holds the page, until a part is small.
+    No row is shuffled but the page's own.  The number of scans grows with the
+    logarithm of the frame.
+    """
+    order = total_order(df, order_by)
+    return _between(df, order, offset, offset + limit).orderBy(*sort_columns(order))
 
 
 def sample_exact(df: DataFrame, fraction: float, key: Sequence[str], seed: int) -> DataFrame:
-    """The whole number of rows nearest to the fraction, drawn by a seeded hash of a unique key.
+    """The whole number of rows nearest to the fraction, drawn by a seeded hash of the key.
 
-    Only hashes and keys are put in order, to find the last one drawn.  The
-    same seed draws the same rows on any cluster.
+    The rows with the least hashes are drawn: the last of them is found as a
+    far page of one row.  Rows that repeat a key share a hash; as many of them
+    are drawn as are missing, in the order of their columns.  The same seed
+    draws the same rows on any cluster.
     """
-    texts = [F.col(name).cast("string") for name in key]
-    drawn = df.withColumn("__digest", F.md5(F.concat_ws(":", F.lit(str(seed)), *texts)))
-    places = drawn.select(F.col("__digest").alias("digest"), *key)
-    size = round(fraction * df.count())
+    digest = _free(df, "digest")
+    texts = [F.col(f"`{name}`").cast("string") for name in key]
+    drawn = df.withColumn(digest, F.md5(F.concat_ws(":", F.lit(str(seed)), *texts)))
+    order = total_order(drawn, [digest, *key])
+    rows = drawn.count()
+    size = round(fraction * rows)
     if size == 0:
         return df.limit(0)
-    last = page(places, [F.col("digest")], size - 1, 1, unique=True).first()
-    bound = F.struct(*[F.lit(last[f.name]).cast(f.dataType).alias(f.name) for f in places.schema.fields])
-    return drawn.where(F.struct(F.col("__digest").alias("digest"), *key) <= bound).drop("__digest")
+    last = _between(drawn, order, size - 1, size).first()
+    ahead, same = drawn.where(_before(order, last)), drawn.where(_same(order, last))
+    return ahead.unionByName(same.limit(size - ahead.count())).drop(digest)
 
 
-def sample(df: DataFrame, fraction: float, seed: int) -> DataFrame:
-    """Each row with the given chance; the size is near the fraction, not exact."""
-    return df.sample(withReplacement=False, fraction=fraction, seed=seed)
+def sample(df: DataFrame, fraction: float, key: Sequence[str], seed: int) -> DataFrame:
+    """Each row with the given chance, by a seeded hash of its key: the same rows however the frame is partitioned.
+
+    The size is near the fraction, not exact.
+    """
+    texts = [F.col(f"`{name}`").cast("string") for name in key]
+    head = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *texts)), 1, 8)
+    return df.where(F.conv(head, 16, 10).cast("bigint") < F.lit(int(fraction * 2**32)))
 
 
-def adjacent_duplicates(
-    df: DataFrame, key: Column, order_by: Sequence[Column], unique: bool = False
-) -> DataFrame:
+def adjacent_duplicates(df: DataFrame, key: Column, order_by: Sequence[str]) -> DataFrame:
     """Rows whose key equals the key of the row right after them; the key is added as ``key``."""
-    runs = ranged_runs(df.withColumn("key", key), order_by, unique)
-    # One row per range: at most the number of shuffle partitions.
-    first = F.min_by("key", F.struct(*total_order(runs.drop(_RANGE, _COPIES), order_by)))
-    heads = runs.groupBy(_RANGE).agg(first.alias("__head"))
-    after = heads.select(_RANGE, F.lead("__head").over(Window.orderBy(_RANGE)).alias("__after"))
-    inside = _inside(runs, order_by)
-    linked = runs.withColumns(
-        {"__next": F.lead("key").over(inside), "__last": F.lead(F.lit(False), 1, True).over(inside)}
-    ).join(F.broadcast(after), _RANGE)
-    following = F.when(F.col("__last"), F.col("__after")).otherwise(F.col("__next"))
-    # All copies but the last are followed by a copy of themselves.
-    again = F.when(F.col("key").isNull(), 0).otherwise(F.col(_COPIES) - 1)
-    hits = again + F.coalesce(F.col("key") == following, F.lit(False)).cast("bigint")
-    return expanded(linked.withColumn("__hits", hits), F.col("__hits"), spread=not unique and _has_long_run(runs))
+    keyed = df.withColumn("key", key.cast("string"))
+    ranged, place = _ranged(keyed, order_by)
+    kinds = _free(keyed, "kind")
+    schema = ranged.withColumn(kinds, F.lit(0)).schema
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of a range that the next one repeats (kind 0), its first row (1) and its last one (2)."""
+        held: pa.RecordBatch | None = None  # the row before the batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held is None:
+                yield batch.slice(0, 1).append_column(kinds, pa.array([1], pa.int32()))
+                rows = batch
+            else:
+                rows = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            keys = rows.column("key")
+            again = pc.fill_null(pc.equal(keys.slice(0, rows.num_rows - 1), keys.slice(1)), False)
+            hits = rows.slice(0, rows.num_rows - 1).filter(again)
+            yield hits.append_column(kinds, pa.array([0] * hits.num_rows, pa.int32()))
+            held = rows.slice(rows.num_rows - 1)
+        if held is not None:
+            yield held.append_column(kinds, pa.array([2], pa.int32()))
+
+    found = materialised(ranged.mapInArrow(paired, schema))
+    columns = [F.col(f"`{c}`") for c in keyed.columns]
+    inside = found.where(F.col(kinds) == 0).select(*columns)
+    # Two rows per range: its first and its last row, in the order of ranges.
+    ends = found.where(F.col(kinds) > 0)
+    along = Window.orderBy(F.shiftright(F.col(place), _INSIDE_BITS), kinds)
+    after = _free(ends, "after")
+    linked = ends.withColumn(after, F.lead("key").over(along))
+    across = linked.where((F.col(kinds) == 2) & (F.col("key") == F.col(after))).select(*columns)
+    return inside.unionByName(across)

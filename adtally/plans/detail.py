@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from ..functions import metrics
 from ..functions.dates import MONTH_TEXT
 from ..functions.money import in_currency, partial_sums, settled_as
 from ..functions.scope import in_scope
-from ..operators.ordered import indexed
+from ..operators.ordered import indexed, sort_columns
 from ..schema import CPC_CUTOVER, MEASURES, MONEY, OPTIONAL_MONEY, TOTAL_LABEL
+from ..sources.fact import further
 
 _COLUMNS = (
     "ad_type",
@@ -32,9 +32,12 @@ _COLUMNS = (
 )
 
 
+# Order of lines, pages and line numbers: total line first, then rows by account.
+LINE_ORDER = ("is_total desc", "account", "perf_month", "ad_type")
+
+
 def line_order() -> list[Column]:
-    """Order of pages and line numbers: total line first, then rows by account."""
-    return [F.col("is_total").desc(), F.col("account"), F.col("perf_month"), F.col("ad_type")]
+    return sort_columns([(name.removesuffix(" desc"), name.endswith(" desc")) for name in LINE_ORDER])
 
 
 def detail_lines(
@@ -46,18 +49,19 @@ def detail_lines(
     account: str | None = None,
     ratios: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Total line, then the rows as they are stored, with the ``is_total`` mark and further ratios.
+    """Total line and rows, unordered, with the ``is_total`` mark and further ratios.
 
-    The total line has no account and stands even when no row matches.  It is
-    first because it is the first leg of the union; sorting the rows behind it
-    would move all of them for nothing.
+    The total line has no account and stands even when no row matches.  Columns
+    that the data model doesn't name follow the others; the total has none.
     """
     scoped = df.where(in_scope(ad_type, ym, owner, account, cutover))
     optional = [name for name in OPTIONAL_MONEY if name in df.columns]
+    others = [f"`{name}`" for name in further(df)]
+    kinds = {f"`{name}`": df.schema[name].dataType.simpleString() for name in further(df)}
     carried = ["ad_type", "account", "perf_month", "owner"]
     amounts = [f"{in_currency(n)} as {n}" if n in MONEY else n for n in MEASURES]
     rows = scoped.selectExpr(
-        *carried, *amounts, *[f"{in_currency(n)} as {n}" for n in optional], "0 as is_total"
+        *carried, *amounts, *[f"{in_currency(n)} as {n}" for n in optional], *others, "0 as is_total"
     )
     total = scoped.selectExpr(
         "min(perf_month) as perf_month", "min(owner) as owner", *partial_sums(MEASURES)
@@ -68,16 +72,17 @@ def detail_lines(
         "owner",
         *settled_as(MEASURES),
         *[f"cast(null as double) as {n}" for n in optional],
+        *[f"cast(null as {kinds[n]}) as {n}" for n in others],
         "1 as is_total",
     )
-    return total.unionByName(rows).selectExpr(*_COLUMNS, *optional, *ratios, "is_total")
+    return total.unionByName(rows).selectExpr(*_COLUMNS, *optional, *ratios, *others, "is_total")
 
 
 def detail(df: DataFrame, ad_type: str, ym: str, owner: str, cutover: str = CPC_CUTOVER) -> DataFrame:
-    """Total line first, then the owner's rows."""
-    return detail_lines(df, ad_type, ym, owner, cutover).drop("is_total")
+    """Total line first, then the owner's rows by account."""
+    return detail_lines(df, ad_type, ym, owner, cutover).orderBy(*line_order()).drop("is_total")
 
 
 def indexed_detail(df: DataFrame, ad_type: str, ym: str, owner: str, cutover: str = CPC_CUTOVER) -> DataFrame:
     """Detail with its line number; the total line is 0."""
-    return indexed(detail_lines(df, ad_type, ym, owner, cutover), line_order()).drop("is_total")
+    return indexed(detail_lines(df, ad_type, ym, owner, cutover), LINE_ORDER).drop("is_total")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
 
 from ..functions import metrics
 from ..operators.display import display_format, page_json_records
@@ -34,7 +36,7 @@ def search_detail_lines(
 
 
 def search_detail(df: DataFrame, ad_type: str, ym: str, owner: str, account: str | None = None) -> DataFrame:
-    return search_detail_lines(df, ad_type, ym, owner, account).drop("is_total")
+    return search_detail_lines(df, ad_type, ym, owner, account).orderBy(*detail.line_order()).drop("is_total")
 
 
 def search(
@@ -77,9 +79,9 @@ def _shown(rows: DataFrame) -> DataFrame:
 
 def _lines(
     df: DataFrame, ad_type: str, ym: str | None, owner: str | None, account: str | None
-) -> tuple[DataFrame, list[Column]]:
+) -> tuple[DataFrame, Sequence[str]]:
     if ym is None:
         df = newest_month_rows(df)
     if owner:
-        return search_detail_lines(df, ad_type, ym, owner, account), detail.line_order()
-    return search_summary_lines(df, ad_type, ym, account), summary.line_order()
+        return search_detail_lines(df, ad_type, ym, owner, account), detail.LINE_ORDER
+    return search_summary_lines(df, ad_type, ym, account), summary.LINE_ORDER

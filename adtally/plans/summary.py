@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import metrics
 from ..functions.dates import MONTH_TEXT
 from ..functions.scope import in_scope
-from ..operators.ordered import indexed_within
+from ..operators.ordered import indexed_within, sort_columns
 from ..operators.totals import lines_with_totals
 from ..schema import CPC_CUTOVER, TOTAL_LABEL, TOTAL_OWNER
 
@@ -31,9 +31,12 @@ _COLUMNS = (
 )
 
 
+# Total line first, then owners, within each month.
+LINE_ORDER = ("perf_month", "is_total desc", "owner")
+
+
 def line_order() -> list[Column]:
-    """Total line first, then owners, within each month."""
-    return [F.col("perf_month"), F.col("is_total").desc(), F.col("owner")]
+    return sort_columns([(name.removesuffix(" desc"), name.endswith(" desc")) for name in LINE_ORDER])
 
 
 def summary_lines(

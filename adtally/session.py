@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import atexit
-import shutil
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: list[str] = []
+
 
 def build_session(app: str = "adtally", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution on, skew handling included, and the web page off.
 
-    Dots in setting names are written as double underscores in ``conf``.
+    Shuffles start with many partitions and are put together by their measured
+    size, so that the number follows the data.  Dots in setting names are
+    written as double underscores in ``conf``.
     """
     builder = SparkSession.builder.appName(app)
     if master:
@@ -26,6 +30,7 @@ def build_session(app: str = "adtally", master: str | None = None, **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "2000",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
         **{name.replace("__", "."): value for name, value in conf.items()},
     }
@@ -35,24 +40,46 @@ def build_session(app: str = "adtally", master: str | None = None, **conf: str)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a local master may do without one."""
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        shared = tempfile.mkdtemp(prefix="adtally-")
-        atexit.register(shutil.rmtree, shared, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(shared)
-    return shared
+    """The folder named by ``spark.checkpoint.dir``; where it is unset, one below the warehouse, which is shared too."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return (named or f"{spark.conf.get('spark.sql.warehouse.dir')}/adtally-staging").rstrip("/")
 
 
 def materialised(df: DataFrame) -> DataFrame:
     """The frame as a table written once in the shared folder.
 
     Later jobs read the columns they need from it and never run the plan
-    behind it again, also when executors are lost.  The table lies with the
-    session's checkpoints and goes when that folder is cleared.
+    behind it again, also when executors are lost.  ``release`` removes the
+    tables; it runs when the process ends, and ``released`` removes those of a
+    block of code.
     """
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/adtally-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/adtally-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(since: int = 0) -> None:
+    """Remove the intermediate tables written after the first ``since``; frames over them can't be used any more."""
+    spark = SparkSession.getActiveSession()
+    while spark is not None and len(_written) > since:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def released() -> Iterator[None]:
+    """Removes the intermediate tables of the block when it is left; use or write its frames inside."""
+    since = len(_written)
+    try:
+        yield
+    finally:
+        release(since)
+
+
+@atexit.register
+def _release_at_exit() -> None:
+    try:
+        release()
+    except Exception:  # noqa: BLE001  the session may be gone before the process is
+        pass

@@ -1,11 +1,13 @@
 """Positions, pages, neighbours and samples against plain Python lists."""
 
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from adtally.operators import distinct, ordered
+from adtally.operators import distinct, ordered, totals
+from adtally.session import released, shared_folder
 
 HOT = 700
 
@@ -20,56 +22,93 @@ def copies(spark):
     return frame, sorted(rows, key=lambda r: (r[1], r[0] is not None, r[0] or ""))
 
 
+ORDER = ["n", "name"]
+
+
 def test_positions_are_those_of_the_sorted_list(copies):
     frame, expected = copies
-    placed = {r["idx"]: (r["name"], r["n"]) for r in ordered.indexed(frame, [F.col("n"), F.col("name")]).collect()}
+    placed = {r["idx"]: (r["name"], r["n"]) for r in ordered.indexed(frame, ORDER).collect()}
     assert [placed[i] for i in range(len(expected))] == expected
 
 
-def test_long_runs_unfold_in_chunks(copies, monkeypatch):
-    monkeypatch.setattr(ordered, "_CHUNK", 64)
-    frame, expected = copies
-    placed = {r["idx"]: (r["name"], r["n"]) for r in ordered.indexed(frame, [F.col("n"), F.col("name")]).collect()}
-    assert [placed[i] for i in range(len(expected))] == expected
+def test_equal_rows_are_split_over_ranges(spark, monkeypatch):
+    """All rows are equal, yet no range holds more than its share."""
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        frame = spark.range(4000).selectExpr("1 as a", "'x' as b").repartition(5)
+        ranged, place = ordered._ranged(frame, ["a"])
+        sizes = [r["count"] for r in ranged.groupBy(F.shiftright(place, 33)).count().collect()]
+        assert len(sizes) > 4 and max(sizes) < 1500
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
 
 
-@pytest.mark.parametrize("near", [0, 10_000])
-def test_pages_make_up_the_whole(copies, monkeypatch, near):
-    monkeypatch.setattr(ordered, "TOP_K_ROWS", near)
-    frame, expected = copies
-    got = []
-    for offset in range(0, len(expected) + 400, 400):
-        got += [tuple(r) for r in ordered.page(frame, [F.col("n"), F.col("name")], offset, 400).collect()]
-    assert got == expected
+def test_columns_of_any_name_are_kept(spark):
+    frame = spark.createDataFrame([(2, "b", 1, 5), (1, "a", 1, 6)], "id int, __x string, place int, `t.i e` int")
+    for rows in (ordered.indexed(frame, ["id"]), ordered.far_page(frame, ["id desc"], 0, 5), ordered.page(frame, ["t.i e"], 0, 5)):
+        assert [c for c in rows.columns if c != "idx"] == frame.columns and rows.count() == 2
+    assert ordered.sample_exact(frame, 1.0, ["id"], 1).columns == frame.columns
+
+
+def test_positions_need_one_exchange_of_the_rows(copies):
+    frame, _ = copies
+    ranged, _ = ordered._ranged(frame, ORDER)
+    plan = ranged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange rangepartitioning") == 1 and "hashpartitioning" not in plan
 
 
-def test_page_past_the_end_is_empty(copies):
+@pytest.mark.parametrize("part", [40, 100_000])
+def test_pages_make_up_the_whole(copies, monkeypatch, part):
+    monkeypatch.setattr(ordered, "PART_ROWS", part)
     frame, expected = copies
-    assert ordered.page(frame, [F.col("n")], len(expected), 15).count() == 0
-    assert ordered.page(frame, [F.col("n")], 1_000_000, 15).count() == 0
+    for turn in (ordered.page, ordered.far_page):
+        got = []
+        for offset in range(0, len(expected) + 700, 700):
+            got += [tuple(r) for r in turn(frame, ORDER, offset, 700).collect()]
+        assert got == expected
 
 
-def test_descending_page(copies):
+@pytest.mark.parametrize("turn", [ordered.page, ordered.far_page])
+def test_page_past_the_end_is_empty(copies, turn):
     frame, expected = copies
-    page = ordered.page(frame, [F.col("n").desc(), F.col("name")], 0, 3).collect()
-    assert [r["n"] for r in page] == [expected[-1][1]] * 3
+    assert turn(frame, ["n"], len(expected), 15).count() == 0
+    assert turn(frame, ["n"], 1_000_000, 15).count() == 0
+    assert turn(frame.limit(0), ["n"], 0, 15).count() == 0
 
 
-@pytest.mark.parametrize("unique", [False, True])
-def test_adjacent_duplicates(spark, unique):
+def test_descending_far_page_with_nulls_last(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "PART_ROWS", 10)
+    rows = [(None if i % 5 == 0 else i % 17, i) for i in range(300)]
+    frame = spark.createDataFrame(rows, "a int, b int").repartition(4)
+    expected = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    got = [tuple(r) for offset in range(0, 300, 60) for r in ordered.far_page(frame, ["a desc"], offset, 60).collect()]
+    assert got == expected
+
+
+def test_a_far_page_shuffles_no_rows(copies, monkeypatch):
+    monkeypatch.setattr(ordered, "PART_ROWS", 40)
+    frame, _ = copies
+    plan = ordered.far_page(frame, ORDER, 900, 15)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan or "GlobalLimit" in plan
+    assert plan.count("rangepartitioning") <= 1  # of the page's own rows
+
+
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_adjacent_duplicates(spark, partitions):
     rng = random.Random(9)
     keys = [rng.choice(["a]x", "a]y", "b", None, "c"]) for _ in range(500)]
     rows = [(place, key) for place, key in enumerate(keys)]
-    frame = spark.createDataFrame(rows, "place int, title string").repartition(5)
+    frame = spark.createDataFrame(rows, "place int, title string").repartition(partitions)
     prefix = F.substring_index("title", "]", 1)
-    got = ordered.adjacent_duplicates(frame, prefix, [F.col("place")], unique).select("place").collect()
+    got = ordered.adjacent_duplicates(frame, prefix, ["place"]).select("place").collect()
     cut = [key and key.split("]")[0] for key in keys]
     assert sorted(r["place"] for r in got) == [i for i in range(499) if cut[i] is not None and cut[i] == cut[i + 1]]
 
 
 def test_adjacent_copies_of_a_row(spark):
     frame = spark.createDataFrame([(1, "a")] * 5 + [(2, "a"), (3, "b"), (4, None), (4, None)], "place int, title string")
-    got = ordered.adjacent_duplicates(frame, F.col("title"), [F.col("place")]).collect()
+    got = ordered.adjacent_duplicates(frame, F.col("title"), ["place"]).collect()
     assert sorted((r["place"], r["title"]) for r in got) == [(1, "a")] * 5
 
 
@@ -81,8 +120,28 @@ def test_exact_sample(spark):
     assert len(first) == 330 and first == again and first != other
 
 
-def test_random_sample_is_near_the_fraction(spark):
-    assert 250 < ordered.sample(spark.range(1000).toDF("id"), 0.33, 3).count() < 410
+def test_exact_sample_of_repeated_keys(spark):
+    """Rows that share a key, and equal rows, still give the exact size."""
+    frame = spark.range(900).selectExpr("id % 3 as key", "if(id % 2 = 0, 0L, id) as v")
+    assert ordered.sample_exact(frame, 0.25, ["key"], 7).count() == 225
+
+
+def test_sample_does_not_depend_on_partitions(spark):
+    frame = spark.range(1000).toDF("id")
+    drawn = {r["id"] for r in ordered.sample(frame, 0.33, ["id"], 3).collect()}
+    assert 250 < len(drawn) < 410
+    assert drawn == {r["id"] for r in ordered.sample(frame.repartition(7), 0.33, ["id"], 3).collect()}
+
+
+def test_intermediate_tables_are_removed(spark, copies, tmp_path):
+    frame, _ = copies
+    folder = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    with released():
+        ordered.indexed(frame, ORDER).count()
+        ordered.adjacent_duplicates(frame, F.col("name"), ORDER).count()
+        assert set(os.listdir(folder)) - before
+    assert not set(os.listdir(folder)) - before
 
 
 def test_first_and_last_row_of_a_hot_key(spark):
@@ -92,3 +151,9 @@ def test_first_and_last_row_of_a_hot_key(spark):
     last = {r["key"]: r["place"] for r in distinct.last_per_key(frame, ["key"], ["place"]).collect()}
     assert first == {"hot": 0, "cold": 5} and last == {"hot": 899, "cold": 6}
     assert distinct.dedupe_counts(frame, "key", ["place"]).first().asDict() == {"key": 2, "place": 2, "v": 1}
+
+
+def test_names_with_dots_and_spaces(spark):
+    frame = spark.createDataFrame([("a", 1, 5), ("a", 2, 6)], "`k.e y` string, `o-r` int, `v 1` int")
+    assert [tuple(r) for r in distinct.last_per_key(frame, ["k.e y"], ["o-r"]).collect()] == [("a", 2, 6)]
+    assert totals.group_totals(frame, ["k.e y"], ["v 1"]).first()["v 1"] == 11
