@@ -6,18 +6,19 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 
-from .money import to_units
-
-# Amounts beyond it do not fit fixed-point.
-_LARGEST = "9e14"
+from .money import representable, rounded_units
 
 
 def money_cell(text: str) -> tuple[str, str]:
-    """Fixed-point amount and whether the cell is bad; an empty cell is no amount, nothing bad."""
-    number = f"nullif(try_cast({text} as double), double('NaN'))"
-    finite = f"if(abs({number}) < {_LARGEST}, {number}, null)"
+    """Fixed-point amount and whether the cell is bad; an empty cell is no amount, nothing bad.
+
+    A number that fixed-point can't hold (9.2e14 or more, or more than four
+    places) is bad, as is text.
+    """
+    number = f"try_cast({text} as double)"
+    held = f"if(coalesce({representable(number)}, false), {number}, null)"
     empty = f"(({text}) is null or lower(trim({text})) in ('', 'nan'))"
-    return f"if({empty}, 0L, {to_units(finite)})", f"(not {empty} and {finite} is null)"
+    return f"if({empty}, 0L, {rounded_units(held)})", f"(not {empty} and {held} is null)"
 
 
 def count_cell(text: str) -> tuple[str, str]:

@@ -12,12 +12,31 @@ _LOW_BITS = 20
 _LOW_MASK = (1 << _LOW_BITS) - 1
 
 
-def to_units(amount: str, units: int = MONEY_UNITS) -> str:
+# Amounts beyond it don't fit a bigint of 1/10,000 of the unit; a double's own error grows with the amount.
+LARGEST = 9.2e14
+_OWN_ERROR = "greatest(0.001D, abs({}) * 1e-12D)"
+
+
+def rounded_units(amount: str, units: int = MONEY_UNITS) -> str:
     """Currency amount (double or decimal) to fixed-point, halves away from zero."""
     scaled = f"(cast({amount} as double) * {units})"
     return f"if({scaled} < 0, -floor(0.5D - {scaled}), floor({scaled} + 0.5D))"
 
 
+def representable(amount: str, units: int = MONEY_UNITS) -> str:
+    """Whether an amount is finite, below 9.2e14 in size, and has no more places than fixed-point."""
+    value = f"cast({amount} as double)"
+    scaled = f"({value} * {units})"
+    exact = f"abs({scaled} - round({scaled})) <= {_OWN_ERROR.format(scaled)}"
+    return f"(not isnan({value}) and abs({value}) < {LARGEST:.1e}D and {exact})"
+
+
+def to_units(amount: str, units: int = MONEY_UNITS) -> str:
+    """``rounded_units`` of an amount that can be held exactly; any other amount ends the job with an error."""
+    refused = f"raise_error(concat('amount {amount.replace(chr(39), '')} of ', cast({amount} as string), ' does not fit fixed-point'))"
+    return f"case when ({amount}) is null then null when {representable(amount, units)} then {rounded_units(amount, units)} else {refused} end"
+
+
 def in_currency(units: str) -> str:
     """Fixed-point as double currency."""
     return f"(cast({units} as double) / {MONEY_UNITS}D)"
@@ -27,12 +46,12 @@ def partial_sums(measures: Iterable[str], when: str | None = None, prefix: str =
     """Aggregates that hold exact partial sums of measures, optionally of matching rows only."""
     parts = []
     for name in measures:
-        value = name if when is None else f"if({when}, {name}, null)"
+        value = f"`{name}`" if when is None else f"if({when}, `{name}`, null)"
         if name in MONEY:
-            parts.append(f"sum(shiftright({value}, {_LOW_BITS})) as {prefix}{name}__high")
-            parts.append(f"sum({value} & {_LOW_MASK}L) as {prefix}{name}__low")
+            parts.append(f"sum(shiftright({value}, {_LOW_BITS})) as `{prefix}{name}__high`")
+            parts.append(f"sum({value} & {_LOW_MASK}L) as `{prefix}{name}__low`")
         else:
-            parts.append(f"sum({value}) as {prefix}{name}")
+            parts.append(f"sum({value}) as `{prefix}{name}`")
     return parts
 
 
@@ -41,20 +60,20 @@ def merged_sums(measures: Iterable[str], prefix: str = "") -> list[str]:
     names = []
     for name in measures:
         names += [f"{prefix}{name}__high", f"{prefix}{name}__low"] if name in MONEY else [f"{prefix}{name}"]
-    return [f"sum({name}) as {name}" for name in names]
+    return [f"sum(`{name}`) as `{name}`" for name in names]
 
 
 def settled(name: str, prefix: str = "") -> str:
     """Final value of a partial sum: money as double currency, counts as they are."""
     if name not in MONEY:
-        return f"{prefix}{name}"
-    high = f"cast({prefix}{name}__high as decimal(20,0))"
-    low = f"cast({prefix}{name}__low as decimal(20,0))"
+        return f"`{prefix}{name}`"
+    high = f"cast(`{prefix}{name}__high` as decimal(20,0))"
+    low = f"cast(`{prefix}{name}__low` as decimal(20,0))"
     return f"cast(({high} * {1 << _LOW_BITS}BD + {low}) * {1 / MONEY_UNITS:.4f}BD as double)"
 
 
 def settled_as(measures: Iterable[str]) -> list[str]:
-    return [f"{settled(name)} as {name}" for name in measures]
+    return [f"{settled(name)} as `{name}`" for name in measures]
 
 
 def round2(value: str) -> str:

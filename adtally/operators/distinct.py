@@ -21,11 +21,13 @@ def last_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) ->
 
 
 def _edge_row(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], pick: str) -> DataFrame:
-    rest = [name for name in df.columns if name not in keys]
-    row = F.expr(f"{pick}(struct({', '.join(rest)}), struct({', '.join(order_by)})) as row")
-    return df.groupBy(*keys).agg(row).select(*keys, "row.*").select(*df.columns)
+    rest = [F.col(f"`{name}`") for name in df.columns if name not in keys]
+    row = (F.min_by if pick == "min_by" else F.max_by)(F.struct(*rest), F.struct(*[F.col(f"`{name}`") for name in order_by]))
+    named = [F.col(f"`{name}`") for name in keys]
+    kept = df.groupBy(*named).agg(row.alias("row")).select(*named, "row.*")
+    return kept.select(*[F.col(f"`{name}`") for name in df.columns])
 
 
 def dedupe_counts(df: DataFrame, key: str, order_by: Sequence[str]) -> DataFrame:
     """Non-null values per column once only the first row of each key is kept."""
-    return first_per_key(df, [key], order_by).selectExpr(*[f"count({name}) as {name}" for name in df.columns])
+    return first_per_key(df, [key], order_by).selectExpr(*[f"count(`{name}`) as `{name}`" for name in df.columns])

@@ -27,6 +27,7 @@ def aggregated(
     df: DataFrame, by: Sequence[str], aggregates: Sequence[str], results: Sequence[str] = ("*",)
 ) -> DataFrame:
     """Grouped aggregates, and result expressions over them, written as SQL text."""
+    by = [f"`{name}`" for name in by]
     keys = ", ".join(by)
     return over(
         df,
@@ -37,12 +38,12 @@ def aggregated(
 
 def group_totals(df: DataFrame, by: Sequence[str], measures: Sequence[str] = MEASURES) -> DataFrame:
     """Sums of the measures per group; money comes out as double currency."""
-    return aggregated(df, by, partial_sums(measures), [*by, *settled_as(measures)])
+    return aggregated(df, by, partial_sums(measures), [*[f"`{name}`" for name in by], *settled_as(measures)])
 
 
 def month_totals(df: DataFrame, by: Sequence[str], measures: Sequence[str] = MEASURES) -> DataFrame:
     """Sums of the measures per month and further columns, the month as text."""
-    results = [MONTH_TEXT, *by, *settled_as(measures)]
+    results = [MONTH_TEXT, *[f"`{name}`" for name in by], *settled_as(measures)]
     return aggregated(df, ["perf_month", *by], partial_sums(measures), results)
 
 

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import in_month, month_text
+from ..schema import SOURCE_COLUMNS
 from ..sources.fact import in_currency
 
 # Fixed value: file name stem of an extract.
 FILE_STEM = "base_data"
-LONG_NAMES = {"实际总毛利对比(正值为毛利增加)": "gross_margin_delta"}
+LONG_NAMES = {name: short for name, short in SOURCE_COLUMNS.items() if short == "gross_margin_delta"}
 
 
 def month_extract(df: DataFrame, ym: str) -> DataFrame:

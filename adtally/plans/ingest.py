@@ -29,11 +29,13 @@ def report_sums(
     A bad cell in any placement counts.  Sites without the placement give no row.
     """
     bad = "sum(bad_cells)" if "bad_cells" in reports.columns else "0L"
-    results = [*keys, *settled_as(_SUMMED), "bad_report", "true as has_report"]
+    missing = "max(missing_headers)" if "missing_headers" in reports.columns else "0"
+    results = [*keys, *settled_as(_SUMMED), "bad_report", "missing_headers", "true as has_report"]
+    marks = [f"{bad} as bad_report", f"{missing} as missing_headers"]
     if placement is None:
-        return aggregated(reports, keys, [*partial_sums(_SUMMED), f"{bad} as bad_report"], results)
+        return aggregated(reports, keys, [*partial_sums(_SUMMED), *marks], results)
     rows = reports.withColumn("placed", F.col("placement") == placement)
-    aggregates = [*partial_sums(_SUMMED, "placed"), f"{bad} as bad_report", "bool_or(placed) as has_placement"]
+    aggregates = [*partial_sums(_SUMMED, "placed"), *marks, "bool_or(placed) as has_placement"]
     return aggregated(rows, keys, aggregates, [*results, "has_placement"]).where("has_placement").drop("has_placement")
 
 
@@ -59,7 +61,7 @@ def site_kpis(
     Revenue is rounded before the ratios are taken, spend is not.  ``load_date``
     is SQL text.
     """
-    sums = report_sums(reports, keys, placement).where("bad_report = 0")
+    sums = report_sums(reports, keys, placement).where("bad_report = 0 and missing_headers = 0")
     boards = _dashboards(dashboards, keys).where("bad_dashboard = 0")
     sites = renamed_kpis(sums.join(boards, list(keys)))
     rounded = {name: F.expr(round2(name)) for name in ("Revenue", "account_Revenue")}
@@ -89,6 +91,7 @@ def rejects(reports: DataFrame, dashboards: DataFrame, keys: Sequence[str] = DEF
     sites = report_sums(reports, keys).join(_dashboards(dashboards, keys), list(keys), "full_outer")
     reason = """case when has_report is null then 'no ad report'
         when has_dashboard is null then 'no dashboard'
+        when missing_headers > 0 then 'missing column in ad report'
         when bad_report > 0 then 'bad value in ad report'
         when bad_dashboard > 0 then 'bad value in dashboard' end"""
     return sites.selectExpr(*keys, f"{reason} as reason").where("reason is not null")

@@ -15,7 +15,10 @@ def from_source(df: DataFrame, account_column: str) -> DataFrame:
 
 
 def normalised(df: DataFrame) -> DataFrame:
-    """Currency amounts to fixed-point, months to their first day, ad types to codes."""
+    """Currency amounts to fixed-point, months to their first day, ad types to codes; all other columns as they are.
+
+    An amount that fixed-point can't hold ends the job with an error.
+    """
     codes = " ".join(f"when '{name}' then '{code}'" for name, code in SOURCE_AD_TYPES.items())
     return df.selectExpr(
         f"case ad_type {codes} else ad_type end as ad_type",
@@ -24,9 +27,16 @@ def normalised(df: DataFrame) -> DataFrame:
         "owner",
         *[f"{money.to_units(name)} as {name}" for name in _money(df)],
         *[f"cast({name} as bigint) as {name}" for name in COUNTS],
+        *[f"`{name}`" for name in further(df)],
     )
 
 
+def further(df: DataFrame) -> list[str]:
+    """Columns that the data model doesn't name."""
+    known = {*FACT.fieldNames(), *OPTIONAL_MONEY}
+    return [name for name in df.columns if name not in known]
+
+
 def in_currency(df: DataFrame) -> DataFrame:
     """Fact rows with money as double currency."""
     amounts = _money(df)
@@ -64,9 +74,14 @@ def write_fact(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     )
 
 
-def read_fact(spark: SparkSession, path: str, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Fact frame from its stored form; ``extra`` names optional money columns."""
-    schema = T.StructType([*FACT.fields, *[T.StructField(name, T.LongType()) for name in extra]])
+def read_fact(spark: SparkSession, path: str) -> DataFrame:
+    """Fact frame from its stored form: the declared columns, and all others that any stored file has.
+
+    The files' schemas are merged, so that months written with more columns keep them.
+    """
+    stored = spark.read.option("mergeSchema", True).parquet(path)
+    held = {field.name: field for field in stored.schema.fields}
+    schema = T.StructType([*FACT.fields, *[held[name] for name in held if name not in FACT.fieldNames()]])
     return spark.read.schema(schema).parquet(path)
 
 

@@ -14,6 +14,7 @@ from ..functions.casts import cast_cells
 from ..functions.money import in_currency
 from ..functions.text import is_uploaded_site
 from ..operators.distinct import last_per_key
+from ..operators.reshape import envelope_rows
 from ..schema import DASHBOARD_CELLS, DASHBOARD_ROW, REPORT_COUNTS, REPORT_MONEY
 
 # Marks in the names of landed files.
@@ -25,7 +26,8 @@ AD_REPORT = "ad_report"
 DASHBOARD = "dashboard"
 
 # A site's folder lies in its shop's folder, whose name is the site's without the last three characters.
-_SITE = r"/([^/]+)/(\1[^/]{3})/"
+# Folders are looked at from the file upwards, so that a root of that form is not taken for a site's.
+_SITE = r"^.*/([^/]+)/(\1[^/]{3})/"
 
 
 def file_kind(name: str) -> str:
@@ -36,7 +38,7 @@ def file_kind(name: str) -> str:
 
 
 def site_of(path: str) -> str:
-    """Site in a path, NULL where no folder lies in its shop's folder."""
+    """Site in a path: the deepest folder that lies in its shop's folder, NULL where none does."""
     return f"nullif(regexp_extract({path}, r'{_SITE}', 2), '')"
 
 
@@ -65,7 +67,11 @@ def latest_file_per_site(files: DataFrame) -> DataFrame:
 
 
 def read_ad_reports(spark: SparkSession, root: str) -> DataFrame:
-    """Rows of the newest ad report of each site, cells taken by header name, bad cells counted."""
+    """Rows of the newest ad report of each site, cells taken by header name, bad cells counted.
+
+    ``missing_headers`` is the number of needed columns that the file doesn't
+    have; an empty cell under a header is not missing.
+    """
     cells = (
         spark.read.option("header", True)
         .option("singleVariantColumn", "cells")
@@ -75,8 +81,11 @@ def read_ad_reports(spark: SparkSession, root: str) -> DataFrame:
     )
     texts = [f"{_cell(name)} as `{name}`" for name in (*REPORT_MONEY, *REPORT_COUNTS)]
     rows = _newest(spark, root, _described(cells, AD_REPORT))
-    rows = rows.selectExpr("account", f"{_cell('Placement')} as placement", *texts)
-    return cast_cells(rows, REPORT_MONEY, REPORT_COUNTS, keep=("account", "placement"))
+    needed = ("Placement", *REPORT_MONEY, *REPORT_COUNTS)
+    held = " + ".join(f"int(array_contains(headers, '{name}'))" for name in needed)
+    rows = rows.withColumn("headers", F.expr("json_object_keys(cast(cells as string))"))
+    rows = rows.selectExpr("account", f"{_cell('Placement')} as placement", f"{len(needed)} - ({held}) as missing_headers", *texts)
+    return cast_cells(rows, REPORT_MONEY, REPORT_COUNTS, keep=("account", "placement", "missing_headers"))
 
 
 def _cell(header: str) -> str:
@@ -107,6 +116,33 @@ def _newest(spark: SparkSession, root: str, rows: DataFrame) -> DataFrame:
     return rows.join(newest, "file", "left_semi")
 
 
+def read_records(spark: SparkSession, path: str, record: T.StructType, field: str = "data_list") -> DataFrame:
+    """Records of all landed API replies, one JSON object per file; many tasks share a large reply.
+
+    Records are flat, so a file is read as the texts between closing braces,
+    which Spark splits at any place.  Where such a text is neither a record nor
+    what stands before or after the records, its whole file is read as one
+    object instead, as ``read_envelopes`` does.
+    """
+    texts = spark.read.option("lineSep", "}").option("recursiveFileLookup", True).text(path)
+    pieces = texts.selectExpr("value", "_metadata.file_path as file")
+    start = rf"""(?s)^\s*(\{{[^{{]*"{field}"\s*:\s*\[\s*|,\s*)\{{([^{{]*)$"""
+    pieces = pieces.withColumn("inner", F.regexp_extract("value", start, 2)).withColumn("is_record", F.regexp_like("value", F.lit(start)))
+    marked = T.StructType([*record.fields, T.StructField("_broken", T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
+    parsed = F.when(F.col("is_record"), F.from_json(F.concat(F.lit("{"), "inner", F.lit("}")), marked, options))
+    pieces = pieces.withColumn("record", parsed)
+    rest = rf"""(?s)^\s*(\][^{{\[]*|\{{[^{{]*"{field}"\s*:\s*\[\s*\][^{{\[]*)?$"""
+    odd = (F.col("is_record") & F.col("record._broken").isNotNull()) | (~F.col("is_record") & ~F.regexp_like("value", F.lit(rest)))
+    whole = pieces.where(odd).select(F.col("file").alias("odd_file")).distinct()
+    names = [F.col(f"record.`{name}`") for name in record.fieldNames()]
+    flat = pieces.where("is_record").join(whole, F.col("file") == F.col("odd_file"), "left_anti").select(*names)
+    envelope = T.StructType([T.StructField(field, T.ArrayType(record))])
+    replies = spark.read.schema(envelope).option("multiLine", True).option("recursiveFileLookup", True).json(path)
+    replies = replies.select("*", F.col("_metadata.file_path").alias("file")).join(whole, F.col("file") == F.col("odd_file"), "left_semi")
+    return flat.unionByName(envelope_rows(replies, field))
+
+
 def read_envelopes(spark: SparkSession, path: str, record: T.StructType, field: str = "data_list") -> DataFrame:
     """Landed API replies, one JSON object per file, with their records as an array."""
     envelope = T.StructType([T.StructField(field, T.ArrayType(record))])

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.dates import in_month
-from ..functions.money import to_units
-from ..schema import AFFILIATE, DIRECT, FACT, RECOMMEND
+from ..functions.money import rounded_units
+from ..schema import AFFILIATE, DIRECT, FACT, MEASURES, RECOMMEND
 
 # Declared, so that no footer has to be read before a plan is made.
 TABLES = {
@@ -24,7 +25,7 @@ TABLES = {
     "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
 }
 
-_CENTS = {"p": to_units("l_extendedprice", 100), "d": to_units("l_discount", 100), "t": to_units("l_tax", 100)}
+_CENTS = {"p": rounded_units("l_extendedprice", 100), "d": rounded_units("l_discount", 100), "t": rounded_units("l_tax", 100)}
 _FACTS = {
     "ad_type": f"case l_returnflag when 'R' then '{AFFILIATE}' when 'A' then '{DIRECT}' else '{RECOMMEND}' end",
     "perf_month": "cast(trunc(l_shipdate, 'month') as date)",
@@ -49,23 +50,35 @@ def ad_base(
     root: str,
     columns: Iterable[str] | None = None,
     ym: str | None = None,
+    further: Iterable[str] = (),
+    summed: bool = False,
 ) -> DataFrame:
-    """Fact frame with the asked columns, of one month or of all.
+    """Fact frame with the asked columns, of one month or of all, and ``further`` columns of the order lines as they are.
 
     Every order line is one fact row.  Suppliers and nations only describe
     lines, so they are left-joined on their primary keys, and only where a
     described column is asked for.  No side is marked for broadcast: suppliers
     grow with the data, and adaptive execution chooses by measured size.  The
     month is tested on the ship date itself so that it reaches the scan.
+
+    ``summed`` adds up the measures of each supplier and of the other asked
+    columns before the suppliers are joined, for reports that only sum: then
+    sums meet the suppliers instead of order lines.  A sum that a bigint can't
+    hold ends the job with an error.
     """
-    asked = list(columns or FACT.fieldNames())
+    further = list(further)
+    asked = [*(columns or FACT.fieldNames()), *further]
     described = [name for name in asked if name in ("account", "owner")]
     lines = table(spark, root, "lineitem")
     if ym is not None:
         lines = lines.where(in_month("l_shipdate", ym))
     facts = lines.selectExpr("*", *[f"{cents} as {name}" for name, cents in _CENTS.items()]).selectExpr(
-        *[f"{_FACTS[name]} as {name}" for name in asked if name in _FACTS], *(["l_suppkey"] if described else [])
+        *[f"{_FACTS[name]} as {name}" for name in asked if name in _FACTS], *further, *(["l_suppkey"] if described else [])
     )
+    if summed:
+        keys = [name for name in facts.columns if name not in MEASURES]
+        totals = [f"sum(`{name}`) as `{name}`" for name in facts.columns if name in MEASURES]
+        facts = facts.groupBy(*keys).agg(*[F.expr(total) for total in totals])
     if described:
         sites = table(spark, root, "supplier").selectExpr("s_suppkey as l_suppkey", "s_nationkey", _ACCOUNT)
         facts = facts.join(sites, "l_suppkey", "left")
