@@ -18,7 +18,7 @@ BASE = """ad_base as (
          n_name owner,
          p*d spend, p*(1-d) ad_revenue, p*(1+t) store_revenue,
          p*(2*t-d) store_profit, p*t non_ad_profit, p*(t-d) ad_profit,
-         cast(l_linenumber as bigint) ad_orders, cast(l_quantity as bigint) clicks
+         cast(l_linenumber as bigint) ad_orders, cast(l_quantity as bigint) clicks, l_orderkey, l_linestatus
   from (select *, cast(l_extendedprice as decimal(12,2)) p,
                cast(l_discount as decimal(4,2)) d, cast(l_tax as decimal(4,2)) t from lineitem) l
   left join supplier on l_suppkey = s_suppkey
@@ -100,16 +100,21 @@ def detail_lines(where: str, extra: str = "") -> str:
 scoped as (select * from ad_base where {where}),
 lines as (
   select 0 is_total, ad_type, account, {columns}
-  from (select ad_type, account, perf_month, owner, {rows(MEASURES)} from scoped)
+  from (select ad_type, account, perf_month, owner, {rows(MEASURES)}, l_orderkey, l_linestatus from scoped)
   union all
   select 1 is_total, 'TOTAL' as ad_type, cast(null as varchar) as account, {columns}
-  from (select min(perf_month) perf_month, min(owner) as owner, {sums()} from scoped))"""
+  from (select min(perf_month) perf_month, min(owner) as owner, {sums()}, cast(null as bigint) l_orderkey,
+               cast(null as varchar) l_linestatus from scoped))"""
 
 
 DETAIL_ORDER = "is_total desc, account nulls first, perf_month, ad_type"
 
 
+FURTHER = ", l_orderkey, l_linestatus"
+
+
 def detail(where: str, extra: str = "") -> str:
+    extra += FURTHER
     return over_base(
         f"select * exclude (is_total) from lines order by {DETAIL_ORDER}", detail_lines(where, extra)
     )
@@ -198,12 +203,28 @@ def trend(show) -> str:
     return over_base(f"select {MONTH}, * exclude (perf_month), {rois} from months order by 1", TREND)
 
 
-YEARS = range(1995, 2002)
+PAGE_COLUMNS = (
+    "ad_type", "perf_month", "spend", "acos", "ad_revenue", "store_revenue", "spend_share", "ad_revenue_share", "store_profit",
+    "non_ad_profit", "ad_profit", "cpc", "roi", "cr", "owner",
+)
+
+
+def page_json(offset: int) -> str:
+    """One row: all lines counted, and the page's lines as a JSON array."""
+    cells = ", ".join(f"{c} := {shown(c) if c in (*MONEY, 'cpc', 'roi', 'cr') else f"coalesce({c}, '')"}" for c in PAGE_COLUMNS)
+    order = "perf_month, is_total desc, owner nulls first"
+    return over_base(
+        f"""select (select count(*) from lines) as total,
+  '[' || coalesce(string_agg(cast(to_json(struct_pack({cells})) as varchar), ',' order by {order}), '') || ']' as rows
+from (select * from lines order by {order} limit 15 offset {offset})""",
+        summary_lines(f"ad_type = 'DIRECT' and {YM_RANGE}", "DIRECT"),
+    )
+
 
 SQL: dict[str, str] = {
     "fact_scan": over_base(f"select {MONTH}, ad_type, account, owner, {rows(MEASURES)} from ad_base"),
     "month_extract": over_base(
-        f"select {MONTH}, ad_type, account, owner, {rows(MEASURES)} from ad_base where {YM_RANGE}"
+        f"select {MONTH}, ad_type, account, owner, {rows(MEASURES)}, l_orderkey, l_linestatus from ad_base where {YM_RANGE}"
     ),
     "filter_month": over_base(f"select {MONTH}, ad_type, {rows(('spend', 'clicks'))} from ad_base where {YM_RANGE}"),
     "filter_ad_type": over_base(
@@ -240,11 +261,13 @@ select source, cast(sum(case when cell = '' then 0 else try_cast(cell as decimal
        cast(sum(case when cell <> '' and try_cast(cell as double) is null then 1 else 0 end)
             + sum(case when try_cast(cell as bigint) is null then 1 else 0 end) as bigint) as bad_cells
 from cells group by source""",
-    "json_envelope_rows": "select event_id, cast(json_extract(props, '$.k') as bigint) as k from events",
+    "json_envelope_rows": """select event_id, case when event_id % 4 = 2 and place = 2 then null
+         else cast(json_extract(props, '$.k') as bigint) end as k
+from events join range(1, 4) records(place) on place <= event_id % 4 where event_id % 50 <> 7""",
     "json_envelope_campaign": over_base(
         """select account as account_name, cast(store_revenue as double) as store_revenue,
 cast(spend as double) as spend, clicks, ad_orders * 2 as store_units_sold, clicks * 20 as impression,
-ad_orders as store_orders from ad_base"""
+case when clicks % 10 = 0 then null else ad_orders end as store_orders from ad_base"""
     ),
     "json_envelope_store": over_base(
         """select account as account_name, account_revenue, visitors as product_visitors, buyers, orders,
@@ -318,20 +341,10 @@ store_profit, non_ad_profit, ad_profit, ad_profit_share, ad_revenue_share, ad_or
         "limit 15",
         "* exclude (is_total, clicks)",
     ),
-    "page_json_records": over_base(
-        "select total, cast(to_json(struct_pack("
-        + ", ".join(
-            f"{c} := {shown(c) if c in (*MONEY, 'cpc', 'roi', 'cr') else f'''coalesce({c}, '')'''}"
-            for c in (
-                "ad_type", "perf_month", "spend", "acos", "ad_revenue", "store_revenue", "spend_share",
-                "ad_revenue_share", "store_profit", "non_ad_profit", "ad_profit", "cpc", "roi", "cr", "owner",
-            )
-        )
-        + """)) as varchar) as record
-from (select *, (select count(*) from lines) total from lines
-      order by perf_month, is_total desc, owner nulls first limit 15)""",
-        summary_lines(f"ad_type = 'DIRECT' and {YM_RANGE}", "DIRECT"),
-    ),
+    "page_json_records": page_json(0),
+    "page_json_past_the_end": page_json(100_000),
+    "sample_fraction": f"""select event_id, user_id, event_type from events
+where ('0x' || substr(md5('7:' || event_id), 1, 8))::bigint < {int(0.33 * 2**32)}""",
     "json_values": over_base(
         """select cast(json_array(ad_type, strftime(perf_month, '%Y-%m'), clicks, ad_orders) as varchar) as record
 from ad_base"""
@@ -365,7 +378,7 @@ where place <= round_even(0.33 * total, 0)""",
   select coalesce(case when owner not like 'NATION\\_2%' escape '\\' then owner end, 'OTHER') as category,
          'y' || year(perf_month) as period,
          {whole('cast(ad_revenue as double)')} cell
-  from ad_base where ad_revenue <> 0 and year(perf_month) between {YEARS[0]} and {YEARS[-1]})
+  from ad_base where ad_revenue <> 0)
 group by category, period having sum(cell) > 1000 order by category desc, period"""
     ),
     "scalar_strings": """select event_id, replace(substring(strftime(ts, '%Y-%m-%d'), 3, 8), '-', '') as short_period,
@@ -379,8 +392,16 @@ from orders""",
     "ingest_site_kpis": kpis_by_month(ingest_parts("up"), kpis("up")),
     "placement_kpis": kpis_by_month(ingest_parts("up"), kpis("up", where="placement = 'Sponsored Search'")),
     "ingest_rejects": over_base(
-        f"""select {MONTH}, account, 'no ad report' as reason from up_boards
-where (perf_month, account) not in (select (perf_month, account) from up_reports)""",
+        f"""select {MONTH}, account, reason from (
+  select coalesce(r.perf_month, b.perf_month) perf_month, coalesce(r.account, b.account) account,
+    case when r.account is null then 'no ad report' when b.account is null then 'no dashboard'
+         when missing > 0 then 'missing column in ad report' when r.bad > 0 then 'bad value in ad report'
+         when b.bad > 0 then 'bad value in dashboard' end reason
+  from (select perf_month, account, count(*) filter (clicks = 13) bad, count(*) filter (account like '%7-my') missing
+        from up_reports group by all) r
+  full join (select perf_month, account, cast(orders % 11 = 0 as int) bad from up_boards where account not like '%3-th') b
+    on r.perf_month = b.perf_month and r.account = b.account)
+where reason is not null""",
         ingest_parts("up"),
     ),
     "kpi_column_rename": kpis_by_month(

@@ -5,6 +5,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from adtally.functions.casts import cast_cells
 from adtally.functions import dates, metrics, money, scope, text
 from adtally.operators import display, reshape, totals
 from adtally.plans import detail, search, summary, trend
@@ -45,10 +46,27 @@ def test_whole_cuts_towards_zero(spark, number, cut):
 
 
 @pytest.mark.parametrize("amount, units", [(1.23456, 12346), (-1.23456, -12346), (0.00005, 1), (-0.00005, -1)])
-def test_to_units_rounds_halves_away_from_zero(spark, amount, units):
+def test_rounded_units_round_halves_away_from_zero(spark, amount, units):
+    assert value(spark, money.rounded_units("x"), x=amount) == units
+
+
+@pytest.mark.parametrize("amount, units", [(1.2345, 12345), (-0.1, -1000), (0.0, 0), (123456789.1234, 1234567891234), (9e13, 900_000_000_000_000_000)])
+def test_to_units_keeps_amounts(spark, amount, units):
     assert value(spark, money.to_units("x"), x=amount) == units
 
 
+@pytest.mark.parametrize("amount", [1e20, -1e20, float("nan"), float("inf"), 1.23456])
+def test_amounts_that_fixed_point_cannot_hold_are_errors(spark, amount):
+    with pytest.raises(Exception, match="does not fit fixed-point"):
+        value(spark, money.to_units("x"), x=amount)
+
+
+@pytest.mark.parametrize("cell, bad", [("1e20", 1), ("1.23456", 1), ("1.2345", 0), ("", 0), ("nan", 0), ("x", 1), ("9e13", 0)])
+def test_report_cells_that_fixed_point_cannot_hold_are_bad(spark, cell, bad):
+    rows = spark.createDataFrame([(cell,)], "c string")
+    assert cast_cells(rows, {"c": "amount"}, {}).first()["bad_cells"] == bad
+
+
 def test_sums_are_exact_beyond_bigint(spark):
     largest = 9_000_000_000_000_000_000
     facts = fact_frame(spark, {}, {}, {}).withColumn("spend", F.lit(largest))

@@ -88,6 +88,7 @@ def test_ad_reports_are_read_by_header_name(spark, root):
             "store_orders": 5,
             "store_units_sold": 6,
             "bad_cells": 0,
+            "missing_headers": 0,
         }
     ]
     assert sorted(r["spend"] for r in by_site["alpha-th"]) == [0, 105_000]
@@ -174,3 +175,25 @@ def test_upsert_keeps_rows_without_key(spark):
     incoming = spark.createDataFrame([("a", 2), ("a", 3), (None, 4)], "account string, v int")
     rows = sorted(map(tuple, upsert(current, incoming).collect()), key=str)
     assert rows == sorted([(None, 1), ("b", 1), ("a", 2), ("a", 3), (None, 4)], key=str)
+
+
+@pytest.mark.parametrize("gone", HEADER.split(","))
+def test_a_report_without_a_needed_column_is_rejected(spark, tmp_path, gone):
+    site = tmp_path / "up" / "alpha" / "alpha-th"
+    site.mkdir(parents=True)
+    names = [f"{name} x" if name == gone else name for name in HEADER.split(",")]
+    (site / "a--march.csv").write_text(",".join(names) + "\nSponsored Search,10.5,100,10,2,3,50\n")
+    (site / "Dashboard.csv").write_text(dashboard("5,1,1,1,1,1"))
+    reports, boards = landed.read_ad_reports(spark, str(tmp_path / "up")), landed.read_dashboards(spark, str(tmp_path / "up"))
+    assert rows_of(ingest.site_kpis(reports, boards)) == []
+    assert [r["reason"] for r in rows_of(ingest.rejects(reports, boards))] == ["missing column in ad report"]
+
+
+@pytest.mark.parametrize("root", ["up/up-01", "up/up-01/up-01-th/x", "alpha/alpha-th"])
+def test_a_root_that_looks_like_a_site(spark, tmp_path, root):
+    site = tmp_path / root / "beta" / "beta-my"
+    site.mkdir(parents=True)
+    (site / "a--march.csv").write_text(f"{HEADER}\nSponsored Search,10.5,100,10,2,3,50\n")
+    (site / "Dashboard.csv").write_text(dashboard("5,1,1,1,1,1"))
+    reports, boards = landed.read_ad_reports(spark, str(tmp_path / root)), landed.read_dashboards(spark, str(tmp_path / root))
+    assert [r["account"] for r in rows_of(ingest.site_kpis(reports, boards))] == ["beta-my"]

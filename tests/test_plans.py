@@ -101,13 +101,13 @@ def test_a_hot_supplier_is_split_over_tasks(spark, tmp_path):
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100k",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50k",
     }
-    expected = QUERIES["summary_cpc_all_months"](spark, str(tmp_path)).collect()
+    expected = sorted(map(tuple, QUERIES["fact_scan"](spark, str(tmp_path)).collect()), key=str)
     before = {name: spark.conf.get(name, None) for name in settings}
     try:
         for name, setting in settings.items():
             spark.conf.set(name, setting)
-        lines = QUERIES["summary_cpc_all_months"](spark, str(tmp_path))
-        assert lines.collect() == expected
+        lines = QUERIES["fact_scan"](spark, str(tmp_path))
+        assert sorted(map(tuple, lines.collect()), key=str) == expected
         assert "SortMergeJoin(skew=true)" in plan_of(lines)
     finally:
         for name, setting in before.items():
@@ -116,7 +116,50 @@ def test_a_hot_supplier_is_split_over_tasks(spark, tmp_path):
 
 def test_pages_json_does_not_gather_rows_for_the_count(spark):
     plan = plan_of(QUERIES["page_json_records"](spark, SF_DIR))
-    assert "Window" not in plan and "TakeOrderedAndProject(limit=15" in plan
+    assert "rangepartitioning" not in plan and "TakeOrderedAndProject(limit=15" in plan
+
+
+def test_detail_is_in_order_however_it_is_stored(spark):
+    facts = ad_base(spark, SF_DIR, ym=YM, further=("l_orderkey",))
+    for report in (
+        lambda df: detail.detail(df, "CPC", YM, OWNER, CUTOVER),
+        lambda df: search.search_detail(df, "DIRECT", YM, OWNER),
+    ):
+        lines = report(facts).collect()
+        keys = [(r["ad_type"] != "TOTAL", r["account"] or "") for r in lines]
+        assert len(lines) > 2 and keys == sorted(keys) and keys[0][0] is False
+        again = [(r["ad_type"] != "TOTAL", r["account"] or "") for r in report(facts.repartition(7, F.rand(1))).collect()]
+        assert again == keys
+
+
+def test_further_columns_reach_the_reports(spark):
+    facts = ad_base(spark, SF_DIR, ym=YM, further=("l_orderkey", "l_linestatus"))
+    lines = detail.detail(facts, "CPC", YM, OWNER, CUTOVER)
+    assert lines.columns[-2:] == ["l_orderkey", "l_linestatus"]
+    total, first = lines.take(2)
+    assert total["l_orderkey"] is None and first["l_orderkey"] is not None
+
+
+def test_upsert_computes_what_arrives_once(spark):
+    """Incoming rows are read from their own table, so the plan scans the lines only for the current rows."""
+    plan = plan_of(QUERIES["site_upsert_all_months"](spark, SF_DIR))
+    assert plan.count("lineitem.parquet") <= 2
+
+
+def test_sums_meet_the_suppliers(spark):
+    """Without broadcast, the lines are summed before they are shuffled to the suppliers."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    before = {name: spark.conf.get(name, None) for name in settings}
+    try:
+        for name, setting in settings.items():
+            spark.conf.set(name, setting)
+        for name in ("summary_cpc_all_months", "owner_breakdown", "metric_acos"):
+            plan = plan_of(QUERIES[name](spark, SF_DIR))
+            scan = plan.index("lineitem.parquet")
+            assert "partial_sum" in plan[plan.rindex("SortMergeJoin", 0, scan) : scan]
+    finally:
+        for name, setting in before.items():
+            spark.conf.unset(name) if setting is None else spark.conf.set(name, setting)
 
 
 def test_first_rows_are_picked_before_the_shuffle(spark):

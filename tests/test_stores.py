@@ -90,6 +90,38 @@ def test_replies_are_read_as_rows(spark, tmp_path):
     assert sorted((r["account_name"], r["spend"], r["clicks"]) for r in rows.collect()) == [("a", 1.5, 2), ("b", 1.5, 2)]
 
 
+def test_replies_are_read_by_many_tasks(spark, tmp_path):
+    """One large reply, and replies that can't be cut at braces, against the plain reader."""
+    (tmp_path / "large.json").write_text(reply(*[f"site {i}" for i in range(100_000)]))
+    (tmp_path / "none.json").write_text(reply())
+    (tmp_path / "after.json").write_text('{"data_list": [{"account_name": "b", "clicks": 1}], "total": 2}')
+    (tmp_path / "braces.json").write_text(json.dumps({"data_list": [{"account_name": "a } b"}, {"account_name": "{c"}]}))
+    (tmp_path / "nested.json").write_text(json.dumps({"meta": {"x": 1}, "data_list": [{"account_name": "n"}], "more": [{"account_name": "no"}, {"account_name": "no"}]}))
+    (tmp_path / "missing.json").write_text('{"data_list" : [ {"clicks": 7},\n {"account_name": null} ] }\n')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        rows = landed.read_records(spark, str(tmp_path), CAMPAIGN_RECORD)
+        counts = rows.groupBy(F.spark_partition_id()).count().collect()
+        assert sum(r["count"] > 1000 for r in counts) > 3
+        plain = reshape.envelope_rows(landed.read_envelopes(spark, str(tmp_path), CAMPAIGN_RECORD))
+        assert rows.columns == plain.columns
+        assert rows.exceptAll(plain).count() == plain.exceptAll(rows).count() == 0
+        assert rows.count() == 100_006
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_further_columns_are_stored_and_read(spark, tmp_path):
+    facts = fact_frame(spark, {}, {}).withColumn("team", F.lit("blue"))
+    assert "team" in fact.normalised(facts).columns
+    fact.write_fact(facts, f"{tmp_path}/facts")
+    fact.write_fact(fact_frame(spark, {"perf_month": date(2021, 9, 1)}), f"{tmp_path}/facts")
+    stored = fact.read_fact(spark, f"{tmp_path}/facts")
+    assert sorted(str(r["team"]) for r in stored.select("team").collect()) == ["None", "blue", "blue"]
+    assert "team" in extract.month_extract(stored, "202103").columns
+
+
 def test_each_reply_is_appended_once(spark, tmp_path):
     landing, table, progress = (str(tmp_path / name) for name in ("landing", "table", "progress"))
     (tmp_path / "landing").mkdir()
