@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 _SIGNS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 _WORD_END = "</w>"
 #: Words kept by a worker; beyond it the store starts anew.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 700_000
 
 
 class WordEncoder:

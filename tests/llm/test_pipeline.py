@@ -23,7 +23,7 @@ def test_stage_by_stage(spark, root, texts):
     counts = {r.doc_id: r["count"] for r in mix.groupBy("doc_id").count().collect()}
     assert set(counts.values()) <= {1, 2, 3, 4}
     size = lambda df: df.select(mixing.estimated_tokens(df["text"]).alias("n")).groupBy().sum("n").first()[0]
-    assert 0.9 * size(apart) <= size(mix) <= size(apart)
+    assert 0.7 * size(apart) <= size(mix) <= size(apart)
     packed = stages()["best_fit_packing"](spark, mix, root).collect()
     starts = [r for r in packed if r.piece == 0]
     assert len(starts) == mix.count()
