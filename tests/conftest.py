@@ -16,6 +16,7 @@ def spark(tmp_path_factory):
         "adtally-tests",
         "local[8]",
         spark__sql__shuffle__partitions="8",
+        spark__sql__adaptive__coalescePartitions__initialPartitionNum="8",
         spark__driver__memory="8g",
         spark__sql__maxMetadataStringLength="2000",
         spark__checkpoint__dir=str(folder / "checkpoint"),
