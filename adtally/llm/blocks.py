@@ -38,12 +38,17 @@ def packed(rows: DataFrame, order: list[Column] | None, to: Callable[[np.ndarray
     """
     size = rows.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
     many = max(1, -(-size[0] * 8 * (size[1] or 1) // group_bytes))
-    dealt = rows.repartitionByRange(many, *order).sortWithinPartitions(*order) if order else rows.repartition(many, "id")
+    if order:
+        dealt = rows.repartitionByRange(many, *order).sortWithinPartitions(*order).withColumn("gid", F.spark_partition_id())
+    else:
+        dealt = rows.withColumn("gid", F.pmod(F.xxhash64("id"), F.lit(many)).cast("int")).repartition(many, "gid").sortWithinPartitions("gid")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, BLOCK_ROWS):
-                part = batch.slice(start, BLOCK_ROWS)
+            gid = batch.column(batch.num_columns - 1).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(gid)) + 1).tolist(), batch.num_rows]
+            spans = [(i, min(BLOCK_ROWS, end - i)) for start, end in zip(cuts, cuts[1:], strict=False) for i in range(start, end, BLOCK_ROWS)]
+            for part in (batch.slice(start, size) for start, size in spans):
                 ids = part.column(0).to_numpy().astype(np.int64)
                 flat = part.column(1).flatten().to_numpy().reshape(len(ids), -1)
                 extra = part.column(2).to_numpy(zero_copy_only=False) if part.num_columns > 3 else np.empty(0)
@@ -57,7 +62,7 @@ def packed(rows: DataFrame, order: list[Column] | None, to: Callable[[np.ndarray
                     ["gid", "ids", "vectors", "extra", "n"],
                 )
 
-    return staged(dealt.withColumn("gid", F.spark_partition_id()).mapInArrow(pack, BLOCK))
+    return staged(dealt.mapInArrow(pack, BLOCK))
 
 
 def searched(groups: DataFrame, queries: DataFrame, search: Callable[[list[tuple]], Callable[[tuple], tuple]], first: int = 0, last: int | None = None, score: str = "double") -> DataFrame:

@@ -10,7 +10,8 @@
    i and j brings 2 * (length - max(i, j)) off the distance of lists without a
    common pivot.
 5. The rows of least footrule distance are multiplied with the query in double
-   precision, and the best of all groups are returned.
+   precision.  The first group's k-th product is a bound: other groups return
+   what reaches it, and the best of all groups are the result.
 """
 
 from __future__ import annotations
@@ -69,11 +70,12 @@ class InvertedFile:
         return saved
 
     def __call__(self, block: tuple) -> tuple:
-        query_ids, queries, _, _ = block
+        query_ids, queries, extra, _ = block
         queries = np.frombuffer(queries, np.float64).reshape(len(query_ids), -1)
+        bounds = np.frombuffer(extra, np.float64)  # NaN where there is none
         lists = nearest_pivots(queries, self.pivots, self.listed)
         found = []
-        for query_id, query, own in zip(query_ids, queries, lists, strict=True):
+        for query_id, query, own, bound in zip(query_ids, queries, lists, bounds, strict=True):
             saved = self.footrule_saved(own)
             if self.wanted < len(saved):
                 near = np.argpartition(-saved, self.wanted - 1)[: self.wanted]
@@ -86,8 +88,8 @@ class InvertedFile:
                 near, scores = near[scores >= last], scores[scores >= last]
             rows = [self.rows[self.bounds[x] : min(self.bounds[x + 1], self.bounds[x] + self.k + 1)] for x in near]
             ids, scores = self.ids[np.concatenate(rows)], np.repeat(scores, [len(x) for x in rows])
-            own_too = ids != query_id
-            ids, scores = ids[own_too], scores[own_too]
+            meant = (ids != query_id) & ~(scores < bound)
+            ids, scores = ids[meant], scores[meant]
             best = np.lexsort((ids, -scores))[: self.k]
             found.append((np.full(len(best), query_id), ids[best], scores[best]))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
@@ -134,6 +136,6 @@ def nearest(
         return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     listed = min(listed, len(directions))
     groups = blocks.packed(good, None, lambda v, _: (v, nearest_pivots(v, directions, listed)), group_bytes)
-    asked = blocks.packed(good.where(F.expr(is_query.replace(id_column, "id"))).dropDuplicates(["id"]), None, lambda v, x: (v, x))
-    found = blocks.searched(groups, asked, lambda held: InvertedFile(held, directions, k, reranked, least_reranked))
+    asked = good.where(F.expr(is_query.replace(id_column, "id"))).dropDuplicates(["id"])
+    found = topk.in_two_rounds(groups, asked, lambda held: InvertedFile(held, directions, k, reranked, least_reranked), lambda v, x: (v, x), k, "double")
     return topk.ranked(found, k)

@@ -144,6 +144,16 @@ class Group:
         )
 
 
+def in_two_rounds(groups: DataFrame, asked: DataFrame, search, stored, k: int, score: str) -> DataFrame:
+    """What ``search`` finds in the first group, and in all others with the first group's k-th score as a bound."""
+    plain = blocks.packed(asked.withColumn("bound", F.lit(None).cast("double")), None, stored)
+    first = staged(blocks.searched(groups, plain, search, 0, 0, score))
+    kth = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("bound"))
+    kth = kth.select("query_id", F.when(F.col("n") >= k, F.col("bound").cast("double")).alias("bound"))
+    bounded = asked.join(kth, asked["id"] == kth["query_id"], "left").select("id", "vector", "bound")
+    return first.unionByName(blocks.searched(groups, blocks.packed(bounded, None, stored), search, 1, score=score))
+
+
 def ranked(found: DataFrame, k: int) -> DataFrame:
     """The k best of each query with rank, ties to the smaller id."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -181,11 +191,5 @@ def largest_products(
 
     groups = blocks.packed(good.withColumn("none", F.lit(0.0)), [F.desc(length), F.col("id")], whole, group_bytes)
     asked = good.where(F.expr(is_query.replace(id_column, "id"))).dropDuplicates(["id"])
-    search = lambda held: Group(held, turn, k)
-    longest = staged(blocks.searched(groups, blocks.packed(asked.withColumn("bound", F.lit(None).cast("double")), None, whole), search, 0, 0, "long"))
-    kth = longest.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("bound"))
-    kth = kth.select("query_id", F.when(F.col("n") >= k, F.col("bound").cast("double")).alias("bound"))
-    bounded = asked.join(kth, asked["id"] == kth["query_id"], "left").select("id", "vector", "bound")
-    others = blocks.searched(groups, blocks.packed(bounded, None, whole), search, 1, score="long")
-    best = ranked(longest.unionByName(others), k)
+    best = ranked(in_two_rounds(groups, asked, lambda held: Group(held, turn, k), whole, k, "long"), k)
     return best.select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score"))
