@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from adtally.llm.staging import staged
 
 #: Bytes of a group's doubles, which a task holds in memory, and rows of a block, which is one row of a table.
-GROUP_BYTES, BLOCK_ROWS = 32 << 20, 1_024
+GROUP_BYTES, BLOCK_ROWS = 8 << 20, 1_024
 
 BLOCK = "gid int, ids binary, vectors binary, extra binary, n int"
 
