@@ -8,7 +8,8 @@ of their shards, until each node is one shard.
 
 A quantile is found by counting bytes in buckets of the dimension, then in
 buckets of the bucket that holds it, until what is left in one is a sliver of
-a shard.  Only those few numbers of each node reach the driver.
+a shard.  Only those few numbers of each node reach the driver.  Where a cut falls inside a large unit, one
+unit of the heavier side whose size fits best changes sides.
 """
 
 from __future__ import annotations
@@ -40,6 +41,7 @@ class Node:
     start: int = 0
     shift: int = 0
     cut: int | None = None
+    over: float = 0.0
 
 
 def _key(node: Node) -> Column:
@@ -71,19 +73,14 @@ def _split(units: DataFrame, nodes: dict[int, Node], dimensions: list[str], span
         busy[row["node"]] = node
     keyed = staged(units.withColumn("key", F.coalesce(_by_node(busy, _key), F.lit(0))))
     while open_ := {n: x for n, x in busy.items() if x.cut is None}:
-        inside = keyed.where(F.col("node").isin(list(open_)))
-        start, shift = _by_node(open_, lambda x: F.lit(x.start)), _by_node(open_, lambda x: F.lit(x.shift)).cast("int")
+        inside = _of_nodes(keyed, {n: (x.start, x.shift, float(x.wanted)) for n, x in open_.items()}, "start long, shift int, wanted double")
         bucket = F.call_function("shiftright", F.col("key") - F.col("start"), F.col("shift"))
-        inside = inside.select("node", "bytes", "key", start.alias("start"), shift.alias("shift"))
         # What lies before the span counts as bucket -1, what lies behind it as one bucket more.
         sums = inside.withColumn("bucket", F.least(F.greatest(bucket, F.lit(-1)), F.lit(1 << BUCKET_BITS)))
-        sums = sums.groupBy("node", "bucket").agg(F.sum("bytes").alias("bytes"))
+        sums = sums.groupBy("node", "wanted", "bucket").agg(F.sum("bytes").alias("bytes"))
         upto = Window.partitionBy("node").orderBy("bucket")
         sums = sums.withColumn("upto", F.sum("bytes").over(upto))
-        wanted = F.lit(None).cast("double")
-        for n, x in open_.items():
-            wanted = F.when(F.col("node") == n, F.lit(float(x.wanted))).otherwise(wanted)
-        hold = sums.where(F.col("upto") >= wanted).groupBy("node").agg(F.min_by(F.struct("bucket", "bytes", "upto"), "bucket").alias("x"))
+        hold = sums.where("upto >= wanted").groupBy("node").agg(F.min_by(F.struct("bucket", "bytes", "upto"), "bucket").alias("x"))
         for row in hold.select("node", "x.*").collect():  # a row for each node
             node = open_[row["node"]]
             node.start += row["bucket"] << node.shift
@@ -91,19 +88,44 @@ def _split(units: DataFrame, nodes: dict[int, Node], dimensions: list[str], span
             if row["bytes"] <= sliver or not node.shift:
                 nearer = node.wanted - before <= row["upto"] - node.wanted
                 node.cut = node.start + (0 if nearer else 1 << node.shift)
+                node.over = (before if nearer else row["upto"]) - node.wanted
             else:
                 node.shift = max(0, node.shift - BUCKET_BITS)
-    moved, empty = F.col("node"), set(nodes) - set(busy)
+    empty = set(nodes) - set(busy)
+    sides = {}
     for number, node in busy.items():
         left = node.shards // 2
         # A node keeps its number on the left; the right side has that of its first shard.
         right = Node(node.first + left, node.shards - left)
-        moved = F.when((F.col("node") == number) & (F.col("key") >= node.cut), F.lit(right.first)).otherwise(moved)
+        sides[number] = (node.cut, right.first)
         nodes[right.first] = right
         node.shards = left
     for number in empty:  # nothing lies there
         nodes[number].shards = 1
-    return keyed.withColumn("node", moved).drop("key")
+    sided = _of_nodes(keyed, sides, "cut long, other int", "left").withColumn("right", F.coalesce(F.col("key") >= F.col("cut"), F.lit(False)))
+    uneven = {n: (float(busy[n].over),) for n in busy if abs(busy[n].over) > sliver}
+    if uneven:
+        sided = _evened(sided, _of_nodes(sided, uneven, "over double"))
+    return sided.withColumn("node", F.when(F.col("right"), F.col("other")).otherwise(F.col("node"))).select(*units.columns)
+
+
+def _of_nodes(units: DataFrame, values: dict[int, tuple], kind: str, how: str = "inner") -> DataFrame:
+    """``units`` with columns that hold a few values for each node; there are no more nodes than shards."""
+    table = units.sparkSession.createDataFrame([(n, *x) for n, x in values.items()], f"__node int, {kind}")
+    return units.join(F.broadcast(table), F.col("node") == F.col("__node"), how).drop("__node")
+
+
+def _evened(sided: DataFrame, uneven: DataFrame) -> DataFrame:
+    """Where a cut fell inside a large unit, the unit of the heavier side whose size evens it out best changes sides."""
+    heavier = (F.col("over") > 0) != F.col("right")
+    rows = uneven.where(heavier & (F.col("bytes") < 2 * F.abs("over")))
+    gap = F.abs(F.col("bytes") - F.abs("over"))
+    best = rows.groupBy("node").agg(F.min_by(F.struct("same", "part"), F.struct(gap, "hash", "same", "part")).alias("x"))
+    chosen = best.select(F.col("node").alias("__node"), F.col("x.same").alias("__same"), F.col("x.part").alias("__part"), F.lit(True).alias("__turns"))
+    this = (F.col("node") == F.col("__node")) & (F.col("same") == F.col("__same")) & (F.col("part") == F.col("__part"))
+    # One row for each node at most.
+    turned = sided.join(F.broadcast(chosen), this, "left")
+    return turned.withColumn("right", F.col("right") != F.coalesce("__turns", F.lit(False))).drop("__node", "__same", "__part", "__turns")
 
 
 def shard(
