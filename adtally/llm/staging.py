@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import io
 import os
-import tempfile
 import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[str] = []
+_packages: list[str] = []
 _shipped: set[str] = set()
 
 
@@ -34,32 +35,48 @@ def staged(df: DataFrame) -> DataFrame:
 
 def release() -> None:
     """Removes all staged tables of this process.  Frames that still read them can't be used after it."""
+    _remove(_written)
+
+
+def _remove(paths: list[str]) -> None:
     spark = SparkSession.getActiveSession()
-    while spark is not None and _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+    while spark is not None and paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @atexit.register
 def _release_at_exit() -> None:
     try:
-        release()
+        _remove(_written)
+        _remove(_packages)
     except Exception:  # noqa: BLE001  the session may be gone before the process is
         pass
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once for each Spark application."""
+    """Sends this package to the executors, once for each Spark application.
+
+    The zip file lies in the shared folder until the process ends, as
+    executors may join at any time.
+    """
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
     package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    target = os.path.join(tempfile.mkdtemp(prefix="llm-package-"), "adtally.zip")
-    with zipfile.ZipFile(target, "w") as bundle:
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as bundle:
         for folder, _, names in os.walk(package):
             for name in sorted(names):
                 if name.endswith(".py"):
                     full = os.path.join(folder, name)
                     bundle.write(full, os.path.relpath(full, os.path.dirname(package)))
-    context.addPyFile(target)
+    place = f"{shared_folder(spark)}/llm-package-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{place}/adtally.zip")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = files.create(path)
+    out.write(held.getvalue())
+    out.close()
+    _packages.append(place)
+    context.addPyFile(files.makeQualified(path).toString())
     _shipped.add(context.applicationId)
