@@ -305,9 +305,11 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", **options) -> DataFr
 
     Of rows that repeat an id, one stays.
     """
-    kept = components(docs, id_column, **options).where("kept").groupBy(id_column).agg(F.count(F.lit(1)).alias("__rows"))
-    kept = staged(kept.where(f"{id_column} is not null").withColumnRenamed(id_column, "__kept"))
-    rows = docs.join(kept, F.col(id_column).cast("long") == F.col("__kept"))
-    once = rows.where("__rows = 1").select(*docs.columns)
-    repeated = rows.where("__rows > 1").dropDuplicates(["__kept"]).select(*docs.columns)
-    return once.unionByName(repeated).unionByName(docs.where(F.col(id_column).isNull()))
+    found = components(docs, id_column, **options).where(F.col(id_column).isNotNull())
+    ids = found.groupBy(F.col(id_column).alias("__id")).agg(F.count(F.lit(1)).alias("__rows"), F.bool_or("kept").alias("__kept"))
+    # Only ids that go or repeat are looked up: few beside all documents, and Spark sends them around if they are small.
+    touched = staged(ids.where("not __kept or __rows > 1"))
+    rows = docs.join(touched, F.col(id_column).cast("long") == F.col("__id"), "left")
+    once = rows.where("__id is null").select(*docs.columns)
+    repeated = rows.where("__kept").dropDuplicates(["__id"]).select(*docs.columns)
+    return once.unionByName(repeated)
