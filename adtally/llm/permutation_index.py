@@ -1,6 +1,8 @@
 """Approximate nearest neighbours by a permutation index.
 
-1. Pivots are rows drawn by a hash of their id, a fixed number of them.
+1. Rows get one more coordinate that brings all to the length of the longest; queries get 0 there.
+   The order by angle to a query is then the order by inner product, whatever the rows' lengths.
+   Pivots are such rows, drawn by a hash of their id, a fixed number of them.
 2. Every row is represented by its nearest pivots in order.
 3. The index is cut into groups of rows.  A group has an inverted file: for
    each pivot, the rows that list it and its place in their lists.
@@ -32,9 +34,20 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.sqrt((vectors**2).sum(axis=1, keepdims=True))
 
 
-def nearest_pivots(vectors: np.ndarray, pivots: np.ndarray, listed: int) -> np.ndarray:
-    """Numbers of the ``listed`` nearest pivots of each row, the nearest first, ties to the smaller number."""
-    near = unit(vectors) @ pivots.T
+def lifted(vectors: np.ndarray, longest: float) -> np.ndarray:
+    """Directions of the rows with one more coordinate, by which all are as long as the longest."""
+    share = vectors / longest
+    return unit(np.c_[share, np.sqrt(np.maximum(0.0, 1.0 - (share**2).sum(axis=1)))])
+
+
+def asking(queries: np.ndarray) -> np.ndarray:
+    """Directions of queries beside lifted rows."""
+    return np.c_[unit(queries), np.zeros(len(queries))]
+
+
+def nearest_pivots(directions: np.ndarray, pivots: np.ndarray, listed: int) -> np.ndarray:
+    """Numbers of the ``listed`` nearest pivots of each direction, the nearest first, ties to the smaller number."""
+    near = directions @ pivots.T
     return np.argsort(-near, axis=1, kind="stable")[:, :listed].astype(np.int16)
 
 
@@ -42,7 +55,7 @@ class InvertedFile:
     """The distinct vectors of one group, posted under their pivots."""
 
     def __init__(self, held: list[tuple], pivots: np.ndarray, k: int, reranked: float, least: int):
-        size = pivots.shape[1]
+        size = pivots.shape[1] - 1
         self.pivots, self.k = pivots, k
         ids = np.concatenate([x[0] for x in held])
         order = np.argsort(ids, kind="stable")
@@ -73,7 +86,7 @@ class InvertedFile:
         query_ids, queries, extra, _ = block
         queries = np.frombuffer(queries, np.float64).reshape(len(query_ids), -1)
         bounds = np.frombuffer(extra, np.float64)  # NaN where there is none
-        lists = nearest_pivots(queries, self.pivots, self.listed)
+        lists = nearest_pivots(asking(queries), self.pivots, self.listed)
         found = []
         for query_id, query, own, bound in zip(query_ids, queries, lists, bounds, strict=True):
             saved = self.footrule_saved(own)
@@ -95,15 +108,15 @@ class InvertedFile:
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def drawn_pivots(rows: DataFrame, pivots: int) -> np.ndarray:
-    """Directions of at most ``pivots`` distinct rows, the first by a hash of their ids.
+def drawn_pivots(rows: DataFrame, pivots: int, longest: float) -> np.ndarray:
+    """Lifted directions of at most ``pivots`` distinct rows, the first by a hash of their ids.
 
     Four times as many rows are drawn, as some may be copies of one vector.
     """
     drawn = rows.select("vector", F.xxhash64("id", F.lit(5)).alias("draw"), "id").orderBy("draw", "id").limit(4 * pivots).collect()
     if not drawn:
         return np.empty((0, 0))
-    vectors = unit(np.array([x["vector"] for x in drawn]))
+    vectors = lifted(np.array([x["vector"] for x in drawn]), longest)
     _, first = np.unique(vectors, axis=0, return_index=True)
     return vectors[np.sort(first)[:pivots]]
 
@@ -131,11 +144,12 @@ def nearest(
     ship(table.sparkSession)
     good = blocks.usable(table, id_column, vector_column).where(F.exists("vector", lambda x: x != 0))
     good = staged(good)
-    directions = drawn_pivots(good, pivots)
+    longest = float(good.agg(F.max(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))).first()[0] or 1.0) ** 0.5
+    directions = drawn_pivots(good, pivots, longest)
     if not len(directions):
         return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     listed = min(listed, len(directions))
-    groups = blocks.packed(good, None, lambda v, _: (v, nearest_pivots(v, directions, listed)), group_bytes)
+    groups = blocks.packed(good, None, lambda v, _: (v, nearest_pivots(lifted(v, longest), directions, listed)), group_bytes)
     asked = good.where(F.expr(is_query.replace(id_column, "id"))).dropDuplicates(["id"])
     found = topk.in_two_rounds(groups, asked, lambda held: InvertedFile(held, directions, k, reranked, least_reranked), lambda v, x: (v, x), k, "double")
     return topk.ranked(found, k)

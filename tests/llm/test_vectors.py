@@ -97,6 +97,19 @@ def test_recall(spark):
     assert all(abs(s - float(base[q] @ base[i])) < 1e-12 for q, near in found.items() for i, s in near)
 
 
+@pytest.mark.parametrize("sigma", [0.5, 1.5])
+def test_recall_of_unequal_lengths(spark, sigma):
+    """Long rows have large products with queries they aren't near to in angle."""
+    draw = np.random.default_rng(2)
+    base = draw.normal(size=(6000, 32))
+    base *= np.exp(sigma * draw.normal(size=(6000, 1))) / np.sqrt((base**2).sum(axis=1, keepdims=True))
+    vectors = dict(enumerate(base))
+    rows = permutation_index.nearest(vectors_of(spark, vectors), "vec_id % 40 = 1", k=20, least_reranked=100, group_bytes=32 * 8 * 3000).collect()
+    found = by_query(rows)
+    assert len(found) == 150 and all(len(x) == 20 for x in found.values())
+    assert recall(found, vectors, 20) >= 0.95
+
+
 def test_small_table_recall(spark, root):
     vectors = dict(duckdb.sql(f"select vec_id, embedding from '{root}/embeddings.parquet'").fetchall())
     found = by_query(QUERIES["op2_permutation_search"](spark, root).collect())
