@@ -26,6 +26,12 @@ LETTERS = 3
 #: Bound of the training sample: about so many texts of each language, drawn by a hash of the id, and so many languages.
 TRAIN_TEXTS, MOST_LANGUAGES = 3000, 500
 UNKNOWN = "und"
+#: A text is told if its cosine reaches half of what all but a hundredth of the held-out texts of its language and length reach.
+LOW_QUANTILE, MARGIN = 0.01, 0.5
+#: Texts are of like length up to so many characters, or beyond the last; those of the first have too few n-grams to be judged.
+LENGTHS = (16, 32, 64, 128, 256, 1024)
+#: So many held-out texts are needed for a bound of their own.
+LEAST_HELD = 30
 #: Code points are handled in runs of this length, so that a long text needs bounded memory.
 RUN = 1 << 20
 #: n-gram vectors kept by a worker; beyond it the store starts anew.
@@ -124,6 +130,18 @@ class Profiles:
         return names, np.array(scores)
 
 
+def drawn_texts(labelled: DataFrame, text_column: str, language_column: str, id_column: str, texts: int, most_languages: int) -> DataFrame:
+    """``lang, text`` of about ``texts`` rows of each of the languages with most rows, drawn by a hash of the id."""
+    rows = labelled.select(
+        F.col(id_column).cast("string").alias("id"), F.col(text_column).cast("string").alias("text"), F.col(language_column).cast("string").alias("lang")
+    ).where("lang is not null")
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
+    rates = [F.lit(x) for row in counts for x in (row["lang"], min(1.0, texts / row["n"]))]
+    draw = F.pmod(F.xxhash64(F.coalesce("id", F.lit("")), F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    rate = F.create_map(*rates)[F.col("lang")] if rates else F.lit(0.0)
+    return rows.where(draw < rate).select("lang", "text")
+
+
 def learn(
     labelled: DataFrame,
     text_column: str = "text",
@@ -140,14 +158,7 @@ def learn(
     a rate taken from the language's row count.  What reaches the driver is one vector for each language.
     """
     ship(labelled.sparkSession)
-    rows = labelled.select(
-        F.col(id_column).cast("string").alias("id"), F.col(text_column).cast("string").alias("text"), F.col(language_column).cast("string").alias("lang")
-    ).where("lang is not null")
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
-    rates = [F.lit(x) for row in counts for x in (row["lang"], min(1.0, train_texts / row["n"]))]
-    draw = F.pmod(F.xxhash64(F.coalesce("id", F.lit("")), F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rate = F.create_map(*rates)[F.col("lang")] if rates else F.lit(0.0)
-    sample = rows.where(draw < rate).select("lang", "text")
+    sample = drawn_texts(labelled, text_column, language_column, id_column, train_texts, most_languages)
 
     def bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, sums = space(dimensions, letters), {}
@@ -196,11 +207,45 @@ def held_out(id_column: str = "doc_id", folds: int = 5) -> Column:
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % folds == 0, F.lit(True))
 
 
-def accepted(docs: DataFrame, least_score: float = 0.0, **names: str) -> DataFrame:
-    """``docs`` without the documents whose language can't be told: no letter, no text, or a cosine below ``least_score``.
+def length_class(text_column: str = "text") -> Column:
+    size = F.char_length(F.col(text_column).cast("string"))
+    return sum(((size > x).cast("int") for x in LENGTHS), F.lit(0))
+
+
+def least_scores(held: DataFrame, profiles: Profiles, text_column: str = "text", language_column: str = "lang", id_column: str = "doc_id") -> Column:
+    """The least cosine with which a text's language (``__lang``) counts as told, from labelled texts that weren't learnt from.
+
+    It is taken from the texts of the language and length class, where those
+    are too few from all of the length class, then from all, and is 0 where
+    those are too few as well, and for the shortest texts.  At most about
+    ``TRAIN_TEXTS`` texts of each language are scored.
+    """
+    sample = drawn_texts(held, text_column, language_column, id_column, TRAIN_TEXTS, MOST_LANGUAGES)
+    told = identify(sample, profiles, language="__lang", score="__score").where("lang = __lang").withColumn("class", length_class())
+    cells = told.cube("lang", "class").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("__score", F.lit(LOW_QUANTILE)).alias("low")).collect()
+    bounds = {(x["lang"], x["class"]): (x["n"], x["low"]) for x in cells}
+    nothing = (0, 0.0)
+
+    def least(lang: str, kind: int) -> float:
+        if kind == 0:
+            return 0.0
+        found = (bounds.get(key, nothing) for key in ((lang, kind), (None, kind), (None, None)))
+        return next((MARGIN * low for n, low in found if n >= LEAST_HELD), 0.0)
+
+    table = [F.lit(x) for lang in profiles.languages for kind in range(len(LENGTHS) + 1) for x in (f"{kind} {lang}", float(least(lang, kind)))]
+    return F.create_map(*table)[F.concat_ws(" ", length_class(text_column), "__lang")]
+
+
+def accepted(docs: DataFrame, least_score: float | None = None, **names: str) -> DataFrame:
+    """``docs`` without the documents whose language can't be told: no letter, no text, or too small a cosine.
 
-    Profiles are learnt from the rows that aren't held out.  The columns stay.
+    Profiles are learnt from the rows that aren't held out, and the least
+    cosine from those that are (``least_scores``), unless ``least_score`` gives it.  The columns stay.
     """
     profiles = learn(docs.where(~held_out()))
     judged = identify(docs, profiles, language="__lang", score="__score", **names)
-    return judged.where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= least_score)).select(*docs.columns)
+    if not profiles.languages or least_score is not None:
+        least = F.lit(least_score or 0.0)
+    else:
+        least = least_scores(docs.where(held_out()), profiles, **names)
+    return judged.where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= least)).select(*docs.columns)

@@ -56,3 +56,20 @@ def test_odd_rows(odd_docs, no_docs):
     assert {r.lang_pred for r in language.identify(odd_docs, nothing).collect()} == {"und"}
     assert language.identify(no_docs, profiles).count() == 0
     assert sorted(r.doc_id or 0 for r in language.accepted(odd_docs).collect()) == [0, 1, 2, 2, 6, 8, 9]
+
+
+FOREIGN = {
+    "pl": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+    "tr": "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik.",
+    "ru": "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+    "hex": "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b2b0b822cd15d6c15b0f00a089f86d081884c7d659a2feaa0c55ad015",
+    "base64": "TG9yZW0gaXBzdW0gZG9sb3Igc2l0IGFtZXQsIGNvbnNlY3RldHVyIGFkaXBpc2NpbmcgZWxpdCwgc2VkIGRvIGVpdXNtb2Q=",
+}
+
+
+def test_unlearnt_languages_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    planted = spark.createDataFrame([(10**9 + i, text) for i, text in enumerate(FOREIGN.values())], "doc_id long, text string")
+    kept = language.accepted(docs.unionByName(planted, allowMissingColumns=True)).select("doc_id").collect()
+    assert not [x for x in kept if (x.doc_id or 0) >= 10**9]
+    assert len(kept) >= 0.99 * docs.count()
