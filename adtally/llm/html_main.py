@@ -60,7 +60,7 @@ BOILERPLATE_TAGS = frozenset(
     "object audio video dialog noembed noframes header".split()
 )
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar alert dialog alertdialog form toolbar".split())
-#: Parts of class and id names that mark boilerplate.
+#: Parts of class and id names that mark boilerplate, unless the element holds the page's article.
 BOILERPLATE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner banners menu menus nav navbar navigation "
     "breadcrumb breadcrumbs sidebar sidebars aside footer header masthead topbar toolbar widget widgets cookie cookies consent gdpr notice notices "
@@ -73,7 +73,7 @@ NAME_PARTS = re.compile(r"[A-Za-z][a-z]+|[A-Z]+(?![a-z])|[a-z]+")
 class Node:
     """An element: its path among its ancestors, and plain, boilerplate and link characters below it."""
 
-    __slots__ = ("tag", "parent", "step", "noise", "link", "plain", "waste", "parts", "depth", "container", "article")
+    __slots__ = ("tag", "parent", "step", "noise", "marked", "region", "story", "keeps", "link", "plain", "waste", "parts", "depth", "container", "article")
 
     def __init__(self, tag: str, parent: Node | None, attributes: dict[str, str]):
         self.tag, self.parent = tag, parent
@@ -82,9 +82,13 @@ class Node:
         self.step = tag + "".join(f".{x}" for x in names) + (f"@{own}" if own else "")
         self.article = tag in ("article", "main") or bool(parent and parent.article)
         self.noise = bool(parent and parent.noise) or self._is_boilerplate(attributes)
+        named = not self.noise and self._has_boilerplate_name(attributes)
+        self.marked = named and tag not in ("html", "body", "article", "main") and not (tag == "header" and self.article)
+        self.region = self if self.marked or parent is None else parent.region
+        self.story = (tag in ("article", "main") and not named) or bool(parent and parent.story)
+        self.keeps = self.container = False
         self.link = bool(parent and parent.link) or tag == "a"
         self.depth = parent.depth + 1 if parent else 0
-        self.container = tag in CONTAINERS and not self.noise
         self.plain = self.waste = 0
         self.parts: list[str | Node] = []
 
@@ -93,8 +97,9 @@ class Node:
             return False
         if self.tag == "header" and self.article:
             return False  # an article's own header: only its headings are taken
-        if self.tag in BOILERPLATE_TAGS or "hidden" in attributes or attributes.get("role", "").lower() in BOILERPLATE_ROLES:
-            return True
+        return self.tag in BOILERPLATE_TAGS or "hidden" in attributes or attributes.get("role", "").lower() in BOILERPLATE_ROLES
+
+    def _has_boilerplate_name(self, attributes: dict[str, str]) -> bool:
         marks = f"{attributes.get('class', '')} {attributes.get('id', '')}"
         return any(x.lower() in BOILERPLATE_NAMES for x in NAME_PARTS.findall(marks)) if marks != " " else False
 
@@ -160,9 +165,40 @@ def parsed(page: str) -> list[Node]:
             stack.append(node)
         elif rest.endswith("/") and tag not in VOID and tag in BLOCKS:
             stack.append(node)
+    settle_names(nodes)
     return nodes
 
 
+def settle_names(nodes: list[Node]) -> None:
+    """Marks elements with a boilerplate name as noise, but for those that hold the page's article.
+
+    Each marked element is a region of the text below it that isn't in another
+    one, and so is the page without any.  If the page's own region has hardly any article, the
+    marked region with most text of an article or main is kept, with what
+    stands around it.  Without such text it is the largest region, if that is
+    most of the page's text or the page's own has hardly any.
+    """
+    root, sizes, stories = nodes[0], {}, {}
+    for node in nodes:
+        if not node.noise and not node.link:
+            size = sum(len(x) - x.count(" ") - x.count("\n") for x in node.parts if isinstance(x, str))
+            sizes[node.region] = sizes.get(node.region, 0) + size
+            if node.story:
+                stories[node.region] = stories.get(node.region, 0) + size
+    own, own_story = sizes.pop(root, 0), stories.pop(root, 0)
+    best = max(stories, key=stories.get, default=None)
+    if best is None or not stories[best]:
+        best = max(sizes, key=sizes.get, default=None)
+        if best is not None and not (sizes[best] * 2 > own + sum(sizes.values()) or own * 10 < sizes[best]):
+            best = None
+    if best is not None and own_story * 10 < sizes[best]:
+        while best is not None:
+            best.keeps, best = True, best.parent
+    for node in nodes:
+        node.noise = node.noise or bool(node.parent and node.parent.noise) or (node.marked and not node.keeps)
+        node.container = node.tag in CONTAINERS and not node.noise
+
+
 def measured(nodes: list[Node]) -> None:
     """Sums characters up the tree: plain ones, and those in boilerplate or links."""
     for node in reversed(nodes):

@@ -39,6 +39,23 @@ def test_bare_and_broken_pages():
     assert html_main.main_text(long, None).count("\n") == 49_999
 
 
+STORY = "<p>" + "The words of the article. " * 20 + "</p>"
+SIDE = '<div class="sidebar"><p>Popular words</p></div><div id="comments"><article class="comment-body"><p>First!</p></article></div>'
+
+
+@pytest.mark.parametrize("name", ["content-sidebar-wrap", "page has-sidebar", "post-with-comments"])
+@pytest.mark.parametrize("inner", ["{}", "<article>{}</article>", "<main><div class='has-sidebar'>{}</div></main>"])
+def test_wrappers_named_like_boilerplate(name, inner):
+    """A name doesn't make noise of what holds the article; the sidebar and comments beside it stay noise."""
+    page = f'<body><div class="{name}">{inner.format(STORY)}{SIDE}</div></body>'
+    assert html_main.main_text(page, None) == ("The words of the article. " * 20).strip()
+
+
+def test_related_articles_stay_noise():
+    page = f'<body><article>{STORY}</article><div class="related"><article>{STORY * 3}</article></div></body>'
+    assert html_main.main_text(page, None) == ("The words of the article. " * 20).strip()
+
+
 def test_host_path_wins(spark):
     """A page whose own best container is another one follows its host."""
     usual = "<body><div class='c{0}'><p>{1}</p></div><div class='x'><p>few words</p></div></body>"
