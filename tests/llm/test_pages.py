@@ -143,3 +143,19 @@ def test_trees_learn_held_out_urls(spark):
     table = spark.createDataFrame([(i, u, *plain_host_path(u), label) for i, u, label in rows], "id long, url string, host string, path string, label double")
     judged = url_trees.judged(table.where("id % 3 = 0"), table.where("id % 3 <> 0"), trees=10).collect()
     assert sum((r.blocked >= 0.5) == (r.label == 1) for r in judged) / len(judged) >= 0.9
+
+
+def test_a_rule_does_not_judge_the_rest_of_its_domain(spark):
+    """Most ruled urls that block have digits in their hosts; unruled urls of the same domain are told apart by that."""
+    draw = random.Random(3)
+
+    def url(bad, host, path):
+        return f"http://{''.join(draw.choice('a0b1c2d3' if bad else 'abcdefgh') for _ in range(9))}.{host}{path}/{draw.choice('xyz')}"
+
+    ruled = [url(i % 10 > 0, "abc.com", "/de") for i in range(300)] + [url(i % 10 == 0, "bca.com", "/de") for i in range(300)]
+    rest = [url(i % 2 == 0, "abc.com", "/en") for i in range(200)]
+    rows = spark.createDataFrame(list(enumerate(ruled + rest)), "page_id long, url string")
+    rules = [("block", "abc.com", "/de/"), ("allow", "bca.com", "/de/")]
+    found = {r.page_id: r.verdict for r in url_trees.filtered(rows, rules, trees=5).where("rule is null").collect()}
+    assert len(found) == 200
+    assert sum((v == "block") == (i % 2 == 0) for i, v in found.items()) >= 180
