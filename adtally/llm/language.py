@@ -241,11 +241,14 @@ def accepted(docs: DataFrame, least_score: float | None = None, **names: str) ->
 
     Profiles are learnt from the rows that aren't held out, and the least
     cosine from those that are (``least_scores``), unless ``least_score`` gives it.  The columns stay.
+    Where no language is learnt, as no row that isn't held out has one, every text with a letter stays.
     """
     profiles = learn(docs.where(~held_out()))
+    if not profiles.languages:
+        return docs.where(F.regexp_like(F.col(names.get("text_column", "text")).cast("string"), F.lit(r"\p{L}")))
     judged = identify(docs, profiles, language="__lang", score="__score", **names)
-    if not profiles.languages or least_score is not None:
-        least = F.lit(least_score or 0.0)
+    if least_score is not None:
+        least = F.lit(least_score)
     else:
         least = least_scores(docs.where(held_out()), profiles, **names)
     return judged.where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= least)).select(*docs.columns)

@@ -73,3 +73,8 @@ def test_unlearnt_languages_go(spark):
     kept = language.accepted(docs.unionByName(planted, allowMissingColumns=True)).select("doc_id").collect()
     assert not [x for x in kept if (x.doc_id or 0) >= 10**9]
     assert len(kept) >= 0.99 * docs.count()
+
+
+def test_without_a_learnt_language(odd_docs):
+    rows = language.accepted(odd_docs.selectExpr("* except (lang)", "cast(null as string) lang")).collect()
+    assert sorted(r.doc_id or 0 for r in rows) == [0, 1, 2, 2, 6, 8, 9]
