@@ -107,3 +107,28 @@ reached as (
 select s.doc_id, len(s.s)::bigint n_shingles, min(r.other) component_id, s.doc_id = min(r.other) kept
 from sets s join reached r using (doc_id) group by s.doc_id, s.s
 """
+
+SQL["op11_fill_middle"] = """
+with drawn as (
+  select doc_id, coalesce(text, '') t, sha256('1:' || doc_id) h,
+    regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') units
+  from documents),
+numbers as (
+  select doc_id, t, units, len(units)::bigint n, ('0x' || h[1:8])::bigint h1, ('0x' || h[9:16])::bigint h2,
+    ('0x' || h[17:24])::bigint h3, ('0x' || h[25:32])::bigint h4
+  from drawn),
+cuts as (
+  select *, least(h1 % (n + 1), h2 % (n + 1)) a, greatest(h1 % (n + 1), h2 % (n + 1)) b,
+    case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain'
+      when h4 % 100 < 20 then 'spm' else 'psm' end form
+  from numbers),
+parts as (
+  select *, array_to_string(units[1:a], '') prefix, array_to_string(units[a + 1:b], '') middle, array_to_string(units[b + 1:n], '') suffix
+  from cuts)
+select doc_id, n, form,
+  case when form <> 'plain' then length(prefix) end prefix_chars,
+  case when form <> 'plain' then length(middle) end middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) output_sha256,
+  sha256(t) restored_sha256
+from parts"""
