@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adtally.llm import fill_middle, html_main, kdtree, language, licenses, minhash, mixing, packing, permutation_index, topk, url_trees
+from adtally.llm import fill_middle, html_main, kdtree, language, licenses, minhash, mixing, packing, pair_maxscore, permutation_index, topk, url_trees
 from adtally.llm.staging import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,3 +112,8 @@ def op11_fill_middle(spark, root):
     made = fill_middle.restored(fill_middle.transformed(table(spark, root, "documents").select("doc_id", "text")))
     digests = [F.sha2(F.col(c), 256).alias(f"{c}_sha256") for c in ("output", "restored")]
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+@query
+def op13_pair_maxscore(spark, root):
+    return pair_maxscore.ranked(table(spark, root, "documents"), table(spark, root, "benchmark"), k=50)

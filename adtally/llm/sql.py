@@ -132,3 +132,24 @@ select doc_id, n, form,
     else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) output_sha256,
   sha256(t) restored_sha256
 from parts"""
+
+_TERMS = (
+    "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+)
+
+SQL["op13_pair_maxscore"] = f"""
+with words as (select row, doc_id, unnest({_TERMS}) term from (select *, row_number() over () row from documents)),
+counts as (select row, doc_id, term, count(*)::bigint tf from words group by all),
+sizes as (select row, sum(tf)::bigint n from counts group by row),
+total as (select count(*)::bigint docs, sum(n)::hugeint length from sizes),
+weights as (
+  select term, floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::bigint w
+  from (select term, count(*)::bigint df from counts group by term) cross join total),
+asked as (select distinct item_id, unnest({_TERMS}) term from benchmark),
+scores as (
+  select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50::hugeint * n * docs) // length))))::bigint score
+  from asked join counts using (term) join weights using (term) join sizes using (row) cross join total
+  group by item_id, row, doc_id)
+select item_id, (row_number() over (partition by item_id order by score desc, doc_id))::int "rank", doc_id, score
+from scores where score > 0 qualify "rank" <= 50"""
