@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adtally.llm import fill_middle, html_main, kdtree, language, licenses, minhash, mixing, packing, pair_maxscore, permutation_index, topk, url_trees
+from adtally.llm import fill_middle, html_main, kdtree, language, licenses, minhash, mixing, packing, pair_maxscore, permutation_index, pii_crf, topk, url_trees
 from adtally.llm.staging import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -114,6 +114,17 @@ def op11_fill_middle(spark, root):
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
 
 
+@query
+def op12_pii_crf(spark, root):
+    field = pii_crf.train(pii_crf.labelled_table(spark))
+    found = pii_crf.found(table(spark, root, "documents").select("doc_id", "text"), field)
+    base = F.filter("pii", lambda x: x["base"])
+    kinds = F.transform(base, lambda x: x["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, kind))).cast("long").alias(f"n_{kind}") for kind in pii_crf.KINDS]
+    written = [F.sha2(pii_crf.written(base), 256).alias("base_sha256"), pii_crf.written(F.col("pii")).alias("spans")]
+    return found.select("doc_id", *counts, *written)
+
+
 @query
 def op13_pair_maxscore(spark, root):
     return pair_maxscore.ranked(table(spark, root, "documents"), table(spark, root, "benchmark"), k=50)
