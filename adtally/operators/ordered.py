@@ -11,25 +11,30 @@ shuffle may cut differently.  So the ranged frame is written once to the
 shared folder before anything refers to a range.
 
 An order is a list of column names, ``name desc`` for descending.  All other
-columns follow in it, so that only equal rows tie.
+columns follow in it, so that only equal rows tie.  Arrays, structs, maps and
+variants are ordered by their JSON text.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import materialised
 
 # A part of the frame with no more rows is ordered by a bounded top-k.
 PART_ROWS = 50_000
-# Rows sampled to cut a part, and cuts made of them.
-SAMPLED, CUTS = 512, 15
+# Values sampled to cut a part, and cuts made of them.
+SAMPLED, CUTS = 1024, 63
+# Hexadecimal digits of a digest by which an exact sample counts rows at a time.
+DIGITS = 4
 # Bits of monotonically_increasing_id that count rows inside a partition.
 _INSIDE_BITS = 33
 
@@ -52,12 +57,30 @@ def sort_columns(order: Sequence[tuple[str, bool]]) -> list[Column]:
     return [F.col(f"`{name}`").desc() if desc else F.col(f"`{name}`").asc() for name, desc in order]
 
 
+def _is_nested(kind: T.DataType) -> bool:
+    return isinstance(kind, T.ArrayType | T.StructType | T.MapType | T.VariantType)
+
+
+def _keyed(df: DataFrame, order_by: Sequence[str]) -> tuple[DataFrame, list[tuple[str, bool]]]:
+    """The frame with a text column for each nested one, and the total order, which names those texts."""
+    order, texts = [], {}
+    for name, desc in total_order(df, order_by):
+        if _is_nested(df.schema[name].dataType):
+            text = _free(df, f"{name}_text".replace(".", "_"))
+            texts[text] = F.to_json(F.col(f"`{name}`"), {"ignoreNullFields": "false"})
+            name = text
+        order.append((name, desc))
+    return df.withColumns(texts) if texts else df, order
+
+
 def _ranged(df: DataFrame, order_by: Sequence[str]) -> tuple[DataFrame, str]:
     """Rows in ordered ranges, sorted inside, and the column that counts ranges (high bits) and rows inside (low bits)."""
     tie, place = _free(df, "tie"), _free(df, "place")
-    order = [*sort_columns(total_order(df, order_by)), F.col(tie)]
-    ranged = df.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(*order)
-    return ranged.sortWithinPartitions(*order).drop(tie).withColumn(place, F.monotonically_increasing_id()), place
+    keyed, order = _keyed(df, order_by)
+    order = [*sort_columns(order), F.col(tie)]
+    ranged = keyed.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(*order)
+    own = [F.col(f"`{name}`") for name in df.columns]
+    return ranged.sortWithinPartitions(*order).select(*own, F.monotonically_increasing_id().alias(place)), place
 
 
 def indexed(df: DataFrame, order_by: Sequence[str], name: str = "idx") -> DataFrame:
@@ -88,104 +111,156 @@ def page(df: DataFrame, order_by: Sequence[str], offset: int, limit: int) -> Dat
     Each task keeps ``offset + limit`` rows, so it is meant for the first
     pages; ``far_page`` holds no rows before the page.
     """
-    return df.orderBy(*sort_columns(total_order(df, order_by))).offset(offset).limit(limit)
-
-
-def _before(order: Sequence[tuple[str, bool]], cut: Row) -> Column:
-    """Whether a row comes before ``cut``: NULL first in ascending columns and last in descending ones."""
-    out = F.lit(False)
-    for name, desc in reversed(order):
-        column, value = F.col(f"`{name}`"), cut[name]
-        if value is None:
-            first = column.isNotNull() if desc else F.lit(False)
-            same = column.isNull()
-        else:
-            first = F.coalesce(column > F.lit(value), F.lit(False)) if desc else F.coalesce(column < F.lit(value), F.lit(True))
-            same = F.coalesce(column == F.lit(value), F.lit(False))
-        out = first | (same & out)
-    return out
+    keyed, order = _keyed(df, order_by)
+    return keyed.orderBy(*sort_columns(order)).offset(offset).limit(limit).select(*[F.col(f"`{name}`") for name in df.columns])
+
+
+def _before(name: str, desc: bool, value: object) -> Column:
+    """Whether a row's value comes before the given one: NULL first in ascending columns and last in descending ones."""
+    column = F.col(f"`{name}`")
+    if value is None:
+        return column.isNotNull() if desc else F.lit(False)
+    if desc:
+        return column > F.lit(value)
+    return (column < F.lit(value)) | column.isNull()
+
+
+def _after(name: str, desc: bool, value: object) -> Column:
+    return _before(name, not desc, value)
+
+
+def _same(name: str, value: object) -> Column:
+    column = F.col(f"`{name}`")
+    if value is None:
+        return column.isNull()
+    return F.isnan(column) if isinstance(value, float) and math.isnan(value) else column == F.lit(value)
+
+
+def _few_values(kind: T.DataType) -> bool:
+    """Types whose values are counted one by one: days, marks and small numbers."""
+    return isinstance(kind, T.DateType | T.BooleanType | T.ByteType | T.ShortType)
 
 
-def _same(order: Sequence[tuple[str, bool]], cut: Row) -> Column:
-    return reduce(Column.__and__, [F.col(f"`{name}`").eqNullSafe(F.lit(cut[name])) for name, _ in order])
+def _in_order(values: DataFrame, name: str, desc: bool) -> list:
+    return [r[name] for r in values.orderBy(*sort_columns([(name, desc)])).collect()]
 
 
-def _parts(df: DataFrame, order: Sequence[tuple[str, bool]], begin: int, end: int, rows: int) -> Iterator[tuple[DataFrame, int, int, bool]]:
-    """Parts of the frame that hold the ordered rows ``begin`` to ``end``, and which of a part's rows are meant.
+def _cut_values(df: DataFrame, name: str, desc: bool) -> list:
+    """Values of the column, in order, that part the frame about evenly; equal ones once."""
+    draw = _free(df, "draw")
+    some = df.select(F.col(f"`{name}`"), F.rand().alias(draw)).orderBy(draw).limit(SAMPLED).drop(draw)
+    values = _in_order(some, name, desc)  # a bounded number of values
+    cuts = [values[len(values) * (i + 1) // (CUTS + 1)] for i in range(CUTS)] if values else []
+    return [cut for i, cut in enumerate(cuts) if i == 0 or cut != cuts[i - 1] and not (cut != cut and cuts[i - 1] != cuts[i - 1])]
+
+
+def _pieces(df: DataFrame, name: str, desc: bool) -> list[tuple[Column, int, bool]]:
+    """The frame in order of one column, in pieces: a test on the column, the piece's rows, and whether it is one value."""
+    column = F.col(f"`{name}`")
+    if _few_values(df.schema[name].dataType):
+        counts = df.groupBy(column.alias("value")).agg(F.count(F.lit(1)).alias("rows"))
+        return [(_same(name, r["value"]), r["rows"], True) for r in counts.orderBy(*sort_columns([("value", desc)])).collect()]
+    cuts = _cut_values(df, name, desc)
+    # Even numbers lie between cuts, odd ones are equal to a cut.
+    steps = [F.when(_before(name, desc, cut), 0).when(_same(name, cut), 1).otherwise(2) for cut in cuts]
+    number = reduce(Column.__add__, steps, F.lit(0))
+    counts = {r["piece"]: r["rows"] for r in df.groupBy(number.alias("piece")).agg(F.count(F.lit(1)).alias("rows")).collect()}
+    out = []
+    for piece in sorted(counts):
+        low, high = piece // 2 - 1, piece // 2
+        if piece % 2:
+            out.append((_same(name, cuts[high]), counts[piece], True))
+            continue
+        tests = ([_after(name, desc, cuts[low])] if low >= 0 else []) + ([_before(name, desc, cuts[high])] if high < len(cuts) else [])
+        out.append((reduce(Column.__and__, tests, F.lit(True)), counts[piece], False))
+    return out
+
 
-    A part has few rows, or only equal ones (the last value).  A larger part
-    is cut at sampled rows: one scan samples, one counts rows between the cuts.
+def _parts(df: DataFrame, order: Sequence[tuple[str, bool]], begin: int, end: int, rows: int | None = None) -> Iterator[DataFrame]:
+    """The ordered rows ``begin`` to ``end``, as frames one behind the other.
+
+    The first column of the order is cut first: its values, or ranges of them,
+    are counted, and those that hold the rows become a filter on that column
+    alone, which reaches partitions and scans.  A value that is still too large
+    is cut by the next column, a range by its own column again.
     """
-    begin, end = max(0, begin), min(end, rows)
-    if begin >= end:
+    begin = max(0, begin)
+    if begin >= end or rows is not None and begin >= rows:
         return
-    if rows <= PART_ROWS or begin == 0 and end == rows:
-        yield df, begin, end, False
+    if not order:  # equal rows: any of them will do
+        yield df.limit(end - begin)
         return
-    draw = _free(df, "draw")
-    sampled = df.withColumn(draw, F.rand()).orderBy(draw).limit(SAMPLED).drop(draw)
-    sample = sampled.orderBy(*sort_columns(order)).collect()  # a bounded number of rows
-    cuts = [sample[len(sample) * (i + 1) // (CUTS + 1)] for i in range(CUTS)]
-    cuts = [cut for i, cut in enumerate(cuts) if i == 0 or cut != cuts[i - 1]]
-    # Even numbers lie between cuts, odd ones are equal to a cut.
-    number = sum((F.when(_before(order, cut), 0).when(_same(order, cut), 1).otherwise(2) for cut in cuts), F.lit(0))
-    at = _free(df, "at")
-    numbered = df.withColumn(at, number)
-    counts = {r[at]: r["count"] for r in numbered.groupBy(at).count().collect()}  # two for each cut
-    done = 0
-    for i in sorted(counts):
-        inside = numbered.where(F.col(at) == i).drop(at)
-        low, high = max(begin - done, 0), min(end - done, counts[i])
+    if rows is not None and rows <= PART_ROWS or begin == 0 and end <= PART_ROWS:
+        yield df.orderBy(*sort_columns(order)).offset(begin).limit(end - begin)
+        return
+    if rows is not None and begin == 0 and end >= rows:
+        yield df
+        return
+    (name, desc), done = order[0], 0
+    for test, count, single in _pieces(df, name, desc):
+        low, high = max(begin - done, 0), min(end - done, count)
         if low < high:
-            if i % 2:
-                yield inside, low, high, True
-            else:
-                yield from _parts(inside, order, low, high, counts[i])
-        done += counts[i]
-
-
-def _between(df: DataFrame, order: Sequence[tuple[str, bool]], begin: int, end: int) -> DataFrame:
-    out = df.limit(0)
-    for part, low, high, equal in _parts(df, order, begin, end, df.count()):
-        if equal:  # equal rows: any of them will do
-            part = part.limit(high - low)
-        elif low or high < PART_ROWS:
-            part = part.orderBy(*sort_columns(order)).offset(low).limit(high - low)
-        out = out.unionByName(part)
-    return out
+            yield from _parts(df.where(test), order[1:] if single else order, low, high, count)
+        done += count
+
+
+def _between(df: DataFrame, order_by: Sequence[str], begin: int, end: int) -> tuple[DataFrame, list[tuple[str, bool]]]:
+    keyed, order = _keyed(df, order_by)
+    parts = list(_parts(keyed, order, begin, end))
+    return reduce(DataFrame.unionByName, parts) if parts else keyed.limit(0), order
 
 
 def far_page(df: DataFrame, order_by: Sequence[str], offset: int, limit: int) -> DataFrame:
     """Rows ``offset`` to ``offset + limit`` of the ordered frame, wherever the page lies.
 
-    The frame is cut at sampled rows and the rows between cuts are counted,
-    again and again in the part that holds the page, until a part is small.
-    No row is shuffled but the page's own.  The number of scans grows with the
-    logarithm of the frame.
+    The page is found column by column: rows are counted by the values of the
+    order's first column, then inside the value that holds the page by the next
+    one, until few rows are left, which a top-k puts in order.  Each step reads one column
+    and filters by plain comparisons, so that a month's partition is all that is read
+    in the end.  No row is shuffled but the page's own.
     """
-    order = total_order(df, order_by)
-    return _between(df, order, offset, offset + limit).orderBy(*sort_columns(order))
+    rows, order = _between(df, order_by, offset, offset + limit)
+    return rows.orderBy(*sort_columns(order)).select(*[F.col(f"`{name}`") for name in df.columns])
 
 
 def sample_exact(df: DataFrame, fraction: float, key: Sequence[str], seed: int) -> DataFrame:
     """The whole number of rows nearest to the fraction, drawn by a seeded hash of the key.
 
-    The rows with the least hashes are drawn: the last of them is found as a
-    far page of one row.  Rows that repeat a key share a hash; as many of them
+    The rows with the least hashes are drawn.  Rows are counted by the first
+    hexadecimal digits of the hash in one scan.  All rows below the digits that
+    hold the last one are drawn, and of those digits as many as are missing; digits that hold too
+    many rows for one task are counted further.  Rows that repeat a key share a hash; as many of them
     are drawn as are missing, in the order of their columns.  The same seed
     draws the same rows on any cluster.
     """
     digest = _free(df, "digest")
     texts = [F.col(f"`{name}`").cast("string") for name in key]
     drawn = df.withColumn(digest, F.md5(F.concat_ws(":", F.lit(str(seed)), *texts)))
-    order = total_order(drawn, [digest, *key])
-    rows = drawn.count()
-    size = round(fraction * rows)
-    if size == 0:
-        return df.limit(0)
-    last = _between(drawn, order, size - 1, size).first()
-    ahead, same = drawn.where(_before(order, last)), drawn.where(_same(order, last))
-    return ahead.unionByName(same.limit(size - ahead.count())).drop(digest)
+    own = [F.col(f"`{name}`") for name in df.columns]
+    found, part, left = [], drawn, None
+    for digits in range(DIGITS, 32 + 1, DIGITS):
+        head = F.substring(digest, 1, digits)
+        counts = part.groupBy(head.alias("head")).agg(F.count(F.lit(1)).alias("rows")).orderBy("head").collect()  # 16 ** DIGITS at most
+        if left is None:
+            left = round(fraction * sum(r["rows"] for r in counts))
+        upto = None
+        for row in counts:
+            if row["rows"] > left:
+                upto = row
+                break
+            left -= row["rows"]
+        if upto is None:
+            found.append(part)
+            break
+        # Hexadecimal texts of one length are in order with their prefixes, so this is a plain comparison.
+        found.append(part.where(F.col(digest) < upto["head"]))
+        part = part.where(F.col(digest).startswith(upto["head"]))
+        if not left:
+            break
+        if upto["rows"] <= PART_ROWS or digits == 32:
+            found.append(_between(part, [digest, *key], 0, left)[0].select(*[F.col(f"`{name}`") for name in drawn.columns]))
+            break
+    return reduce(DataFrame.unionByName, found).select(*own)
 
 
 def sample(df: DataFrame, fraction: float, key: Sequence[str], seed: int) -> DataFrame:

@@ -106,6 +106,59 @@ def test_adjacent_duplicates(spark, partitions):
     assert sorted(r["place"] for r in got) == [i for i in range(499) if cut[i] is not None and cut[i] == cut[i + 1]]
 
 
+def test_nested_columns_are_ordered_by_their_text(spark, monkeypatch):
+    frame = spark.range(400).selectExpr(
+        "id % 3 as a", "named_struct('x', id % 7, 'y', if(id % 5 = 0, null, id)) as s", "array(id % 2, id) as l", "map('k', id) as m"
+    ).repartition(4)
+    whole = [r["l"][1] for r in ordered.page(frame, ["a desc"], 0, 400).collect()]
+    for part in (20, 100_000):
+        monkeypatch.setattr(ordered, "PART_ROWS", part)
+        pages = [ordered.far_page(frame, ["a desc"], offset, 90) for offset in range(0, 400, 90)]
+        assert pages[0].columns == frame.columns
+        assert [r["l"][1] for rows in pages for r in rows.collect()] == whole
+    placed = {r["idx"]: r["l"][1] for r in ordered.indexed(frame, ["a desc"]).collect()}
+    assert [placed[i] for i in range(400)] == whole
+
+
+def test_pages_of_any_type(spark, monkeypatch):
+    """Dates, marks, decimals, doubles with NaN, texts, bytes and times, with nulls, both ways."""
+    monkeypatch.setattr(ordered, "PART_ROWS", 15)
+    texts = (
+        "date_add(date'2021-01-01', int(id % 11))", "id % 2 = 0", "cast(id % 13 as short)", "cast(id % 17 / 4 as decimal(9, 2))", "if(id % 9 = 0, double('NaN'), id % 19 / 8D)",
+        "concat('é', char(int(97 + id % 26)))", "encode(string(id % 21), 'utf-8')", "timestamp_micros(id % 23)", "cast(timestamp_micros(id % 23) as timestamp_ntz)",
+    )
+    for text in texts:
+        frame = spark.range(240).selectExpr(f"if(id % 10 = 3, null, {text}) as v", "id").repartition(3)
+        for name in ("v", "v desc"):
+            whole = [r["id"] for r in ordered.page(frame, [name], 0, 240).collect()]
+            assert [r["id"] for r in ordered.far_page(frame, [name], 70, 120).collect()] == whole[70:190]
+
+
+def test_a_far_page_reads_its_month_only(spark, tmp_path, monkeypatch):
+    """Months are counted by one scan of one column; the page is read from its month's partition."""
+    monkeypatch.setattr(ordered, "PART_ROWS", 500)
+    path = f"{tmp_path}/facts"
+    spark.range(3000).selectExpr("add_months(date'2021-01-01', int(id % 10)) as perf_month", "id as clicks").write.partitionBy("perf_month").parquet(path)
+    facts = spark.read.parquet(path)
+    rows = ordered.far_page(facts, ["perf_month desc"], 1010, 15)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert [r["clicks"] for r in rows.collect()] == [6 + 10 * i for i in range(110, 125)]
+    assert plan.count("FileScan") == 1 and "PartitionFilters: [isnotnull(perf_month" in plan
+
+
+def test_exact_sample_counts_further_where_digits_hold_many_rows(spark, monkeypatch):
+    frame = spark.range(3000).selectExpr("id", "if(id < 2000, 0L, id) as key", "map('k', id) as m")
+    whole = {r["id"] for r in ordered.sample_exact(frame.drop("m"), 0.4, ["key"], 3).collect()}
+    assert len(whole) == 1200
+    monkeypatch.setattr(ordered, "PART_ROWS", 10)
+    for digits in (1, 4):
+        monkeypatch.setattr(ordered, "DIGITS", digits)
+        assert {r["id"] for r in ordered.sample_exact(frame, 0.4, ["key"], 3).collect()} == whole
+    assert ordered.sample_exact(frame, 0.0, ["key"], 3).count() == 0
+    assert ordered.sample_exact(frame, 1.0, ["key"], 3).count() == 3000
+    assert ordered.sample_exact(frame.limit(0), 0.5, ["key"], 3).count() == 0
+
+
 def test_adjacent_copies_of_a_row(spark):
     frame = spark.createDataFrame([(1, "a")] * 5 + [(2, "a"), (3, "b"), (4, None), (4, None)], "place int, title string")
     got = ordered.adjacent_duplicates(frame, F.col("title"), ["place"]).collect()
