@@ -19,22 +19,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adtally.llm.staging import ship
+from adtally.llm.staging import free_names, release_unused, ship
 
 DIMENSIONS = 1024
 LETTERS = 3
-#: Bound of the training sample: about so many texts of each language, drawn by a hash of the id, and so many languages.
-TRAIN_TEXTS, MOST_LANGUAGES = 3000, 500
+#: Bound of the training sample: about so many texts of each language, drawn by a hash of the id.
+TRAIN_TEXTS = 3000
 UNKNOWN = "und"
 #: A text is told if its cosine reaches half of what all but a hundredth of the held-out texts of its language and length reach.
 LOW_QUANTILE, MARGIN = 0.01, 0.5
-#: Texts are of like length up to so many characters, or beyond the last; those of the first have too few n-grams to be judged.
+#: Texts are of like length up to so many characters, or beyond the last.
 LENGTHS = (16, 32, 64, 128, 256, 1024)
-#: So many held-out texts are needed for a bound of their own.
-LEAST_HELD = 30
+#: So many held-out texts are needed for a bound of a language and length, of a length, and of all texts.
+LEAST_HELD, LEAST_OF_LENGTH = 30, 5
 #: Code points are handled in runs of this length, so that a long text needs bounded memory.
 RUN = 1 << 20
-#: n-gram vectors kept by a worker; beyond it the store starts anew.
+#: n-gram vectors kept during a task; beyond it the store starts anew.
 KEPT_VECTORS = 1 << 16
 
 
@@ -130,16 +130,13 @@ class Profiles:
         return names, np.array(scores)
 
 
-def drawn_texts(labelled: DataFrame, text_column: str, language_column: str, id_column: str, texts: int, most_languages: int) -> DataFrame:
-    """``lang, text`` of about ``texts`` rows of each of the languages with most rows, drawn by a hash of the id."""
-    rows = labelled.select(
-        F.col(id_column).cast("string").alias("id"), F.col(text_column).cast("string").alias("text"), F.col(language_column).cast("string").alias("lang")
-    ).where("lang is not null")
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
-    rates = [F.lit(x) for row in counts for x in (row["lang"], min(1.0, texts / row["n"]))]
+def drawn_texts(labelled: DataFrame, text_column: str, language_column: str, id_column: str, texts: int) -> DataFrame:
+    """``lang, text`` of about ``texts`` rows of each language, drawn by a hash of the id."""
+    names = {id_column: "id", text_column: "text", language_column: "lang"}
+    rows = labelled.select(*[F.col(f"`{name}`").cast("string").alias(new) for name, new in names.items()]).where("lang is not null")
+    rates = rows.groupBy(F.col("lang").alias("of")).agg((F.lit(float(texts)) / F.count(F.lit(1))).alias("rate"))
     draw = F.pmod(F.xxhash64(F.coalesce("id", F.lit("")), F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rate = F.create_map(*rates)[F.col("lang")] if rates else F.lit(0.0)
-    return rows.where(draw < rate).select("lang", "text")
+    return rows.join(rates, rows["lang"] == rates["of"]).where(draw < F.col("rate")).select("lang", "text")
 
 
 def learn(
@@ -148,17 +145,16 @@ def learn(
     language_column: str = "lang",
     id_column: str = "doc_id",
     train_texts: int = TRAIN_TEXTS,
-    most_languages: int = MOST_LANGUAGES,
     dimensions: int = DIMENSIONS,
     letters: int = LETTERS,
 ) -> Profiles:
-    """Profiles from at most about ``train_texts`` texts of each language, for the ``most_languages`` with most rows.
+    """Profiles from at most about ``train_texts`` texts of each language.
 
     Rows without language are passed over. The sample is drawn by a hash of the id at
     a rate taken from the language's row count.  What reaches the driver is one vector for each language.
     """
     ship(labelled.sparkSession)
-    sample = drawn_texts(labelled, text_column, language_column, id_column, train_texts, most_languages)
+    sample = drawn_texts(labelled, text_column, language_column, id_column, train_texts)
 
     def bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, sums = space(dimensions, letters), {}
@@ -170,6 +166,8 @@ def learn(
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.list_(pa.float64()))], ["lang", "vector"]
         )
+        space.cache_clear()
+        release_unused()
 
     def added(rows: pd.DataFrame) -> pd.DataFrame:
         vector = np.sum(np.stack(rows["vector"].to_list()), axis=0)
@@ -195,60 +193,62 @@ def identify(docs: DataFrame, profiles: Profiles, text_column: str = "text", lan
         for texts in batches:
             names, scores = model.value.judged(texts)
             yield pd.DataFrame({"lang": names, "score": scores})
+        space.cache_clear()
+        release_unused()
 
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in (language, score)]
-    judged = docs.select(*kept, judge(F.col(text_column).cast("string")).alias("__judged"))
+    judged = docs.select(*kept, judge(F.col(f"`{text_column}`").cast("string")).alias("__judged"))
     names = [F.col(f"`{c}`") for c in judged.columns[:-1]]
     return judged.select(*names, F.col("__judged.lang").alias(language), F.col("__judged.score").alias(score))
 
 
 def held_out(id_column: str = "doc_id", folds: int = 5) -> Column:
     """Whether the CRC-32 of the id's text is divisible by ``folds``; rows without an id are held out."""
-    return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % folds == 0, F.lit(True))
+    return F.coalesce(F.crc32(F.col(f"`{id_column}`").cast("string").cast("binary")) % folds == 0, F.lit(True))
 
 
 def length_class(text_column: str = "text") -> Column:
-    size = F.char_length(F.col(text_column).cast("string"))
+    size = F.char_length(F.col(f"`{text_column}`").cast("string"))
     return sum(((size > x).cast("int") for x in LENGTHS), F.lit(0))
 
 
-def least_scores(held: DataFrame, profiles: Profiles, text_column: str = "text", language_column: str = "lang", id_column: str = "doc_id") -> Column:
-    """The least cosine with which a text's language (``__lang``) counts as told, from labelled texts that weren't learnt from.
+def least_scores(held: DataFrame, profiles: Profiles, text_column: str = "text", language_column: str = "lang", id_column: str = "doc_id", language: str = "lang_pred") -> Column:
+    """The least cosine with which a text's language (column ``language``) counts as told, from labelled texts that weren't learnt from.
 
     It is taken from the texts of the language and length class, where those
     are too few from all of the length class, then from all, and is 0 where
-    those are too few as well, and for the shortest texts.  At most about
-    ``TRAIN_TEXTS`` texts of each language are scored.
+    those are too few as well.  At most about ``TRAIN_TEXTS`` texts of each language are scored.
     """
-    sample = drawn_texts(held, text_column, language_column, id_column, TRAIN_TEXTS, MOST_LANGUAGES)
+    sample = drawn_texts(held, text_column, language_column, id_column, TRAIN_TEXTS)
     told = identify(sample, profiles, language="__lang", score="__score").where("lang = __lang").withColumn("class", length_class())
     cells = told.cube("lang", "class").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("__score", F.lit(LOW_QUANTILE)).alias("low")).collect()
     bounds = {(x["lang"], x["class"]): (x["n"], x["low"]) for x in cells}
     nothing = (0, 0.0)
 
     def least(lang: str, kind: int) -> float:
-        if kind == 0:
-            return 0.0
-        found = (bounds.get(key, nothing) for key in ((lang, kind), (None, kind), (None, None)))
-        return next((MARGIN * low for n, low in found if n >= LEAST_HELD), 0.0)
+        asked = (((lang, kind), LEAST_HELD), ((None, kind), LEAST_OF_LENGTH), ((None, None), LEAST_HELD))
+        found = ((*bounds.get(key, nothing), least) for key, least in asked)
+        return next((MARGIN * low for n, low, least in found if n >= least), 0.0)
 
     table = [F.lit(x) for lang in profiles.languages for kind in range(len(LENGTHS) + 1) for x in (f"{kind} {lang}", float(least(lang, kind)))]
-    return F.create_map(*table)[F.concat_ws(" ", length_class(text_column), "__lang")]
+    return F.create_map(*table)[F.concat_ws(" ", length_class(text_column), language)]
 
 
-def accepted(docs: DataFrame, least_score: float | None = None, **names: str) -> DataFrame:
+def accepted(docs: DataFrame, least_score: float | None = None, text_column: str = "text", language_column: str = "lang", id_column: str = "doc_id") -> DataFrame:
     """``docs`` without the documents whose language can't be told: no letter, no text, or too small a cosine.
 
     Profiles are learnt from the rows that aren't held out, and the least
     cosine from those that are (``least_scores``), unless ``least_score`` gives it.  The columns stay.
     Where no language is learnt, as no row that isn't held out has one, every text with a letter stays.
     """
-    profiles = learn(docs.where(~held_out()))
+    out = held_out(id_column)
+    profiles = learn(docs.where(~out), text_column, language_column, id_column)
     if not profiles.languages:
-        return docs.where(F.regexp_like(F.col(names.get("text_column", "text")).cast("string"), F.lit(r"\p{L}")))
-    judged = identify(docs, profiles, language="__lang", score="__score", **names)
+        return docs.where(F.regexp_like(F.col(f"`{text_column}`").cast("string"), F.lit(r"\p{L}")))
+    language, score = free_names(docs, "lang", "score")
+    judged = identify(docs, profiles, text_column, language, score)
     if least_score is not None:
         least = F.lit(least_score)
     else:
-        least = least_scores(docs.where(held_out()), profiles, **names)
-    return judged.where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= least)).select(*docs.columns)
+        least = least_scores(docs.where(out), profiles, text_column, language_column, id_column, language)
+    return judged.where((F.col(language) != UNKNOWN) & (F.col(score) >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])

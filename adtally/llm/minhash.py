@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adtally.llm.staging import ship, staged
+from adtally.llm.staging import free_names, ship, staged
 
 BANDS, ROWS = 48, 6
 #: Blocks of a bucket that is compared in full: so many nodes and shingles at most, one node at least.
@@ -111,8 +111,8 @@ def _sketched(batches: Iterator[pa.RecordBatch], size: int, bands: int, rows: in
                     nodes.append(None)
                     keys.append(None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                ["id", "n_shingles", "node", "keys"],
+                [batch.column(0), batch.column(2), pa.array(counts, pa.int64()), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                ["id", "digest", "n_shingles", "node", "keys"],
             )
 
 
@@ -224,13 +224,27 @@ def components(
     without any id has the component id null and its rows are kept.  Repeated
     rows give repeated results.  Other columns of ``docs`` aren't read.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
+    read, grouped = _grouped(docs, id_column, text_column, shingle_words, percent, bands, rows)
+    least = grouped.groupBy("comp").agg(F.min("first_id").alias("least_id"))
+    named = grouped.join(least, "comp").select("node", "least_id", F.lit(True).alias("grouped"))
+    out = read.select("id", "n_shingles", "node").join(named, "node", "left")
+    component = F.when(F.col("grouped"), F.col("least_id")).otherwise(F.col("id"))
+    return out.select(
+        F.col("id").alias(id_column),
+        "n_shingles",
+        component.alias("component_id"),
+        F.coalesce(F.col("id") == component, component.isNull()).alias("kept"),
+    )
+
+
+def _grouped(docs: DataFrame, id_column: str, text_column: str, shingle_words: int, percent: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Stored tables: each row's id, text digest, set size and node, and the nodes that share a component with another one or have copies."""
+    ship(docs.sparkSession)
+    texts = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text_column}`").cast("string").alias("text"))
     read = staged(
-        texts.mapInArrow(
+        texts.select("id", "text", F.xxhash64("text").alias("digest")).mapInArrow(
             lambda batches: _sketched(batches, shingle_words, bands, rows),
-            "id long, n_shingles long, node binary, keys array<long>",
+            "id long, digest long, n_shingles long, node binary, keys array<long>",
         )
     )
     nodes = staged(
@@ -288,28 +302,27 @@ def components(
 
     grouped = nodes.select("nid", "node", "first_id", "copies").join(comps, "nid", "left")
     grouped = staged(grouped.where("comp is not null or copies > 1").withColumn("comp", F.coalesce("comp", "nid")))
-    least = grouped.groupBy("comp").agg(F.min("first_id").alias("least_id"))
-    named = grouped.join(least, "comp").select("node", "least_id", F.lit(True).alias("grouped"))
-    out = read.select("id", "n_shingles", "node").join(named, "node", "left")
-    component = F.when(F.col("grouped"), F.col("least_id")).otherwise(F.col("id"))
-    return out.select(
-        F.col("id").alias(id_column),
-        "n_shingles",
-        component.alias("component_id"),
-        F.coalesce(F.col("id") == component, component.isNull()).alias("kept"),
-    )
+    return read, grouped
 
 
-def one_of_each(docs: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without near copies: one row of each component, and all rows without an id.
+def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle_words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """``docs`` without near copies: one row of each component, the one of the smallest id (null is last) and then text digest.
 
-    Of rows that repeat an id, one stays.
+    An id says nothing about a text: rows of one id with texts that aren't near
+    copies all stay.  Rows without a shingle (null, empty or blank texts) stay.
     """
-    found = components(docs, id_column, **options).where(F.col(id_column).isNotNull())
-    ids = found.groupBy(F.col(id_column).alias("__id")).agg(F.count(F.lit(1)).alias("__rows"), F.bool_or("kept").alias("__kept"))
-    # Only ids that go or repeat are looked up: few beside all documents, and Spark sends them around if they are small.
-    touched = staged(ids.where("not __kept or __rows > 1"))
-    rows = docs.join(touched, F.col(id_column).cast("long") == F.col("__id"), "left")
-    once = rows.where("__id is null").select(*docs.columns)
-    repeated = rows.where("__kept").dropDuplicates(["__id"]).select(*docs.columns)
+    read, grouped = _grouped(docs, id_column, text_column, shingle_words, percent, bands, rows)
+    keys = read.select("node", "id", "digest").join(grouped.select("node", "comp"), "node")
+    keys = staged(keys.groupBy("comp", "id", "digest").agg(F.count(F.lit(1)).alias("copies")))
+    key = F.struct(F.col("id").isNull().alias("no_id"), "id", "digest")
+    best = keys.groupBy("comp").agg(F.min(key).alias("best"))
+    of_id, of_text, stays = free_names(docs, "id", "digest", "stays")
+    judged = keys.join(best, "comp").select(F.col("id").alias(of_id), F.col("digest").alias(of_text), "copies", (key == F.col("best")).alias(stays))
+    # Only rows that go or repeat are looked up: few beside all documents, and Spark sends them around if they are small.
+    touched = staged(judged.where(~F.col(stays) | (F.col("copies") > 1)).drop("copies"))
+    own_id, own_text = F.col(f"`{id_column}`").cast("long"), F.col(f"`{text_column}`").cast("string")
+    found = docs.join(touched, own_id.eqNullSafe(F.col(of_id)) & (F.xxhash64(own_text) == F.col(of_text)), "left")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    once = found.where(F.col(stays).isNull()).select(*own)
+    repeated = found.where(stays).dropDuplicates([of_id, of_text]).select(*own)
     return once.unionByName(repeated)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import io
 import os
 import uuid
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[str] = []
@@ -54,6 +56,21 @@ def _release_at_exit() -> None:
         pass
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names that the frame doesn't have, made of the given ones."""
+    held = {c.lower() for c in df.columns}
+    mark = "__"
+    while any(f"{mark}{name}" in held for name in names):
+        mark += "_"
+    return [f"{mark}{name}" for name in names]
+
+
+def release_unused() -> None:
+    """Gives memory that Python and Arrow hold free back to the system; called where a task ends, as its worker lives on."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once for each Spark application.
 

@@ -75,6 +75,20 @@ def test_unlearnt_languages_go(spark):
     assert len(kept) >= 0.99 * docs.count()
 
 
+def test_columns_of_other_names(odd_docs):
+    other = odd_docs.withColumnsRenamed({"text": "bo.dy", "lang": "tongue", "doc_id": "key"})
+    rows = language.accepted(other, text_column="bo.dy", language_column="tongue", id_column="key")
+    assert rows.columns == other.columns
+    assert sorted(r.key or 0 for r in rows.collect()) == sorted(r.doc_id or 0 for r in language.accepted(odd_docs).collect())
+
+
+def test_no_language_is_left_out(spark):
+    """However many languages there are, each is learnt."""
+    rows = [(5 * k + i, chr(0x4E00 + k) * 12, f"l{k:04}") for k in range(620) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(language.learn(docs, dimensions=64).languages) == 620
+
+
 def test_without_a_learnt_language(odd_docs):
     rows = language.accepted(odd_docs.selectExpr("* except (lang)", "cast(null as string) lang")).collect()
     assert sorted(r.doc_id or 0 for r in rows) == [0, 1, 2, 2, 6, 8, 9]

@@ -84,6 +84,45 @@ def test_one_of_each(odd_docs, no_docs):
     assert minhash.one_of_each(no_docs).count() == 0
 
 
+def plain_one_of_each(rows):
+    """Rows left of ``(id, text)``: those of all components but one, and one of each."""
+    numbered = dict(enumerate(rows))
+    classes = plain_components({i: text for i, (_, text) in numbered.items()}, 5, 80)
+    out = {}
+    for i, (_, component) in classes.items():
+        doc_id, text = numbered[i]
+        out.setdefault(component if words_of(text) else ("blank", i), []).append((doc_id is None, doc_id or 0, doc_id, text))
+    return out
+
+
+def words_of(text):
+    return (text or "").split()
+
+
+def test_texts_of_one_id_stay(spark):
+    """Ids that clash, ids that are null, near copies and exact copies: one row of each component, and no other goes."""
+    draw = random.Random(8)
+    base = [" ".join(draw.choice("abcdefghij") + str(draw.randrange(30)) for _ in range(60)) for _ in range(25)]
+    rows = []
+    for i, text in enumerate(base):
+        near = text.rsplit(" ", 2)[0] + " changed"
+        rows += [(i % 4, text), (i % 4, text), (draw.choice([None, 2, i]), near), (None, text)]
+    rows += [(1, None), (1, ""), (1, " "), (1, None), (None, "alone here"), (7, "alone there")]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, __id int").repartition(5)
+    kept = minhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    groups = plain_one_of_each(rows)
+    found = sorted(((r.doc_id, r.text) for r in kept.select("doc_id", "text").collect()), key=str)
+    assert len(found) == len(groups)
+    left = list(found)
+    for members in groups.values():
+        smallest = min(x[:2] for x in members)
+        allowed = [(x[2], x[3]) for x in members if x[:2] == smallest]
+        hit = next(x for x in left if x in allowed)
+        left.remove(hit)
+    assert not left
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_connected(spark, seed):
     draw = random.Random(seed)
