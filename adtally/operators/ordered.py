@@ -31,8 +31,10 @@ from ..session import materialised
 
 # A part of the frame with no more rows is ordered by a bounded top-k.
 PART_ROWS = 50_000
-# Values sampled to cut a part, and cuts made of them.
-SAMPLED, CUTS = 1024, 63
+# Values sampled to cut a part, and cuts made of them: few, as each row is compared with all of them.
+SAMPLED, CUTS = 1024, 15
+# A column with no more values in its sample, and in all, is counted by value.
+SAMPLED_VALUES, COUNTED_VALUES = 128, 20_000
 # Hexadecimal digits of a digest by which an exact sample counts rows at a time.
 DIGITS = 4
 # Bits of monotonically_increasing_id that count rows inside a partition.
@@ -141,26 +143,27 @@ def _few_values(kind: T.DataType) -> bool:
     return isinstance(kind, T.DateType | T.BooleanType | T.ByteType | T.ShortType)
 
 
-def _in_order(values: DataFrame, name: str, desc: bool) -> list:
-    return [r[name] for r in values.orderBy(*sort_columns([(name, desc)])).collect()]
-
-
-def _cut_values(df: DataFrame, name: str, desc: bool) -> list:
-    """Values of the column, in order, that part the frame about evenly; equal ones once."""
+def _sampled(df: DataFrame, name: str, desc: bool) -> list:
+    """A bounded number of values of the column, in order."""
     draw = _free(df, "draw")
     some = df.select(F.col(f"`{name}`"), F.rand().alias(draw)).orderBy(draw).limit(SAMPLED).drop(draw)
-    values = _in_order(some, name, desc)  # a bounded number of values
-    cuts = [values[len(values) * (i + 1) // (CUTS + 1)] for i in range(CUTS)] if values else []
-    return [cut for i, cut in enumerate(cuts) if i == 0 or cut != cuts[i - 1] and not (cut != cut and cuts[i - 1] != cuts[i - 1])]
+    return [r[name] for r in some.orderBy(*sort_columns([(name, desc)])).collect()]
+
+
+def _once(values: list) -> list:
+    return [x for i, x in enumerate(values) if i == 0 or x != values[i - 1] and not (x != x and values[i - 1] != values[i - 1])]
 
 
 def _pieces(df: DataFrame, name: str, desc: bool) -> list[tuple[Column, int, bool]]:
     """The frame in order of one column, in pieces: a test on the column, the piece's rows, and whether it is one value."""
-    column = F.col(f"`{name}`")
-    if _few_values(df.schema[name].dataType):
-        counts = df.groupBy(column.alias("value")).agg(F.count(F.lit(1)).alias("rows"))
-        return [(_same(name, r["value"]), r["rows"], True) for r in counts.orderBy(*sort_columns([("value", desc)])).collect()]
-    cuts = _cut_values(df, name, desc)
+    column, few = F.col(f"`{name}`"), _few_values(df.schema[name].dataType)
+    values = [] if few else _sampled(df, name, desc)
+    if few or len(_once(values)) <= SAMPLED_VALUES:
+        counts = df.groupBy(column.alias("value")).agg(F.count(F.lit(1)).alias("rows")).orderBy(*sort_columns([("value", desc)]))
+        found = (counts if few else counts.limit(COUNTED_VALUES + 1)).collect()
+        if few or len(found) <= COUNTED_VALUES:
+            return [(_same(name, r["value"]), r["rows"], True) for r in found]
+    cuts = _once([values[len(values) * (i + 1) // (CUTS + 1)] for i in range(CUTS)])
     # Even numbers lie between cuts, odd ones are equal to a cut.
     steps = [F.when(_before(name, desc, cut), 0).when(_same(name, cut), 1).otherwise(2) for cut in cuts]
     number = reduce(Column.__add__, steps, F.lit(0))
@@ -172,7 +175,7 @@ def _pieces(df: DataFrame, name: str, desc: bool) -> list[tuple[Column, int, boo
             out.append((_same(name, cuts[high]), counts[piece], True))
             continue
         tests = ([_after(name, desc, cuts[low])] if low >= 0 else []) + ([_before(name, desc, cuts[high])] if high < len(cuts) else [])
-        out.append((reduce(Column.__and__, tests, F.lit(True)), counts[piece], False))
+        out.append((reduce(Column.__and__, tests), counts[piece], False))
     return out
 
 
