@@ -55,6 +55,19 @@ def partial_sums(measures: Iterable[str], when: str | None = None, prefix: str =
     return parts
 
 
+def sums_over(columns: Iterable[str], measures: Iterable[str], when: str | None = None, prefix: str = "") -> list[str]:
+    """``partial_sums`` over fact rows, or over rows that hold partial sums already."""
+    held, parts = set(columns), []
+    for name in measures:
+        if f"{name}__high" not in held:
+            parts += partial_sums([name], when, prefix)
+            continue
+        for half in (f"{name}__high", f"{name}__low"):
+            value = f"`{half}`" if when is None else f"if({when}, `{half}`, null)"
+            parts.append(f"sum({value}) as `{prefix}{half}`")
+    return parts
+
+
 def merged_sums(measures: Iterable[str], prefix: str = "") -> list[str]:
     """Aggregates that add up partial sums of finer groups."""
     names = []

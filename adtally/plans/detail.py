@@ -40,6 +40,10 @@ def line_order() -> list[Column]:
     return sort_columns([(name.removesuffix(" desc"), name.endswith(" desc")) for name in LINE_ORDER])
 
 
+def _or_null(name: str, shared: str | None) -> str:
+    return f"coalesce({name}, '{TOTAL_LABEL}')" if shared else f"'{TOTAL_LABEL}'"
+
+
 def detail_lines(
     df: DataFrame,
     ad_type: str,
@@ -53,8 +57,13 @@ def detail_lines(
 
     The total line has no account and stands even when no row matches.  Columns
     that the data model doesn't name follow the others; the total has none.
+
+    An owner's rows are few beside all facts, so they are dealt out once and
+    the total is taken from the same exchange as the rows: facts are scanned once.
     """
     scoped = df.where(in_scope(ad_type, ym, owner, account, cutover))
+    if owner:
+        scoped = scoped.hint("rebalance")
     optional = [name for name in OPTIONAL_MONEY if name in df.columns]
     others = [f"`{name}`" for name in further(df)]
     kinds = {f"`{name}`": df.schema[name].dataType.simpleString() for name in further(df)}
@@ -63,16 +72,18 @@ def detail_lines(
     rows = scoped.selectExpr(
         *carried, *amounts, *[f"{in_currency(n)} as {n}" for n in optional], *others, "0 as is_total"
     )
+    # Never true: the sums ask for the same columns as the rows do, or they couldn't share the exchange.
+    unshown = [f"if(count(*) < 0, any_value({n}), null) as {n}" for n in ("ad_type", "account", *optional, *others)]
     total = scoped.selectExpr(
-        "min(perf_month) as perf_month", "min(owner) as owner", *partial_sums(MEASURES)
+        "min(perf_month) as perf_month", "min(owner) as owner", *partial_sums(MEASURES), *(unshown if owner else [])
     ).selectExpr(
-        f"'{TOTAL_LABEL}' as ad_type",
-        "cast(null as string) as account",
+        f"{_or_null('ad_type', owner)} as ad_type",
+        f"{'account' if owner else 'cast(null as string)'} as account",
         "perf_month",
         "owner",
         *settled_as(MEASURES),
-        *[f"cast(null as double) as {n}" for n in optional],
-        *[f"cast(null as {kinds[n]}) as {n}" for n in others],
+        *[f"{f'cast({n} as double)' if owner else 'cast(null as double)'} as {n}" for n in optional],
+        *[f"{n if owner else f'cast(null as {kinds[n]})'} as {n}" for n in others],
         "1 as is_total",
     )
     return total.unionByName(rows).selectExpr(*_COLUMNS, *optional, *ratios, *others, "is_total")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..functions.dates import MONTH_TEXT
-from ..functions.money import partial_sums, ratio, round2, settled, whole
+from ..functions.money import ratio, round2, settled, sums_over, whole
 from ..functions.scope import CHANNEL
 from ..operators.totals import aggregated
 from ..schema import AFFILIATE, CPC
@@ -23,7 +23,7 @@ def monthly_trend(df: DataFrame, shown: bool = False) -> DataFrame:
     """
     sums, cut = [], []
     for series, code in _SERIES.items():
-        sums += partial_sums(_PAIR, f"{CHANNEL} = '{code}'", f"{series}_")
+        sums += sums_over(df.columns, _PAIR, f"{CHANNEL} = '{code}'", f"{series}_")
         cut += [f"{whole(settled(name, f'{series}_'))} as {series}_{name}" for name in _PAIR]
     totals = [f"{' + '.join(f'coalesce({s}_{name}, 0)' for s in _SERIES)} as total_{name}" for name in _PAIR]
     months = aggregated(df, ["perf_month"], sums, [MONTH_TEXT, *cut]).selectExpr("*", *totals)

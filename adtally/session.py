@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -40,11 +41,29 @@ def build_session(app: str = "adtally", master: str | None = None, **conf: str)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where it is unset, one below the warehouse, which is shared too."""
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Where that is unset it is one below the warehouse, for a session whose
+    executors are the driver's own threads.  Any other session gets an error: only the
+    cluster knows which folder its machines share.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not is_local(spark):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (named or f"{spark.conf.get('spark.sql.warehouse.dir')}/adtally-staging").rstrip("/")
 
 
+def is_local(spark: SparkSession) -> bool:
+    return re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")) is not None
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new name in the shared folder; what is written there goes with the intermediate tables."""
+    path = f"{shared_folder(spark)}/adtally-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def materialised(df: DataFrame) -> DataFrame:
     """The frame as a table written once in the shared folder.
 
@@ -53,8 +72,7 @@ def materialised(df: DataFrame) -> DataFrame:
     tables; it runs when the process ends, and ``released`` removes those of a
     block of code.
     """
-    path = f"{shared_folder(df.sparkSession)}/adtally-{uuid.uuid4().hex}"
-    _written.append(path)
+    path = scratch_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from adtally.functions import dates, metrics, money, scope, text
 from adtally.functions.casts import cast_cells
-from adtally.operators import distinct, display, ordered, reshape, totals
+from adtally.operators import distinct, display, keyed, ordered, reshape, totals
 from adtally.operators.upsert import upsert
 from adtally.plans import detail, extract, ingest, search, summary, trend
 from adtally.schema import (
@@ -30,7 +30,9 @@ from adtally.schema import (
     RECOMMEND,
     STORE_RECORD,
 )
-from adtally.sources.fact import in_currency
+from adtally.session import scratch_folder
+from adtally.sources import partials
+from adtally.sources.fact import in_currency, write_fact
 from adtally.sources.warehouse import ad_base, table
 
 YM = "199803"
@@ -213,6 +215,23 @@ def distinct_accounts(spark, root):
     return totals.distinct_accounts(ad_base(spark, root, ["account"]))
 
 
+RANGE_MONTHS = 12
+# What estimates may be off by: three standard deviations of a sketch.
+ESTIMATE_BOUND = 0.05
+
+
+@query
+def distinct_accounts_by_range(spark, root):
+    """Accounts of each twelve months up to a month: the exact number, and whether the united sketches come near it."""
+    facts = ad_base(spark, root, ["account", "perf_month"])
+    sketches = totals.account_sketches(facts)
+    month = "explode(sequence(perf_month, add_months(perf_month, {}), interval 1 month)) as last_month".format(RANGE_MONTHS - 1)
+    united = totals.estimated_accounts(sketches.selectExpr(month, "accounts"), ["last_month"]).withColumnRenamed("accounts", "estimate")
+    exact = facts.distinct().selectExpr(month, "account").groupBy("last_month").agg(F.count_distinct("account").alias("accounts"))
+    near = f"abs(estimate - accounts) <= {ESTIMATE_BOUND} * accounts as is_near"
+    return united.join(exact, "last_month").selectExpr(f"{dates.month_text('last_month')} as last_month", "accounts", near)
+
+
 @query
 def global_sums(spark, root):
     return totals.global_sums(ad_base(spark, root, MEASURES))
@@ -289,6 +308,24 @@ def summary_type(spark, root):
     return summary.summary(ad_base(spark, root, SUMMARY_NEEDS, YM, summed=True), RECOMMEND, YM, CUTOVER)
 
 
+def stored_partials(spark, root):
+    """Facts stored by month, and their partial sums."""
+    facts, sums = scratch_folder(spark), scratch_folder(spark)
+    write_fact(ad_base(spark, root), facts)
+    partials.refresh(spark, facts, sums)
+    return partials.read(spark, sums)
+
+
+@query
+def summary_from_partials(spark, root):
+    return summary.summary(stored_partials(spark, root), CPC, None, CUTOVER)
+
+
+@query
+def trend_from_partials(spark, root):
+    return trend.monthly_trend(stored_partials(spark, root))
+
+
 @query
 def indexed_summary(spark, root):
     return summary.indexed_summary(ad_base(spark, root, SUMMARY_NEEDS, summed=True), CPC, None, CUTOVER)
@@ -508,3 +545,13 @@ def site_upsert_all_months(spark, root):
     arriving = reports(spark, root, RECOMMEND).where(F.col("account").endswith("-th"))
     incoming = ingest.site_kpis(arriving, board, LOAD_DATE, SITE_KEYS)
     return shown_month(upsert(current, incoming, SITE_KEYS))
+
+
+@query
+def site_bucket_upsert(spark, root):
+    """The upsert of all months as a change of a stored keyed table."""
+    path, board = scratch_folder(spark), dashboards(spark, root)
+    keyed.create(ingest.site_kpis(reports(spark, root), board, LOAD_DATE, SITE_KEYS), path, SITE_KEYS, buckets=16)
+    arriving = reports(spark, root, RECOMMEND).where(F.col("account").endswith("-th"))
+    keyed.upsert(spark, path, ingest.site_kpis(arriving, board, LOAD_DATE, SITE_KEYS))
+    return shown_month(keyed.read(spark, path))

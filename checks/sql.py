@@ -422,3 +422,13 @@ where (perf_month, account) not in (select (perf_month, account) from ({kpis("ne
 union all by name {kpis("new")}""",
     ),
 }
+
+# The same results out of stored tables.
+SQL["summary_from_partials"] = SQL["summary_cpc_all_months"]
+SQL["trend_from_partials"] = SQL["monthly_trend"]
+SQL["site_bucket_upsert"] = SQL["site_upsert_all_months"]
+SQL["distinct_accounts_by_range"] = over_base(
+    """select strftime(last_month, '%Y-%m') as last_month, count(distinct account) as accounts, true as is_near
+from (select distinct account, unnest(range(perf_month::timestamp, perf_month::timestamp + interval 12 month, interval 1 month)) last_month from ad_base)
+group by last_month"""
+)

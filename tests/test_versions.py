@@ -1,0 +1,175 @@
+"""Stored tables that change piece by piece: keyed upserts, month partials, what readers and rival writers see."""
+
+import os
+from datetime import date
+
+import pytest
+from pyspark.sql import functions as F
+
+from adtally.operators import keyed, totals
+from adtally.operators.upsert import upsert
+from adtally.plans import summary, trend
+from adtally.session import released, scratch_folder, shared_folder
+from adtally.sources import fact, partials, versions
+
+from .facts import fact_frame
+
+
+def sorted_rows(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+def written(path):
+    return {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, names in os.walk(path) for f in names if f.endswith(".parquet")}
+
+
+@pytest.fixture
+def sites(spark, tmp_path):
+    path = str(tmp_path / "kpis")
+    frame = spark.range(400).selectExpr("concat('site', id % 200) as account", "id as v", "if(id % 50 = 7, null, 'x') as note")
+    keyed.create(frame, path, ["account"], buckets=8)
+    return path, frame
+
+
+def test_an_upsert_equals_that_of_frames(spark, sites):
+    path, frame = sites
+    incoming = spark.createDataFrame([("x", 3, "site3"), (None, 4, "site3"), ("n", 5, "new"), ("z", 6, None)], "note string, v long, account string")
+    again = keyed.upsert(spark, path, incoming)
+    assert again.number == 2
+    expected = upsert(frame, incoming.select(frame.columns))
+    assert sorted_rows(keyed.read(spark, path)) == sorted_rows(expected)
+    keyed.upsert(spark, path, incoming)
+    once_more = upsert(expected, incoming.select(frame.columns))
+    assert sorted_rows(keyed.read(spark, path)) == sorted_rows(once_more)
+    assert keyed.upsert(spark, path, incoming.limit(0)).number == 3
+
+
+def test_buckets_that_nothing_falls_into_are_not_written(spark, sites):
+    path, _ = sites
+    before, files = versions.version(spark, path), written(path)
+    incoming = spark.createDataFrame([("site3", 1, "a")], "account string, v long, note string")
+    after = keyed.upsert(spark, path, incoming)
+    changed = {name for name in before.pieces if after.pieces[name] != before.pieces[name]}
+    assert len(before.pieces) == 8 and len(changed) == 1
+    assert {name: time for name, time in written(path).items() if name in files} == files
+    (folder,) = (after.pieces[name] for name in changed)
+    assert all(f"/{folder}/" in name for name in set(written(path)) - set(files))
+
+
+def test_readers_see_one_version(spark, sites, monkeypatch):
+    path, frame = sites
+    reader = keyed.read(spark, path)
+    incoming = spark.createDataFrame([("site3", 1, "a")], "account string, v long, note string")
+    plain = versions.commit
+
+    def lost(*_):
+        raise RuntimeError("lost before the commit")
+
+    monkeypatch.setattr(versions, "commit", lost)
+    with pytest.raises(RuntimeError):
+        keyed.upsert(spark, path, incoming)
+    assert sorted_rows(keyed.read(spark, path)) == sorted_rows(frame)
+    monkeypatch.setattr(versions, "commit", plain)
+    keyed.upsert(spark, path, incoming)
+    assert sorted_rows(reader) == sorted_rows(frame)
+    assert keyed.read(spark, path).where("account = 'site3'").count() == 1
+
+
+def test_the_second_of_two_writers_is_refused(spark, sites):
+    path, frame = sites
+    known = versions.version(spark, path)
+    versions.commit(spark, path, known, known.pieces, known.schema, known.about)
+    with pytest.raises(versions.Conflict):
+        versions.commit(spark, path, known, {}, known.schema, known.about)
+    assert sorted_rows(keyed.read(spark, path)) == sorted_rows(frame)
+    assert not [n for n in os.listdir(f"{path}/_versions") if not n.endswith(".json") and not n.endswith(".crc")]
+
+
+def test_old_folders_go_when_asked(spark, sites):
+    path, _ = sites
+    for i in range(3):
+        keyed.upsert(spark, path, spark.createDataFrame([("site3", i, "a")], "account string, v long, note string"))
+    before = sorted_rows(keyed.read(spark, path))
+    assert versions.vacuum(spark, path, keep=1) == 3
+    assert sorted_rows(keyed.read(spark, path)) == before
+    with pytest.raises(ValueError):
+        keyed.create(spark.range(1), path, ["id"])
+    with pytest.raises(ValueError):
+        keyed.upsert(spark, path + "-none", spark.range(1))
+
+
+def stored(spark, tmp_path, *rows):
+    path = str(tmp_path / "facts")
+    fact.write_fact(fact_frame(spark, *rows), path)
+    return path, str(tmp_path / "sums")
+
+
+MARCH, APRIL = {}, {"perf_month": date(2021, 4, 1), "owner": "bob", "spend": 7.5}
+
+
+def test_reports_from_partials_equal_those_from_facts(spark, tmp_path):
+    rows = [MARCH, {"spend": None, "owner": None}, {"ad_type": None}, {"ad_type": "AFFILIATE"}, {**MARCH, "account": "b-ph"}, APRIL, {**APRIL, "perf_month": None}]
+    facts, sums = stored(spark, tmp_path, *rows)
+    partials.refresh(spark, facts, sums)
+    kept, plain = partials.read(spark, sums), fact.read_fact(spark, facts)
+    assert kept.agg(F.sum("fact_rows")).first()[0] == len(rows)
+    for report in (
+        lambda f: summary.summary(f, "CPC", "202103"), lambda f: summary.summary(f, "DIRECT"), lambda f: summary.summary_lines(f, "DIRECT", account="-ph"),
+        trend.monthly_trend, totals.channel_month_totals, totals.type_month_totals, totals.scope_total, totals.owner_breakdown, totals.month_list, totals.latest_month, totals.global_sums,
+    ):
+        assert sorted_rows(report(kept)) == sorted_rows(report(plain))
+
+
+def test_only_changed_months_are_read_again(spark, tmp_path, monkeypatch):
+    facts, sums = stored(spark, tmp_path, MARCH, APRIL)
+    first = partials.refresh(spark, facts, sums)
+    assert partials.refresh(spark, facts, sums) == first
+    seen = []
+
+    def build(df):
+        seen.append({r["perf_month"] for r in df.select("perf_month").distinct().collect()})
+        return partials.partials(df)
+
+    fact.write_fact(fact_frame(spark, {**APRIL, "owner": "eve"}), facts)
+    second = partials.refresh(spark, facts, sums, build)
+    assert seen == [{date(2021, 4, 1)}]
+    assert second.pieces["2021-03-01"] == first.pieces["2021-03-01"] and second.pieces["2021-04-01"] != first.pieces["2021-04-01"]
+    assert {r["owner"] for r in partials.read(spark, sums).collect()} == {"ann", "eve"}
+    fact.write_fact(fact_frame(spark, MARCH), facts, "append")
+    partials.refresh(spark, facts, sums, build)
+    assert seen[1:] == [{date(2021, 3, 1)}] and partials.read(spark, sums).agg(F.sum("fact_rows")).first()[0] == 3
+    plan = fact.read_fact(spark, facts).where(F.col("perf_month").isin([date(2021, 4, 1)]))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull" in plan or "PartitionFilters: [perf_month" in plan
+
+
+def test_a_month_that_is_gone_leaves_the_table(spark, tmp_path):
+    facts, sums = stored(spark, tmp_path, MARCH, APRIL)
+    partials.refresh(spark, facts, sums)
+    import shutil
+
+    shutil.rmtree(f"{facts}/perf_month=2021-04-01")
+    spark.catalog.refreshByPath(facts)
+    partials.refresh(spark, facts, sums)
+    assert {r["perf_month"] for r in partials.read(spark, sums).collect()} == {date(2021, 3, 1)}
+
+
+def test_sketches_are_kept_and_united(spark, tmp_path):
+    rows = [{"account": f"s{i}", "perf_month": date(2021, 1 + i % 3, 1)} for i in range(300)] + [{"account": f"s{i}"} for i in range(60)] + [{"account": None, "perf_month": date(2021, 9, 1)}]
+    facts, sketches = stored(spark, tmp_path, *rows)
+    partials.refresh(spark, facts, sketches, totals.account_sketches)
+    kept = partials.read(spark, sketches)
+    assert kept.count() == 4
+    whole = totals.estimated_accounts(kept).first()["accounts"]
+    assert abs(whole - 300) <= 15
+    by_month = {r["perf_month"].month: r["accounts"] for r in totals.estimated_accounts(kept, ["perf_month"]).collect()}
+    assert abs(by_month[1] - 100) <= 5 and by_month[9] == 0
+    assert totals.estimated_accounts(kept.limit(0)).first()["accounts"] in (0, None)
+
+
+def test_scratch_tables_go_with_their_block(spark):
+    folder = shared_folder(spark).removeprefix("file:")
+    with released():
+        path = scratch_folder(spark)
+        keyed.create(spark.range(5), path, ["id"], buckets=2)
+        assert os.path.isdir(path.removeprefix("file:"))
+    assert not os.path.isdir(path.removeprefix("file:")) and folder in path
