@@ -17,6 +17,7 @@ variants are ordered by their JSON text.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator, Sequence
 from functools import reduce
@@ -226,6 +227,64 @@ def far_page(df: DataFrame, order_by: Sequence[str], offset: int, limit: int) ->
     return rows.orderBy(*sort_columns(order)).select(*[F.col(f"`{name}`") for name in df.columns])
 
 
+def _written(name: str, kind: T.DataType) -> Column:
+    column = F.col(f"`{name}`")
+    return F.base64(column) if isinstance(kind, T.BinaryType) else column.cast("string")
+
+
+def _not_before(order: Sequence[tuple[str, bool]], values: Sequence[Column | None]) -> Column:
+    """Whether a row stands at the given values or behind them; a bound of the first column alone comes first and reaches scans."""
+    test = F.lit(True)
+    for (name, desc), value in reversed(list(zip(order, values, strict=True))):
+        column = F.col(f"`{name}`")
+        if value is None:
+            behind = F.lit(False) if desc else column.isNotNull()
+            same = column.isNull()
+        else:
+            behind = (column < value) | column.isNull() if desc else column > value
+            same = column == value
+        test = F.coalesce(behind, F.lit(False)) | F.coalesce(same, F.lit(False)) & test
+    (name, desc), value = order[0], values[0]
+    if value is None:
+        return F.col(f"`{name}`").isNull() & test if desc else test
+    first = F.col(f"`{name}`") <= value if desc else F.col(f"`{name}`") >= value
+    return (first | F.col(f"`{name}`").isNull() if desc else first) & test
+
+
+def page_after(df: DataFrame, order_by: Sequence[str], limit: int, cursor: str | None = None, name: str = "cursor") -> DataFrame:
+    """The ``limit`` rows behind the row of a cursor, or the first ones, each with its own cursor text as ``name``.
+
+    A cursor holds the row's values in the order and how many rows equal to it
+    have been shown up to it.  The next page is a range test, of which the first column's
+    bound reaches partitions and scans, and a top-k of a page: nothing before the page is ordered or held, however
+    far it lies.  Rows that come or go between two pages shift nothing.
+    """
+    keyed, order = _keyed(df, order_by)
+    kinds = {column: keyed.schema[column].dataType for column, _ in order}
+    texts = F.array(*[_written(column, kinds[column]) for column, _ in order])
+    seen, after = 0, None
+    if cursor is not None:
+        held = json.loads(cursor)
+        seen, after = held["seen"], held["after"]
+        if len(after) != len(order):
+            raise ValueError("the cursor is of another order")
+        values = [
+            None if text is None else F.unbase64(F.lit(text)) if isinstance(kinds[column], T.BinaryType) else F.lit(text).cast(kinds[column])
+            for text, (column, _) in zip(after, order, strict=True)
+        ]
+        keyed = keyed.where(_not_before(order, values))
+    rows = keyed.orderBy(*sort_columns(order)).offset(seen).limit(limit)
+    own, text = [F.col(f"`{c}`") for c in df.columns], _free(keyed, "texts")
+    rows = rows.withColumn(text, texts)
+    # A page's rows only.
+    nth = F.row_number().over(Window.partitionBy(text).orderBy(F.lit(1)))
+    if after is not None:
+        again = F.array(*[F.lit(x).cast("string") for x in after])
+        nth = nth + F.when(F.col(text).eqNullSafe(again), F.lit(seen)).otherwise(0)
+    shown = rows.select("*", F.to_json(F.struct(F.col(text).alias("after"), nth.alias("seen"))).alias(_free(keyed, name)))
+    return shown.orderBy(*sort_columns(order)).select(*own, F.col(f"`{_free(keyed, name)}`").alias(name))
+
+
 def sample_exact(df: DataFrame, fraction: float, key: Sequence[str], seed: int) -> DataFrame:
     """The whole number of rows nearest to the fraction, drawn by a seeded hash of the key.
 

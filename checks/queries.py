@@ -404,6 +404,14 @@ def page_deep(spark, root):
     return ordered.far_page(paged_rows(spark, root), ["perf_month desc"], DEEP_OFFSET, PAGE_SIZE)
 
 
+@query
+def page_after_row(spark, root):
+    """The page behind the last row of the far page, by that row's cursor."""
+    rows, order = paged_rows(spark, root), ["perf_month desc"]
+    last = ordered.page_after(ordered.far_page(rows, order, DEEP_OFFSET, PAGE_SIZE), order, PAGE_SIZE).collect()[-1]
+    return ordered.page_after(rows, order, PAGE_SIZE, last["cursor"]).drop("cursor")
+
+
 @query
 def indexed_rows(spark, root):
     return ordered.indexed(paged_rows(spark, root), ["perf_month"])

@@ -363,6 +363,9 @@ from sums)""",
     "page_deep": over_base(
         f"select * from paged order by {paged_order('perf_month desc')} limit 15 offset 20000", PAGED_ROWS
     ),
+    "page_after_row": over_base(
+        f"select * from paged order by {paged_order('perf_month desc')} limit 15 offset 20015", PAGED_ROWS
+    ),
     "indexed_rows": over_base(
         f"select row_number() over (order by {paged_order('perf_month')}) - 1 as idx, * from paged", PAGED_ROWS
     ),

@@ -94,6 +94,51 @@ def test_a_far_page_shuffles_no_rows(copies, monkeypatch):
     assert plan.count("rangepartitioning") <= 1  # of the page's own rows
 
 
+def turned(frame, order, limit):
+    cursor, out = None, []
+    while True:
+        rows = ordered.page_after(frame, order, limit, cursor).collect()
+        out += [tuple(r)[:-1] for r in rows]
+        if len(rows) < limit:
+            return out
+        cursor = rows[-1]["cursor"]
+
+
+def test_pages_behind_cursors_make_up_the_whole(spark):
+    """Ascending and descending, null keys, and equal rows across a page's end."""
+    rng = random.Random(4)
+    rows = [(rng.choice([None, 1, 2, 3]), rng.choice([None, "a", "b é", '"q"'])) for _ in range(170)]
+    frame = spark.createDataFrame(rows, "n int, t string").repartition(3)
+    for order in (["n"], ["n desc"], ["t desc", "n"]):
+        whole = [tuple(r) for r in ordered.page(frame, order, 0, 500).collect()]
+        assert turned(frame, order, 60) == whole
+    assert ordered.page_after(frame.limit(0), ["n"], 5).count() == 0
+    with pytest.raises(ValueError):
+        ordered.page_after(frame, ["n"], 5, '{"seen": 1, "after": ["1"]}')
+
+
+def test_cursors_of_any_type(spark):
+    frame = spark.range(40).selectExpr(
+        "if(id % 9 = 0, double('NaN'), id / 3D) as d", "cast(id % 3 as decimal(7, 3)) as m", "timestamp_micros(id % 4) as t", "cast(timestamp_micros(id * 7) as timestamp_ntz) as z",
+        "unhex(hex(id % 5)) as b", "id % 2 = 0 as f", "date_add(date'2021-01-01', int(id % 6)) as day", "array(id % 3) as l", "cast(id % 7 / 3 as float) as s",
+    ).repartition(3)
+    for name in frame.columns:
+        for order in ([name], [f"{name} desc"]) if name in ("d", "b") else ([f"{name} desc"],):
+            whole = [str(tuple(r)) for r in ordered.page(frame, order, 0, 40).collect()]
+            assert [str(x) for x in turned(frame, order, 21)] == whole
+
+
+def test_a_page_behind_a_cursor_reads_no_earlier_month(spark, tmp_path):
+    path = f"{tmp_path}/facts"
+    spark.range(300).selectExpr("add_months(date'2021-01-01', int(id % 10)) as perf_month", "id as clicks").write.partitionBy("perf_month").parquet(path)
+    facts = spark.read.parquet(path)
+    last = ordered.page_after(ordered.far_page(facts, ["perf_month desc"], 95, 15), ["perf_month desc"], 15).collect()[-1]
+    rows = ordered.page_after(facts, ["perf_month desc"], 15, last["cursor"])
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "perf_month#" in plan.split("PartitionFilters: [")[1].split("]")[0] and "TakeOrderedAndProject" in plan
+    assert [r["clicks"] for r in rows.collect()] == [6 + 10 * i for i in range(20, 30)] + [5 + 10 * i for i in range(5)]
+
+
 @pytest.mark.parametrize("partitions", [1, 5])
 def test_adjacent_duplicates(spark, partitions):
     rng = random.Random(9)
