@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,12 +25,14 @@ def create(df: DataFrame, path: str, keys: Sequence[str] = DEFAULT_KEYS, buckets
     return versions.commit(df.sparkSession, path, known, pieces, df.schema, {"keys": list(keys), "buckets": buckets})
 
 
-def upsert(spark: SparkSession, path: str, incoming: DataFrame) -> versions.Version:
+def upsert(spark: SparkSession, path: str, incoming: DataFrame, notes: Mapping[str, object] | None = None) -> versions.Version:
     """Replace the stored rows whose key arrives by the arriving rows, in one step for readers.
 
     Buckets that no arriving key falls into are neither read nor written.  Rows
     with a null in their key are added and never replaced, as by ``upsert`` of frames.  A
     writer that another one was faster than gets a ``Conflict`` and may try again.
+
+    ``notes`` are kept with the table and become valid in the same step as the rows.
     """
     known = versions.version(spark, path)
     if not known.number:
@@ -39,13 +41,13 @@ def upsert(spark: SparkSession, path: str, incoming: DataFrame) -> versions.Vers
     with released():
         arriving = materialised(incoming.select(*[F.col(f"`{name}`") for name in known.schema.names]))
         touched = [str(r["b"]) for r in arriving.select(bucket(keys, buckets).alias("b")).distinct().collect()]  # at most all buckets
-        if not touched:
+        if not touched and not notes:
             return known
         stored = versions.rows(spark, path, known, touched)
         kept = stored.join(arriving.select(*keys).distinct(), keys, "left_anti").select(*stored.columns)
         written = versions.write_pieces(kept.unionByName(arriving), path, bucket(keys, buckets))
     pieces = {name: folder for name, folder in known.pieces.items() if name not in touched} | written
-    return versions.commit(spark, path, known, pieces, known.schema, known.about)
+    return versions.commit(spark, path, known, pieces, known.schema, {**known.about, **(notes or {})})
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

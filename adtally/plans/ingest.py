@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import load_stamp
-from ..functions.money import partial_sums, ratio, round2, settled_as
+from ..functions.money import ratio, round2, settled_as, sums_over
 from ..operators.totals import aggregated
 from ..schema import DASHBOARD_CELLS, KPI_NAMES, REPORT_COUNTS, REPORT_MONEY
 
@@ -21,6 +21,18 @@ DEFAULT_KEYS = ("account",)
 _SUMMED = (*REPORT_MONEY.values(), *REPORT_COUNTS.values())
 
 
+def _marks(reports: DataFrame) -> tuple[str, str]:
+    bad = "sum(bad_cells)" if "bad_cells" in reports.columns else "0L"
+    return bad, "max(missing_headers)" if "missing_headers" in reports.columns else "0"
+
+
+def summed_reports(reports: DataFrame, keys: Sequence[str] = DEFAULT_KEYS) -> DataFrame:
+    """Report rows added up by site and placement, in a form that stands for the rows in all further sums."""
+    bad, missing = _marks(reports)
+    marks = [f"{bad} as bad_cells", f"{missing} as missing_headers"]
+    return aggregated(reports, [*keys, "placement"], [*sums_over(reports.columns, _SUMMED), *marks])
+
+
 def report_sums(
     reports: DataFrame, keys: Sequence[str] = DEFAULT_KEYS, placement: str | None = None
 ) -> DataFrame:
@@ -28,14 +40,13 @@ def report_sums(
 
     A bad cell in any placement counts.  Sites without the placement give no row.
     """
-    bad = "sum(bad_cells)" if "bad_cells" in reports.columns else "0L"
-    missing = "max(missing_headers)" if "missing_headers" in reports.columns else "0"
+    bad, missing = _marks(reports)
     results = [*keys, *settled_as(_SUMMED), "bad_report", "missing_headers", "true as has_report"]
     marks = [f"{bad} as bad_report", f"{missing} as missing_headers"]
     if placement is None:
-        return aggregated(reports, keys, [*partial_sums(_SUMMED), *marks], results)
+        return aggregated(reports, keys, [*sums_over(reports.columns, _SUMMED), *marks], results)
     rows = reports.withColumn("placed", F.col("placement") == placement)
-    aggregates = [*partial_sums(_SUMMED, "placed"), *marks, "bool_or(placed) as has_placement"]
+    aggregates = [*sums_over(reports.columns, _SUMMED, "placed"), *marks, "bool_or(placed) as has_placement"]
     return aggregated(rows, keys, aggregates, [*results, "has_placement"]).where("has_placement").drop("has_placement")
 
 

@@ -11,6 +11,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[str] = []
+_TABLE = "table "
 
 
 def build_session(app: str = "adtally", master: str | None = None, **conf: str) -> SparkSession:
@@ -64,6 +65,13 @@ def scratch_folder(spark: SparkSession) -> str:
     return path
 
 
+def scratch_table() -> str:
+    """A new name for a table of the catalog; the table goes with the intermediate tables."""
+    name = f"adtally_{uuid.uuid4().hex}"
+    _written.append(f"{_TABLE}{name}")
+    return name
+
+
 def materialised(df: DataFrame) -> DataFrame:
     """The frame as a table written once in the shared folder.
 
@@ -81,7 +89,11 @@ def release(since: int = 0) -> None:
     """Remove the intermediate tables written after the first ``since``; frames over them can't be used any more."""
     spark = SparkSession.getActiveSession()
     while spark is not None and len(_written) > since:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        name = _written.pop()
+        if name.startswith(_TABLE):
+            spark.sql(f"drop table if exists {name.removeprefix(_TABLE)}")
+            continue
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

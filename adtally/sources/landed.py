@@ -55,9 +55,15 @@ def _described(df: DataFrame, kind: str | None = None) -> DataFrame:
     return rows.where(is_uploaded_site("account")).where(f"kind = '{kind}'" if kind else "kind is not null")
 
 
-def route_files(spark: SparkSession, root: str) -> DataFrame:
-    """Files of an upload with their site, kind and time; their content is not read."""
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+def of_sites(rows: DataFrame, sites: DataFrame) -> DataFrame:
+    """Rows of the sites in ``account``."""
+    return rows.join(sites.select("account"), "account", "left_semi")
+
+
+def route_files(spark: SparkSession, root: str, listing: DataFrame | None = None) -> DataFrame:
+    """Files of an upload, or of the given listing, with their site, kind and time; their content is not read."""
+    if listing is None:
+        listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     return _described(listing).select("account", "kind", "file", "modified")
 
 

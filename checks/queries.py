@@ -31,7 +31,7 @@ from adtally.schema import (
     STORE_RECORD,
 )
 from adtally.session import scratch_folder
-from adtally.sources import partials
+from adtally.sources import bucketed, partials, skipping
 from adtally.sources.fact import in_currency, write_fact
 from adtally.sources.warehouse import ad_base, table
 
@@ -101,6 +101,16 @@ def filter_account_contains(spark, root):
     return shown_month(rows.where(scope.in_scope(DIRECT, account="7-")))
 
 
+@query
+def filter_account_indexed(spark, root):
+    """The same rows out of stored facts, from the files that an index of n-grams leaves."""
+    facts, index = scratch_folder(spark), scratch_folder(spark)
+    write_fact(ad_base(spark, root), facts)
+    skipping.refresh(spark, facts, index)
+    rows = skipping.read(spark, facts, index, {"account": "7-"}).where(scope.in_scope(DIRECT))
+    return shown_month(rows.select("account", "perf_month", "ad_type", "clicks"))
+
+
 @query
 def scope_router(spark, root):
     rows = ad_base(spark, root, ["perf_month", "ad_type", "clicks"])
@@ -563,3 +573,14 @@ def site_bucket_upsert(spark, root):
     arriving = reports(spark, root, RECOMMEND).where(F.col("account").endswith("-th"))
     keyed.upsert(spark, path, ingest.site_kpis(arriving, board, LOAD_DATE, SITE_KEYS))
     return shown_month(keyed.read(spark, path))
+
+
+def bucketed_inputs(spark, root):
+    """Report sums and dashboards by month and site, stored in buckets of both."""
+    sums = ingest.summed_reports(reports(spark, root), SITE_KEYS)
+    return bucketed.stored(sums, SITE_KEYS, 16), bucketed.stored(dashboards(spark, root), SITE_KEYS, 16)
+
+
+@query
+def ingest_site_kpis_bucketed(spark, root):
+    return shown_month(ingest.site_kpis(*bucketed_inputs(spark, root), LOAD_DATE, SITE_KEYS))
