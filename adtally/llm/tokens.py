@@ -1,4 +1,4 @@
-"""Token ids of whole texts by a public tokenizer file, with a store of word encodings in each worker."""
+"""Token ids of whole texts by a public tokenizer file, with a store of word encodings in each task."""
 
 from __future__ import annotations
 
@@ -10,11 +10,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from adtally.llm.staging import release_unused
+
 #: ASCII signs that never continue a word in front of them; the apostrophe may.
 _SIGNS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 _WORD_END = "</w>"
-#: Words kept by a worker; beyond it the store starts anew.
-KEPT_WORDS = 700_000
+#: Words kept during a task; beyond it the store starts anew.
+KEPT_WORDS = 300_000
 
 
 class WordEncoder:
@@ -149,8 +151,13 @@ def encoder(path: str) -> WordEncoder:
 
 
 def encoded(batches: Iterator[pa.RecordBatch], path: str, rows: int = 2000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Each slice of a batch (text in its last column) with the ids of its texts."""
+    """Each slice of a batch (text in its last column) with the ids of its texts.
+
+    The store of words goes at the end: workers live on, and the memory is other tasks' then.
+    """
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             part = batch.slice(start, rows)
             yield part, *encoder(path).encode(part.column(part.num_columns - 1))
+    encoder.cache_clear()
+    release_unused()
