@@ -6,6 +6,9 @@ dashboard is a CSV without header whose name holds ``Dashboard``.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +19,7 @@ from ..functions.text import is_uploaded_site
 from ..operators.distinct import last_per_key
 from ..operators.reshape import envelope_rows
 from ..schema import DASHBOARD_CELLS, DASHBOARD_ROW, REPORT_COUNTS, REPORT_MONEY
+from . import replies
 
 # Marks in the names of landed files.
 DASHBOARD_MARK = "Dashboard"
@@ -122,16 +126,18 @@ def _newest(spark: SparkSession, root: str, rows: DataFrame) -> DataFrame:
     return rows.join(newest, "file", "left_semi")
 
 
-def read_records(spark: SparkSession, path: str, record: T.StructType, field: str = "data_list") -> DataFrame:
+def read_records(spark: SparkSession, path: str | Sequence[str], record: T.StructType, field: str = "data_list") -> DataFrame:
     """Records of all landed API replies, one JSON object per file; many tasks share a large reply.
 
-    Records are flat, so a file is read as the texts between closing braces,
+    A file of flat records is read as the texts between closing braces,
     which Spark splits at any place.  Where such a text is neither a record nor
-    what stands before or after the records, its whole file is read as one
-    object instead, as ``read_envelopes`` does.
+    what stands before or after the records, its whole file is read by
+    ``replies.record_texts``, by many tasks as well, and files that don't begin
+    as an object as one text each, as ``read_envelopes`` does.
     """
-    texts = spark.read.option("lineSep", "}").option("recursiveFileLookup", True).text(path)
-    pieces = texts.selectExpr("value", "_metadata.file_path as file")
+    paths = [path] if isinstance(path, str) else list(path)
+    texts = spark.read.option("lineSep", "}").option("recursiveFileLookup", True).text(paths)
+    pieces = texts.selectExpr("value", "_metadata.file_path as file", "_metadata.file_block_start as block")
     start = rf"""(?s)^\s*(\{{[^{{]*"{field}"\s*:\s*\[\s*|,\s*)\{{([^{{]*)$"""
     pieces = pieces.withColumn("inner", F.regexp_extract("value", start, 2)).withColumn("is_record", F.regexp_like("value", F.lit(start)))
     marked = T.StructType([*record.fields, T.StructField("_broken", T.StringType())])
@@ -140,16 +146,25 @@ def read_records(spark: SparkSession, path: str, record: T.StructType, field: st
     pieces = pieces.withColumn("record", parsed)
     rest = rf"""(?s)^\s*(\][^{{\[]*|\{{[^{{]*"{field}"\s*:\s*\[\s*\][^{{\[]*)?$"""
     odd = (F.col("is_record") & F.col("record._broken").isNotNull()) | (~F.col("is_record") & ~F.regexp_like("value", F.lit(rest)))
-    whole = pieces.where(odd).select(F.col("file").alias("odd_file")).distinct()
-    names = [F.col(f"record.`{name}`") for name in record.fieldNames()]
-    flat = pieces.where("is_record").join(whole, F.col("file") == F.col("odd_file"), "left_anti").select(*names)
-    envelope = T.StructType([T.StructField(field, T.ArrayType(record))])
-    replies = spark.read.schema(envelope).option("multiLine", True).option("recursiveFileLookup", True).json(path)
-    replies = replies.select("*", F.col("_metadata.file_path").alias("file")).join(whole, F.col("file") == F.col("odd_file"), "left_semi")
-    return flat.unionByName(envelope_rows(replies, field))
-
-
-def read_envelopes(spark: SparkSession, path: str, record: T.StructType, field: str = "data_list") -> DataFrame:
+    # The first text of a file tells whether it begins as an object.
+    begins = F.min_by(F.regexp_like("value", F.lit(r"(?s)^[\s\ufeff]*\{")), F.struct("block", "nth"))
+    files = pieces.withColumn("nth", F.monotonically_increasing_id()).groupBy("file").agg(F.bool_or(odd).alias("odd"), begins.alias("is_object"))
+    files = files.collect()  # names of files
+    apart = [r["file"] for r in files if r["odd"]]
+    fields = [F.col(f"record.`{name}`") for name in record.fieldNames()]
+    parts = []
+    if len(apart) < len(files) or not files:
+        whole = spark.createDataFrame([(name,) for name in apart], "odd_file string")
+        parts.append(pieces.where("is_record").join(F.broadcast(whole), F.col("file") == F.col("odd_file"), "left_anti").select(*fields))
+    if nested := [r["file"] for r in files if r["odd"] and r["is_object"]]:
+        found = replies.record_texts(spark, nested, field)
+        parts.append(found.select(F.from_json("text", record).alias("record")).select(*fields))
+    if others := [r["file"] for r in files if r["odd"] and not r["is_object"]]:
+        parts.append(envelope_rows(read_envelopes(spark, others, record, field), field))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def read_envelopes(spark: SparkSession, path: str | Sequence[str], record: T.StructType, field: str = "data_list") -> DataFrame:
     """Landed API replies, one JSON object per file, with their records as an array."""
     envelope = T.StructType([T.StructField(field, T.ArrayType(record))])
     return spark.read.schema(envelope).option("multiLine", True).json(path)

@@ -33,6 +33,7 @@ from adtally.schema import (
 from adtally.session import scratch_folder
 from adtally.sources import bucketed, partials, skipping
 from adtally.sources.fact import in_currency, write_fact
+from adtally.sources.landed import read_records
 from adtally.sources.warehouse import ad_base, table
 
 YM = "199803"
@@ -170,6 +171,24 @@ def json_envelope_campaign(spark, root):
     return reshape.envelope_rows(reshape.parsed_envelopes(replies, "reply", CAMPAIGN_RECORD))
 
 
+RECORDS_PER_REPLY = 20_000
+
+
+@query
+def landed_replies_nested(spark, root):
+    """The campaign records as landed files whose records are nested, with arrays before and behind them."""
+    needs = ["account", "store_revenue", "spend", "clicks", "ad_orders"]
+    facts = in_currency(ad_base(spark, root, needs, further=["l_orderkey"]))
+    record = F.expr("""to_json(struct(account as account_name, store_revenue, named_struct('list', array(struct(clicks as x, null as y), struct(null as x, '} ]' as y))) as extra, spend,
+        clicks, ad_orders * 2 as store_units_sold, clicks * 20 as impression, if(clicks % 10 = 0, null, ad_orders) as store_orders))""")
+    files = facts.count() // RECORDS_PER_REPLY + 1
+    lists = facts.groupBy(F.pmod(F.xxhash64("l_orderkey"), F.lit(files)).alias("file")).agg(F.concat_ws(",", F.collect_list(record)).alias("records"))
+    path = scratch_folder(spark)
+    reply = """concat('{"meta":{"list":[{"account_name":"no"}]},"data_list":[', records, '],"more":[{"spend":1}],"total":{"n":1}}') as reply"""
+    lists.selectExpr(reply).write.option("maxRecordsPerFile", 1).text(path)
+    return read_records(spark, path, CAMPAIGN_RECORD)
+
+
 @query
 def json_envelope_store(spark, root):
     """One envelope per site with a record for each month."""

@@ -429,6 +429,7 @@ union all by name {kpis("new")}""",
 # The same results out of stored tables.
 SQL["summary_from_partials"] = SQL["summary_cpc_all_months"]
 SQL["trend_from_partials"] = SQL["monthly_trend"]
+SQL["landed_replies_nested"] = SQL["json_envelope_campaign"]
 SQL["filter_account_indexed"] = SQL["filter_account_contains"]
 SQL["ingest_site_kpis_bucketed"] = SQL["ingest_site_kpis"]
 SQL["site_bucket_upsert"] = SQL["site_upsert_all_months"]
