@@ -23,6 +23,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,21 +49,20 @@ def _pieces(spark: SparkSession, files: Sequence[str]) -> DataFrame:
     return texts.select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, bytes, tuple | None]]:
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, bytes, tuple]]:
     """File, block, bytes and further columns, in order; blocks come in chunks, each cut behind a closing brace."""
     for batch in batches:
-        at, held, size = None, [], 0
-        values = batch.column(0)
-        others = [batch.column(i).to_pylist() for i in range(1, batch.num_columns)]
-        for i, key in enumerate(zip(*others, strict=True)):
-            if held and (key != at or size > CHUNK):
-                yield at[0], at[1], b"}".join(held) + b"}", at[2:]
-                held, size = [], 0
-            at = key
-            held.append(values[i].as_py())
-            size += len(held[-1])
-        if held:
-            yield at[0], at[1], b"}".join(held) + b"}", at[2:]
+        if not batch.num_rows:
+            continue
+        values, files = batch.column(0), batch.column(1).dictionary_encode()
+        blocks = batch.column(2).to_numpy()
+        ends = np.cumsum(pc.binary_length(values).to_numpy().astype(np.int64) + 1)
+        changes = (np.diff(files.indices.to_numpy()) != 0) | (np.diff(blocks) != 0) | (np.diff(ends // CHUNK) != 0)
+        cuts = [0, *(np.flatnonzero(changes) + 1).tolist(), batch.num_rows]
+        for low, high in zip(cuts, cuts[1:], strict=False):
+            texts = pa.ListArray.from_arrays(pa.array([0, high - low], pa.int32()), values.slice(low, high - low))
+            others = tuple(batch.column(i)[low].as_py() for i in range(3, batch.num_columns))
+            yield files[low].as_py(), int(blocks[low]), pc.binary_join(texts, b"}")[0].as_py() + b"}", others
 
 
 def unescaped_quotes(data: np.ndarray) -> np.ndarray:
