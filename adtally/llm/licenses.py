@@ -96,17 +96,82 @@ KINDS = [
     (" terms ", 0.6, r"(?:subject to|see|according to) (?:the )?terms (?:and conditions )?of (?:the )?{}"),
 ]
 
+#: Rules of a wording of their own: label, keyword, confidence, pattern.  Grant texts, notices and joined forms.
+GRANTS = [
+    ("mit", "hereby", 0.95, r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "substantial", 0.9, r"the above copyright notice and this permission notice (?:including the next paragraph )?shall be included in all copies or substantial portions of the software"),
+    ("mit-0", "hereby", 0.95, r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so the software is provided"),
+    ("isc", "hereby", 0.95, r"permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted provided"),
+    ("0bsd", "hereby", 0.95, r"permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted the software"),
+    ("bsd", "redistribution", 0.9, r"redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd", "redistributions", 0.8, r"redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "redistributions", 0.8, r"redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd-3-clause", "neither", 0.9, r"neither the names? of (?:[^ ]+ ){1,12}?may be used to endorse or promote products derived from this software"),
+    ("bsd-4-clause", "advertising", 0.9, r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("apache-2.0", "compliance", 0.95, r"you may not use this file except in compliance with the license"),
+    ("apache-2.0", "applicable", 0.8, r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("gpl", "program", 0.95, r"this program is free software(?: you can redistribute it and or modify it)? under the terms of the gnu general public license"),
+    ("gpl", "program", 0.9, r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    ("lgpl", "library", 0.95, r"this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
+    ("lgpl", "lesser", 0.8, r"you should have received a copy of the gnu lesser general public license along with"),
+    ("gpl", "received", 0.8, r"you should have received a copy of the gnu general public license along with"),
+    ("agpl", "affero", 0.8, r"you should have received a copy of the gnu affero general public license along with"),
+    ("mpl-2.0", "mozilla", 0.95, r"this source code form is subject to the terms of the mozilla public license v(?:ersion)? 2 0"),
+    ("mpl-1.1", "contents", 0.9, r"the contents of this file are subject to the mozilla public license version 1 1"),
+    ("epl", "accompanying", 0.9, r"this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("cddl", "contents", 0.9, r"the contents of this file are subject to the terms of the common development and distribution license"),
+    ("unlicense", "unencumbered", 0.95, r"this is free and unencumbered software released into the public domain"),
+    ("zlib", "altered", 0.9, r"altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("zlib", "warranty", 0.8, r"this software is provided as is without any express or implied warranty in no event (?:will|shall) the authors? be held liable"),
+    ("wtfpl", "verbatim", 0.9, r"everyone is permitted to copy and distribute verbatim or modified copies of this license document"),
+    ("boost-1.0", "boost", 0.95, r"distributed under the boost software license version 1 0"),
+    ("cc0-1.0", "waived", 0.9, r"has waived all copyright and related or neighboring rights"),
+    ("cc0-1.0", "extent", 0.7, r"to the extent possible under law the (?:author|person|associating)"),
+    ("postgresql", "hereby", 0.9, r"permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("artistic", "perl", 0.8, r"under the same terms as perl itself"),
+    ("artistic", "artistic", 0.9, r"the artistic license preamble"),
+    ("gfdl", "document", 0.9, r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("ofl-1.1", "font", 0.95, r"this font software is licensed under the sil open font license"),
+    ("ms-pl", "microsoft", 0.9, r"this license governs use of the accompanying software (?:[^ ]+ ){1,40}?microsoft"),
+    ("proprietary", "reserved", 0.5, r"all rights reserved"),
+    ("proprietary", "confidential", 0.7, r"(?:proprietary and confidential|confidential and proprietary)"),
+    ("proprietary", "unauthorized", 0.7, r"unauthorized copying of this file via any medium is strictly prohibited"),
+    ("public-domain", "domain", 0.8, r"(?:placed|released|dedicated) (?:in|into|to) the public domain"),
+    ("cc-by", "adapt", 0.7, r"free to share and adapt (?:[^ ]+ ){0,12}?attribution"),
+    ("mit", "mit", 0.9, r"mit licensed"),
+    ("bsd", "bsd", 0.9, r"bsd licensed"),
+    ("apache", "apache", 0.9, r"apache licensed"),
+    ("gpl", "gpl", 0.9, r"gpl licensed"),
+    ("isc", "isc", 0.9, r"isc licensed"),
+    ("gpl-2.0", "gplv2", 0.9, r"gplv2(?: only| or later)?"),
+    ("gpl-3.0", "gplv3", 0.9, r"gplv3(?: only| or later)?"),
+    ("gpl-2.0", "gpl2", 0.8, r"gpl2"),
+    ("gpl-3.0", "gpl3", 0.8, r"gpl3"),
+    ("lgpl-2.0", "lgplv2", 0.9, r"lgplv2(?: only| or later)?"),
+    ("lgpl-2.1", "lgplv2", 0.95, r"lgplv2 1(?: only| or later)?"),
+    ("lgpl-3.0", "lgplv3", 0.9, r"lgplv3(?: only| or later)?"),
+    ("agpl-3.0", "agplv3", 0.9, r"agplv3(?: only| or later)?"),
+    ("apache-2.0", "alv2", 0.8, r"alv2"),
+    ("apache-2.0", "asl", 0.7, r"asl 2 0"),
+    ("mpl-2.0", "mplv2", 0.9, r"mplv2(?: 0)?"),
+    ("bsd-3-clause", "bsd3", 0.8, r"bsd3"),
+    ("cc-by-sa", "ccbysa", 0.8, r"ccbysa"),
+]
+
 RULE = "array<struct<number:int,keyword:string,kind:string,strength:int,label:string,confidence:double,pattern:string>>"
 
 
 def signatures() -> list[dict]:
-    """All rules in order: the base phrases, and each kind of signature for each license.
+    """All rules in order: the base phrases, the wordings, and each kind of signature for each license.
 
-    ``strength`` is 0 for the strongest kind; -1 marks a base rule.
+    ``strength`` is 0 for the strongest kind, which the wordings are of; -1 marks a base rule.
     """
     rules = [
         {"keyword": phrase.split()[0], "kind": " ", "strength": -1, "label": label, "confidence": 0.5, "pattern": phrase} for phrase, label in BASE
     ]
+    rules += [
+        {"keyword": keyword, "kind": " ", "strength": 0, "label": label, "confidence": confidence, "pattern": f"(?:{pattern})"} for label, keyword, confidence, pattern in GRANTS
+    ]
     for strength, (kind, confidence, around) in enumerate(KINDS):
         for label, keyword, name in LICENSES:
             rules.append({"keyword": keyword, "kind": kind, "strength": strength, "label": label, "confidence": confidence, "pattern": around.replace("{}", f"(?:{name})")})

@@ -101,3 +101,28 @@ def test_hundreds_of_rules():
     assert len(rules) > 300 and len({r["number"] for r in rules}) == len(rules)
     for rule in rules:
         re.compile(rule["pattern"])
+
+
+WORDINGS = {
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\")": "mit",
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that": "bsd",
+    "This module is MIT-licensed.": "mit", "Licence: GPLv2 or later": "gpl-2.0", "under LGPLv3": "lgpl-3.0", "you may not use this file except in compliance with the License.": "apache-2.0",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that": "isc",
+    "This is free and unencumbered software released into the public domain.": "unlicense", "All rights reserved.": "proprietary",
+}
+
+
+def test_wordings_have_their_labels(spark):
+    docs = spark.createDataFrame(list(enumerate(WORDINGS)), "doc_id long, text string")
+    found = {r.doc_id: r.labels.split(",") for r in licenses.digest(licenses.scan(docs)).collect()}
+    for i, label in enumerate(WORDINGS.values()):
+        assert label in found[i], (i, found[i])
+
+
+def test_every_wording_holds_its_keyword():
+    """The prefilter may not pass over a text that the rule would match: each alternative has the keyword as a word."""
+    import re
+
+    for _, keyword, _, pattern in licenses.GRANTS:
+        for part in pattern.split("|") if "(" not in pattern else [pattern]:
+            assert re.search(rf"(?<![a-z0-9]){keyword}(?![a-z0-9])", part), (keyword, part)
