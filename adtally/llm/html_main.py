@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,23 +68,34 @@ BOILERPLATE_NAMES = frozenset(
     "alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment "
     "comments commentlist disqus respond replies reply pagination pager copyright disclaimer skip search tags".split()
 )
+#: Other words for reader comments; they mark article elements as well.
+COMMENT_NAMES = frozenset(
+    "comment comments commentlist commentary disqus respond replies reply kommentar kommentare leserkommentare commentaire commentaires comentario comentarios".split()
+)
+#: Whole names that mark running text (paragraphs, quotes, headings) inside an article.
+TEXT_NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies newsletter subscribe signup login".split()) | COMMENT_NAMES
+TEXT_TAGS = frozenset("p blockquote pre h1 h2 h3 h4 h5 h6 li dd dt td th figure figcaption span em strong b i a code".split())
+HIDDEN_STYLE = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.IGNORECASE)
+#: Steps of a path that are written out; longer paths begin with a digest of what stands above.
+WRITTEN_STEPS = 24
 NAME_PARTS = re.compile(r"[A-Za-z][a-z]+|[A-Z]+(?![a-z])|[a-z]+")
 
 
 class Node:
     """An element: its path among its ancestors, and plain, boilerplate and link characters below it."""
 
-    __slots__ = ("tag", "parent", "step", "noise", "marked", "region", "story", "keeps", "link", "plain", "waste", "parts", "depth", "container", "article")
+    __slots__ = ("tag", "parent", "step", "digest", "noise", "marked", "region", "story", "keeps", "link", "plain", "waste", "parts", "depth", "container", "article")
 
     def __init__(self, tag: str, parent: Node | None, attributes: dict[str, str]):
         self.tag, self.parent = tag, parent
         names = sorted({re.sub(r"\d+", "#", x) for x in attributes.get("class", "").split()})
         own = re.sub(r"\d+", "#", attributes.get("id", ""))
         self.step = tag + "".join(f".{x}" for x in names) + (f"@{own}" if own else "")
+        self.digest = xxhash.xxh3_64_intdigest(self.step, parent.digest if parent else 0)
         self.article = tag in ("article", "main") or bool(parent and parent.article)
         self.noise = bool(parent and parent.noise) or self._is_boilerplate(attributes)
         named = not self.noise and self._has_boilerplate_name(attributes)
-        self.marked = named and tag not in ("html", "body", "article", "main") and not (tag == "header" and self.article)
+        self.marked = named and tag not in ("html", "body", "main") and not (tag == "header" and self.article)
         self.region = self if self.marked or parent is None else parent.region
         self.story = (tag in ("article", "main") and not named) or bool(parent and parent.story)
         self.keeps = self.container = False
@@ -93,28 +105,50 @@ class Node:
         self.parts: list[str | Node] = []
 
     def _is_boilerplate(self, attributes: dict[str, str]) -> bool:
-        if self.tag in ("html", "body", "article", "main"):
+        if self.tag in ("html", "body"):
             return False
-        if self.tag == "header" and self.article:
-            return False  # an article's own header: only its headings are taken
-        return self.tag in BOILERPLATE_TAGS or "hidden" in attributes or attributes.get("role", "").lower() in BOILERPLATE_ROLES
+        if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or HIDDEN_STYLE.search(attributes.get("style", "")):
+            return True
+        if self.tag in ("article", "main") or (self.tag == "header" and self.article):
+            return False  # of an article's own header only the headings are taken
+        return self.tag in BOILERPLATE_TAGS or attributes.get("role", "").lower() in BOILERPLATE_ROLES
 
     def _has_boilerplate_name(self, attributes: dict[str, str]) -> bool:
-        marks = f"{attributes.get('class', '')} {attributes.get('id', '')}"
-        return any(x.lower() in BOILERPLATE_NAMES for x in NAME_PARTS.findall(marks)) if marks != " " else False
+        """Outside of articles any part of a name counts, inside whole names; an article itself is marked as a comment only."""
+        names = f"{attributes.get('class', '')} {attributes.get('id', '')}"
+        if names == " ":
+            return False
+        if self.tag == "article":
+            return any(x.lower() in COMMENT_NAMES for x in NAME_PARTS.findall(names))
+        if self.parent is not None and self.parent.article:
+            meant = TEXT_NAMES if self.tag in TEXT_TAGS else BOILERPLATE_NAMES | COMMENT_NAMES
+            return any(x.lower() in meant for x in names.split())
+        return any(x.lower() in BOILERPLATE_NAMES or x.lower() in COMMENT_NAMES for x in NAME_PARTS.findall(names))
 
     def path(self) -> str:
+        """The steps from the page down; of a deep element the last ones, behind a digest of those above."""
         steps, node = [], self
-        while node is not None:
+        while node is not None and len(steps) < WRITTEN_STEPS:
             steps.append(node.step)
             node = node.parent
-        return ">".join(reversed(steps))
+        return ">".join(([f"{node.digest:016x}"] if node is not None else []) + steps[::-1])
 
 
 def parsed(page: str) -> list[Node]:
     """The page's elements in order; the first is a root that stands for the page."""
     root = Node("html", None, {})
     nodes, stack, at = [root], [root], 0
+    opened: dict[str, int] = {}  # elements of a tag on the stack
+
+    def close(first: int) -> None:
+        for node in stack[first:]:
+            opened[node.tag] -= 1
+        del stack[first:]
+
+    def enter(node: Node) -> None:
+        stack.append(node)
+        opened[node.tag] = opened.get(node.tag, 0) + 1
+
     while at < len(page):
         found = TOKEN.match(page, at)
         if found is None:  # a tag that never ends
@@ -131,16 +165,16 @@ def parsed(page: str) -> list[Node]:
             continue
         tag = tag.lower()
         if found["end"] or found["end2"]:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if opened.get(tag) else ():
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in ("table", "article", "main") and tag not in BLOCKS:
                     break
             continue
         rest = found["rest"] if found["tag"] else found["rest2"]
         attributes = {m["name"].lower(): html.unescape(m["a"] or m["b"] or m["c"] or "") for m in ATTRIBUTE.finditer(rest)} if rest.strip(" /\n\t") else {}
-        if tag in ("html", "body") and any(x.tag == tag and x is not root for x in stack):
+        if tag in ("html", "body") and opened.get(tag):
             continue
         if tag == "html":
             continue
@@ -152,7 +186,7 @@ def parsed(page: str) -> list[Node]:
                     keep = i
                 elif stack[i].tag in scopes or (stack[i].tag in BLOCKS and stack[i].tag != "p" and tag not in ("tr", "td", "th", "tbody", "thead", "tfoot")):
                     break
-            del stack[keep:]
+            close(keep)
         node = Node(tag, stack[-1], attributes)
         stack[-1].parts.append(node)
         nodes.append(node)
@@ -162,9 +196,9 @@ def parsed(page: str) -> list[Node]:
             if closing is not None:
                 at = page.find(">", at) + 1 or len(page)
         elif tag not in VOID and not rest.endswith("/"):
-            stack.append(node)
+            enter(node)
         elif rest.endswith("/") and tag not in VOID and tag in BLOCKS:
-            stack.append(node)
+            enter(node)
     settle_names(nodes)
     return nodes
 
@@ -259,10 +293,10 @@ def votes(page: str | None) -> dict[str, float]:
     """Paths of the page's containers with their best scores."""
     nodes = parsed(page or "")
     measured(nodes)
-    out: dict[str, float] = {}
+    best: dict[int, tuple[float, Node]] = {}
     for score, node in scored(nodes):
-        out.setdefault(node.path(), score)
-    return out
+        best.setdefault(node.digest, (score, node))
+    return {node.path(): score for score, node in best.values()}
 
 
 def main_text(page: str | None, path: str | None) -> str:
@@ -272,7 +306,9 @@ def main_text(page: str | None, path: str | None) -> str:
     ranked = scored(nodes)
     if not ranked:
         return ""
-    chosen = next((node for _, node in ranked if node.path() == path), ranked[0][1])
+    depth = path.count(">") if path else -1
+    alike = (node for _, node in ranked if path and (node.depth == depth or depth >= WRITTEN_STEPS) and node.path() == path)
+    chosen = next(alike, ranked[0][1])
     return "\n".join(blocks_of(chosen))
 
 

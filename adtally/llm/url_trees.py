@@ -1,8 +1,10 @@
 """Url filters: rules by host and path, and gradient-boosted trees on lexical features for the rest.
 
-The trees learn from labelled urls; the suffix statistics behind two of their
-features are counted over all of them.  Where rules of hosts gave the labels, these
-two are left out: they would only repeat the rule to other urls of its host.
+The trees learn from labelled urls.  Statistics of a url's suffix are taken
+from the suffix's domains in other folds than the url's own, and only where
+those are several: a label that a rule gave to a host must not come back as a
+feature of the host's other urls.  For the same reason no feature is of the
+host alone.
 """
 
 from __future__ import annotations
@@ -13,21 +15,20 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adtally.llm.staging import staged
+from adtally.llm.staging import sent_if_small, staged
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bound of the training sample: about so many labelled urls, drawn by a hash of the url.
 TRAIN_ROWS = 50_000
 TREES, DEPTH = 20, 4
-#: A suffix counts as so many urls of the overall share of blocked ones besides its own.
+#: A suffix's shares count as so many urls of the overall mean besides its own.
 PRIOR_ROWS = 20.0
-#: Labelled urls get the share of the other folds, so that their own label isn't in their features.
-FOLDS = 10
-LEXICAL = [
-    "length", "host_length", "path_length", "depth", "labels", "hyphens", "digit_ratio", "letter_ratio", "entropy",
-    "host_entropy", "parameters", "escapes", "has_fragment", "is_https",
-]
-SHARES = ["suffix_blocked", "domain_blocked"]
+#: Domains are dealt to so many folds; a suffix needs so many domains in the other folds to have statistics.
+FOLDS, LEAST_DOMAINS = 10, 10
+LEXICAL = ["length", "path_length", "depth", "hyphens", "digit_ratio", "letter_ratio", "entropy", "parameters", "escapes", "has_fragment", "is_https"]
+#: Of the suffix's domains in other folds: urls and hosts (logarithms), means, and the share of blocked ones among labelled urls.
+MEANS = ["depth", "digit_ratio", "entropy"]
+SUFFIX = ["suffix_urls", "suffix_hosts", *[f"suffix_{name}" for name in MEANS], "suffix_blocked"]
 
 Rule = tuple[str, str, str]
 
@@ -86,15 +87,12 @@ def with_features(urls: DataFrame) -> DataFrame:
     return urls.withColumns(
         {
             "length": F.char_length(url).cast("double"),
-            "host_length": F.char_length(host).cast("double"),
             "path_length": F.char_length(path).cast("double"),
             "depth": _count(path, "/[^/]"),
-            "labels": _count(host, r"[^.]+"),
             "hyphens": _count(url, "-"),
             "digit_ratio": _count(url, "[0-9]") / size,
             "letter_ratio": _count(url, "[A-Za-z]") / size,
             "entropy": _entropy(url),
-            "host_entropy": _entropy(host),
             "parameters": _count(query, "[^&;]+"),
             "escapes": _count(url, "%[0-9A-Fa-f]{2}"),
             "has_fragment": F.contains(url, F.lit("#")).cast("double"),
@@ -105,61 +103,66 @@ def with_features(urls: DataFrame) -> DataFrame:
     )
 
 
-def _with_share(rows: DataFrame, counts: DataFrame, key: str, overall: float, without_fold: bool) -> DataFrame:
-    """The smoothed share of blocked urls of ``key``; for labelled urls, that among urls of other folds."""
-    sums = counts.groupBy(F.col(key).alias("__key")).agg(F.sum("n").alias("__n"), F.sum("blocked").alias("__blocked"))
-    joined = rows.join(sums, F.col(key) == F.col("__key"), "left").drop("__key")
-    n, blocked = F.coalesce("__n", F.lit(0)), F.coalesce("__blocked", F.lit(0.0))
-    if without_fold:
-        own = counts.select(F.col(key).alias("__key"), F.col("fold").alias("__fold"), F.col("n").alias("__own_n"), F.col("blocked").alias("__own"))
-        joined = joined.join(own, (F.col(key) == F.col("__key")) & (F.col("fold") == F.col("__fold")), "left")
-        n, blocked = n - F.coalesce("__own_n", F.lit(0)), blocked - F.coalesce("__own", F.lit(0.0))
-    joined = joined.withColumn(f"{key}_blocked", (blocked + PRIOR_ROWS * overall) / (n + PRIOR_ROWS))
-    return joined.drop("__key", "__fold", "__n", "__blocked", "__own_n", "__own")
-
-
-def judged(
-    urls: DataFrame,
-    labelled: DataFrame,
-    train_rows: int = TRAIN_ROWS,
-    trees: int = TREES,
-    depth: int = DEPTH,
-    seed: int = 42,
-    shares_of_hosts: bool = True,
-) -> DataFrame:
+def _fold() -> Column:
+    return F.pmod(F.xxhash64("domain", F.lit(3)), F.lit(FOLDS)).cast("int")
+
+
+def suffix_table(urls: DataFrame, labelled: DataFrame) -> DataFrame:
+    """``of_suffix, of_fold`` and sums over the suffix's domains in other folds, where these are ``LEAST_DOMAINS`` at least.
+
+    Both inputs have url, host and path, the second one a label.  Urls are counted by host first.
+    """
+    sums = [F.sum(name).alias(name) for name in MEANS]
+    hosts = with_features(urls.select("url", "host", "path")).groupBy("suffix", "domain", "host").agg(F.count(F.lit(1)).alias("urls"), *sums)
+    domains = hosts.groupBy("suffix", "domain").agg(F.sum("urls").alias("urls"), F.count(F.lit(1)).alias("hosts"), *sums)
+    labels = with_features(labelled.select("url", "host", "path", "label")).groupBy("suffix", "domain").agg(F.count(F.lit(1)).alias("known"), F.sum("label").alias("blocked"))
+    domains = domains.join(labels, ["suffix", "domain"], "full_outer").fillna(0)
+    names = ["urls", "hosts", *MEANS, "known", "blocked", "domains"]
+    folds = staged(domains.withColumn("domains", F.lit(1)).groupBy("suffix", _fold().alias("fold")).agg(*[F.sum(c).alias(c) for c in names]))
+    whole = folds.groupBy("suffix").agg(*[F.sum(c).alias(f"all_{c}") for c in names])
+    others = folds.join(whole, "suffix").select(
+        F.col("suffix").alias("of_suffix"), F.col("fold").alias("of_fold"), *[(F.col(f"all_{c}") - F.col(c)).alias(f"other_{c}") for c in names]
+    )
+    return staged(others.where(F.col("other_domains") >= LEAST_DOMAINS))
+
+
+def _with_suffix(rows: DataFrame, table: DataFrame, means: dict[str, float]) -> DataFrame:
+    """``rows`` (with features) and the statistics of their suffixes, drawn to the overall means; these alone where there are none."""
+    joined = rows.join(sent_if_small(table), (F.col("suffix") == F.col("of_suffix")) & (_fold() == F.col("of_fold")), "left")
+    held = lambda name: F.coalesce(F.col(f"other_{name}"), F.lit(0)).cast("double")
+    drawn = lambda total, n, mean: (held(total) + PRIOR_ROWS * means[mean]) / (held(n) + PRIOR_ROWS)
+    features = {"suffix_urls": F.log1p(held("urls")), "suffix_hosts": F.log1p(held("hosts")), "suffix_blocked": drawn("blocked", "known", "label")}
+    features |= {f"suffix_{name}": drawn(name, "urls", name) for name in MEANS}
+    return joined.withColumns(features).drop(*table.columns)
+
+
+def judged(urls: DataFrame, labelled: DataFrame, train_rows: int = TRAIN_ROWS, trees: int = TREES, depth: int = DEPTH, seed: int = 42) -> DataFrame:
     """``urls`` (url, host, path, ...) with ``blocked``: the trees' probability that it is to be blocked.
 
     ``labelled`` has url, host, path and ``label`` (1: block, 0: allow).  At
     most about ``train_rows`` of them train the trees.  Without labelled urls
     the probability is 0, with one label alone it is that label.  A null url
-    has the features of an empty one.  ``shares_of_hosts`` says whether the
-    shares of blocked urls of suffix and domain are features.
+    has the features of an empty one.
     """
-    features = LEXICAL + SHARES if shares_of_hosts else LEXICAL
-    fold = F.pmod(F.xxhash64("url", F.lit(3)), F.lit(FOLDS)).cast("int").alias("fold")
-    known = staged(with_features(labelled.select("url", "host", "path", F.col("label").cast("double").alias("label"), fold)))
-    total = known.agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("share"), F.min("label").alias("least"), F.max("label").alias("most")).first()
+    features = LEXICAL + SUFFIX
+    known = staged(with_features(labelled.select("url", "host", "path", F.col("label").cast("double").alias("label"))))
+    total = known.agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("label"), F.min("label").alias("least"), F.max("label").alias("most")).first()
     if not total["n"] or total["least"] == total["most"]:
-        return urls.withColumn("blocked", F.lit(float(total["share"] or 0.0)))
-    keys = ("suffix", "domain") if shares_of_hosts else ()
-    counts = {key: staged(known.groupBy(key, "fold").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("blocked"))) for key in keys}
-
-    def shares(rows: DataFrame, without_fold: bool) -> DataFrame:
-        for key, sums in counts.items():
-            rows = _with_share(rows, sums, key, total["share"], without_fold)
-        return rows
-
+        return urls.withColumn("blocked", F.lit(float(total["label"] or 0.0)))
+    table = suffix_table(urls, known)
+    over_all = with_features(urls.select("url", "host", "path")).agg(*[F.avg(name).alias(name) for name in MEANS]).first()
+    means = {"label": total["label"], **{name: over_all[name] or 0.0 for name in MEANS}}
     rate = min(1.0, train_rows / total["n"])
     draw = F.pmod(F.xxhash64("url", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = known if rate == 1.0 else known.where(draw < rate)
     vector = VectorAssembler(inputCols=features, outputCol="features")
-    train = staged(shares(sample, True).select(*features, "label").repartition(4))  # a bounded sample
+    train = staged(_with_suffix(sample, table, means).select(*features, "label").repartition(4))  # a bounded sample
     if train.select(F.count_distinct("label")).first()[0] < 2:
-        return urls.withColumn("blocked", F.lit(float(total["share"])))
+        return urls.withColumn("blocked", F.lit(float(total["label"])))
     model: GBTClassificationModel = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, subsamplingRate=0.8).fit(vector.transform(train))
     given = [c for c in urls.columns if c != "blocked"]
     renamed = urls.select(F.struct(*[F.col(f"`{c}`") for c in given]).alias("given"), "url", "host", "path")
-    scored = model.transform(vector.transform(shares(with_features(renamed), False)))
+    scored = model.transform(vector.transform(_with_suffix(with_features(renamed), table, means)))
     return scored.select("given.*", vector_to_array("probability")[1].alias("blocked"))
 
 
@@ -167,8 +170,7 @@ def filtered(pages: DataFrame, rules: list[Rule], url_column: str = "url", thres
     """``pages`` with host, path, rule, verdict and ``blocked``; columns of those names are replaced.
 
     The verdict is the longest rule's.  Where no rule fits, it is the trees',
-    which learn the lexical features of the urls that rules judge, without
-    the shares of hosts unless ``shares_of_hosts`` is given.
+    which learn from the urls that rules judge.
     """
     names = ("host", "path", "rule", "verdict", "blocked")
     kept = [F.col(f"`{c}`") for c in pages.columns if c not in names]
@@ -177,6 +179,6 @@ def filtered(pages: DataFrame, rules: list[Rule], url_column: str = "url", thres
     text, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("rule", text).withColumn("by_rule", verdict)
     labelled = rows.where("by_rule is not null").withColumn("label", (F.col("by_rule") == "block").cast("double"))
-    out = judged(rows, labelled, **{"shares_of_hosts": False, **options})
+    out = judged(rows, labelled, **options)
     by_trees = F.when(F.col("blocked") >= threshold, "block").otherwise("allow")
     return out.select("page.*", "host", "path", "rule", F.coalesce("by_rule", by_trees).alias("verdict"), "blocked")

@@ -2,6 +2,10 @@
 
 import math
 import random
+import re
+import time
+import tracemalloc
+from html.parser import HTMLParser
 
 import pytest
 
@@ -51,6 +55,107 @@ def test_wrappers_named_like_boilerplate(name, inner):
     assert html_main.main_text(page, None) == ("The words of the article. " * 20).strip()
 
 
+KEPT = [
+    '<p class="share-price">The share price rose.</p>', '<blockquote class="social-quote">A quote.</blockquote>', '<h2 class="search-tips">How to look</h2>',
+    '<ul class="tag-list-of-parts"><li>a part</li></ul>', '<p class="notice">Note this.</p>', '<div class="notice-of-meeting"><p>They met.</p></div>',
+    '<p class="reply-quote">"Yes", was the reply.</p>', '<figure class="widget-photo"><figcaption>A widget</figcaption></figure>', '<p id="related-work">Other work.</p>',
+]
+GONE = [
+    '<div class="share">Share</div>', '<ul class="tags"><li>x</li></ul>', '<p class="ad">Buy</p>', '<div class="comments"><p>First!</p></div>', '<p style="display: none">no</p>',
+    '<div aria-hidden="true">no</div>', '<p hidden>no</p>', '<section id="kommentare"><p>Erster!</p></section>', '<p style="color:red;visibility:hidden">no</p>', '<div class="newsletter">Mail us</div>',
+]
+
+
+@pytest.mark.parametrize("part", KEPT)
+def test_parts_of_an_article_stay(part):
+    text = html_main.main_text(f"<body><article>{STORY}{part}{STORY}</article></body>", None).split("\n")
+    assert len(text) == 3 and text[1] == " ".join("".join(re.split(r"<[^>]*>", part)).split())
+
+
+@pytest.mark.parametrize("part", GONE)
+def test_what_is_no_part_of_an_article_goes(part):
+    for page in (f"<body><article>{STORY}{part}{STORY}</article></body>", f"<body>{part}<article>{STORY}{STORY}</article>{part}</body>"):
+        assert len(html_main.main_text(page, None).split("\n")) == 2
+
+
+def test_comments_marked_as_articles_go():
+    comment = '<article class="comment" id="c{}"><p>I think that this is quite right, and more words.</p></article>'
+    comments = "".join(comment.format(i) for i in range(30))
+    for page in (f"<body><article>{STORY}</article>{comments}</body>", f"<body><main>{STORY}{comments}</main></body>", f'<body><article>{STORY}<div id="kommentar-liste"></div>{comments}</article></body>'):
+        assert html_main.main_text(page, None) == ("The words of the article. " * 20).strip()
+    assert html_main.main_text(f'<body><article class="comment">{STORY}</article></body>', None) == ("The words of the article. " * 20).strip()
+
+
+def test_deep_pages_and_stray_tags_take_little():
+    for page in ("<div>" * 20_000 + "deep" + "</div>" * 9, "<div>x" * 4_000 + "</b></i></section>" * 8_000, "<span>" * 9_000 + "<p>text</p>" * 50):
+        start = time.perf_counter()
+        found = html_main.votes(page)
+        assert time.perf_counter() - start < 2 and found
+        tracemalloc.start()
+        html_main.votes(page)
+        assert tracemalloc.get_traced_memory()[1] < 100e6
+        tracemalloc.stop()
+        best = max(found, key=found.get)
+        assert html_main.main_text(page, best) == html_main.main_text(page, None)
+
+
+class PlainReader(HTMLParser):
+    """Blocks of the article of simple pages: a stack of tags, and what lies outside of noise."""
+
+    BLOCK = {"article", "p", "h1", "h2", "h3", "div", "li", "ul", "td", "tr", "table", "blockquote", "pre"}
+
+    def __init__(self):
+        super().__init__()
+        self.stack, self.out, self.line = [], [], []
+
+    def end(self):
+        if text := " ".join("".join(self.line).split()):
+            self.out.append(text)
+        self.line = []
+
+    def handle_starttag(self, tag, attributes):
+        if tag in self.BLOCK:
+            self.end()
+            if self.stack and self.stack[-1][0] == "p":
+                self.stack.pop()
+        if tag == "br":
+            self.line.append(" ")
+        elif tag not in html_main.VOID:
+            noise = tag in html_main.BOILERPLATE_TAGS or dict(attributes).get("class") == "ad"
+            self.stack.append((tag, noise))
+
+    def handle_endtag(self, tag):
+        if tag in self.BLOCK:
+            self.end()
+        if any(x == tag for x, _ in self.stack):
+            while self.stack.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        if any(tag == "article" for tag, _ in self.stack) and not any(noise for _, noise in self.stack):
+            self.line.append(data)
+
+
+def test_extraction_against_plain_versions(spark, root):
+    """Votes added up in plain Python, and the article's text by the standard library's parser."""
+    pages = spark.read.parquet(f"{root}/pages.parquet").collect()
+    sums = {}
+    for r in pages:
+        host = plain_host_path(r.url)[0]
+        for path, score in html_main.votes(r.html).items():
+            sums[host, path] = sums.get((host, path), 0) + round(score * 1_000_000)
+    winners = {host: min((-votes, path) for (h, path), votes in sums.items() if h == host)[1] for host in {h for h, _ in sums}}
+    found = {r.page_id: r.text for r in QUERIES["op7_html_consensus"](spark, root).collect()}
+    assert found == {r.page_id: html_main.main_text(r.html, winners.get(plain_host_path(r.url)[0])) for r in pages}
+    same = 0
+    for r in pages:
+        reader = PlainReader()
+        reader.feed(r.html or "")
+        reader.end()
+        same += found[r.page_id] == "\n".join(reader.out)
+    assert same >= 0.98 * len(pages)
+
+
 def test_related_articles_stay_noise():
     page = f'<body><article>{STORY}</article><div class="related"><article>{STORY * 3}</article></div></body>'
     assert html_main.main_text(page, None) == ("The words of the article. " * 20).strip()
@@ -159,3 +264,30 @@ def test_a_rule_does_not_judge_the_rest_of_its_domain(spark):
     found = {r.page_id: r.verdict for r in url_trees.filtered(rows, rules, trees=5).where("rule is null").collect()}
     assert len(found) == 200
     assert sum((v == "block") == (i % 2 == 0) for i, v in found.items()) >= 180
+
+
+def test_suffix_statistics_against_plain(spark):
+    """Sums over a suffix's domains in other folds, for suffixes with several domains only."""
+    draw = random.Random(4)
+    urls = [f"http://{draw.choice('ab')}.d{draw.randrange(40)}.{draw.choice(['com', 'com', 'org', 'net'])}/{draw.randrange(9)}" for _ in range(500)] + [f"http://x.one.fr/{i}" for i in range(60)]
+    rows = spark.createDataFrame([(u, *plain_host_path(u), float(draw.random() < 0.5), i) for i, u in enumerate(urls)], "url string, host string, path string, label double, i int")
+    known = rows.where("i % 2 = 0")
+    fold = {r.domain: r.fold for r in url_trees.with_features(rows).select("domain", url_trees._fold().alias("fold")).distinct().collect()}
+    table = {(r.of_suffix, r.of_fold): r for r in url_trees.suffix_table(rows, known).collect()}
+    facts = [(r.host.rsplit(".", 1)[1], ".".join(r.host.split(".")[-2:]), r.host, r.label, r.i % 2 == 0) for r in rows.collect()]
+    for suffix in ("com", "org", "net", "fr"):
+        for number in range(url_trees.FOLDS):
+            others = [f for f in facts if f[0] == suffix and fold[f[1]] != number]
+            known_ones = [f for f in others if f[4]]
+            if len({f[1] for f in others}) < url_trees.LEAST_DOMAINS:
+                assert (suffix, number) not in table
+            elif (suffix, number) in table:
+                r = table[suffix, number]
+                assert (r.other_urls, r.other_hosts, r.other_known, r.other_blocked) == (len(others), len({f[2] for f in others}), len(known_ones), sum(f[3] for f in known_ones))
+    assert {s for s, _ in table} == {"com", "org", "net"}
+
+
+def test_verdicts_are_the_rules_or_the_trees(spark, root):
+    for r in QUERIES["op8_url_trees"](spark, root).collect():
+        rule, verdict = plain_rule(r.host, r.path)
+        assert (r.rule, r.verdict) == (rule, verdict or ("block" if r.score >= 0.5 else "allow"))
