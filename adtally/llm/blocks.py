@@ -29,7 +29,7 @@ def usable(table: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     return rows.where(F.size("vector") == (usual["size"] if usual else 0))
 
 
-def packed(rows: DataFrame, order: list[Column] | None, to: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], group_bytes: int = GROUP_BYTES) -> DataFrame:
+def packed(rows: DataFrame, order: list[Column] | None, to: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], group_bytes: int = GROUP_BYTES, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Stored blocks of ``rows`` (id, vector, and for ``extra`` a third column of doubles).
 
     ``gid`` numbers groups of about ``group_bytes`` of doubles, in ``order``
@@ -47,7 +47,7 @@ def packed(rows: DataFrame, order: list[Column] | None, to: Callable[[np.ndarray
         for batch in batches:
             gid = batch.column(batch.num_columns - 1).to_numpy()
             cuts = [0, *(np.flatnonzero(np.diff(gid)) + 1).tolist(), batch.num_rows]
-            spans = [(i, min(BLOCK_ROWS, end - i)) for start, end in zip(cuts, cuts[1:], strict=False) for i in range(start, end, BLOCK_ROWS)]
+            spans = [(i, min(block_rows, end - i)) for start, end in zip(cuts, cuts[1:], strict=False) for i in range(start, end, block_rows)]
             for part in (batch.slice(start, size) for start, size in spans):
                 ids = part.column(0).to_numpy().astype(np.int64)
                 flat = part.column(1).flatten().to_numpy().reshape(len(ids), -1)
@@ -65,13 +65,14 @@ def packed(rows: DataFrame, order: list[Column] | None, to: Callable[[np.ndarray
     return staged(dealt.mapInArrow(pack, BLOCK))
 
 
-def searched(groups: DataFrame, queries: DataFrame, search: Callable[[list[tuple]], Callable[[tuple], tuple]], first: int = 0, last: int | None = None, score: str = "double") -> DataFrame:
+def searched(groups: DataFrame, queries: DataFrame, search: Callable[[list[tuple]], Callable[[tuple], tuple]], first: int = 0, last: int | None = None, score: str = "double", copies: int = 1) -> DataFrame:
     """``query_id, vec_id, score`` that ``search`` finds for each query in each group of ``first`` to ``last``.
 
     Each block of queries is sent to each group.  Sorted, a group's own blocks
     come first and stay in memory; blocks of queries follow one by one.
     ``search`` gets the group's blocks and returns what turns a block of
-    queries into (query ids, ids, scores).
+    queries into (query ids, ids, scores).  Each group is held by ``copies``
+    tasks, which share the blocks of queries.
     """
     spark = groups.sparkSession
     top = groups.agg(F.max("gid")).first()[0]
@@ -79,14 +80,15 @@ def searched(groups: DataFrame, queries: DataFrame, search: Callable[[list[tuple
     kind = f"query_id long, vec_id long, score {score}"
     if top is None or last < first:
         return spark.createDataFrame([], kind)
-    own = groups.where(F.col("gid").between(first, last)).withColumn("kind", F.lit(0))
+    own = groups.where(F.col("gid").between(first, last)).withColumn("kind", F.lit(0)).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
     sent = queries.withColumn("gid", F.explode(F.sequence(F.lit(first), F.lit(last)))).withColumn("kind", F.lit(1))
-    rows = own.unionByName(sent).repartition(last - first + 1, "gid").sortWithinPartitions("gid", "kind")
+    sent = sent.withColumn("copy", F.pmod(F.xxhash64("ids"), F.lit(copies)).cast("int"))
+    rows = own.unionByName(sent).repartition((last - first + 1) * copies, "gid", "copy").sortWithinPartitions("gid", "copy", "kind")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            for gid, ids, vectors, extra, n, kind in zip(*(batch.column(c) for c in ("gid", "ids", "vectors", "extra", "n", "kind")), strict=True):
-                yield gid.as_py(), kind.as_py(), (np.frombuffer(ids.as_buffer(), np.int64), vectors.as_buffer(), extra.as_buffer(), n.as_py())
+            for gid, copy, ids, vectors, extra, n, kind in zip(*(batch.column(c) for c in ("gid", "copy", "ids", "vectors", "extra", "n", "kind")), strict=True):
+                yield (gid.as_py(), copy.as_py()), kind.as_py(), (np.frombuffer(ids.as_buffer(), np.int64), vectors.as_buffer(), extra.as_buffer(), n.as_py())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, ready = None, [], None

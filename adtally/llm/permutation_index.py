@@ -26,8 +26,11 @@ from adtally.llm import blocks, topk
 from adtally.llm.staging import ship, staged
 
 PIVOTS, LISTED = 512, 64
-#: Distinct vectors of a group that are reranked for a query: a share of the group's, and so many at least.
-RERANKED, LEAST_RERANKED = 0.15, 2_500
+#: Distinct vectors of a group that are reranked for a query: a share of the group's, and so many times k at least.
+RERANKED, LEAST_TIMES = 0.15, 5
+
+#: Matrix products differ from sums row by row by less than this share of the largest.
+ROUNDING = 1e-9
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -94,11 +97,13 @@ class InvertedFile:
                 near = np.argpartition(-saved, self.wanted - 1)[: self.wanted]
             else:
                 near = np.arange(len(saved))
-            scores = self.vectors[near] @ query
+            rough = self.vectors[near] @ query
             # Each vector stands for one id at least, but for the query's own.
             if len(near) > self.k + 1:
-                last = np.partition(scores, len(scores) - self.k - 1)[len(scores) - self.k - 1]
-                near, scores = near[scores >= last], scores[scores >= last]
+                last = np.partition(rough, len(rough) - self.k - 1)[len(rough) - self.k - 1]
+                near = near[rough >= last - ROUNDING * np.abs(rough).max()]
+            # Sums row by row are the same for equal vectors wherever they stand, which a matrix product doesn't promise.
+            scores = (self.vectors[near] * query).sum(axis=1)
             rows = [self.rows[self.bounds[x] : min(self.bounds[x + 1], self.bounds[x] + self.k + 1)] for x in near]
             ids, scores = self.ids[np.concatenate(rows)], np.repeat(scores, [len(x) for x in rows])
             meant = (ids != query_id) & ~(scores < bound)
@@ -128,7 +133,7 @@ def nearest(
     pivots: int = PIVOTS,
     listed: int = LISTED,
     reranked: float = RERANKED,
-    least_reranked: int = LEAST_RERANKED,
+    least_times: int = LEAST_TIMES,
     id_column: str = "vec_id",
     vector_column: str = "embedding",
     group_bytes: int = blocks.GROUP_BYTES,
@@ -138,8 +143,7 @@ def nearest(
     A query isn't its own candidate.  Ties go to the smaller id.  Null and
     zero vectors, those holding null or non-finite components, rows without id
     and vectors of another length than most take no part.  Of rows that repeat
-    an id, one is the query.  Groups no larger than ``least_reranked`` are
-    searched in full.
+    an id, one is the query.
     """
     ship(table.sparkSession)
     good = blocks.usable(table, id_column, vector_column).where(F.exists("vector", lambda x: x != 0))
@@ -150,6 +154,6 @@ def nearest(
         return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     listed = min(listed, len(directions))
     groups = blocks.packed(good, None, lambda v, _: (v, nearest_pivots(lifted(v, longest), directions, listed)), group_bytes)
-    asked = good.where(F.expr(is_query.replace(id_column, "id"))).dropDuplicates(["id"])
-    found = topk.in_two_rounds(groups, asked, lambda held: InvertedFile(held, directions, k, reranked, least_reranked), lambda v, x: (v, x), k, "double")
+    asked = topk.queries_of(good, is_query, id_column)
+    found = topk.in_two_rounds(groups, asked, lambda held: InvertedFile(held, directions, k, reranked, least_times * k), lambda v, x: (v, x), k, "double")
     return topk.ranked(found, k)

@@ -8,7 +8,7 @@ sums over the first coordinates plus the product of the residual lengths
 (Cauchy-Schwarz) must reach it.  Only what passes is multiplied in full, in
 whole numbers.
 
-The longest group is searched first, for all queries.  Its k-th scores are the
+The longest group is searched first, for all queries, which copies of it share.  Its k-th scores are the
 bounds with which all other groups are searched, in parallel.
 """
 
@@ -28,6 +28,8 @@ from adtally.llm.staging import ship, staged
 STEPS = (0.25, 0.5)
 #: Rows of a group that are looked at together, by descending length.
 CHUNK = 2_048
+#: Queries of a block; blocks of queries that a copy of the first group answers, and copies it has at least if there are as many blocks.
+ASKED_ROWS, FIRST_BLOCKS, FIRST_COPIES = 256, 16, 64
 #: Rounding of the rotated sums stays below this share of the lengths' product.
 SLACK = 1e-9
 
@@ -146,14 +148,22 @@ class Group:
 
 def in_two_rounds(groups: DataFrame, asked: DataFrame, search, stored, k: int, score: str) -> DataFrame:
     """What ``search`` finds in the first group, and in all others with the first group's k-th score as a bound."""
-    plain = blocks.packed(asked.withColumn("bound", F.lit(None).cast("double")), None, stored)
-    first = staged(blocks.searched(groups, plain, search, 0, 0, score))
+    plain = blocks.packed(asked.withColumn("bound", F.lit(None).cast("double")), None, stored, block_rows=ASKED_ROWS)
+    many = plain.count()
+    copies = max(1, min(many, FIRST_COPIES), -(-many // FIRST_BLOCKS))
+    first = staged(blocks.searched(groups, plain, search, 0, 0, score, copies))
     kth = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("bound"))
     kth = kth.select("query_id", F.when(F.col("n") >= k, F.col("bound").cast("double")).alias("bound"))
     bounded = asked.join(kth, asked["id"] == kth["query_id"], "left").select("id", "vector", "bound")
     return first.unionByName(blocks.searched(groups, blocks.packed(bounded, None, stored), search, 1, score=score))
 
 
+def queries_of(rows: DataFrame, is_query: str, id_column: str) -> DataFrame:
+    """One row of each id that meets the condition, which names the id by ``id_column`` and no other column."""
+    named = rows.withColumnRenamed("id", id_column) if id_column != "id" else rows
+    return named.where(F.expr(is_query)).dropDuplicates([id_column]).withColumnRenamed(id_column, "id")
+
+
 def ranked(found: DataFrame, k: int) -> DataFrame:
     """The k best of each query with rank, ties to the smaller id."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -190,6 +200,6 @@ def largest_products(
         return vectors.astype(np.int64), extra
 
     groups = blocks.packed(good.withColumn("none", F.lit(0.0)), [F.desc(length), F.col("id")], whole, group_bytes)
-    asked = good.where(F.expr(is_query.replace(id_column, "id"))).dropDuplicates(["id"])
+    asked = queries_of(good, is_query, id_column)
     best = ranked(in_two_rounds(groups, asked, lambda held: Group(held, turn, k), whole, k, "long"), k)
     return best.select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score"))

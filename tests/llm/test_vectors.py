@@ -90,7 +90,7 @@ def test_recall(spark):
     base[::2] = base[0]
     base /= np.sqrt((base**2).sum(axis=1, keepdims=True))
     vectors = dict(enumerate(base))
-    rows = permutation_index.nearest(vectors_of(spark, vectors), "vec_id % 20 = 1", k=20, least_reranked=100, group_bytes=32 * 8 * 2000).collect()
+    rows = permutation_index.nearest(vectors_of(spark, vectors), "vec_id % 20 = 1", k=20, group_bytes=32 * 8 * 2000).collect()
     found = by_query(rows)
     assert len(found) == 200 and all(len(x) == 20 for x in found.values())
     assert recall(found, vectors, 20) >= 0.9
@@ -104,7 +104,7 @@ def test_recall_of_unequal_lengths(spark, sigma):
     base = draw.normal(size=(6000, 32))
     base *= np.exp(sigma * draw.normal(size=(6000, 1))) / np.sqrt((base**2).sum(axis=1, keepdims=True))
     vectors = dict(enumerate(base))
-    rows = permutation_index.nearest(vectors_of(spark, vectors), "vec_id % 40 = 1", k=20, least_reranked=100, group_bytes=32 * 8 * 3000).collect()
+    rows = permutation_index.nearest(vectors_of(spark, vectors), "vec_id % 40 = 1", k=20, group_bytes=32 * 8 * 3000).collect()
     found = by_query(rows)
     assert len(found) == 150 and all(len(x) == 20 for x in found.values())
     assert recall(found, vectors, 20) >= 0.95
@@ -114,7 +114,25 @@ def test_small_table_recall(spark, root):
     vectors = dict(duckdb.sql(f"select vec_id, embedding from '{root}/embeddings.parquet'").fetchall())
     found = by_query(QUERIES["op2_permutation_search"](spark, root).collect())
     assert sorted(found) == [i for i in sorted(vectors) if i % 20 == 0]
-    assert recall(found, vectors, 20) >= 0.99
+    assert recall(found, vectors, 20) >= 0.95  # the index answers here too: 100 of 500 vectors are reranked
+
+
+def test_the_first_round_is_shared_by_tasks(spark, monkeypatch):
+    """Copies of the first group share the queries, and any number of them finds the same."""
+    draw = np.random.default_rng(6)
+    table = vectors_of(spark, {i: v for i, v in enumerate(draw.normal(size=(1500, 16)).tolist())})
+    found = []
+    for rows, copies in ((256, 64), (8, 64), (8, 1)):
+        monkeypatch.setattr(topk, "ASKED_ROWS", rows)
+        monkeypatch.setattr(topk, "FIRST_COPIES", copies)
+        found.append(sorted(map(tuple, permutation_index.nearest(table, "vec_id % 20 = 0", k=5, group_bytes=16 * 8 * 500).collect())))
+    assert found[0] == found[1] == found[2] and len(found[0]) == 75 * 5
+
+
+def test_conditions_name_the_id_as_it_is(spark):
+    table = vectors_of(spark, {i: [1.0 + i, 2.0] for i in range(40)}).withColumnRenamed("vec_id", "i")
+    rows = topk.largest_products(table, "i in (10, 20) and i % 3 <> 0 and 'i' = 'i'", k=2, id_column="i").collect()
+    assert {r.query_id for r in rows} == {10, 20}
 
 
 def test_rotation_keeps_products(spark):
