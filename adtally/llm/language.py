@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adtally.llm.staging import free_names, release_unused, ship
+from adtally.llm.staging import free_names, release_unused, sent_if_small, ship, staged
 
 DIMENSIONS = 1024
 LETTERS = 3
@@ -136,7 +136,7 @@ def drawn_texts(labelled: DataFrame, text_column: str, language_column: str, id_
     rows = labelled.select(*[F.col(f"`{name}`").cast("string").alias(new) for name, new in names.items()]).where("lang is not null")
     rates = rows.groupBy(F.col("lang").alias("of")).agg((F.lit(float(texts)) / F.count(F.lit(1))).alias("rate"))
     draw = F.pmod(F.xxhash64(F.coalesce("id", F.lit("")), F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return rows.join(rates, rows["lang"] == rates["of"]).where(draw < F.col("rate")).select("lang", "text")
+    return rows.join(sent_if_small(staged(rates)), F.col("lang") == F.col("of")).where(draw < F.col("rate")).select("lang", "text")
 
 
 def learn(
@@ -159,8 +159,8 @@ def learn(
     def bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, sums = space(dimensions, letters), {}
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                vector = own.bundle(text)
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                vector = own.bundle(text.as_py())
                 if vector is not None and (length := np.linalg.norm(vector)):
                     sums[lang] = sums.get(lang, 0) + vector / length
         yield pa.RecordBatch.from_arrays(
@@ -188,11 +188,11 @@ def identify(docs: DataFrame, profiles: Profiles, text_column: str = "text", lan
     ship(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(profiles)  # one vector for each language
 
-    @F.pandas_udf("lang string, score double")
-    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang string, score double")
+    def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            names, scores = model.value.judged(texts)
-            yield pd.DataFrame({"lang": names, "score": scores})
+            names, scores = model.value.judged(text.as_py() for text in texts)
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
         space.cache_clear()
         release_unused()
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adtally.llm.staging import free_names, ship, staged
+from adtally.llm.staging import discard, free_names, release_unused, sent_if_small, ship, staged
 
 BANDS, ROWS = 48, 6
 #: Blocks of a bucket that is compared in full: so many nodes and shingles at most, one node at least.
@@ -114,6 +114,7 @@ def _sketched(batches: Iterator[pa.RecordBatch], size: int, bands: int, rows: in
                 [batch.column(0), batch.column(2), pa.array(counts, pa.int64()), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
                 ["id", "digest", "n_shingles", "node", "keys"],
             )
+    release_unused()
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch], size: int, bins: int) -> Iterator[pa.RecordBatch]:
@@ -129,6 +130,7 @@ def _full_sets(batches: Iterator[pa.RecordBatch], size: int, bins: int) -> Itera
                 ],
                 ["node", "shingles", "sketch"],
             )
+    release_unused()
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -177,6 +179,7 @@ def _block_links(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.D
             yield found(rows[~last])
     if rest is not None and len(rest):
         yield found(rest)
+    release_unused()
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -197,7 +200,8 @@ def connected(links: DataFrame) -> DataFrame:
         large = large.where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
-        edges = staged(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct())
+        before, edges = edges, staged(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct())
+        discard(before)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == state or not now[0]:
             break
@@ -259,8 +263,9 @@ def _grouped(docs: DataFrame, id_column: str, text_column: str, shingle_words: i
     members = staged(posted.join(shared, "bucket"))
 
     wanted = members.select("nid").distinct().join(nodes.select("nid", "node", "first_id"), "nid")
-    ids = wanted.select(F.col("first_id").alias("id")).distinct()
-    again = texts.join(ids.withColumnRenamed("id", "wanted"), F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
+    # Few documents share a bucket with another set; only their texts are read for it.
+    ids = staged(wanted.select(F.col("first_id").alias("wanted")).distinct())
+    again = texts.join(sent_if_small(ids), F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
     sets = again.select("text").mapInArrow(
         lambda batches: _full_sets(batches, shingle_words, bands * rows), "node binary, shingles array<long>, sketch binary"
     )
@@ -318,10 +323,10 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     best = keys.groupBy("comp").agg(F.min(key).alias("best"))
     of_id, of_text, stays = free_names(docs, "id", "digest", "stays")
     judged = keys.join(best, "comp").select(F.col("id").alias(of_id), F.col("digest").alias(of_text), "copies", (key == F.col("best")).alias(stays))
-    # Only rows that go or repeat are looked up: few beside all documents, and Spark sends them around if they are small.
+    # Only rows that go or repeat are looked up: few beside all documents, so that texts mostly stay where they are.
     touched = staged(judged.where(~F.col(stays) | (F.col("copies") > 1)).drop("copies"))
     own_id, own_text = F.col(f"`{id_column}`").cast("long"), F.col(f"`{text_column}`").cast("string")
-    found = docs.join(touched, own_id.eqNullSafe(F.col(of_id)) & (F.xxhash64(own_text) == F.col(of_text)), "left")
+    found = docs.join(sent_if_small(touched), own_id.eqNullSafe(F.col(of_id)) & (F.xxhash64(own_text) == F.col(of_text)), "left")
     own = [F.col(f"`{c}`") for c in docs.columns]
     once = found.where(F.col(stays).isNull()).select(*own)
     repeated = found.where(stays).dropDuplicates([of_id, of_text]).select(*own)

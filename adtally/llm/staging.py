@@ -3,23 +3,31 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import io
 import os
+import re
 import uuid
 import zipfile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+_BATCH_BYTES, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+_C = ctypes.CDLL(None)
 _written: list[str] = []
 _packages: list[str] = []
 _shipped: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where it is unset, one below the warehouse, which is shared too."""
+    """The folder named by ``spark.checkpoint.dir``; where it is unset, one below the warehouse of a local session, and an error for any other."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (named or f"{spark.conf.get('spark.sql.warehouse.dir')}/llm-staging").rstrip("/")
 
 
@@ -32,7 +40,17 @@ def staged(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def discard(stored: DataFrame) -> None:
+    """Removes a staged table that nothing will read any more."""
+    path = getattr(stored, "_staged_at", None)
+    if path in _written:
+        _written.remove(path)
+        _remove([path])
 
 
 def release() -> None:
@@ -56,6 +74,15 @@ def _release_at_exit() -> None:
         pass
 
 
+#: Rows of a few numbers that a join may send to every executor; a larger side is dealt out by its key.
+SENT_ROWS = 500_000
+
+
+def sent_if_small(stored: DataFrame, rows: int = SENT_ROWS) -> DataFrame:
+    """The stored table, to be sent to every executor if it has no more than ``rows`` rows."""
+    return F.broadcast(stored) if stored.count() <= rows else stored
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """Column names that the frame doesn't have, made of the given ones."""
     held = {c.lower() for c in df.columns}
@@ -65,18 +92,30 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return [f"{mark}{name}" for name in names]
 
 
+def trim() -> None:
+    """Gives memory that Arrow and the C library hold free back to the system."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_C, "malloc_trim"):
+        _C.malloc_trim(0)
+
+
 def release_unused() -> None:
-    """Gives memory that Python and Arrow hold free back to the system; called where a task ends, as its worker lives on."""
+    """``trim`` behind Python's own collection; called where a task ends, as its worker lives on."""
     gc.collect()
-    pa.default_memory_pool().release_unused()
+    trim()
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once for each Spark application.
+    """Sends this package to the executors, once for each Spark application, and bounds the bytes of Arrow batches.
+
+    Texts differ by much in length, so that batches counted by rows alone would
+    differ by much in memory, which a batch takes several times over on its way.
 
     The zip file lies in the shared folder until the process ends, as
     executors may join at any time.
     """
+    if int(spark.conf.get(_BATCH_BYTES).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(_BATCH_BYTES, str(BATCH_BYTES))
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return

@@ -10,13 +10,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from adtally.llm.staging import release_unused
+from adtally.llm.staging import release_unused, trim
 
 #: ASCII signs that never continue a word in front of them; the apostrophe may.
 _SIGNS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 _WORD_END = "</w>"
 #: Words kept during a task; beyond it the store starts anew.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 150_000
 
 
 class WordEncoder:
@@ -150,7 +150,7 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def encoded(batches: Iterator[pa.RecordBatch], path: str, rows: int = 2000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def encoded(batches: Iterator[pa.RecordBatch], path: str, rows: int = 500) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Each slice of a batch (text in its last column) with the ids of its texts.
 
     The store of words goes at the end: workers live on, and the memory is other tasks' then.
@@ -159,5 +159,6 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str, rows: int = 2000) -> I
         for start in range(0, batch.num_rows, rows):
             part = batch.slice(start, rows)
             yield part, *encoder(path).encode(part.column(part.num_columns - 1))
+            trim()  # the tokenizer leaves many small holes
     encoder.cache_clear()
     release_unused()
