@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_BATCH_BYTES, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+#: Bytes of an Arrow batch, and rows that a scan decodes at a time: thousands of long texts would be one large array.
+_BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20, "spark.sql.parquet.columnarReaderBatchSize": 512}
 
 _C = ctypes.CDLL(None)
 _written: list[str] = []
@@ -106,7 +107,7 @@ def release_unused() -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once for each Spark application, and bounds the bytes of Arrow batches.
+    """Sends this package to the executors, once for each Spark application, and bounds the session's batches.
 
     Texts differ by much in length, so that batches counted by rows alone would
     differ by much in memory, which a batch takes several times over on its way.
@@ -114,8 +115,9 @@ def ship(spark: SparkSession) -> None:
     The zip file lies in the shared folder until the process ends, as
     executors may join at any time.
     """
-    if int(spark.conf.get(_BATCH_BYTES).rstrip("b")) > BATCH_BYTES:
-        spark.conf.set(_BATCH_BYTES, str(BATCH_BYTES))
+    for name, most in _BATCHES.items():
+        if int(spark.conf.get(name).rstrip("b")) > most:
+            spark.conf.set(name, str(most))
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
