@@ -27,7 +27,7 @@ from adtally.llm.staging import ship, staged
 
 PIVOTS, LISTED = 512, 64
 #: Distinct vectors of a group that are reranked for a query: a share of the group's, and so many times k at least.
-RERANKED, LEAST_TIMES = 0.15, 5
+RERANKED, LEAST_TIMES = 0.25, 5
 
 #: Matrix products differ from sums row by row by less than this share of the largest.
 ROUNDING = 1e-9
