@@ -7,6 +7,8 @@ from checks.queries import CUTOVER, OWNER, QUERIES, SUMMARY_NEEDS, YM
 from adtally.plans import detail, search, summary
 from adtally.sources.warehouse import ad_base, table
 
+from .facts import fact_frame
+
 SF_DIR = "/root/testdata/sf0.01"
 
 
@@ -165,3 +167,17 @@ def test_sums_meet_the_suppliers(spark):
 def test_first_rows_are_picked_before_the_shuffle(spark):
     plan = plan_of(QUERIES["dedupe_nonnull_counts"](spark, SF_DIR))
     assert "partial_min_by" in plan and "Window" not in plan
+
+
+def test_a_detail_scans_its_facts_once(spark):
+    """Total line and rows come from one exchange; also for an owner without rows and with a map column."""
+    rows = QUERIES["detail_owner"](spark, SF_DIR)
+    assert rows.count() > 1
+    rows.collect()
+    final = plan_of(rows).split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in final and final.count("lineitem.parquet") == 1
+    facts = fact_frame(spark, {}, {"account": "beta-my", "spend": 2.5}).withColumn("extra", F.expr("map('a', clicks)"))
+    lines = detail.detail(facts, "DIRECT", "202103", "ann").collect()
+    assert [(r["ad_type"], r["account"], r["spend"], r["extra"]) for r in lines] == [("TOTAL", None, 12.5, None), ("DIRECT", "alpha-th", 10.0, {"a": 8}), ("DIRECT", "beta-my", 2.5, {"a": 8})]
+    nobody = detail.detail(facts, "DIRECT", "202103", "nobody").collect()
+    assert [(r["ad_type"], r["spend"], r["owner"]) for r in nobody] == [("TOTAL", None, None)]
