@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 from collections.abc import Iterator
 
@@ -16,7 +17,7 @@ from adtally.llm.staging import release_unused, trim
 _SIGNS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 _WORD_END = "</w>"
 #: Words kept during a task; beyond it the store starts anew.
-KEPT_WORDS = 150_000
+KEPT_WORDS = 500_000
 
 
 class WordEncoder:
@@ -34,9 +35,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.plain = Tokenizer.from_file(path)
-        if hasattr(self.plain.model, "_resize_cache"):
-            self.plain.model._resize_cache(0)  # words come here once; the model's own cache would only cost time
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # words come here once; the model's own cache would only cost time
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(_WORD_END)]] = True
@@ -59,17 +59,17 @@ class WordEncoder:
         token that marks a word's end.
         """
         if letters:
-            ids = np.array(self.plain.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == len(words) and ends[-1] == len(ids):
                 return ids, np.diff(ends, prepend=0)
-        each = [x.ids for x in self.plain.encode_batch_fast(words, add_special_tokens=False)]
+        each = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         return np.array([i for x in each for i in x], "<u4"), np.fromiter(map(len, each), np.int64, len(each))
 
     def _known(self, words: pa.Array, letters: np.ndarray) -> np.ndarray:
         """Places of distinct words in the store, which takes in the new ones."""
-        names = words.to_pylist()
-        places = np.fromiter((self.place.get(name, -1) for name in names), np.int64, len(names))
+        names = words.to_numpy(zero_copy_only=False).tolist()
+        places = np.fromiter(map(self.place.get, names, itertools.repeat(-1)), np.int64, len(names))
         for kind in (True, False):
             new = np.flatnonzero((places < 0) & (letters == kind))
             for start in range(0, len(new), 1000):
@@ -150,9 +150,10 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def encoded(batches: Iterator[pa.RecordBatch], path: str, rows: int = 500) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def encoded(batches: Iterator[pa.RecordBatch], path: str, rows: int = 2000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Each slice of a batch (text in its last column) with the ids of its texts.
 
+    Words of a slice are looked up once; Arrow batches are bounded by bytes (``staging.ship``), and slices by rows.
     The store of words goes at the end: workers live on, and the memory is other tasks' then.
     """
     for batch in batches:

@@ -10,7 +10,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from adtally.llm import packing
-from adtally.llm.tokens import WordEncoder
+from adtally.llm.tokens import WordEncoder, encoded
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -43,6 +43,18 @@ def test_word_encoder_equals_the_tokenizer(tokenizer, texts):
             assert ids[bounds[i] : bounds[i + 1]].tolist() == ids_of(tokenizer, text)[:-1]
 
 
+def test_words_are_encoded_once(monkeypatch):
+    """A task with very many different words gives each to the tokenizer once."""
+    words = ["".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(160_000)]
+    given, plain = [], WordEncoder._ids
+    monkeypatch.setattr(WordEncoder, "_ids", lambda self, new, letters: given.extend(new) or plain(self, new, letters))
+    texts = [" ".join(words[i : i + 1000]) for i in range(0, len(words), 1000)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])] * 3
+    found = [ids for _, ids, _ in encoded(iter(batches), PATH)]
+    assert len(given) == len(set(given)) == len(words)
+    assert np.array_equal(found[0], found[-1])
+
+
 def check(rows, capacity):
     by_sequence = {}
     for r in rows:
