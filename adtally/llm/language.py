@@ -10,7 +10,7 @@ language whose profile has the largest cosine with it.
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,8 +23,6 @@ from adtally.llm.staging import free_names, release_unused, sent_if_small, ship,
 
 DIMENSIONS = 1024
 LETTERS = 3
-#: Bound of the training sample: about so many texts of each language, drawn by a hash of the id.
-TRAIN_TEXTS = 3000
 UNKNOWN = "und"
 #: A text is told if its cosine reaches half of what all but a hundredth of the held-out texts of its language and length reach.
 LOW_QUANTILE, MARGIN = 0.01, 0.5
@@ -34,6 +32,8 @@ LENGTHS = (16, 32, 64, 128, 256, 1024)
 LEAST_HELD, LEAST_OF_LENGTH = 30, 5
 #: Code points are handled in runs of this length, so that a long text needs bounded memory.
 RUN = 1 << 20
+#: n-grams, and texts, that are looked up together.
+TOGETHER, TEXTS_TOGETHER = 1 << 18, 256
 #: n-gram vectors kept during a task; beyond it the store starts anew.
 KEPT_VECTORS = 1 << 16
 
@@ -48,6 +48,11 @@ def _letter_vector(code: int, dimensions: int) -> np.ndarray:
     return np.random.default_rng([code, dimensions]).integers(0, 2, dimensions, np.int8) * np.int8(2) - np.int8(1)
 
 
+@functools.lru_cache(maxsize=4096)
+def _placed_vector(code: int, place: int, dimensions: int) -> np.ndarray:
+    return np.roll(_letter_vector(code, dimensions), place)
+
+
 class Space:
     """n-gram vectors, made where they are first needed."""
 
@@ -59,44 +64,81 @@ class Space:
     def bound(self, code: int) -> np.ndarray:
         out = np.ones(self.dimensions, np.int8)
         for place in range(self.letters):
-            out = out * np.roll(_letter_vector((code >> 21 * place) & 0x1FFFFF, self.dimensions), place)
+            out = out * _placed_vector((code >> 21 * place) & 0x1FFFFF, place, self.dimensions)
         return out
 
     def of(self, codes: np.ndarray) -> np.ndarray:
         """Vectors of sorted distinct n-grams."""
-        new = np.setdiff1d(codes, self.codes, assume_unique=True)
+        new = codes[~self._held(codes)]
         if len(new):
-            fresh = np.stack([self.bound(int(x)) for x in new])
             if len(self.codes) + len(new) > KEPT_VECTORS:
                 self.codes, self.vectors = np.empty(0, np.int64), np.empty((0, self.dimensions), np.int8)
-                new = codes if len(codes) <= KEPT_VECTORS else new
-                fresh = np.stack([self.bound(int(x)) for x in new])
+                new = codes
+            fresh = np.stack([self.bound(int(x)) for x in new])
             at = np.searchsorted(self.codes, new)
             self.codes = np.insert(self.codes, at, new)
             self.vectors = np.insert(self.vectors, at, fresh, axis=0)
         return self.vectors[np.searchsorted(self.codes, codes)]
 
-    def bundle(self, text: str | None) -> np.ndarray | None:
-        """The text's vector; None if it has no letter.  All of the text counts."""
-        if not text:
-            return None
-        total, any_letter = np.zeros(self.dimensions, np.float64), False
+    def _held(self, codes: np.ndarray) -> np.ndarray:
+        if not len(self.codes):
+            return np.zeros(len(codes), bool)
+        at = np.searchsorted(self.codes, codes)
+        return self.codes[np.minimum(at, len(self.codes) - 1)] == codes
+
+    def grams(self, text: str) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+        """Distinct n-grams of each run of the text, how often they occur, and whether the run has a letter.  All of the text counts."""
         carry = np.array([32], np.int64)
         for start in range(0, len(text), RUN):
             points = np.frombuffer(text[start : start + RUN].lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
             letter = _is_letter()[points]
-            any_letter |= bool(letter.any())
+            any_letter = bool(letter.any())
             points = np.concatenate([carry, np.where(letter, points, 32)])
             last = start + RUN >= len(text)
             points = np.append(points, 32) if last else points
             points = points[np.r_[True, (points[1:] != 32) | (points[:-1] != 32)]]
             carry = points[-(self.letters - 1) :]
-            if len(points) >= self.letters:
-                grams = sum(points[i : len(points) - self.letters + 1 + i] << 21 * i for i in range(self.letters))
-                codes, counts = np.unique(grams, return_counts=True)
-                for i in range(0, len(codes), 4096):
-                    total += counts[i : i + 4096].astype(np.float32) @ self.of(codes[i : i + 4096]).astype(np.float32)
-        return total if any_letter else None
+            codes = sum(points[i : max(0, len(points) - self.letters + 1) + i] << 21 * i for i in range(self.letters))
+            yield *np.unique(codes, return_counts=True), any_letter
+
+    def bundles(self, texts: Iterable[str | None]) -> Iterator[np.ndarray | None]:
+        """The texts' vectors in order; None for a text without any letter.  Texts are handled some at a time, as most n-grams are common to them."""
+        totals, letters, runs, size = [], [], [], 0
+        for text in texts:
+            totals.append(np.zeros(self.dimensions, np.float64))
+            letters.append(False)
+            for codes, counts, any_letter in self.grams(text or ""):
+                letters[-1] |= any_letter
+                runs.append((len(totals) - 1, codes, counts))
+                size += len(codes)
+                if size >= TOGETHER:
+                    self._add(totals, runs)
+                    runs, size = [], 0
+            if not runs or len(totals) >= TEXTS_TOGETHER:
+                self._add(totals, runs)
+                yield from (total if any_letter else None for total, any_letter in zip(totals, letters, strict=True))
+                totals, letters, runs, size = [], [], [], 0
+        self._add(totals, runs)
+        yield from (total if any_letter else None for total, any_letter in zip(totals, letters, strict=True))
+
+    def _add(self, totals: list[np.ndarray], runs: list[tuple[int, np.ndarray, np.ndarray]]) -> None:
+        """Adds the runs' n-grams to the totals.  Sums of whole numbers below 2^24 are exact in any order."""
+        if not runs:
+            return
+        distinct, place = np.unique(np.concatenate([codes for _, codes, _ in runs]), return_inverse=True)
+        row = np.repeat(np.arange(len(runs)), [len(codes) for _, codes, _ in runs])
+        counts = np.concatenate([counts for _, _, counts in runs])
+        for i in range(0, len(distinct), 4096):
+            part = distinct[i : i + 4096]
+            own = (place >= i) & (place < i + len(part))
+            table = np.zeros((len(runs), len(part)), np.float32)
+            table[row[own], place[own] - i] = counts[own]
+            for (text, _, _), total in zip(runs, table @ self.of(part).astype(np.float32), strict=True):
+                totals[text] += total
+
+    def bundle(self, text: str | None) -> np.ndarray | None:
+        """One text's vector."""
+        return next(self.bundles([text]))
 
 
 @functools.lru_cache(maxsize=2)
@@ -116,8 +158,8 @@ class Profiles:
     def judged(self, texts: Iterator[str | None]) -> tuple[list[str], np.ndarray]:
         own = space(self.dimensions, self.letters)
         names, scores = [], []
-        for text in texts:
-            vector = own.bundle(text) if self.languages else None
+        vectors = own.bundles(texts) if self.languages else (None for _ in texts)
+        for vector in vectors:
             length = 0.0 if vector is None else float(np.linalg.norm(vector))
             if not length:
                 names.append(UNKNOWN if vector is None else self.languages[0])
@@ -130,13 +172,17 @@ class Profiles:
         return names, np.array(scores)
 
 
-def drawn_texts(labelled: DataFrame, text_column: str, language_column: str, id_column: str, texts: int) -> DataFrame:
-    """``lang, text`` of about ``texts`` rows of each language, drawn by a hash of the id."""
+def labelled_texts(labelled: DataFrame, text_column: str, language_column: str, id_column: str) -> DataFrame:
+    """``id, text, lang`` of the rows that have a language."""
     names = {id_column: "id", text_column: "text", language_column: "lang"}
-    rows = labelled.select(*[F.col(f"`{name}`").cast("string").alias(new) for name, new in names.items()]).where("lang is not null")
+    return labelled.select(*[F.col(f"`{name}`").cast("string").alias(new) for name, new in names.items()]).where("lang is not null")
+
+
+def drawn_texts(rows: DataFrame, texts: int) -> DataFrame:
+    """About ``texts`` rows of each language, drawn by a hash of the id."""
     rates = rows.groupBy(F.col("lang").alias("of")).agg((F.lit(float(texts)) / F.count(F.lit(1))).alias("rate"))
     draw = F.pmod(F.xxhash64(F.coalesce("id", F.lit("")), F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return rows.join(sent_if_small(staged(rates)), F.col("lang") == F.col("of")).where(draw < F.col("rate")).select("lang", "text")
+    return rows.join(sent_if_small(staged(rates)), F.col("lang") == F.col("of")).where(draw < F.col("rate"))
 
 
 def learn(
@@ -144,23 +190,24 @@ def learn(
     text_column: str = "text",
     language_column: str = "lang",
     id_column: str = "doc_id",
-    train_texts: int = TRAIN_TEXTS,
+    train_texts: int | None = None,
     dimensions: int = DIMENSIONS,
     letters: int = LETTERS,
 ) -> Profiles:
-    """Profiles from at most about ``train_texts`` texts of each language.
+    """Profiles from all texts that have a language; from about ``train_texts`` of each, drawn by a hash of the id, if that is given.
 
-    Rows without language are passed over. The sample is drawn by a hash of the id at
-    a rate taken from the language's row count.  What reaches the driver is one vector for each language.
+    What reaches the driver is one vector for each language.
     """
     ship(labelled.sparkSession)
-    sample = drawn_texts(labelled, text_column, language_column, id_column, train_texts)
+    rows = labelled_texts(labelled, text_column, language_column, id_column)
+    if train_texts is not None:
+        rows = drawn_texts(rows, train_texts)
 
     def bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, sums = space(dimensions, letters), {}
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                vector = own.bundle(text.as_py())
+            vectors = own.bundles(text.as_py() for text in batch.column(1))
+            for lang, vector in zip(batch.column(0).to_pylist(), vectors, strict=True):
                 if vector is not None and (length := np.linalg.norm(vector)):
                     sums[lang] = sums.get(lang, 0) + vector / length
         yield pa.RecordBatch.from_arrays(
@@ -174,7 +221,7 @@ def learn(
         return pd.DataFrame({"lang": rows["lang"].iloc[:1], "vector": [vector / np.linalg.norm(vector)]})
 
     kind = "lang string, vector array<double>"
-    found = sample.mapInArrow(bundles, kind).groupBy("lang").applyInPandas(added, kind).orderBy("lang").collect()
+    found = rows.select("lang", "text").mapInArrow(bundles, kind).groupBy("lang").applyInPandas(added, kind).orderBy("lang").collect()
     vectors = np.array([x["vector"] for x in found]) if found else np.empty((0, dimensions))
     return Profiles(tuple(x["lang"] for x in found), vectors, dimensions, letters)
 
@@ -217,10 +264,11 @@ def least_scores(held: DataFrame, profiles: Profiles, text_column: str = "text",
 
     It is taken from the texts of the language and length class, where those
     are too few from all of the length class, then from all, and is 0 where
-    those are too few as well.  At most about ``TRAIN_TEXTS`` texts of each language are scored.
+    those are too few as well.  All those texts are scored; the rank of the
+    quantile is exact to a ten-thousandth of a cell's texts.
     """
-    sample = drawn_texts(held, text_column, language_column, id_column, TRAIN_TEXTS)
-    told = identify(sample, profiles, language="__lang", score="__score").where("lang = __lang").withColumn("class", length_class())
+    texts = labelled_texts(held, text_column, language_column, id_column)
+    told = identify(texts, profiles, language="__lang", score="__score").where("lang = __lang").withColumn("class", length_class())
     cells = told.cube("lang", "class").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("__score", F.lit(LOW_QUANTILE)).alias("low")).collect()
     bounds = {(x["lang"], x["class"]): (x["n"], x["low"]) for x in cells}
     nothing = (0, 0.0)

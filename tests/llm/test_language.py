@@ -92,3 +92,27 @@ def test_no_language_is_left_out(spark):
 def test_without_a_learnt_language(odd_docs):
     rows = language.accepted(odd_docs.selectExpr("* except (lang)", "cast(null as string) lang")).collect()
     assert sorted(r.doc_id or 0 for r in rows) == [0, 1, 2, 2, 6, 8, 9]
+
+
+def test_all_labelled_texts_count(spark, monkeypatch):
+    """However many there are, all texts are learnt from, and all that are held out give the least cosines."""
+    texts = [f"{'abcdefgh'[i % 8]}{'ijklmnop'[i // 8 % 8]} word {i % 13 * 'xy'}" for i in range(3600)]
+    docs = spark.createDataFrame([(i, text, "en") for i, text in enumerate(texts)], "doc_id long, text string, lang string")
+    profiles = language.learn(docs, dimensions=64)
+    vectors = [language.Space(64, 3).bundle(text) for text in sorted(set(texts))]
+    total = sum(v / np.linalg.norm(v) * texts.count(t) for t, v in zip(sorted(set(texts)), vectors, strict=True))
+    assert np.allclose(profiles.vectors, total / np.linalg.norm(total), atol=1e-9)
+    scored, plain = [], language.identify
+    monkeypatch.setattr(language, "identify", lambda held, *more, **names: scored.append(held.count()) or plain(held, *more, **names))
+    language.least_scores(docs, profiles)
+    assert scored == [3600]
+
+
+def test_bundles_of_many_texts(monkeypatch):
+    """Texts looked up together have the vectors that they have alone, also where stores and groups are small."""
+    texts = ["Ünter den Linden", None, "", "12 !", "été  日本語! ab", "a", "ab ab ab " * 9, "Linden den ab"] * 3
+    alone = [language.Space(64, 3).bundle(text) for text in texts]
+    for name, value in {"TOGETHER": 20, "TEXTS_TOGETHER": 3, "KEPT_VECTORS": 8, "RUN": 7}.items():
+        monkeypatch.setattr(language, name, value)
+        for a, b in zip(alone, language.Space(64, 3).bundles(texts), strict=True):
+            assert (a is None and b is None) or np.array_equal(a, b)
