@@ -6,6 +6,7 @@ dashboard is a CSV without header whose name holds ``Dashboard``.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -26,6 +27,9 @@ DASHBOARD_MARK = "Dashboard"
 REPORT_MARK = "--"
 TEMP_MARK = "$"
 
+#: Bytes of a reply that may be one row, and its first characters that are looked at for nested records.
+WHOLE_BYTES, PEEKED = 8 << 20, 1 << 14
+
 AD_REPORT = "ad_report"
 DASHBOARD = "dashboard"
 
@@ -134,36 +138,64 @@ def read_records(spark: SparkSession, path: str | Sequence[str], record: T.Struc
     what stands before or after the records, its whole file is read by
     ``replies.record_texts``, by many tasks as well, and files that don't begin
     as an object as one text each, as ``read_envelopes`` does.
+
+    A file of at most ``WHOLE_BYTES``, and of one split, that has such a text among its first
+    characters is known to need it, and its records are taken from it as one text.
     """
     paths = [path] if isinstance(path, str) else list(path)
-    texts = spark.read.option("lineSep", "}").option("recursiveFileLookup", True).text(paths)
-    pieces = texts.selectExpr("value", "_metadata.file_path as file", "_metadata.file_block_start as block")
     start = rf"""(?s)^\s*(\{{[^{{]*"{field}"\s*:\s*\[\s*|,\s*)\{{([^{{]*)$"""
-    pieces = pieces.withColumn("inner", F.regexp_extract("value", start, 2)).withColumn("is_record", F.regexp_like("value", F.lit(start)))
-    marked = T.StructType([*record.fields, T.StructField("_broken", T.StringType())])
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
-    parsed = F.when(F.col("is_record"), F.from_json(F.concat(F.lit("{"), "inner", F.lit("}")), marked, options))
-    pieces = pieces.withColumn("record", parsed)
     rest = rf"""(?s)^\s*(\][^{{\[]*|\{{[^{{]*"{field}"\s*:\s*\[\s*\][^{{\[]*)?$"""
-    odd = (F.col("is_record") & F.col("record._broken").isNotNull()) | (~F.col("is_record") & ~F.regexp_like("value", F.lit(rest)))
-    # The first text of a file tells whether it begins as an object.
-    begins = F.min_by(F.regexp_like("value", F.lit(r"(?s)^[\s\ufeff]*\{")), F.struct("block", "nth"))
-    files = pieces.withColumn("nth", F.monotonically_increasing_id()).groupBy("file").agg(F.bool_or(odd).alias("odd"), begins.alias("is_object"))
-    files = files.collect()  # names of files
-    apart = [r["file"] for r in files if r["odd"]]
-    fields = [F.col(f"record.`{name}`") for name in record.fieldNames()]
+    is_object = r"(?s)^[\s\ufeff]*\{"
+    files, apart = _peeked(spark, paths, start, rest, is_object)
     parts = []
-    if len(apart) < len(files) or not files:
-        whole = spark.createDataFrame([(name,) for name in apart], "odd_file string")
-        parts.append(pieces.where("is_record").join(F.broadcast(whole), F.col("file") == F.col("odd_file"), "left_anti").select(*fields))
-    if nested := [r["file"] for r in files if r["odd"] and r["is_object"]]:
-        found = replies.record_texts(spark, nested, field)
-        parts.append(found.select(F.from_json("text", record).alias("record")).select(*fields))
-    if others := [r["file"] for r in files if r["odd"] and not r["is_object"]]:
+    if whole := [name for name, is_one in apart.items() if is_one]:
+        found = replies.whole_record_texts(spark, paths if len(whole) == len(files) else whole, field)
+        parts.append(found.select(F.from_json("text", record).alias("record")).select("record.*"))
+    others = [name for name, is_one in apart.items() if not is_one]
+    unknown = [name for name in files if name not in apart]
+    if unknown or not files:
+        texts = spark.read.option("lineSep", "}").option("recursiveFileLookup", True).text(paths if len(unknown) == len(files) else unknown)
+        pieces = texts.selectExpr("value", "_metadata.file_path as file", "_metadata.file_block_start as block")
+        pieces = pieces.withColumn("inner", F.regexp_extract("value", start, 2)).withColumn("is_record", F.regexp_like("value", F.lit(start)))
+        marked = T.StructType([*record.fields, T.StructField("_broken", T.StringType())])
+        options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
+        parsed = F.when(F.col("is_record"), F.from_json(F.concat(F.lit("{"), "inner", F.lit("}")), marked, options))
+        pieces = pieces.withColumn("record", parsed)
+        odd = (F.col("is_record") & F.col("record._broken").isNotNull()) | (~F.col("is_record") & ~F.regexp_like("value", F.lit(rest)))
+        # The first text of a file tells whether it begins as an object.
+        begins = F.min_by(F.regexp_like("value", F.lit(is_object)), F.struct("block", "nth"))
+        seen = pieces.withColumn("nth", F.monotonically_increasing_id()).groupBy("file").agg(F.bool_or(odd).alias("odd"), begins.alias("is_object"))
+        seen = seen.collect()  # names of files
+        broken = [r["file"] for r in seen if r["odd"]]
+        fields = [F.col(f"record.`{name}`") for name in record.fieldNames()]
+        if len(broken) < len(seen) or not seen:
+            left = spark.createDataFrame([(name,) for name in broken], "odd_file string")
+            parts.append(pieces.where("is_record").join(F.broadcast(left), F.col("file") == F.col("odd_file"), "left_anti").select(*fields))
+        if nested := [r["file"] for r in seen if r["odd"] and r["is_object"]]:
+            found = replies.record_texts(spark, nested, field)
+            parts.append(found.select(F.from_json("text", record).alias("record")).select(*fields))
+        others += [r["file"] for r in seen if r["odd"] and not r["is_object"]]
+    if others:
         parts.append(envelope_rows(read_envelopes(spark, others, record, field), field))
     return reduce(DataFrame.unionByName, parts)
 
 
+def _peeked(spark: SparkSession, paths: list[str], start: str, rest: str, is_object: str) -> tuple[list[str], dict[str, bool]]:
+    """All files, and those of the small ones whose first characters hold a text that is neither a record nor around records, with whether they begin as an object."""
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
+    sizes = {r["file"]: r["size"] for r in listing.selectExpr("_metadata.file_path as file", "_metadata.file_size as size").collect()}
+    split = re.fullmatch(r"(\d+)b?", spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    small = [name for name, size in sizes.items() if size <= min(WHOLE_BYTES, int(split[1]) if split else WHOLE_BYTES)]
+    if not small:
+        return list(sizes), {}
+    texts = spark.read.text(paths if len(small) == len(sizes) else small, wholetext=True, recursiveFileLookup=True)
+    begin = F.split(F.left("value", F.lit(PEEKED)), r"\}")
+    begin = texts.select(F.col("_metadata.file_path").alias("file"), F.slice(begin, 1, F.size(begin) - 1).alias("begin"))  # the last may go on
+    odd = F.exists("begin", lambda x: ~F.regexp_like(x, F.lit(start)) & ~F.regexp_like(x, F.lit(rest)))
+    found = begin.where(odd).select("file", F.regexp_like(F.col("begin")[0], F.lit(is_object)).alias("is_object")).collect()  # names of files
+    return list(sizes), {r["file"]: r["is_object"] for r in found}
+
+
 def read_envelopes(spark: SparkSession, path: str | Sequence[str], record: T.StructType, field: str = "data_list") -> DataFrame:
     """Landed API replies, one JSON object per file, with their records as an array."""
     envelope = T.StructType([T.StructField(field, T.ArrayType(record))])

@@ -11,6 +11,8 @@ deep it is, or in which array.  So blocks are looked at twice.
    records that cross its ends, and whether its end lies in the array of
    records.  The last block before that says so settles it for those in between.
 
+A file that is small enough is one block, and needs the second look alone.
+
 Texts that cross blocks are put together by file and place; all are parsed by
 Spark.  Reads one JSON object per file; elements that are neither an object
 nor null are passed over.
@@ -35,6 +37,7 @@ CHUNK = 1 << 20
 _QUOTE, _BACKSLASH = 34, 92
 _STEP = np.zeros(256, np.int64)
 _STEP[[123, 91]], _STEP[[125, 93]] = 1, -1
+_IS_STEP = _STEP != 0
 _NULL = re.compile(rb"(?<![\w.+-])null(?![\w.+-])")
 _COLON = re.compile(rb"\s*:\s*")
 
@@ -84,7 +87,7 @@ def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = []
     for file, block, text, _ in _chunks(batches):
         data = np.frombuffer(text, np.uint8)
-        quotes, marks = unescaped_quotes(data), np.flatnonzero(_STEP[data])
+        quotes, marks = unescaped_quotes(data), np.flatnonzero(_IS_STEP[data])
         odd = np.searchsorted(quotes, marks) & 1
         steps = _STEP[data[marks]]
         # A block may be seen in several chunks: which steps count in a later one depends on the quotes of those before.
@@ -123,7 +126,7 @@ class _Reader:
         if self.over:
             return
         data = np.frombuffer(text, np.uint8)
-        quotes, marks = unescaped_quotes(data), np.flatnonzero(_STEP[data])
+        quotes, marks = unescaped_quotes(data), np.flatnonzero(_IS_STEP[data])
         marks = marks[((np.searchsorted(quotes, marks) + self.quoted) & 1) == 0]
         steps = _STEP[data[marks]]
         depths = self.depth + np.cumsum(steps)
@@ -195,6 +198,42 @@ def _found(batches: Iterator[pa.RecordBatch], field: str) -> Iterator[pa.RecordB
         yield _batch(rows, _FOUND)
 
 
+def whole_record_texts(spark: SparkSession, files: Sequence[str], field: str = "data_list") -> DataFrame:
+    """``text`` of each record, as ``record_texts`` gives it, of files small enough to be read as one text each: one pass over them."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for value in batch.column(0):
+                rows, size = [], 0
+                for part in _whole(value.as_py(), field):
+                    rows.append(part.decode("utf-8", "replace"))
+                    size += len(part)
+                    if size > CHUNK:
+                        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], ["text"])
+                        rows, size = [], 0
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], ["text"])
+
+    texts = spark.read.text(list(files), wholetext=True, recursiveFileLookup=True)
+    return texts.select(F.col("value").cast("binary").alias("value")).mapInArrow(found, "text string")
+
+
+def _whole(text: bytes, field: str) -> Iterator[bytes]:
+    """The records of a whole file.  It is one block, so that its state is known and nothing crosses its ends."""
+    reader, start = _Reader(field, False, 0, True), 0
+    if text and not text.endswith(b"}"):
+        text += b"}"  # as the last text between closing braces gets one
+    while start < len(text):
+        end = text.find(b"}", start + CHUNK) + 1 or len(text)
+        for _, known, part in reader.chunk(text[start:end]):
+            if known:
+                yield part
+        start = end
+    for kind, known, part, _ in reader.end():
+        if kind == OPEN and known:
+            yield part
+
+
 def record_texts(spark: SparkSession, files: Sequence[str], field: str = "data_list") -> DataFrame:
     """``file, text``: the JSON text of each element of the array ``field`` of each file's object; text is ``null`` for a null.
 

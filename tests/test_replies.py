@@ -72,6 +72,33 @@ def test_record_texts_of_odd_files(spark, tmp_path, monkeypatch, chunk):
     assert found == {f"{name}.json": sorted(expected_texts(text)) for name, text in ODD.items() if expected_texts(text)}
 
 
+@pytest.mark.parametrize("chunk", [40, 1 << 20])
+def test_whole_files(spark, tmp_path, monkeypatch, chunk):
+    """Small files are read as one text each, with the records that reading by blocks gives."""
+    monkeypatch.setattr(replies, "CHUNK", chunk)
+    draw = random.Random(5)
+    rows = [record(draw, i) for i in range(50)]
+    texts = {**ODD, "many": json.dumps({"meta": {"list": rows[:9]}, "data_list": [None, *rows], "tail": rows[:9]}, ensure_ascii=False), "cut": ODD["escapes"][:-30]}
+    for name, text in texts.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / f"{name}.json").write_text(text)
+        found = sorted(r["text"] for r in replies.whole_record_texts(spark, [f"{tmp_path}/{name}"]).collect())
+        assert found == sorted(r["text"] for r in replies.record_texts(spark, [f"{tmp_path}/{name}"]).collect())
+        assert name == "cut" or sorted(json.dumps(json.loads(x, strict=False), sort_keys=True) for x in found) == sorted(expected_texts(text))
+
+
+def test_small_nested_replies_are_not_dealt_out(spark, tmp_path, monkeypatch):
+    """A nested reply that fits a row is read once, and others beside it as before."""
+    (tmp_path / "flat.json").write_text(json.dumps({"data_list": [{"account_name": "f", "clicks": 1}]}))
+    (tmp_path / "several.json").write_text(f"[{ODD['before']}, {ODD['after']}]")
+    (tmp_path / "nested.json").write_text(ODD["nulls"])
+    plain = landed.read_records(spark, str(tmp_path), NESTED).collect()
+    monkeypatch.setattr(replies, "record_texts", None)
+    rows = landed.read_records(spark, str(tmp_path), NESTED).collect()
+    assert len(rows) == 7 and sorted(map(str, rows)) == sorted(map(str, plain))
+    assert landed.read_records(spark, f"{tmp_path}/nested.json", NESTED).count() == 4
+
+
 def test_records_that_cross_blocks(spark, tmp_path, in_small_splits):
     """Blocks begin inside texts, at any depth; one record is larger than several blocks."""
     draw = random.Random(3)
